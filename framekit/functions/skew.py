@@ -1,0 +1,28 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 16
+
+
+def salted_join(
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
+    salts: int = DEFAULT_SALTS,
+) -> DataFrame:
+    """Join ``rows`` to ``per_key`` (few rows per key), cutting each key of ``rows`` into ``salts`` parts.
+
+    ``spread`` names columns of ``rows`` that vary within a key; ``per_key`` is repeated once per salt.
+    ``how`` is inner, left, left_semi or left_anti, so every row of ``rows`` meets each match once.
+    """
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
