@@ -1,0 +1,37 @@
+"""Seeded draws keyed by logical ids: the same row gets the same value under any partitioning."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def uniform(seed: int | Column, *keys: Column | str, stream: str = "u") -> Column:
+    """Uniform double in [0, 1) from 53 bits of a keyed hash."""
+    base = F.lit(seed) if isinstance(seed, int) else seed
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(stream), base, *keys), 11)
+    return bits.cast("double") * F.lit(2.0**-53)
+
+
+def normal(seed: int | Column, *keys: Column | str) -> Column:
+    """Standard normal draw by the Box-Muller formula."""
+    u = F.lit(1.0) - uniform(seed, *keys, stream="n1")
+    v = uniform(seed, *keys, stream="n2")
+    return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2.0 * math.pi) * v)
+
+
+def poisson(mean: Column, u: Column) -> Column:
+    """Poisson count by inverting the distribution function at ``u``; terms beyond double precision are left out."""
+    terms = F.ceil(mean + F.sqrt(mean) * 12 + 30).cast("int")
+    p0 = F.exp(-mean)
+    state = F.struct(p0.alias("p"), p0.alias("cdf"), F.lit(0).alias("n"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * mean / k
+        return F.struct(
+            p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["n"] + (acc["cdf"] < u).cast("int")).alias("n")
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), terms), state, step)["n"]
