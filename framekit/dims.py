@@ -170,7 +170,7 @@ def line_geometry(spark: SparkSession) -> DataFrame:
     The 4fsc PAL frame is not an even number of samples per line: lines 313 and 625 hold two more.
     """
     lines = spark.createDataFrame([(s,) for s in STANDARDS], "standard string").select(
-        "standard", F.explode(F.sequence(F.lit(1), by_standard("lines"))).cast("int").alias("line_no")
+        "standard", F.explode(F.sequence(F.lit(1), by_standard("lines"))).alias("line_no")
     )
     spl = by_standard("samples_per_line")
     long_line = (F.col("standard") == "PAL") & F.col("line_no").isin(313, 625)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framekit.functions.scan import row_no, scan
@@ -112,6 +112,26 @@ FROM {conversations}""",
 SELECT page_id, concat('{{', CASE page_id % 5 WHEN 0 THEN 'bundled' WHEN 1 THEN 'user' WHEN 2 THEN 'project' WHEN 3 THEN 'output' ELSE 'nope' END, '}}/clips/', CAST(page_id AS VARCHAR(20)), CASE page_id % 3 WHEN 0 THEN '.cvbs' WHEN 1 THEN '.cvbsy' ELSE '.raw' END) AS path,
  concat('/work/p', CAST(page_id % 9 AS VARCHAR(20))) AS project_dir
 FROM {pages}""",
+    "fx_config": """
+SELECT project_id, CASE WHEN project_id % 41 = 0 THEN 'SECAM' ELSE standard END AS standard, CASE WHEN project_id % 37 = 0 THEN 'DVD' ELSE disc_type END AS disc_type,
+ CASE project_id % 7 WHEN 0 THEN 'CVBS_U8' WHEN 1 THEN 'RAW_S16_28M' ELSE 'CVBS_U10_4FSC' END AS encoding,
+ CASE project_id % 5 WHEN 0 THEN 'STANDARD_RAW' ELSE 'STANDARD_STABLE_LOCKED' END AS signal_state,
+ CASE project_id % 4 WHEN 0 THEN 'yc' WHEN 1 THEN 'rgb' ELSE 'composite' END AS signal_type,
+ CASE project_id % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'laserdisc' ELSE 'custom' END AS placement,
+ CAST(CASE project_id % 6 WHEN 0 THEN 0.0 WHEN 1 THEN 7.5 ELSE 5.0 END AS DOUBLE) AS black_setup_ire,
+ CASE WHEN project_id % 2 = 0 THEN CAST(project_id % 10 AS INT) END AS efm_pair,
+ CASE WHEN project_id % 19 = 0 THEN '' WHEN project_id % 8 = 0 THEN '{{output}}/p.cvbsy' ELSE '{{outptu}}/p.cvbs' END AS video_path
+FROM {fx_project}""",
+    "fx_section_config": """
+SELECT s.*, p.standard, p.disc_type, CAST(duration_frames + 15 AS DOUBLE) AS noise_db, CAST(start_frame * 3 - 1 AS DOUBLE) AS noise_spread_db,
+ dropout_scale AS random_scale, CAST(duration_repeat * 8 - 8 AS INT) AS scratch_scale, start_frame AS osd_scale,
+ CASE WHEN start_frame = 4 THEN 'noise' WHEN start_frame = 3 THEN 'square' ELSE 'sine' END AS waveform,
+ CAST(duration_frames * 500 AS DOUBLE) AS frequency_hz, CAST(start_frame AS DOUBLE) / 3.5 AS ramp_period_s, CAST(duration_frames % 10 AS INT) AS pair
+FROM {fx_section} s LEFT JOIN {fx_project} p ON s.project_id = p.project_id""",
+    "fx_code_config": """
+SELECT c.*, p.standard, p.disc_type FROM {fx_section_code} c LEFT JOIN {fx_project} p ON c.project_id = p.project_id""",
+    "fx_vits": """
+SELECT l_orderkey AS project_id, CAST(1 + l_partkey % 640 AS INT) AS line_no, CASE l_suppkey % 5 WHEN 0 THEN 'virs' WHEN 1 THEN 'vits17' WHEN 2 THEN 'fcc-composite' WHEN 3 THEN 'uk-national' ELSE '' END AS vits_type FROM {lineitem}""",
     "fx_artefact_base": """
 SELECT source AS suite, concat(source, '/', CAST(doc_id AS VARCHAR(20)), '.cvbs') AS path, sha2(text, 256) AS digest FROM {documents}""",
     "fx_artefact_cur": """
@@ -121,6 +141,12 @@ SELECT source AS suite, concat(source, '/', CAST(doc_id AS VARCHAR(20)), CASE WH
 SELECT vec_id AS frame_id, label AS capture_id, pos, CAST(v AS DOUBLE) * 1000 AS mv FROM (SELECT vec_id, label, posexplode(embedding) AS (pos, v) FROM {embeddings}) t""",
     "fx_line_array": """
 SELECT vec_id AS frame_id, label AS capture_id, transform(embedding, v -> CAST(v AS DOUBLE) * 1000) AS samples FROM {embeddings}""",
+    "fx_yc": """
+SELECT vec_id AS frame_id, label AS capture_id, CASE label % 3 WHEN 0 THEN 'PAL' WHEN 1 THEN 'NTSC' ELSE 'PAL_M' END AS standard,
+ transform(embedding, v -> CAST(v AS DOUBLE) * 4000) AS y, transform(reverse(embedding), v -> CAST(v AS DOUBLE) * 500) AS c FROM {embeddings}""",
+    "fx_aligned": """
+SELECT CAST(vec_id % 5 AS BIGINT) AS capture_id, CAST(floor(vec_id / 5) AS BIGINT) AS picture_number,
+ transform(embedding, (v, i) -> CAST(CASE WHEN vec_id % 5 <= 1 THEN i WHEN vec_id % 5 = 2 AND i < 40 THEN i WHEN vec_id % 3 = 0 THEN i ELSE i + floor(v * 10) END AS INT)) AS samples FROM {embeddings}""",
 }
 
 # Texts for DuckDB where its function names differ.
@@ -129,6 +155,14 @@ DUCK_SQL: dict[str, str] = {
     "fx_artefact_cur": SQL["fx_artefact_cur"].replace("sha2(CASE", "sha256(CASE").replace("END, 256)", "END)"),
     "fx_sample": """
 SELECT vec_id AS frame_id, label AS capture_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) * 1000 AS mv FROM {embeddings}""",
+    "fx_line_array": """
+SELECT vec_id AS frame_id, label AS capture_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 1000) AS samples FROM {embeddings}""",
+    "fx_yc": """
+SELECT vec_id AS frame_id, label AS capture_id, CASE label % 3 WHEN 0 THEN 'PAL' WHEN 1 THEN 'NTSC' ELSE 'PAL_M' END AS standard,
+ list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 4000) AS y, list_transform(list_reverse(embedding), lambda v: CAST(v AS DOUBLE) * 500) AS c FROM {embeddings}""",
+    "fx_aligned": """
+SELECT CAST(vec_id % 5 AS BIGINT) AS capture_id, CAST(floor(vec_id / 5) AS BIGINT) AS picture_number,
+ list_transform(embedding, lambda v, j: CAST(CASE WHEN vec_id % 5 <= 1 THEN j - 1 WHEN vec_id % 5 = 2 AND j - 1 < 40 THEN j - 1 WHEN vec_id % 3 = 0 THEN j - 1 ELSE j - 1 + floor(v * 10) END AS INT)) AS samples FROM {embeddings}""",
 }
 
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
@@ -157,10 +191,25 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(placed.join(view(spark, sf_dir, "fx_project"), "project_id", "left"), "placed")
 
 
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of ``fx_section_code`` as one pass over the sections."""
+    def code(flag: str, name: str, start: str | None = None) -> Column:
+        value = F.col(start) if start else F.lit(None).cast("int")
+        return F.when(F.col(flag), F.struct(F.lit(name).alias("code_type"), value.alias("start_value")))
+
+    made = F.array_compact(F.array(
+        code("declares_pn", "picture_number", "pn_anchor"), code("declares_chapter", "chapter_number", "chapter_anchor"),
+        code("declares_status", "programme_status"), code("declares_user", "users_code"), code("declares_clv", "clv_code"),
+    ))
+    rows = view(spark, sf_dir, "fx_section").select("project_id", "section_no", "section_type", F.explode(made).alias("c"))
+    return rows.select("project_id", "section_no", "section_type", "c.code_type", "c.start_value")
+
+
 _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fx_line_numbered": _lines,
     "fx_event_numbered": _events,
     "fx_placed": _placed,
+    "fx_section_code": _codes,
 }
 
 
