@@ -419,6 +419,11 @@ def rule_completeness(projects: DataFrame, sections: DataFrame, vits: DataFrame
     return _union(parts)
 
 
+def all_findings(found: Sequence[DataFrame]) -> DataFrame:
+    """Findings of several rules as one table."""
+    return _union(found)
+
+
 def first_failures(found: DataFrame) -> DataFrame:
     """Findings up to the first section with an error in each project, as a check that stops there reports them."""
     stop = found.filter((F.col("severity") == ERROR) & F.col("section_no").isNotNull()).groupBy("project_id").agg(

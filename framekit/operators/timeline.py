@@ -65,12 +65,17 @@ def section_offsets(sections: DataFrame, mode: str = "resolved") -> DataFrame:
 
 
 def _spread(rows: DataFrame, keys: list[str], count: str, index: str) -> DataFrame:
-    """One row per 0..count-1. Long rows are cut into chunks that are shuffled apart before they expand."""
+    """One row per 0..count-1. Long rows are cut into chunks that are shuffled apart before they expand.
+
+    The number of partitions is stated, so that adaptive execution does not join them by their size before
+    the expansion multiplies it.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = rows.filter(F.col(count) > 0).withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), idiv(F.col(count) - 1, CHUNK)))
     )
     return (
-        chunks.repartition(*keys, "__chunk")
+        chunks.repartition(parts, *keys, "__chunk")
         .withColumn(
             index,
             F.explode(F.sequence(
@@ -225,37 +230,32 @@ def sequence_phase(sections: DataFrame) -> DataFrame:
     )
 
 
-def section_runs(frames: DataFrame) -> DataFrame:
+def section_runs(frames: DataFrame, contiguous: bool = True) -> DataFrame:
     """T5: runs of consecutive frames in one section; neighbouring lead-in (or lead-out) runs are one run.
 
-    Only run starts and last frames are shuffled a second time.
+    A schedule emits the frames of a section in one stretch, so they are first reduced to one row per
+    section and only those are shuffled. With ``contiguous=False`` sections may recur, and the windows run
+    over blocks of frames.
     """
-    near = scan(
-        frames.select("project_id", "frame_id", "section_no", "section_type"), PROJECT, ["frame_id"],
-        {
-            "__prev_no": last_before(F.col("section_no")),
-            "__prev_type": last_before(F.col("section_type")),
-            "__next": next_row(F.col("frame_id")),
-        },
-    )
-    same = (F.col("section_no") == F.col("__prev_no")) | (
-        (F.col("section_type") != "programme_area") & (F.col("section_type") == F.col("__prev_type"))
-    )
-    is_start = F.col("__prev_no").isNull() | ~same
+    keys = ["project_id", "section_no", "section_type"]
+    if contiguous:
+        spans = frames.groupBy(*keys).agg(F.min("frame_id").alias("__at"), F.count("*").alias("__n"))
+    else:
+        spans = frames.select(*keys, F.col("frame_id").alias("__at"), F.lit(1).cast("bigint").alias("__n"))
+    rank = F.when(F.col("section_type") == "lead_in", 0).when(F.col("section_type") == "lead_out", 2).otherwise(1)
+    state = F.col("section_no").cast("bigint") * 4 + rank
+    near = scan(spans, PROJECT, ["__at"], {"__prev": last_before(state), "__next": next_row(F.col("__at"))})
+    before = F.pmod(F.col("__prev"), F.lit(4))
+    same = (F.col("__prev") == state) | ((rank != 1) & (before == rank))
+    is_start = F.col("__prev").isNull() | ~same
     is_last = F.col("__next").isNull()
-    marks = (
-        near.filter(is_start | is_last)
-        .withColumn(
-            "__mark",
-            F.explode(F.array_compact(F.array(
-                F.when(is_start, F.struct(F.col("frame_id").alias("pos"), F.lit(True).alias("start"))),
-                F.when(is_last, F.struct((F.col("frame_id") + 1).alias("pos"), F.lit(False).alias("start"))),
-            ))),
-        )
-        .select(
-            "project_id", "section_no", F.col("section_type").alias("area"),
-            F.col("__mark.pos").alias("start_frame_id"), F.col("__mark.start").alias("__start"),
-        )
+    made = F.array_compact(F.array(
+        F.when(is_start, F.struct(F.col("__at").alias("pos"), F.lit(True).alias("start"))),
+        F.when(is_last, F.struct((F.col("__at") + F.col("__n")).alias("pos"), F.lit(False).alias("start"))),
+    ))
+    marks = near.filter(is_start | is_last).withColumn("__mark", F.explode(made)).select(
+        "project_id", "section_no", F.col("section_type").alias("area"),
+        F.col("__mark.pos").alias("start_frame_id"), F.col("__mark.start").alias("__start"),
     )
     ends = scan(marks, PROJECT, ["start_frame_id"], {"end_frame_id": next_row(F.col("start_frame_id"))})
     return ends.filter("__start").select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framekit.dims import FLAG_LENGTH_H, by_standard, line_rule_dim
 from framekit.functions import clocks, words
 from framekit.functions.scan import last_before, scan
+from framekit.operators import timeline as tl
 
 FRAME = ["capture_id", "frame_id"]
 WORD_BITS = 1 << 24
@@ -59,10 +60,18 @@ def word_of(code_type: Column | str = "code_type") -> Column:
     )
 
 
-def expected_words(frames: DataFrame, assignments: DataFrame, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
-    """V2: one row per frame and assigned line with the word that must be there; codes without a value send none."""
+def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
+    """V2: one row per frame and assigned line with the word that must be there; codes without a value send none.
+
+    ``sections`` carry their counters (``assign_picture_numbers``, ``chapter_state``), ``first_frame``,
+    ``n_frames``, ``pass_length``, ``start_frame``, ``status_word`` and ``users_word``. Lines are joined to
+    sections before the frames are made, so no frame is shuffled.
+    """
     lines = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample")
-    rows = frames.join(lines, list(keys)).withColumn("word", word_of())
+    frames = tl.expand_placed(sections.join(lines, list(keys)))
+    rows = frames.withColumns({
+        "picture_number": tl.picture_number(), "stop_bit": tl.chapter_stop_bit(), "code_frame": F.col("frame_id"),
+    }).withColumn("word", word_of())
     return rows.filter(F.col("word").isNotNull() | (F.col("kind") != "biphase24")).select(
         *keys, "frame_id", "line_no", "code_type", "kind", "start_sample", "word"
     )

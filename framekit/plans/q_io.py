@@ -38,11 +38,10 @@ def dropout_rows(spark, sf):
     )
 
 
-@query("sidecar_tables", """
-SELECT user_id AS cvbs_file_id, count(*) AS n_rows, CAST(sum(5 + event_id % 396) AS BIGINT) AS lost FROM events WHERE user_id % 2 = 1 GROUP BY 1
-UNION ALL SELECT user_id, 2 * count(*), CAST(2 * sum(5 + event_id % 396) AS BIGINT) FROM events WHERE user_id % 2 = 0 GROUP BY 1""")
+@query("sidecar_tables", """WITH r AS (SELECT user_id // 32 AS f, 5 + event_id % 396 AS n FROM events)
+SELECT CAST(f AS BIGINT) AS cvbs_file_id, CASE WHEN f % 2 = 0 THEN 2 ELSE 1 END * count(*) AS n_rows, CAST(CASE WHEN f % 2 = 0 THEN 2 ELSE 1 END * sum(n) AS BIGINT) AS lost FROM r GROUP BY f""")
 def sidecar_tables(spark, sf):
-    rows = dropout_rows(spark, sf)
+    rows = dropout_rows(spark, sf).withColumn("cvbs_file_id", F.expr("cvbs_file_id div 32"))
     base = scratch_dir(spark, "sidecar")
     sidecar.write_sidecar(rows, base, "dropout_run")
     sidecar.write_sidecar(rows, base, "dropout_run")  # a second run replaces the rows
@@ -138,7 +137,7 @@ def stream_dropout_rate(spark, sf):
 
 @query("stream_dropout_bursts", """WITH
  r AS (SELECT capture_id, (run_id % 1000 + 1) * 40 AS ms, sample_count FROM fx_run),
- l AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY capture_id ORDER BY ms) < 2000 THEN 0 ELSE 1 END AS st FROM r),
+ l AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY capture_id ORDER BY ms) <= 2000 THEN 0 ELSE 1 END AS st FROM r),
  g AS (SELECT *, sum(st) OVER (PARTITION BY capture_id ORDER BY ms) AS grp FROM l),
  x AS (SELECT capture_id, CAST(min(ms) AS BIGINT) AS start_ms, CAST(max(ms) + 2000 AS BIGINT) AS end_ms, count(*) AS n_runs, CAST(sum(sample_count) AS BIGINT) AS lost FROM g GROUP BY capture_id, grp)
 SELECT * FROM x WHERE end_ms <= (SELECT max(ms) - 1000 FROM r)""")

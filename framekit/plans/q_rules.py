@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framekit.operators import rules as ru
 from framekit.plans.fixtures import view
 from framekit.plans.registry import query
+from framekit.session import cut
 
 
 def rows(table: str, rule: str, where: str, detail: str, severity: str = "error", section: str = "section_no") -> str:
@@ -260,7 +261,8 @@ ALL = f"{COMPAT},\n{ORDERING},\n{COMPLETE},\n dom AS ({DOMAIN}),\n found AS (SEL
 SELECT p.project_id, coalesce(a.e, 0) = 0 AS is_valid, coalesce(a.e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, CAST(fs AS INT) AS first_error_section, coalesce(r, '') AS failed_rules, coalesce(fo.e, 0) AS first_only_errors
 FROM fx_config p LEFT JOIN a ON a.project_id = p.project_id LEFT JOIN fo ON fo.project_id = p.project_id""")
 def validation_report(spark, sf):
-    found = [domain(spark, sf), compatibility(spark, sf), ordering(spark, sf), completeness(spark, sf)]
+    parts = [domain(spark, sf), compatibility(spark, sf), ordering(spark, sf), completeness(spark, sf)]
+    found = [cut(ru.all_findings(parts), "findings")]
     projects = view(spark, sf, "fx_config")
     full = ru.validation_report(projects, found)
     first = ru.validation_report(projects, found, first_only=True).select("project_id", F.col("n_errors").alias("first_only_errors"))

@@ -18,8 +18,14 @@ def placed(spark, sf):
     return view(spark, sf, "fx_placed")
 
 
-def frames(spark, sf):
-    return tl.expand_placed(placed(spark, sf))
+FRAME_COLUMNS = [
+    "project_id", "section_no", "section_type", "standard", "start_frame", "first_frame", "n_frames", "pass_length",
+]
+
+
+def frames(spark, sf, sections=None):
+    sections = placed(spark, sf) if sections is None else sections
+    return tl.expand_placed(sections.select(*FRAME_COLUMNS))
 
 
 @query("expand_schedule", f"""WITH {FRAMES}
@@ -113,12 +119,13 @@ RUNS = f"""{FRAMES},
    CAST(min(frame_id) AS BIGINT) AS start_frame_id, count(*) AS n_frames FROM islands GROUP BY project_id, run)"""
 
 
-def runs(spark, sf):
-    return tl.section_runs(frames(spark, sf))
+def runs(spark, sf, sections=None):
+    return tl.section_runs(frames(spark, sf, sections))
 
 
-def standard_runs(spark, sf):
-    return runs(spark, sf).join(view(spark, sf, "fx_project").select("project_id", "standard"), "project_id")
+def standard_runs(spark, sf, sections=None):
+    out = runs(spark, sf, sections)
+    return out.join(view(spark, sf, "fx_project").select("project_id", "standard"), "project_id")
 
 
 @query("section_runs", f"WITH {RUNS} SELECT project_id, section_no, area, start_frame_id, n_frames FROM runs")
@@ -323,8 +330,9 @@ def subcode_timeline(spark, sf):
 SELECT project_id, CAST(sum(greatest(0, least(o44 + n44, hi) - greatest(o44, lo))) AS BIGINT) AS muted_samples,
  count(*) FILTER (WHERE greatest(0, least(o44 + n44, hi) - greatest(o44, lo)) > 0) AS muted_frames FROM audio JOIN p USING (project_id) GROUP BY 1""")
 def mute_overlap(spark, sf):
-    rows = frames(spark, sf).select(*KEY, "standard", "frame_id")
-    out = tl.mute_overlap(rows, tl.track_table(standard_runs(spark, sf)))
+    sections = placed(spark, sf)
+    rows = frames(spark, sf, sections).select(*KEY, "standard", "frame_id")
+    out = tl.mute_overlap(rows, tl.track_table(standard_runs(spark, sf, sections)))
     return out.groupBy("project_id").agg(
         F.sum("muted_samples").alias("muted_samples"), F.count(F.when(F.col("muted_samples") > 0, 1)).alias("muted_frames")
     )

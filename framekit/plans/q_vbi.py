@@ -34,15 +34,14 @@ ASSIGN = """
    THEN CAST(round(0.172 * CASE standard WHEN 'PAL' THEN 1135 WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT) ELSE 0 END AS start_sample FROM picked WHERE code_type IS NOT NULL)"""
 
 
-def coded_sections(spark, sf):
-    placed = view(spark, sf, "fx_placed")
+def coded_sections(placed):
     codes = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for flag, name in FLAGS.items()]))
     return placed.filter("carries_codes").withColumn("code_types", codes)
 
 
 @query("assign_line_codes", f"WITH {ASSIGN} SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, start_sample FROM assigned")
 def assign_line_codes(spark, sf):
-    return vbi.assign_line_codes(coded_sections(spark, sf)).select(
+    return vbi.assign_line_codes(coded_sections(view(spark, sf, "fx_placed"))).select(
         "project_id", "section_no", "line_no", "code_type", "start_sample"
     )
 
@@ -62,20 +61,15 @@ def assign_line_codes(spark, sf):
 SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, count(*) AS n_words, CAST(sum(word) AS BIGINT) AS sum_words, CAST(max(word) AS INT) AS last_word
 FROM w GROUP BY 1, 2, 3, 4""")
 def expected_words(spark, sf):
-    sections = coded_sections(spark, sf)
-    assigned = vbi.assign_line_codes(sections)
-    state = tl.chapter_state(tl.assign_picture_numbers(view(spark, sf, "fx_placed"))).filter("carries_codes")
-    frames = tl.expand_placed(
-        state.select(
-            "project_id", "section_no", "standard", "n_frames", "pass_length", "first_frame", "start_frame",
-            "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step",
-        )
-    ).select(
-        "project_id", "section_no", "standard", "frame_id", tl.picture_number().alias("picture_number"), "chapter",
-        tl.chapter_stop_bit().alias("stop_bit"), F.col("frame_id").alias("code_frame"),
+    placed = view(spark, sf, "fx_placed")
+    assigned = vbi.assign_line_codes(coded_sections(placed))
+    state = tl.chapter_state(tl.assign_picture_numbers(placed)).filter("carries_codes")
+    sections = state.select(
+        "project_id", "section_no", "standard", "n_frames", "pass_length", "first_frame", "start_frame",
+        "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step",
         F.lit(STATUS_WORD).alias("status_word"), F.lit(USERS_WORD).alias("users_word"),
     )
-    return vbi.expected_words(frames, assigned).groupBy("project_id", "section_no", "line_no", "code_type").agg(
+    return vbi.expected_words(sections, assigned).groupBy("project_id", "section_no", "line_no", "code_type").agg(
         F.count("*").alias("n_words"), F.sum("word").alias("sum_words"), F.max("word").alias("last_word")
     )
 
