@@ -26,7 +26,7 @@ def flatten_codes(sections: DataFrame) -> DataFrame:
         return F.exists("codes", lambda c: c["code_type"] == name)
 
     def first(name: str, field: str) -> Column:
-        return F.filter("codes", lambda c: c["code_type"] == name)[0][field]
+        return F.get(F.filter("codes", lambda c: c["code_type"] == name), F.lit(0))[field]
 
     return sections.select(
         *[c for c in sections.columns if c != "codes"],

@@ -25,7 +25,7 @@ def parse_run_logs(logs: DataFrame, text: str = "text") -> DataFrame:
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Logs below ``path``, one row per file, with project, threads and run number from the file name."""
-    logs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    logs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
     name = F.regexp_extract("path", r"([^/]*)\.log$", 1)
