@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -62,7 +63,7 @@ def main() -> int:
     import __spark_entry__ as entry
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
-    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": 8, "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("oracle-check", "local[8]", **{"spark.sql.shuffle.partitions": int(os.environ.get("FRAMEKIT_PARTITIONS", "8")), "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
