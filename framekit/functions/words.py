@@ -19,11 +19,10 @@ FIXED_WORDS = {
 
 
 def bcd(value: Column, digits: int) -> Column:
-    """Decimal digits as nibbles."""
-    total = None
-    for i in range(digits):
-        part = imod(idiv(value, 10**i), 10) * (1 << (4 * i))
-        total = part if total is None else total + part
+    """Decimal digits as nibbles: each carry into a higher digit adds 6 at the digit below."""
+    total = value
+    for i in range(1, digits):
+        total = total + idiv(value, 10**i) * (6 * 16 ** (i - 1))
     return total
 
 

@@ -265,11 +265,15 @@ def section_runs(frames: DataFrame, contiguous: bool = True) -> DataFrame:
 
 
 def run_totals(frames: DataFrame, count: str) -> DataFrame:
-    """Give each frame the sample total of its section run, and flag the run's first frame."""
-    totals = frames.groupBy("project_id", "section_no").agg(
-        F.sum(count).alias("run_total"), F.min("frame_id").alias("__first")
-    )
-    return frames.join(totals, ["project_id", "section_no"]).select(
+    """Give each frame the sample total of its section run, and flag the run's first frame.
+
+    The totals are joined per stretch of frames, so a section of any length is spread over tasks.
+    """
+    keys = ["project_id", "section_no"]
+    totals = frames.groupBy(*keys).agg(
+        F.sum(count).alias("run_total"), F.min("frame_id").alias("__first"), F.max("frame_id").alias("__last")
+    ).withColumn("__chunk", F.explode(F.sequence(idiv(F.col("__first"), CHUNK), idiv(F.col("__last"), CHUNK))))
+    return frames.withColumn("__chunk", idiv(F.col("frame_id"), CHUNK)).join(totals, [*keys, "__chunk"]).select(
         *frames.columns, "run_total", (F.col("frame_id") == F.col("__first")).alias("is_run_start")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framekit.dims import FLAG_LENGTH_H, by_standard, line_rule_dim
+from framekit.dims import FLAG_LENGTH_H, STOP_BIT_FRAMES, by_standard, line_rule_dim
 from framekit.functions import clocks, words
 from framekit.functions.scan import last_before, scan
 from framekit.operators import timeline as tl
@@ -43,21 +43,42 @@ def assign_line_codes(sections: DataFrame, active_start: int = 0) -> DataFrame:
     )
 
 
-def word_of(code_type: Column | str = "code_type") -> Column:
-    """Expected 24-bit word of a frame; needs picture_number, chapter, stop_bit, code_frame, status_word, users_word."""
-    kind = F.col(code_type) if isinstance(code_type, str) else code_type
-    at = F.col("code_frame")
-    out = F.when(kind == "picture_number", words.picture_word(F.col("picture_number")))
+# Code types whose word changes from frame to frame.
+_MOVING = {"picture_number": 1, "chapter_number": 2, "programme_time_code": 3, "clv_picture_number": 4}
+_STOP_BIT = 0x80000
+
+
+def _section_words(rows: DataFrame) -> DataFrame:
+    """Parts of the words that hold for a whole section, so that the expression per frame stays small."""
+    kind = F.col("code_type")
+    moving = F.lit(0)
+    for name, number in _MOVING.items():
+        moving = F.when(kind == name, number).otherwise(moving)
+    fixed = F.when(kind == "chapter_number", words.chapter_word(F.col("chapter"), F.lit(0)))
     for name, value in words.FIXED_WORDS.items():
-        out = out.when(kind == name, F.lit(value))
-    return (
-        out.when(kind == "chapter_number", words.chapter_word(F.col("chapter"), F.col("stop_bit")))
-        .when(kind == "programme_time_code", words.programme_time_word(clocks.programme_hour(at), clocks.programme_minute(at)))
-        .when(kind == "clv_picture_number", words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)))
-        .when(kind == "programme_status", F.col("status_word"))
-        .when(kind == "users_code", F.col("users_word"))
-        .cast("int")
+        fixed = fixed.when(kind == name, F.lit(value))
+    fixed = fixed.when(kind == "programme_status", F.col("status_word")).when(kind == "users_code", F.col("users_word"))
+    return rows.withColumns({
+        "__moving": moving, "__fixed": fixed.cast("int"), "__top": by_standard("max_picture").cast("bigint"),
+        "__minute": by_standard("frames_per_minute").cast("bigint"),
+    })
+
+
+def _frame_word() -> Column:
+    """Word of a frame from its section's parts."""
+    i, at, m = F.col("in_section"), F.col("frame_id"), F.col("__moving")
+    number = F.least(F.col("first_picture") + F.col("picture_step") * i, F.col("__top"))
+    stop = F.col("chapter_frames") + F.col("chapter_step") * i >= STOP_BIT_FRAMES
+    minutes = clocks.idiv(at, F.col("__minute"))
+    hour = F.least(clocks.idiv(minutes, 60), F.lit(15).cast("bigint"))
+    word = (
+        F.when(m == 0, F.col("__fixed"))
+        .when(m == 1, F.when(F.col("first_picture").isNotNull(), words.picture_word(number)))
+        .when(m == 2, F.col("__fixed") + F.when(stop, _STOP_BIT).otherwise(0))
+        .when(m == 3, words.programme_time_word(hour, clocks.imod(minutes, 60)))
+        .otherwise(words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)))
     )
+    return word.cast("int")
 
 
 def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
@@ -68,10 +89,7 @@ def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[s
     sections before the frames are made, so no frame is shuffled.
     """
     lines = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample")
-    frames = tl.expand_placed(sections.join(lines, list(keys)))
-    rows = frames.withColumns({
-        "picture_number": tl.picture_number(), "stop_bit": tl.chapter_stop_bit(), "code_frame": F.col("frame_id"),
-    }).withColumn("word", word_of())
+    rows = tl.expand_placed(_section_words(sections.join(lines, list(keys)))).withColumn("word", _frame_word())
     return rows.filter(F.col("word").isNotNull() | (F.col("kind") != "biphase24")).select(
         *keys, "frame_id", "line_no", "code_type", "kind", "start_sample", "word"
     )
