@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from framekit.session import cut
 CAPACITY = 2048
 END_ID = 1
 #: Words that a Python worker remembers; beyond it the memory starts anew. It changes speed only.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 _PER_PROCESS: dict[str, WordEncoder] = {}
 
 
@@ -44,8 +43,13 @@ def _byte_signs() -> list[str]:
     return [signs[b] for b in range(256)]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers, which are joined faster than lists."""
+    return np.array(ids, "<i4").tobytes()
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, hence word by word.
+    """Ids (see ``as_bytes``) of whole texts by a tokenizer that drops white space, hence word by word.
 
     Text between ASCII white space is encoded once and remembered. Words of letters go straight to the model; all others, and those
     whose lower case depends on the context, take the tokenizer's whole path.
@@ -59,13 +63,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.signs = _byte_signs()
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.letters: dict[str, tuple[int, ...]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _letters(self, word: str) -> tuple[int, ...]:
+    def _letters(self, word: str) -> bytes:
         found = self.letters.get(word)
         if found is None:
             plain = word if word.isascii() else unicodedata.normalize("NFC", word)
@@ -73,11 +77,11 @@ class WordEncoder:
             if "Σ" in word or not lower.isalpha():
                 found = self._whole(word)
             else:
-                found = tuple(t.id for t in self.tokenizer.model.tokenize("".join(map(self.signs.__getitem__, lower.encode()))))
+                found = as_bytes([t.id for t in self.tokenizer.model.tokenize("".join(map(self.signs.__getitem__, lower.encode())))])
             self.letters[word] = found
         return found
 
-    def _word(self, raw: bytes) -> tuple[int, ...]:
+    def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if word.isalpha():
             return self._letters(word)
@@ -85,28 +89,28 @@ class WordEncoder:
             return self._letters(word[:-1]) + self._letters_tail(word[-1])
         return self._whole(word)
 
-    def _letters_tail(self, mark: str) -> tuple[int, ...]:
+    def _letters_tail(self, mark: str) -> bytes:
         found = self.letters.get(mark)
         if found is None:
             found = self.letters[mark] = self._whole(mark)
         return found
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> bytes:
         words, known = text.encode().split(), self.known
         try:
-            return list(chain.from_iterable(map(known.__getitem__, words)))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             for w in words:
                 if w not in known:
                     known[w] = self._word(w)
-        ids = list(chain.from_iterable(map(known.__getitem__, words)))
+        ids = b"".join(map(known.__getitem__, words))
         if len(known) + len(self.letters) > REMEMBERED:
             known.clear()
             self.letters.clear()
         return ids
 
 
-def word_encoder(path: str) -> Callable[[str], list[int]]:
+def word_encoder(path: str) -> Callable[[str], bytes]:
     """The encoder of this Python process."""
     if path not in _PER_PROCESS:
         _PER_PROCESS[path] = WordEncoder(path)
@@ -119,13 +123,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before, to_ids = TaskContext.get().partitionId(), 0, word_encoder(tokenizer)
+        part, before, to_ids, end = TaskContext.get().partitionId(), 0, word_encoder(tokenizer), as_bytes([end_id])
         for batch in slices(batches):
-            ids = [to_ids(text or "") + [end_id] for text in batch.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids = [to_ids(text or "") + end for text in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4").astype(np.int32, copy=False))
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(starts), pa.array(sizes), pa.ListArray.from_arrays(edges, flat)],
