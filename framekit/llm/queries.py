@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import byte_bpe, chat_format, packing, url_filter
+from framekit.llm import byte_bpe, chat_format, multi_index, packing, toxicity, url_filter
 from framekit.llm.common import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,18 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: The query of op4 asks for the neighbours of every twentieth vector.
+QUERY_EVERY, NEIGHBOURS = 20, 20
+
+
+@query("op3_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_junk", "p_toxic", "is_toxic")
+
+
+@query("op4_multi_index")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
