@@ -4,8 +4,8 @@ Categories are predicted in a fixed order, and the probabilities of the earlier
 probabilities are out-of-fold: each labelled row's comes from models that have not seen its fold, so that a later model learns from errors
 like those it will meet. At prediction they come from models fitted on all folds.
 
-Features are the words of a text and their beginnings of four and five letters, present or not, so that inflected and compound forms of one
-stem count together. For each category the ``FEATURES`` ones most unevenly spread between its two classes are kept, by the z score of the
+Features are the words of a text and their beginnings of four to seven letters, so that inflected and compound forms of one stem count
+together, each as present at least once, twice and four times. For each category the ``FEATURES`` ones most unevenly spread between its two classes are kept, by the z score of the
 difference of their shares, of those that occur in at least ``LEAST_DOCS`` labelled texts. Models are logistic regressions.
 
 Only the fit is bounded: it uses at most ``SAMPLE`` labelled documents, those with the smallest hashes of their ids. Counting features and
@@ -18,6 +18,8 @@ input stay; columns of the same names as the new ones are replaced. An empty tab
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -33,19 +35,21 @@ from framekit.session import cut
 
 SAMPLE = 16_384
 FEATURES = 2_048
-LEAST_DOCS, LEAST_Z = 5, 3.0
+LEAST_DOCS, LEAST_Z = 8, 4.0
 FOLDS = 5
 PENALTY = 1e-3
 STEPS = 300
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
+#: A feature is present when its word or stem occurs so many times.
+TIMES = (1, 2, 4)
 #: Words whose features a Python worker remembers, and counts that a task holds before it hands them on. They change speed only.
 REMEMBERED, HELD = 1_000_000, 400_000
 _SEPARATORS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
 
-def words(text: str) -> set[bytes]:
-    """Distinct words in lower case, cut at all ASCII signs but letters and digits."""
-    return set(text.lower().encode().translate(_SEPARATORS).split())
+def words(text: str) -> Counter[bytes]:
+    """Words in lower case, cut at all ASCII signs but letters and digits, with their counts."""
+    return Counter(text.lower().encode().translate(_SEPARATORS).split())
 
 
 def word_features(word: bytes) -> list[str]:
@@ -53,33 +57,50 @@ def word_features(word: bytes) -> list[str]:
     return [plain, *(f"{plain[:n]}~" for n in STEMS if len(plain) > n)]
 
 
+def text_features(found: Counter[bytes]) -> list[tuple[str, int]]:
+    """The features present in a text, as (word or stem, least count)."""
+    counts: Counter[str] = Counter()
+    for word, n in found.items():
+        for name in word_features(word):
+            counts[name] += n
+    return [(name, least) for name, n in counts.items() for least in TIMES if n >= least]
+
+
+def minimum_words(found: Counter[bytes]) -> str:
+    """The words of smallest hash under two hashes: near copies of a text mostly have the same."""
+    return " ".join(str(min((zlib.crc32(w, salt) for w in found), default=0)) for salt in (1, 7))
+
+
 @dataclass
 class Chain:
     """``features[c]`` maps a feature to its place among the weights of category ``c``; the last weights are those of earlier categories and 1."""
 
     categories: Sequence[str]
-    features: list[dict[str, int]]
+    features: list[dict[tuple[str, int], int]]
     weights: list[np.ndarray]
-    known: dict[bytes, tuple[tuple[int, int], ...]] = field(default_factory=dict)
-
-    def places(self, found: set[bytes]) -> list[set[int]]:
-        known, out = self.known, [set() for _ in self.categories]
-        for word in found:
+    known: dict[bytes, tuple[str, ...]] = field(default_factory=dict)
+    names: set[str] = field(default_factory=set)
+
+    def places(self, found: Counter[bytes]) -> list[list[int]]:
+        """Places of the features present in a text, for each category."""
+        if not self.names:
+            self.names = {name for of in self.features for name, _ in of} | {""}
+        known, counts = self.known, Counter()
+        for word, n in found.items():
             hits = known.get(word)
             if hits is None:
-                names = word_features(word)
-                hits = tuple((c, of[name]) for c, of in enumerate(self.features) for name in names if name in of)
-                known[word] = hits
-            for c, place in hits:
-                out[c].add(place)
+                hits = known[word] = tuple(name for name in word_features(word) if name in self.names)
+            for name in hits:
+                counts[name] += n
         if len(known) > REMEMBERED:
             known.clear()
-        return out
+        present = [(name, least) for name, n in counts.items() for least in TIMES if n >= least]
+        return [sorted(of[f] for f in present if f in of) for of in self.features]
 
     def probabilities(self, text: str) -> list[float]:
         earlier: list[float] = []
         for place, weight in zip(self.places(words(text)), self.weights, strict=True):
-            x = float(weight[sorted(place)].sum()) if place else 0.0
+            x = float(weight[place].sum()) if place else 0.0
             n = len(earlier)
             x += sum(p * w for p, w in zip(earlier, weight[len(weight) - 1 - n : -1], strict=True)) + float(weight[-1])
             earlier.append(float(1 / (1 + np.exp(-np.clip(x, -40, 40)))))
@@ -145,29 +166,42 @@ def fit_chain(places: list[list[np.ndarray]], n_features: list[int], labels: np.
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
-    """``id, text`` and the category columns of the labelled documents with the smallest hashes."""
+    """``id, text`` and the category columns of the labelled documents with the smallest hashes.
+
+    Of texts that agree in ``minimum_words`` one is kept, lest a much copied text makes its rare words look telling.
+    """
     ids = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(c) for c in categories)).filter(
         F.col("id").isNotNull() & F.coalesce(*categories).isNotNull(),
     )
     chosen = ids.withColumn("hash", F.xxhash64("id")).orderBy("hash", "id", *categories).limit(sample).drop("hash")
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [minimum_words(words(text)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "near"])
+
+    keyed = cut(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("near", T.StringType())])), "labelled")
+    one = keyed.groupBy("near").agg(F.min("id").alias("id"))
+    return keyed.join(one, ["near", "id"], "left_semi").drop("near")
 
 
 def count_features(sample: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """``category, feature, pos, neg``: labelled texts with the feature in each class."""
+    """``category, feature, least, pos, neg``: labelled texts with the feature in each class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple[str, int], np.ndarray] = {}
 
         def given() -> pa.RecordBatch:
             counts = np.array(list(held.values()), np.int64).reshape(len(held), 2 * len(categories))
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(counts), pa.list_(pa.int64()))], names=["feature", "n"])
+            names, least = [f[0] for f in held], [f[1] for f in held]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(least, pa.int32()), pa.array(list(counts), pa.list_(pa.int64()))], names=["feature", "least", "n"])
 
         for batch in slices(batches):
             texts, classes = batch.column(0).to_pylist(), list(zip(*(batch.column(1 + i).to_pylist() for i in range(len(categories))), strict=True))
             for text, labels in zip(texts, classes, strict=True):
                 own = np.array([v for y in labels for v in ((y == 1, y == 0) if y is not None else (0, 0))], np.int64)
-                for name in {name for word in words(text) for name in word_features(word)}:
+                for name in text_features(words(text)):
                     if name in held:
                         held[name] += own
                     else:
@@ -177,31 +211,31 @@ def count_features(sample: DataFrame, categories: Sequence[str]) -> DataFrame:
                 held.clear()
         yield given()
 
-    counted = sample.select("text", *categories).mapInArrow(run, "feature string, n array<bigint>")
-    summed = counted.groupBy("feature").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(2 * len(categories))))
+    counted = sample.select("text", *categories).mapInArrow(run, "feature string, least int, n array<bigint>")
+    summed = counted.groupBy("feature", "least").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(2 * len(categories))))
     one = F.array(*(F.struct(F.lit(i).alias("category"), F.col(f"n{2 * i}").alias("pos"), F.col(f"n{2 * i + 1}").alias("neg")) for i in range(len(categories))))
-    return summed.select("feature", F.explode(one).alias("x")).select("x.category", "feature", "x.pos", "x.neg")
+    return summed.select("feature", "least", F.explode(one).alias("x")).select("x.category", "feature", "least", "x.pos", "x.neg")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     rows = cut(labelled_sample(docs, labels, categories, id_col, text_col, sample), "labelled")
     sizes = rows.agg(*(F.coalesce(F.sum(F.when(F.col(c) == v, 1)), F.lit(0)).alias(f"{c}_{v}") for c in categories for v in (1, 0))).first()
     counts = cut(count_features(rows, categories), "features")
-    features: list[dict[str, int]] = []
+    features: list[dict[tuple[str, int], int]] = []
     for i, c in enumerate(categories):
         n_pos, n_neg = sizes[f"{c}_1"], sizes[f"{c}_0"]
         share = (F.col("pos") + F.col("neg")) / (n_pos + n_neg or 1)
         spread = F.sqrt(share * (1 - share) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)) + 1e-12)
         z = F.abs(F.col("pos") / max(n_pos, 1) - F.col("neg") / max(n_neg, 1)) / spread
         best = counts.filter((F.col("category") == i) & (F.col("pos") + F.col("neg") >= LEAST_DOCS)).withColumn("z", z)
-        kept = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()
-        features.append({r.feature: at for at, r in enumerate(kept)})
+        kept = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature", "least").limit(FEATURES).select("feature", "least").collect()
+        features.append({(r.feature, r.least): at for at, r in enumerate(kept)})
     blank = Chain(categories, features, [])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             places = [blank.places(words(text)) for text in batch.column(0).to_pylist()]
-            lists = [pa.array([sorted(p[c]) for p in places], pa.list_(pa.int64())) for c in range(len(categories))]
+            lists = [pa.array([p[c] for p in places], pa.list_(pa.int64())) for c in range(len(categories))]
             yield pa.RecordBatch.from_arrays([*lists, *batch.columns[1:]], names=[*(f"x{c}" for c in range(len(categories))), *categories, "fold"])
 
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
