@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import byte_bpe, chat_format, multi_index, packing, toxicity, url_filter
+from framekit.llm import byte_bpe, chat_format, multi_index, packing, pii, shingle_join, toxicity, url_filter
 from framekit.llm.common import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,19 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_multi_index")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
+
+
+@query("op2_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_documents(spark, sf_dir))
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op10_shingle_join")
+def shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.classes(table(spark, sf_dir, "documents"))
