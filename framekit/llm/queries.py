@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import byte_bpe, chat_format, multi_index, packing, pii, shingle_join, toxicity, url_filter
+from framekit.llm import byte_bpe, chat_format, multi_index, order_minhash, packing, pii, shingle_join, toxicity, url_filter
 from framekit.llm.common import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,10 +132,32 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 @query("op10_shingle_join")
 def shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.classes(table(spark, sf_dir, "documents"))
+
+
+@query("op1_order_minhash")
+def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = order_minhash.with_sketches(_documents(spark, sf_dir), "text", "sketches")
+    size = F.length("text")
+    tail = F.floor(size / 4).cast("int")
+    paired = order_minhash.with_next(texts, "doc_id", ["text", "sketches"])
+    edited = paired.select(
+        "doc_id", size.cast("long").alias("n_chars"), "sketches", "next_sketches",
+        F.concat(F.substring("text", F.lit(1), size - tail), F.substring("next_text", F.lit(1), tail)).alias("edited"),
+    )
+    both = order_minhash.with_sketches(edited, "edited", "edited_sketches")
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("sketches", "-").alias("fingerprint"),
+        F.array_join("edited_sketches", "-").alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("sketches"), F.col("edited_sketches")).alias("near_edited"),
+        order_minhash.likeness(F.col("sketches"), F.col("next_sketches")).alias("near_next"),
+    )
