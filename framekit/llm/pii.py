@@ -279,6 +279,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans = find(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "spans").filter(
         F.size("spans") > 0,
     ).dropDuplicates(["__id", "__digest"])
+    spans = cut(spans, "spans")
+    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    if size["rows"] <= BROADCAST_ROWS and size["spans"] <= 4 * BROADCAST_ROWS:
+        spans = F.broadcast(spans)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import byte_bpe, chat_format, multi_index, order_minhash, packing, pii, shingle_join, toxicity, url_filter
+from framekit.llm import byte_bpe, chat_format, html_text, multi_index, order_minhash, packing, pii, shingle_join, toxicity, url_filter
 from framekit.llm.common import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_minhash.likeness(F.col("sketches"), F.col("edited_sketches")).alias("near_edited"),
         order_minhash.likeness(F.col("sketches"), F.col("next_sketches")).alias("near_next"),
     )
+
+
+@query("op8_html_text")
+def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -145,18 +145,28 @@ def _batches(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, node``: the size of each document's set and the set's key; the key is null for an empty set."""
+    """``id, n, node, digest``: the size of each document's set, the set's key (null for an empty set) and a digest of the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
             sets = shingle_sets(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                names=["id", "n", "node"],
+                [
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
+                    batch.column(2),
+                ],
+                names=["id", "n", "node", "digest"],
             )
 
-    shape = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, shape)
+    shape = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+        T.StructField("digest", T.LongType()),
+    ])
+    return docs.select(id_col, text_col, text_digest(text_col).alias("digest")).mapInArrow(run, shape)
+
+
+def text_digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(text_col, F.lit("")))
 
 
 def prefix_shingles(docs: DataFrame, text_col: str) -> DataFrame:
@@ -326,11 +336,37 @@ def links(docs: DataFrame, described: DataFrame, groups: DataFrame, id_col: str,
     return dealt.groupBy("root", "low", "high").applyInPandas(join, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``<id column>, n_shingles, component_id``."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, n, digest, component_id``."""
     described = cut(describe(docs, id_col, text_col), "described")
     groups = components(candidate_edges(prefix_shingles(docs, text_col)))
     linked = components(links(docs, described, groups, id_col, text_col))
     rooted = described.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("id", "n", "digest", F.coalesce("least", "id").alias("component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``<id column>, n_shingles, component_id``."""
+    return _classed(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each class: that of smallest id, then of smallest digest of its text; of repeated rows one."""
+    classed = cut(_classed(docs, id_col, text_col), "classed")
+    heads = classed.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.min("digest").alias("head"), F.count("*").alias("rows"))
+    heads = heads.withColumnRenamed("id", "head_id")
+    judged = classed.join(heads, F.col("component_id").eqNullSafe(F.col("head_id")), "left")
+    gone = judged.filter(~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("head")))).select(
+        F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"),
+    ).distinct()
+    gone = cut(gone, "gone")
+    kept = docs.join(small(gone, WANTED_ROWS), F.col(id_col).eqNullSafe(F.col("gone_id")) & (text_digest(text_col) == F.col("gone_digest")), "left_anti")
+    # only ids that stand in several rows can still be repeated; an empty text links with nothing, so such rows stay
+    repeated = cut(heads.filter("rows > 1").select(F.col("head_id").alias("again")), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    again = small(repeated, WANTED_ROWS)
+    alone = kept.join(again, F.col(id_col).eqNullSafe(F.col("again")), "left_anti")
+    several = kept.join(again, F.col(id_col).eqNullSafe(F.col("again")), "left_semi").dropDuplicates([id_col, text_col])
+    return alone.unionByName(several)

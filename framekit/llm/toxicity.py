@@ -174,7 +174,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
         F.col("id").isNotNull() & F.coalesce(*categories).isNotNull(),
     )
     chosen = ids.withColumn("hash", F.xxhash64("id")).orderBy("hash", "id", *categories).limit(sample).drop("hash")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
