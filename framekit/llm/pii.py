@@ -283,7 +283,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
     if size["rows"] <= BROADCAST_ROWS and size["spans"] <= 4 * BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -295,8 +295,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                         parts += [text[done : s["start"]], f"<{s['kind'].upper()}>"]
                         done = s["end"]
                 out.append(text if not parts else "".join([*parts, text[done:]]))
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     with_spans = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(docs[text_col]) == F.col("__digest")), "left")
     return with_spans.select(*(docs[c] for c in docs.columns), "spans").mapInArrow(run, docs.schema)
