@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from framekit.functions.clocks import idiv
 
 
+#: 32-bit words of a SHA-256 digest.
+WORDS = 8
+
+
 def build_manifest(artefacts: DataFrame, extensions: Sequence[str] | None = None, payload: str = "content") -> DataFrame:
     """M1: SHA-256 per artefact, optionally of some extensions, sorted by path."""
     rows = artefacts
@@ -51,21 +55,29 @@ def suite_verdicts(base: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def table_digest(df: DataFrame, by: Sequence[str] = (), method: str = "xxhash64") -> DataFrame:
-    """M3: order-free digest of a table's rows: count, sum and xor of row hashes.
+    """M3: order-free digest of a table's rows: their number and sums and xors of row hashes.
 
-    ``sha2`` hashes the row's text, so other engines can repeat it; ``xxhash64`` is faster.
+    ``sha2`` hashes a text of the row in which each value follows its length (null has none), so that no two rows share a text and other
+    engines can repeat it; the digest's 256 bits are summed and xored as ``WORDS`` numbers of 32 bits. ``xxhash64`` is faster and has 64 bits.
     """
     cols = [c for c in df.columns if c not in by]
     if method == "xxhash64":
-        row = F.xxhash64(*cols)
-    elif method == "sha2":
-        text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
-        row = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
-    else:
+        hashed = df.select(*by, F.xxhash64(*cols).alias("__h")).groupBy(*by)
+        return hashed.agg(
+            F.count("*").alias("n_rows"), F.sum(F.col("__h").cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor("__h").alias("hash_xor"),
+        )
+    if method != "sha2":
         raise ValueError("method is 'xxhash64' or 'sha2'")
-    return df.select(*by, row.alias("__h")).groupBy(*by).agg(
-        F.count("*").alias("n_rows"), F.sum(F.col("__h").cast("decimal(38,0)")).cast("string").alias("hash_sum"),
-        F.bit_xor("__h").alias("hash_xor"),
+    values = [F.col(c).cast("string") for c in cols]
+    text = F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-;")) for v in values))
+    hashed = df.select(*by, F.sha2(text, 256).alias("__h"))
+    words = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(WORDS)]
+    summed = hashed.select(*by, *(w.alias(f"__w{i}") for i, w in enumerate(words))).groupBy(*by).agg(
+        F.count("*").alias("n_rows"), *(F.sum(f"__w{i}").alias(f"__s{i}") for i in range(WORDS)), *(F.bit_xor(f"__w{i}").alias(f"__x{i}") for i in range(WORDS)),
+    )
+    return summed.select(
+        *by, "n_rows", F.concat_ws(",", *(F.col(f"__s{i}").cast("string") for i in range(WORDS))).alias("hash_sum"),
+        F.concat_ws(",", *(F.col(f"__x{i}").cast("string") for i in range(WORDS))).alias("hash_xor"),
     )
 
 

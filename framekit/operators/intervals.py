@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from framekit.dims import by_standard
 from framekit.functions.clocks import idiv
-from framekit.functions.hashing import poisson, uniform
 
 FRAME = ["capture_id", "frame_id"]
 BUCKET = 4096
@@ -137,6 +136,15 @@ def offset_of_line(line: Column, standard: str | Column = "standard") -> Column:
     return ((line - 1) * by_standard("samples_per_line", std) + shift + after).cast("bigint")
 
 
+def outside_frame(runs: DataFrame, frame_samples: int | Column) -> DataFrame:
+    """Runs that reach beyond their frame, with the samples that lie outside (``before``, ``after``); line and stack operators leave these out."""
+    spf = F.lit(frame_samples) if isinstance(frame_samples, int) else frame_samples
+    none = F.lit(0).cast("bigint")
+    before = F.least(F.greatest(-F.col("sample_start"), none), F.col("sample_count"))
+    after = F.least(F.greatest(_end() - spf, none), F.col("sample_count"))
+    return runs.select("*", before.alias("before"), after.alias("after")).filter((before > 0) | (after > 0))
+
+
 def runs_to_lines(runs: DataFrame, standard: str | Column = "standard") -> DataFrame:
     """One row per line that a run touches, with the piece's start in the line and its length."""
     lines = runs.withColumn(
@@ -237,9 +245,14 @@ def stack_coverage(
     """Sample ranges of each picture that at least ``k`` sources show without a dropout.
 
     ``aligned``: (capture_id, frame_id, picture_number). Sources' runs are merged first; the +1/-1 steps
-    are summed per position before the window, so a picture has at most one row per sample.
+    are summed per position before the window, so a picture has at most one row per sample. Runs are clipped to
+    the frame at both ends; ``outside_frame`` lists those that reach beyond it.
     """
-    merged = merge_intervals(runs).join(aligned.select(*FRAME, key), FRAME)
+    within = runs.withColumns({
+        "sample_start": F.greatest(F.col("sample_start"), F.lit(0).cast("bigint")),
+        "sample_count": F.least(_end(), F.lit(frame_samples)) - F.greatest(F.col("sample_start"), F.lit(0).cast("bigint")),
+    }).filter("sample_count > 0")
+    merged = merge_intervals(within).join(aligned.select(*FRAME, key), FRAME)
     steps = merged.select(
         key,
         F.explode(F.array(
@@ -287,26 +300,6 @@ def dropout_params(sections: DataFrame, scale: str = "dropout_scale") -> DataFra
     )
 
 
-def inject_random_runs(frames: DataFrame, scale: str, seed: int, frame_samples: int | Column, keys: Sequence[str] = FRAME) -> DataFrame:
-    """Seeded runs per frame: Poisson count, uniform start and length, 20 % upward, push in [0.5, 1)."""
-    spf = F.lit(frame_samples) if isinstance(frame_samples, int) else frame_samples
-    rated = dropout_params(frames.filter(F.col(scale) > 0), scale)
-    count = poisson(F.col("frequency"), uniform(seed, *keys, stream="count"))
-    rows = rated.withColumn("__n", count).filter(F.col("__n") > 0).withColumn(
-        "run_no", F.explode(F.sequence(F.lit(1), F.col("__n")))
-    )
-    ids = [*keys, "run_no"]
-    start = F.floor(uniform(seed, *ids, stream="start") * spf).cast("bigint")
-    span = F.col("max_duration") - F.col("min_duration") + 1
-    length = F.col("min_duration") + F.floor(uniform(seed, *ids, stream="length") * span)
-    return rows.select(
-        *keys, "run_no", start.alias("sample_start"),
-        F.least(length, spf - start).cast("bigint").alias("sample_count"),
-        F.when(uniform(seed, *ids, stream="up") < 0.2, 1).otherwise(-1).alias("direction"),
-        (F.lit(0.5) + uniform(seed, *ids, stream="push") * 0.5).alias("push"),
-    )
-
-
 def apply_runs_to_samples(
     samples: DataFrame, runs: DataFrame, signal_range: float, clamp: tuple[float, float], keys: Sequence[str] = FRAME
 ) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql.functions import pandas_udf
 
 from framekit.dims import STANDARDS, by_standard
 from framekit.functions.clocks import idiv
-from framekit.functions.hashing import normal
 
 FIXED_BITS = 20
 RECIPROCAL_BITS = 30
@@ -95,25 +94,34 @@ def quantise_samples(
     return lines.select(*rest, words(luma, False).alias("codes"))
 
 
-def nonstandard_rollup(lines: DataFrame, by: Sequence[str], frame: str = "frame_id", standard: str = "standard") -> DataFrame:
-    """Per file: any sample outside the profile's codes (one code of slack), how many, and the first position."""
+def nonstandard_rollup(
+    lines: DataFrame, by: Sequence[str], encoding: str = "CVBS_U10_4FSC", signal_type: str = "composite", frame: str = "frame_id", standard: str = "standard",
+    line: str | None = None,
+) -> DataFrame:
+    """Per file: any sample outside the profile's codes (one code of slack), how many, and the first position.
+
+    Composite output is tested as the sum of luma ``y`` and chroma ``c``, yc output by its luma, and RAW output, which holds no codes, never.
+    With several rows per frame ``line`` orders them; positions count samples within the row, and ``first_line`` tells the row.
+    """
     std = F.col(standard)
     low, high = by_standard("min_code", std) - 1, by_standard("max_code", std) + 1
+    fixed = F.transform("y", to_fixed)
+    if signal_type == "composite" and "c" in lines.columns:
+        fixed = F.zip_with(fixed, F.transform("c", to_fixed), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
     def odd(x: Column) -> Column:
-        code = mapped_code(to_fixed(x), std)
+        code = mapped_code(x, std)
         return (code < low) | (code > high)
 
-    flags = F.transform("y", odd)
-    rows = lines.select(*by, frame, F.array_position(flags, F.lit(True)).alias("__first"), F.size(F.filter(flags, lambda f: f)).alias("__n"))
-    at = F.when(F.col("__n") > 0, F.col(frame) * (1 << FIXED_BITS) + F.col("__first") - 1)
+    flags = F.array().cast("array<boolean>") if encoding.startswith("RAW_S16") else F.transform(fixed, odd)
+    row = F.col(line).cast("bigint") if line else F.lit(1).cast("bigint")
+    rows = lines.select(*by, frame, row.alias("__line"), F.array_position(flags, F.lit(True)).alias("__first"), F.size(F.filter(flags, lambda f: f)).alias("__n"))
+    at = F.when(F.col("__n") > 0, F.struct(F.col(frame).alias("frame"), F.col("__line").alias("line"), (F.col("__first") - 1).alias("sample")))
     return rows.groupBy(*by).agg(
-        F.max(F.col("__n") > 0).alias("has_nonstandard"), F.sum("__n").cast("bigint").alias("n_nonstandard"),
-        F.min(at).alias("__at"),
+        F.max(F.col("__n") > 0).alias("has_nonstandard"), F.sum("__n").cast("bigint").alias("n_nonstandard"), F.min(at).alias("__at"),
     ).select(
-        *by, "has_nonstandard", "n_nonstandard",
-        idiv(F.col("__at"), 1 << FIXED_BITS).alias("first_frame"),
-        F.pmod(F.col("__at"), F.lit(1 << FIXED_BITS)).alias("first_sample"),
+        *by, "has_nonstandard", "n_nonstandard", F.col("__at.frame").alias("first_frame"), F.col("__at.line").alias("first_line"),
+        F.col("__at.sample").alias("first_sample"),
     )
 
 
@@ -178,37 +186,6 @@ def requantise_24_to_16(rows: DataFrame, samples: str = "samples") -> DataFrame:
     )
 
 
-def noise_coefficients(db: Column, spread_db: Column, white_mv: Column) -> tuple[Column, Column]:
-    """Floor noise in mV and the share proportional to the level."""
-    floor_ire = F.lit(100.0) / F.pow(F.lit(10.0), db / 20.0)
-    white_ire = F.lit(100.0) / F.pow(F.lit(10.0), (db - spread_db) / 20.0)
-    k = F.when(
-        (spread_db > 0) & (white_ire > floor_ire), F.sqrt(white_ire * white_ire - floor_ire * floor_ire) / 100.0
-    ).otherwise(0.0)
-    return floor_ire * white_mv / 100.0, k
-
-
-def add_noise(
-    lines: DataFrame, db: float, spread_db: float, seed: int, keys: Sequence[str], standard: str = "standard"
-) -> DataFrame:
-    """Seeded Gaussian noise on ``y`` and, with the same draw, ``c``; results stay in the clamp range.
-
-    Draws are keyed by (seed, keys, sample index): ``keys`` must identify the row.
-    """
-    std = F.col(standard)
-    floor_mv, k = noise_coefficients(F.lit(db), F.lit(spread_db), by_standard("white_mv", std))
-    low, high = by_standard("clamp_min_mv", std), by_standard("clamp_max_mv", std)
-    noise = F.transform(
-        "y", lambda v, i: F.sqrt(floor_mv * floor_mv + (k * v) * (k * v)) * normal(seed, *keys, i)
-    )
-
-    def moved(col: str) -> Column:
-        return F.zip_with(col, "__noise", lambda v, e: F.greatest(F.least(v + e, high), low)).alias(col)
-
-    noisy = lines.withColumn("__noise", noise)
-    return noisy.select(*[moved(c) if c in ("y", "c") else F.col(c) for c in lines.columns])
-
-
 def measure_noise(lines: DataFrame, by: Sequence[str], white_mv: float | Column, samples: str = "samples") -> DataFrame:
     """Mean, standard deviation and SNR in dB of the samples in each group."""
     white = F.lit(white_mv) if isinstance(white_mv, float) else white_mv

@@ -13,7 +13,6 @@ from framekit.functions.scan import last_before, scan
 from framekit.operators import timeline as tl
 
 FRAME = ["capture_id", "frame_id"]
-WORD_BITS = 1 << 24
 
 
 def assign_line_codes(sections: DataFrame, active_start: int = 0) -> DataFrame:
@@ -120,11 +119,11 @@ def vote_frame_codes(captured: DataFrame, keys: Sequence[str] = FRAME) -> DataFr
     counted = captured.withColumn("code_type", words.code_type(F.col("word"))).groupBy(
         *keys, "code_type", "word"
     ).agg(F.count("*").alias("n"))
-    rank = F.col("n") * WORD_BITS + (WORD_BITS - 1 - F.col("word"))
-    return counted.groupBy(*keys, "code_type").agg(F.max(rank).alias("__rank"), F.sum("n").alias("votes")).select(
-        *keys, "code_type",
-        (WORD_BITS - 1 - F.pmod(F.col("__rank"), F.lit(WORD_BITS))).cast("int").alias("word"),
-        "votes", F.round(clocks.idiv(F.col("__rank"), WORD_BITS) / F.col("votes"), 6).alias("agreement"),
+    # a null word loses a tie against any other
+    rank = F.struct(F.col("n"), F.col("word").isNotNull().alias("there"), (-F.col("word").cast("bigint")).alias("low"))
+    kind = dict(captured.dtypes)["word"]
+    return counted.groupBy(*keys, "code_type").agg(F.max(rank).alias("__top"), F.sum("n").alias("votes")).select(
+        *keys, "code_type", (-F.col("__top.low")).cast(kind).alias("word"), "votes", F.round(F.col("__top.n") / F.col("votes"), 6).alias("agreement"),
     )
 
 

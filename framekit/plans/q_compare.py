@@ -34,10 +34,15 @@ def suite_verdicts(spark, sf):
     return cmp.suite_verdicts(view(spark, sf, "fx_artefact_base"), view(spark, sf, "fx_artefact_cur"))
 
 
-@query("table_digest", """WITH h AS (SELECT source, CAST(concat('0x', substr(sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text, lang, CAST(n_chars AS VARCHAR))), 1, 15)) AS BIGINT) AS h FROM documents)
-SELECT source, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h GROUP BY 1""")
+_FIELDS = " || ".join(f"coalesce(length({v}) || ':' || {v}, '-;')" for v in ("CAST(doc_id AS VARCHAR)", "text", "nullif(lang, 'de')", "CAST(n_chars AS VARCHAR)"))
+_DIGEST_WORDS = [f"CAST(concat('0x', substr(h, {1 + 8 * i}, 8)) AS BIGINT)" for i in range(8)]
+
+
+@query("table_digest", f"""WITH h AS (SELECT source, sha256({_FIELDS}) AS h FROM documents)
+SELECT source, count(*) AS n_rows, concat_ws(',', {', '.join(f'CAST(sum({w}) AS VARCHAR)' for w in _DIGEST_WORDS)}) AS hash_sum,
+ concat_ws(',', {', '.join(f'CAST(bit_xor({w}) AS VARCHAR)' for w in _DIGEST_WORDS)}) AS hash_xor FROM h GROUP BY 1""")
 def table_digest(spark, sf):
-    return cmp.table_digest(view(spark, sf, "documents").select("doc_id", "text", "lang", "n_chars", "source"), ["source"], "sha2")
+    return cmp.table_digest(view(spark, sf, "documents").select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"), "n_chars", "source"), ["source"], "sha2")
 
 
 PAIRS = """

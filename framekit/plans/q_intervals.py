@@ -144,18 +144,6 @@ def dropout_params(spark, sf):
     return out.withColumn("frequency", F.round("frequency", 6))
 
 
-@query("inject_random_runs")
-def inject_random_runs(spark, sf):
-    frames = view(spark, sf, "events").select(
-        F.col("user_id").alias("capture_id"), F.col("event_id").alias("frame_id"), (1 + F.col("event_id") % 10).cast("int").alias("scale")
-    )
-    out = iv.inject_random_runs(frames, "scale", 1001, 709379)
-    return out.groupBy("capture_id").agg(
-        F.count("*").alias("n_runs"), F.sum("sample_count").alias("lost"), F.round(F.avg("push"), 6).alias("mean_push"),
-        F.round(F.avg((F.col("direction") > 0).cast("int")), 6).alias("up_share"),
-    )
-
-
 @query("apply_runs_to_samples", """WITH
  s AS (SELECT label AS capture_id, vec_id AS frame_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos, CAST(unnest(embedding) AS DOUBLE) * 1000 AS mv FROM embeddings),
  r AS (SELECT event_id % 10 AS capture_id, event_id % 500 AS frame_id, CAST(floor(value) AS BIGINT) % 60 AS a, 1 + event_id % 30 AS n, CASE WHEN event_id % 5 = 0 THEN 1 ELSE -1 END AS dir, 0.5 + (event_id % 8) / 16.0 AS push FROM events),

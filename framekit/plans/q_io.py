@@ -104,29 +104,35 @@ def parse_run_logs(spark, sf):
     return logs.parse_run_logs(view(spark, sf, "documents").select("doc_id", text.alias("text")))
 
 
-@query("stream_continuity", """WITH l AS (SELECT *, lag(picture_number) OVER (PARTITION BY capture_id ORDER BY frame_id) AS previous FROM fx_capture_frame)
-SELECT capture_id, frame_id, picture_number, previous, CASE WHEN previous IS NULL THEN 'start' WHEN picture_number = previous + 1 THEN 'contiguous' WHEN picture_number = previous THEN 'repeat'
- WHEN picture_number < previous THEN 'backward_skip' ELSE 'forward_gap' END AS step_class, CAST(CASE WHEN picture_number > previous + 1 THEN picture_number - previous - 1 ELSE 0 END AS BIGINT) AS missing FROM l WHERE previous IS NOT NULL""")
+def started(capture: str = "capture_id"):
+    """Captures start an hour apart."""
+    return F.timestamp_seconds(F.col(capture) * 3600)
+
+
+@query("stream_continuity", """WITH f AS (SELECT * FROM fx_capture_frame WHERE event_id % 97 <> 5), l AS (SELECT n.*, p.picture_number AS previous FROM f n LEFT JOIN f p ON p.capture_id = n.capture_id AND p.frame_id = n.frame_id - 1)
+SELECT capture_id, frame_id, picture_number, previous, CASE WHEN frame_id = 0 THEN 'start' WHEN previous IS NULL THEN 'lost_predecessor' WHEN picture_number = previous + 1 THEN 'contiguous' WHEN picture_number = previous THEN 'repeat'
+ WHEN picture_number < previous THEN 'backward_skip' ELSE 'forward_gap' END AS step_class, CAST(CASE WHEN picture_number > previous + 1 THEN picture_number - previous - 1 ELSE 0 END AS BIGINT) AS missing FROM l""")
 def stream_continuity(spark, sf):
-    frames = st.replay(spark, view(spark, sf, "fx_capture_frame").select("capture_id", "frame_id", "picture_number"), "frames")
+    rows = view(spark, sf, "fx_capture_frame").filter("event_id % 97 <> 5").select("capture_id", started().alias("started"), "frame_id", "picture_number")
+    frames = st.replay(spark, st.closed(rows), "frames")
     out = st.run_to_table(st.stream_continuity(frames, 25.0, "60 seconds"), "continuity")
-    return out.filter(F.col("previous").isNotNull()).drop("batch_id")
+    return st.without_closing(out).drop("batch_id")
 
 
 def stream_runs(spark, sf):
-    rows = view(spark, sf, "fx_run").select("capture_id", (F.col("run_id") % 1000).alias("frame_id"), "sample_count")
-    return st.replay(spark, rows, "runs")
+    rows = view(spark, sf, "fx_run").select("capture_id", started().alias("started"), (F.col("run_id") % 1000).alias("frame_id"), "sample_count")
+    return st.replay(spark, st.closed(rows), "runs")
 
 
 @query("stream_dropout_rate", """WITH
- r AS (SELECT capture_id, (run_id % 1000 + 1) * 40 AS ms, sample_count FROM fx_run),
+ r AS (SELECT capture_id, capture_id * 3600000 + (run_id % 1000 + 1) * 40 AS ms, sample_count FROM fx_run),
  w AS (SELECT capture_id, ms // 5000 * 5000 AS s, 5000 AS len, sample_count FROM r UNION ALL SELECT capture_id, (ms // 2000 - k) * 2000, 4000, sample_count FROM r, (VALUES (0), (1)) v(k))
 SELECT capture_id, CAST(s AS BIGINT) AS start_ms, CAST(s + len AS BIGINT) AS end_ms, count(*) AS n_runs, CAST(sum(sample_count) AS BIGINT) AS lost FROM w GROUP BY 1, 2, 3""")
 def stream_dropout_rate(spark, sf):
     out = None
     for window, slide in (("5 seconds", None), ("4 seconds", "2 seconds")):
         rated = st.run_to_table(st.stream_dropout_rate(stream_runs(spark, sf), 25.0, window, slide), "rate", "update")
-        last = rated.groupBy("capture_id", "window_start", "window_end").agg(
+        last = st.without_closing(rated).groupBy("capture_id", "window_start", "window_end").agg(
             F.max_by("n_runs", "batch_id").alias("n_runs"), F.max_by("lost", "batch_id").alias("lost")
         )
         out = last if out is None else out.unionByName(last)
@@ -136,15 +142,15 @@ def stream_dropout_rate(spark, sf):
 
 
 @query("stream_dropout_bursts", """WITH
- r AS (SELECT capture_id, (run_id % 1000 + 1) * 40 AS ms, sample_count FROM fx_run),
+ r AS (SELECT capture_id, capture_id * 3600000 + (run_id % 1000 + 1) * 40 AS ms, sample_count FROM fx_run),
  l AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY capture_id ORDER BY ms) <= 2000 THEN 0 ELSE 1 END AS st FROM r),
  g AS (SELECT *, sum(st) OVER (PARTITION BY capture_id ORDER BY ms) AS grp FROM l),
  x AS (SELECT capture_id, CAST(min(ms) AS BIGINT) AS start_ms, CAST(max(ms) + 2000 AS BIGINT) AS end_ms, count(*) AS n_runs, CAST(sum(sample_count) AS BIGINT) AS lost FROM g GROUP BY capture_id, grp)
-SELECT * FROM x WHERE end_ms <= (SELECT max(ms) - 1000 FROM r)""")
+SELECT * FROM x""")
 def stream_dropout_bursts(spark, sf):
     rows = stream_runs(spark, sf)
     out = st.run_to_table(st.stream_dropout_bursts(rows, 25.0, "2 seconds", "1 seconds"), "bursts")
-    return out.select(
+    return st.without_closing(out).select(
         "capture_id", F.unix_millis("burst_start").alias("start_ms"), F.unix_millis("burst_end").alias("end_ms"), "n_runs", "lost"
     )
 
@@ -155,8 +161,8 @@ def stream_sidecar_dedup(spark, sf):
     rows = dropout_rows(spark, sf)
     stream = st.replay(spark, rows.unionByName(rows), "sidecar-rows")
     base = scratch_dir(spark, "ingest")
-    st.ingest_sidecar(stream, f"{base}/table", f"{base}/checkpoint", 25.0, "60 seconds").awaitTermination()
-    return spark.read.parquet(f"{base}/table").groupBy("cvbs_file_id").agg(F.count("*").alias("n_rows"))
+    st.ingest_sidecar(stream, base, f"{base}/checkpoint").awaitTermination()
+    return sidecar.read_sidecar(spark, base, "dropout_run").groupBy("cvbs_file_id").agg(F.count("*").alias("n_rows"))
 
 
 @query("stream_validate", """WITH

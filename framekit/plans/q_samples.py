@@ -55,12 +55,27 @@ def quantise_samples(spark, sf):
     return out.select("frame_id", *[text(c).alias(n) for c, n in names.items()])
 
 
+#: Captures by how they are sent; four rows make a frame, so that positions need the row.
+SENT = "CASE capture_id % 4 WHEN 0 THEN 'yc' WHEN 1 THEN 'raw' ELSE 'composite' END"
+
+
 @query("nonstandard_rollup", f"""WITH {POS},
- f AS (SELECT *, ycode < CASE standard WHEN 'PAL' THEN 3 ELSE 15 END OR ycode > 1020 AS odd FROM k),
- g AS (SELECT *, min(CASE WHEN odd THEN frame_id * 1048576 + i END) OVER (PARTITION BY capture_id) AS first_at FROM f)
-SELECT capture_id, bool_or(odd) AS has_nonstandard, count(*) FILTER (WHERE odd) AS n_nonstandard, CAST(any_value(first_at) // 1048576 AS BIGINT) AS first_frame, CAST(any_value(first_at) % 1048576 AS BIGINT) AS first_sample FROM g GROUP BY 1""")
+ s AS (SELECT *, frame_id // 4 AS frame, frame_id % 4 + 1 AS line, {SENT} AS sent FROM k),
+ f AS (SELECT *, CASE sent WHEN 'raw' THEN FALSE WHEN 'yc' THEN ycode < CASE standard WHEN 'PAL' THEN 3 ELSE 15 END OR ycode > 1020
+   ELSE code < CASE standard WHEN 'PAL' THEN 3 ELSE 15 END OR code > 1020 END AS odd FROM s)
+SELECT capture_id, bool_or(odd) AS has_nonstandard, count(*) FILTER (WHERE odd) AS n_nonstandard,
+ CAST(arg_min(frame, (frame, line, i)) FILTER (WHERE odd) AS BIGINT) AS first_frame, CAST(arg_min(line, (frame, line, i)) FILTER (WHERE odd) AS BIGINT) AS first_line,
+ CAST(arg_min(i, (frame, line, i)) FILTER (WHERE odd) AS BIGINT) AS first_sample FROM f GROUP BY 1""")
 def nonstandard_rollup(spark, sf):
-    return sm.nonstandard_rollup(view(spark, sf, "fx_yc"), ["capture_id"])
+    rows = view(spark, sf, "fx_yc").withColumns({
+        "line": F.col("frame_id") % 4 + 1, "frame_id": F.floor(F.col("frame_id") / 4), "sent": F.expr(SENT),
+    })
+    kinds = {"composite": ("CVBS_U10_4FSC", "composite"), "yc": ("CVBS_U10_4FSC", "yc"), "raw": ("RAW_S16_28M", "composite")}
+    parts = [
+        sm.nonstandard_rollup(rows.filter(F.col("sent") == sent), ["capture_id"], encoding, signal_type, line="line")
+        for sent, (encoding, signal_type) in kinds.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 RESAMPLED = """
@@ -88,14 +103,6 @@ def requantise_24_to_16(spark, sf):
     return out.select("frame_id", text("samples").alias("samples"), "n_saturated")
 
 
-@query("add_noise")
-def add_noise(spark, sf):
-    lines = view(spark, sf, "fx_yc").withColumn("y", F.transform("y", lambda v: v * 0.0 + 350.0))
-    noisy = sm.add_noise(lines, 43.0, 4.0, 1001, ["capture_id", "frame_id"])
-    out = sm.measure_noise(noisy.withColumnRenamed("y", "samples"), ["capture_id"], 700.0)
-    return out.select("capture_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_mv", "stddev_mv", "snr_db")])
-
-
 @query("measure_noise", """WITH v AS (SELECT capture_id, unnest(samples) AS x FROM fx_line_array),
  g AS (SELECT capture_id, count(*) AS n, avg(x) AS m, stddev_pop(x) AS s FROM v GROUP BY 1)
 SELECT capture_id, n, round(m, 6) AS mean_mv, round(s, 6) AS stddev_mv, round(20 * log10(700.0::DOUBLE / s), 6) AS snr_db FROM g""")

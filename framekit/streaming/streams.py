@@ -1,32 +1,63 @@
 """Streams of frames, dropout runs and configurations (ST1-ST4).
 
-Stream operators take and return streaming DataFrames; event time comes from the frame index
-(``with_event_time``). Keys include the frame or the window, so a capture that sends most of the rows
-is spread over tasks and state stores.
+Stream operators take and return streaming DataFrames. Event time is the capture's start (the column
+``started``) plus the end of the frame, so that a capture that begins later in the day is later on the
+stream's one clock, not back at zero. Rows that come after the watermark are counted (``late_rows``) and
+``run_to_table`` refuses a result without them. Keys include the frame or the window, so a capture that sends
+most of the rows is spread over tasks and state stores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framekit.operators.vbi import step_class
-from framekit.session import scratch_dir
+from framekit.session import cut, scratch_dir
+from framekit.sources import sidecar
 
 EVENT = "event_time"
+STARTED = "started"
+#: How far after the last row of a bounded stream its closing row stands.
+CLOSING = "INTERVAL 1 DAY"
+#: Key of the closing row. It is not null, since the inner side of a join drops null keys before they move the watermark.
+NO_CAPTURE = -1
 
 
-def event_time(frame: Column, fps: float | Column) -> Column:
+def event_time(started: Column, frame: Column, fps: float | Column) -> Column:
     """Time at the end of a frame (its start would put frame 0 at the first watermark, where rows count as late)."""
     rate = F.lit(fps) if isinstance(fps, float) else fps
-    return F.timestamp_micros(F.round((frame + 1) * 1e6 / rate).cast("bigint"))
+    return F.timestamp_micros(F.unix_micros(started.cast("timestamp")) + F.round((frame + 1) * 1e6 / rate).cast("bigint"))
 
 
 def with_event_time(frames: DataFrame, fps: float | Column, delay: str) -> DataFrame:
-    return frames.withColumn(EVENT, event_time(F.col("frame_id"), fps)).withWatermark(EVENT, delay)
+    """``frames`` (``started``, ``frame_id``) with event time and watermark; without ``started`` in place of it."""
+    if STARTED not in frames.columns:
+        raise ValueError(f"a stream of frames needs the start of its capture in {STARTED}")
+    return frames.withColumn(EVENT, event_time(F.col(STARTED), F.col("frame_id"), fps)).drop(STARTED).withWatermark(EVENT, delay)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and are in no result."""
+    return sum(int(op.numRowsDroppedByWatermark) for step in query.recentProgress for op in step.stateOperators)
+
+
+def closed(rows: DataFrame, key: str = "capture_id") -> DataFrame:
+    """A bounded table with one more row, long after all others, which closes all windows and joins before it.
+
+    It stays open itself, or gives a result of key ``NO_CAPTURE``, to be dropped at the end (``without_closing``).
+    """
+    last = rows.agg(F.max(STARTED).alias(STARTED), F.max("frame_id").alias("frame_id")).filter(F.col(STARTED).isNotNull())
+    end = last.select(F.lit(NO_CAPTURE).cast(rows.schema[key].dataType).alias(key), (F.col(STARTED) + F.expr(CLOSING)).alias(STARTED), "frame_id")
+    return rows.unionByName(end, allowMissingColumns=True)
+
+
+def without_closing(result: DataFrame, key: str = "capture_id") -> DataFrame:
+    return result.filter(F.col(key) != NO_CAPTURE)
 
 
 def stream_continuity(frames: DataFrame, fps: float, late: str = "10 seconds", key: str = "capture_id") -> DataFrame:
@@ -37,8 +68,8 @@ def stream_continuity(frames: DataFrame, fps: float, late: str = "10 seconds", k
     the watermark is emitted as lost_predecessor; frame 0 has none.
     """
     gap = F.expr(f"INTERVAL {late}")
-    now = with_event_time(frames.select(key, "frame_id", "picture_number"), fps, late)
-    before = with_event_time(frames.select(key, "frame_id", "picture_number"), fps, late).select(
+    now = with_event_time(frames.select(key, STARTED, "frame_id", "picture_number"), fps, late)
+    before = with_event_time(frames.select(key, STARTED, "frame_id", "picture_number"), fps, late).select(
         F.col(key).alias("__key"), (F.col("frame_id") + 1).alias("__frame"),
         F.col("picture_number").alias("previous"), F.col(EVENT).alias("__time"),
     )
@@ -76,17 +107,24 @@ def stream_sidecar_dedup(runs: DataFrame, fps: float, late: str = "10 seconds")
     return with_event_time(runs, fps, late).dropDuplicatesWithinWatermark(["cvbs_file_id", "frame_id", "sample_start"]).drop(EVENT)
 
 
-def ingest_sidecar(runs: DataFrame, folder: str, checkpoint: str, fps: float, late: str = "10 seconds") -> StreamingQuery:
-    """ST3: write the deduplicated stream by batch; a replayed batch replaces its own folder."""
+def ingest_sidecar(runs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """ST3: merge each batch into the sidecar table of ``folder``, one row per primary key, whatever the time between two copies.
+
+    A batch rewrites the folders of the files that it touches, so a replayed batch or a second copy changes nothing, rows are never late,
+    and ``read_sidecar`` prunes by file. Of rows with equal keys the severest stays, then the longest.
+    """
+    spark = runs.sparkSession
+    key = ["cvbs_file_id", "frame_id", "sample_start"]
+
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(folder)
+        rows = cut(batch, "batch")
+        files = rows.select("cvbs_file_id").distinct()
+        stored = sidecar.read_sidecar(spark, folder, "dropout_run").join(files, "cvbs_file_id", "left_semi") if batch_id else rows.limit(0)
+        value = F.struct("severity", "sample_count")
+        merged = rows.select(*key, "sample_count", "severity").unionByName(stored.select(*key, "sample_count", "severity")).groupBy(*key).agg(F.max(value).alias("v"))
+        sidecar.write_sidecar(cut(merged.select(*key, "v.sample_count", "v.severity"), "merged"), folder, "dropout_run")
 
-    return (
-        stream_sidecar_dedup(runs, fps, late).writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(save).trigger(availableNow=True).start()
-    )
+    return runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
 def stream_validate(
@@ -97,13 +135,20 @@ def stream_validate(
     ``rules`` maps a batch to findings (project_id, section_no, rule, severity, detail).
     """
     def route(batch: DataFrame, batch_id: int) -> None:
-        bad = rules(batch).filter("severity = 'error'").select("project_id", "section_no").distinct()
-        keys = [batch[c].eqNullSafe(bad[c]) for c in ("project_id", "section_no")]
-        cond = keys[0] & keys[1]
-        for how, folder in (("left_anti", accepted), ("left_semi", quarantine)):
-            batch.join(bad, cond, how).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch_id").parquet(folder)
+        batch.persist(StorageLevel.MEMORY_AND_DISK)  # read for the rules and for the split
+        try:
+            bad = rules(batch).filter("severity = 'error'").select(
+                F.col("project_id").alias("__project"), F.col("section_no").alias("__section"), F.lit(True).alias("__bad"),
+            ).distinct()
+            match = F.col("project_id").eqNullSafe(F.col("__project")) & F.col("section_no").eqNullSafe(F.col("__section"))
+            split = batch.join(bad, match, "left").select(*batch.columns, F.coalesce("__bad", F.lit(False)).alias("__bad"), F.lit(batch_id).alias("batch_id"))
+            judged = cut(split, "judged")
+            for flag, folder in ((False, accepted), (True, quarantine)):
+                judged.filter(F.col("__bad") == flag).drop("__bad").write.mode("overwrite").option(
+                    "partitionOverwriteMode", "dynamic"
+                ).partitionBy("batch_id").parquet(folder)
+        finally:
+            batch.unpersist()
 
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(route).trigger(availableNow=True).start()
 
@@ -112,6 +157,7 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     """Run a bounded stream to its end into a Parquet table and read it.
 
     In ``update`` mode each batch holds the rows that changed, with ``batch_id``: the last one wins.
+    Late rows are an error, not a gap in the result.
     """
     spark = stream.sparkSession
     base = scratch_dir(spark, label)
@@ -126,6 +172,8 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
         .foreachBatch(save).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if late := late_rows(query):
+        raise ValueError(f"{late} rows came after the watermark; allow more delay")
     return spark.read.schema(f"{_ddl(stream)}, batch_id bigint").parquet(f"{base}/table")
 
 
@@ -133,8 +181,9 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
-def replay(spark: SparkSession, table: DataFrame, label: str) -> DataFrame:
+def replay(spark: SparkSession, table: DataFrame, label: str, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a written copy of a table, for replaying history through a stream operator."""
     path = scratch_dir(spark, label)
     table.write.parquet(path)
-    return spark.readStream.schema(table.schema).parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)

@@ -69,16 +69,12 @@ def test_scale_goldens(spark):
     assert (got[1][0], round(got[1][1], 6)) == (20, 200.0) and got[1][2:] == (50, 400, 40, 500, 2000)
 
 
-def test_injected_runs_do_not_depend_on_partitions(spark):
-    frames = spark.range(2000).select(F.lit(1).alias("capture_id"), F.col("id").alias("frame_id"), F.lit(8).alias("scale"))
-    one = iv.inject_random_runs(frames.repartition(1), "scale", 42, 709379)
-    many = iv.inject_random_runs(frames.repartition(16), "scale", 42, 709379)
-    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
-    rate = iv.dropout_params(frames.limit(1), "scale").first().frequency
-    mean = one.count() / 2000
-    assert abs(mean - rate) < 4 * (rate / 2000) ** 0.5
-    row = one.agg(F.min("push"), F.max("push"), F.min("sample_start"), F.max(F.col("sample_start") + F.col("sample_count"))).first()
-    assert row[0] >= 0.5 and row[1] < 1.0 and row[2] >= 0 and row[3] <= 709379
+def test_stack_clips_runs_to_the_frame(spark):
+    runs = spark.createDataFrame([(1, 0, 1, 950, 40), (1, 0, 2, 10, 5), (2, 0, 3, -5, 10)], RUN)
+    aligned = spark.createDataFrame([(1, 0, 7), (2, 0, 7)], "capture_id bigint, frame_id bigint, picture_number bigint")
+    got = sorted((r.range_start, r.range_end, r.clean_sources) for r in iv.stack_coverage(runs, aligned, 900, 1).collect())
+    assert got == [(0, 5, 1), (5, 10, 2), (10, 15, 1), (15, 900, 2)]
+    assert sorted((r.run_id, r.before, r.after) for r in iv.outside_frame(runs, 900).collect()) == [(1, 0, 40), (3, 5, 0)]
 
 
 def test_clipped_random_runs_miss_every_scratch(spark):

@@ -71,6 +71,15 @@ def test_digest_ignores_layout(spark):
     assert compare.table_digest(df.repartition(7)).collect() == compare.table_digest(df.orderBy(F.desc("x"))).collect()
 
 
+def test_digest_tells_nulls_and_borders_apart(spark):
+    def digest(rows):
+        return compare.table_digest(spark.createDataFrame(rows, "a string, b string"), method="sha2").collect()
+
+    assert digest([("x", None)]) != digest([("x", "\\N")])
+    assert digest([("a\x1fb", "c")]) != digest([("a", "b\x1fc")])
+    assert digest([("a", "b"), (None, "c")]) == digest([(None, "c"), ("a", "b")])
+
+
 @pytest.mark.parametrize("word,rule", [("0x81D234", None), ("zz", "hex.number"), ("0x1FFFFFF", "hex.bits"), ("0x88D000", "hex.x1"), ("0x81E000", "hex.d")])
 def test_user_words(spark, word, rule):
     df = spark.createDataFrame([(1, 1, "users_code", word)], "project_id bigint, section_no int, code_type string, word_text string")

@@ -69,14 +69,21 @@ def test_16_bit_rounding(spark):
     assert row.samples == [32767, -32768, 1, -1, 0, 0] and row.n_saturated == 1
 
 
-def test_noise_has_the_right_moments_and_ignores_partitions(spark):
-    df = spark.range(400).select(
-        "id", F.lit("PAL").alias("standard"), F.array_repeat(F.lit(350.0), 100).alias("y"), F.array_repeat(F.lit(100.0), 100).alias("c")
-    )
-    one = sm.add_noise(df.repartition(1), 40.0, 0.0, 5, ["id"])
-    many = sm.add_noise(df.repartition(9), 40.0, 0.0, 5, ["id"])
-    assert one.exceptAll(many).count() == 0
-    got = sm.measure_noise(one.withColumn("samples", F.col("y")).withColumn("g", F.lit(0)), ["g"], 700.0).first()
-    assert abs(got.mean_mv - 350) < 0.2 and abs(got.stddev_mv - 7.0) < 0.1 and abs(got.snr_db - 40) < 0.2
-    same = one.select(F.forall(F.zip_with("y", "c", lambda y, c: F.abs((y - 350) - (c - 100)) < 1e-9), lambda x: x).alias("s"))
-    assert same.filter("not s").count() == 0
+def test_nonstandard_values_by_signal_type_and_line(spark):
+    rows = [(1, 7, 1, "PAL", [100.0] * 5, [0.0] * 5), (1, 7, 2, "PAL", [100.0, 100.0, 850.0, 100.0, 100.0], [0.0, 0.0, 300.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "capture_id bigint, frame_id bigint, line int, standard string, y array<double>, c array<double>")
+    whole = sm.nonstandard_rollup(df, ["capture_id"], line="line").first()
+    assert tuple(whole) == (1, True, 1, 7, 2, 2)
+    assert sm.nonstandard_rollup(df, ["capture_id"], signal_type="yc", line="line").first().has_nonstandard is False
+    assert sm.nonstandard_rollup(df, ["capture_id"], encoding="RAW_S16_28M", line="line").first().has_nonstandard is False
+    far = spark.createDataFrame([(1, 7, "PAL", [100.0] * 1_100_000 + [2000.0])], "capture_id bigint, frame_id bigint, standard string, y array<double>")
+    got = sm.nonstandard_rollup(far, ["capture_id"]).first()
+    assert (got.first_frame, got.first_sample) == (7, 1_100_000)
+
+
+def test_votes_on_wide_and_missing_words(spark):
+    wide = (1 << 39) + 5
+    df = spark.createDataFrame([(1, 0, wide), (1, 0, wide), (1, 0, wide + 1), (1, 1, None), (1, 1, None)], "capture_id bigint, frame_id bigint, word bigint")
+    got = {(r.frame_id, r.word): (r.votes, r.agreement) for r in vbi.vote_frame_codes(df).collect()}
+    assert (1, None) in got and got[1, None] == (2, 1.0)
+    assert [w for f, w in got if f == 0] and all(w is None or w >= wide for _, w in got)
