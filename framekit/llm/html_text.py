@@ -25,6 +25,7 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,17 @@ TOKEN = re.compile(
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A name word counts as each of these words that it holds, if that has so many letters.
+PART_LETTERS = 4
+
+
+@lru_cache(1 << 16)
+def meaning(word: str) -> tuple[int, frozenset[str]]:
+    """Whether a word of a class or id speaks of content, and of which surroundings."""
+    if word in GOOD_WORDS or word in BAD_OF:
+        return int(word in GOOD_WORDS), frozenset([BAD_OF[word]] if word in BAD_OF else [])
+    bad = frozenset(group for known, group in BAD_OF.items() if len(known) >= PART_LETTERS and known in word)
+    return int(not bad and any(len(known) >= PART_LETTERS and known in word for known in GOOD_WORDS)), bad
 
 
 @dataclass
@@ -79,6 +91,7 @@ class Page:
     parents: list[int] = field(default_factory=lambda: [-1])
     names: list[tuple[str, ...]] = field(default_factory=lambda: [()])
     silent: list[bool] = field(default_factory=lambda: [False])
+    marked: list[bool] = field(default_factory=lambda: [False])
     events: list[tuple[int, str | None]] = field(default_factory=list)
 
 
@@ -132,18 +145,19 @@ def read_page(source: str) -> Page:
         page.tags.append(tag)
         page.parents.append(stack[-1])
         page.names.append(tuple(w.lower() for w in WORD.findall(values)))
+        page.marked.append(page.marked[stack[-1]] or MARK in rest)
         page.silent.append(page.silent[stack[-1]] or tag in SILENT or bool(rest and HIDDEN.search(rest)))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif tag not in VOID and not rest.rstrip().endswith("/"):
+        elif tag not in VOID:
             stack.append(node)
     close_to(1)
     return page
 
 
 FEATURES = (
-    "depth", "chars", "own", "linked", "marks", "density", "paragraphs", "place", "siblings", "alike", "good", "good_above", "is_p", "is_heading", "is_list", "is_box",
+    "depth", "share", "chars", "own", "linked", "marks", "density", "paragraphs", "place", "siblings", "alike", "good", "good_above", "is_p", "is_heading", "is_list", "is_box",
     "is_article", "bad", "bad_above", "bad_below", *(f"bad_{g}" for g in GROUPS),
 )
 
@@ -166,8 +180,9 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray, np.ndarray]:
                 linked[owner[node]] += size
             marks[owner[node]] += text.count(",") + text.count(".")
     chars, tags, bad_below = own.copy(), np.ones(n), np.zeros(n)
-    bad = [{BAD_OF[w] for w in page.names[i] if w in BAD_OF} | ({BAD_TAGS[page.tags[i]]} if page.tags[i] in BAD_TAGS else set()) for i in range(n)]
-    good = [sum(w in GOOD_WORDS for w in page.names[i]) + 2 * (page.tags[i] in ("article", "main")) for i in range(n)]
+    told = [[meaning(w) for w in names] for names in page.names]
+    bad = [{g for _, groups in told[i] for g in groups} | ({BAD_TAGS[page.tags[i]]} if page.tags[i] in BAD_TAGS else set()) for i in range(n)]
+    good = [sum(x for x, _ in told[i]) + 2 * (page.tags[i] in ("article", "main")) for i in range(n)]
     place = np.zeros(n)
     alike: dict[tuple[int, str], int] = {}
     for i in range(1, n):
@@ -195,7 +210,7 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray, np.ndarray]:
         tag, p = page.tags[i], page.parents[i]
         siblings = children[p] if i else 1
         rows.append((
-            depth[i], np.log1p(chars[i]), np.log1p(own[i]), linked[i] / (chars[i] + 1), marks[i] / (chars[i] + 1), chars[i] / tags[i], np.log1p(paragraphs[i]),
+            depth[i], chars[i] / (chars[0] + 1), np.log1p(chars[i]), np.log1p(own[i]), linked[i] / (chars[i] + 1), marks[i] / (chars[i] + 1), chars[i] / tags[i], np.log1p(paragraphs[i]),
             place[i] / max(1, siblings), siblings, alike.get((p, tag), 1) / max(1, siblings), good[i], good_above[i], tag == "p",
             len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("ul", "ol", "li", "dl", "dt", "dd"), tag in ("div", "section", "td"),
             tag in ("article", "main"), len(bad[i]), bad_above[i], bad_below[i] / (chars[i] + 1), *(g in bad[i] for g in GROUPS),
@@ -204,18 +219,20 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray, np.ndarray]:
 
 
 OUTSIDE, INSIDE, EXCLUDED = 0, 1, 2
+#: What a way from outside to inside costs, so that a page has few regions and no stray words.
+ENTER = 16.0
 
 
 def decode(page: Page, scored: list[int], logits: np.ndarray, own: np.ndarray) -> list[bool]:
     """For each node, whether its own text belongs to the article: the best states along the tree."""
     n = len(page.tags)
-    gain = np.zeros(n)
+    gain = np.zeros(n)  # inline nodes follow the node that holds them
     gain[scored] = np.clip(logits, -6, 6) * (0.5 + np.log1p(own))
     best = np.zeros((n, 3))
     best[:, OUTSIDE], best[:, INSIDE], best[:, EXCLUDED] = -gain, gain, -gain
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
-        best[p, OUTSIDE] += max(best[i, OUTSIDE], best[i, INSIDE])
+        best[p, OUTSIDE] += max(best[i, OUTSIDE], best[i, INSIDE] - ENTER)
         best[p, INSIDE] += max(best[i, INSIDE], best[i, EXCLUDED])
         best[p, EXCLUDED] += best[i, EXCLUDED]
     state = [OUTSIDE] * n
@@ -225,7 +242,7 @@ def decode(page: Page, scored: list[int], logits: np.ndarray, own: np.ndarray) -
         if i not in block:
             state[i] = above
         elif above == OUTSIDE:
-            state[i] = INSIDE if best[i, INSIDE] > best[i, OUTSIDE] else OUTSIDE
+            state[i] = INSIDE if best[i, INSIDE] - ENTER > best[i, OUTSIDE] else OUTSIDE
         elif above == INSIDE:
             state[i] = EXCLUDED if best[i, EXCLUDED] > best[i, INSIDE] else INSIDE
         else:
@@ -255,9 +272,12 @@ def article_text(source: str, model: boosting.Boosted) -> str:
 
 # training pages
 
+#: An attribute that tells a made-up page's article; only labels are read from it.
+MARK = "data-truth"
+
 ARTICLES = (
     "<article>", "<main>", '<div class="content">', '<div id="main-content">', '<section class="post-body">', '<div class="entry-content">', '<div class="story text">',
-    "<div>", '<main><article class="post">', '<div id="content"><div class="article-body">', '<div class="wrapper"><div class="page-content">',
+    "<div>", '<div class="x1">', "<section>", "<table><tr><td>", '<div><div class="blog-post">', '<div id="bodyContent">', '<main><article class="post">', '<div id="content"><div class="article-body">', '<div class="wrapper"><div class="page-content">',
 )
 
 
@@ -267,7 +287,10 @@ def _end(start: str) -> str:
 
 def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, list[bool]]:
     """A page made of the given paragraphs and, for each of its text blocks in order, whether it belongs to the article."""
-    out: list[str] = ["<html><head><title>t</title></head><body>"]
+    fragment = rng.random() < 0.25
+    out: list[str] = [] if fragment else ["<html><head><title>t</title></head><body>"]
+    if rng.random() < 0.4:  # short texts
+        paragraphs = [" ".join(p.split()[: rng.randint(3, 14)]) for p in paragraphs[: rng.randint(1, 8)]]
     truth: list[bool] = []
     words = " ".join(paragraphs).split() or ["word"]
 
@@ -298,7 +321,7 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, list[bool]]:
     def comments() -> None:
         put("h3", some(1, 4), False)
         for _ in range(rng.randint(1, 5)):
-            out.append(rng.choice(('<div class="comment">', "<li>", '<div class="comment-body">', "<div>")))
+            out.append(rng.choice(('<div class="comment">', "<li>", '<div class="reader-comment">', "<div>")))
             put("p", some(5, 80), False)
             out.append("</div>" if out[-2].startswith("<div") else "</li>")
 
@@ -312,22 +335,25 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, list[bool]]:
         lambda: within(('<div class="cookie-notice">', '<div id="consent-banner">', '<div class="alert notice">', '<div role="alert">', "<dialog>"), prose),
         lambda: within(('<div class="ad">', '<div class="advert">', '<aside class="sponsored">', '<div id="ad-banner">', '<section class="promo">'), prose),
         lambda: within(("<form>", '<form class="search">', '<div class="newsletter-form"><form>'), controls),
+        lambda: within(("<div>", '<div id="top-bar">', '<ul class="mainmenu"><li>', '<div class="c1">'), lambda: links(rng.randint(1, 7))),
         lambda: within(('<div class="breadcrumb">', '<nav class="breadcrumbs">'), lambda: put("p", f'<a href="/">{some(1, 3)}</a>', False)),
     ]
     after = [
         lambda: within(("<aside>", '<div class="sidebar">', '<div id="side-rail">', '<div class="widget">', '<aside class="related">'), lambda: (put("h3", some(1, 4), False), links(rng.randint(1, 6)) if rng.random() < 0.5 else prose())),
         lambda: within(('<section class="comments">', '<div id="comments">', '<div class="discussion">', '<ol class="commentlist">', '<section id="respond">'), comments),
+        lambda: within(('<div class="share-buttons">', '<div class="social">', '<p class="tags">'), lambda: put("p", f'<a href="/t">{some(1, 3)}</a>', False)),
+        lambda: within(('<div id="ft">', "<div>", '<div class="bottom">'), lambda: put("p", "&copy; " + some(1, 6), False)),
         before[2], before[3], before[4],
     ]
     foot = lambda: within(("<footer>", '<div class="footer">', '<div id="footer">', '<div class="site-footer"><p>'), lambda: put(rng.choice(("p", "div")), "&copy; " + some(2, 30), False))
-    page_box = rng.choice(("", '<div id="page">', '<div class="container"><div class="row">', "<div>"))
+    page_box = "".join(rng.choice(("<div>", '<div id="page">', '<div class="container">', '<div class="row">', '<div class="col-8">', "<table><tr><td>")) for _ in range(rng.choice((0, 0, 1, 1, 2, 3, 5))))
     out.append(page_box)
     for make in rng.sample(before, rng.randint(1, 5)):
         make()
     if rng.random() < 0.3:
         after[0]()
     start = rng.choice(ARTICLES)
-    out.append(start)
+    out.append(start.replace(">", f" {MARK}>", 1))
     if rng.random() < 0.8:
         put(rng.choice(("h1", "h1", "h2")), some(3, 14), True)
     own = paragraphs if rng.random() < 0.8 else paragraphs[: rng.randint(1, 2)]
@@ -340,13 +366,22 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, list[bool]]:
             for _ in range(rng.randint(1, 4)):
                 put("li", some(3, 20), True)
             out.append("</ul>")
+        if rng.random() < 0.04:
+            out.append("<figure>")
+            put("figcaption", some(1, 9), True)
+            out.append("</figure>")
+        if rng.random() < 0.04:
+            out.append("<table><tr>")
+            for _ in range(rng.randint(1, 4)):
+                put("td", some(1, 6), True)
+            out.append("</tr></table>")
         if rng.random() < 0.05:
             out.append("<blockquote>")
             put("p", some(3, 30), True)
             out.append("</blockquote>")
         put("p", paragraph, True)
         if inner < 0.35 and (k == len(own) // 2):
-            rng.choice((before[3], before[2], before[4], after[0], after[1]))()
+            rng.choice((before[3], before[2], before[4], after[0], after[1], after[2]))()
     if inner > 0.8:
         rng.choice((after[0], after[1], foot))()
     out.append(_end(start))
@@ -355,11 +390,11 @@ def layout(paragraphs: list[str], rng: random.Random) -> tuple[str, list[bool]]:
     if rng.random() < 0.9:
         foot()
     out.append(_end(page_box) if page_box else "")
-    return "".join(out) + "</body></html>", truth
+    return "".join(out) + ("" if fragment else "</body></html>"), truth
 
 
 def labelled(source: str, truth: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of a layout's nodes. A node belongs if most of the text below it does, and not if it holds other text too."""
+    """Features and labels of a layout's nodes: a node belongs if it is the article or a part of it most of whose text belongs."""
     page = read_page(source)
     scored, x, own = node_features(page)
     order = iter(truth)
@@ -374,8 +409,7 @@ def labelled(source: str, truth: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         good[page.parents[i]] += good[i]
     held = [i for i in scored if total[i] > 0]
     inside = [rank[i] for i in held]
-    # parts of an article may be excluded, parts of what surrounds it may not
-    return x[inside], np.array([good[i] >= 0.6 * total[i] and page.tags[i] not in ("html", "body", "") for i in held], float)
+    return x[inside], np.array([page.marked[i] and 2 * good[i] >= total[i] for i in held], float)
 
 
 def marked_paragraphs(source: str) -> list[str] | None:
