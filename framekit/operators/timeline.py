@@ -1,13 +1,13 @@
 """Frame timelines: schedules, counters, clocks, runs and track tables.
 
-Counters are worked out on section rows (a few per project) and added to frames by their offset in
-the section, so frames need no ordered pass. Where frames themselves must be ordered, the window
+Counters are worked out on section rows, of which a project's configuration holds a bounded list, by windows over
+(project, section) that share one shuffle; they are added to frames by their offset in the section, so frames need no ordered pass. Where frames themselves must be ordered, the window
 runs over blocks of frames (``functions.scan``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framekit.dims import STOP_BIT_FRAMES, by_standard
@@ -16,10 +16,16 @@ from framekit.functions.clocks import SUBCODE_SAMPLES, idiv, imod
 from framekit.functions.scan import last_before, last_upto, next_row, scan, sum_before, sum_upto
 
 PROJECT = ["project_id"]
+_FIRST, _LAST = Window.unboundedPreceding, Window.unboundedFollowing
 CHUNK = 1 << 16
 FM_MAX = 79999
 
 
+def _sections(low: int, high: int) -> WindowSpec:
+    """A project's sections in order, from ``low`` to ``high`` around the current one."""
+    return Window.partitionBy("project_id").orderBy("section_no").rowsBetween(low, high)
+
+
 def flatten_codes(sections: DataFrame) -> DataFrame:
     """Replace ``codes`` (array of structs) by the flags and anchors that the counters use."""
     def declares(name: str) -> Column:
@@ -59,9 +65,12 @@ def section_offsets(sections: DataFrame, mode: str = "resolved") -> DataFrame:
         frames = F.col("n_frames")
     else:
         raise ValueError("mode is 'authoring' or 'resolved'")
-    return scan(
-        sections, PROJECT, ["section_no"], {"first_frame": sum_before(F.coalesce(frames, F.lit(0)).cast("bigint"))}
-    )
+    return sections.withColumn("first_frame", _sum_earlier(F.coalesce(frames, F.lit(0)).cast("bigint")))
+
+
+def _sum_earlier(value: Column) -> Column:
+    """Sum over the earlier sections of the project."""
+    return F.coalesce(F.sum(value).over(_sections(_FIRST, -1)), F.lit(0).cast("bigint"))
 
 
 def _spread(rows: DataFrame, keys: list[str], count: str, index: str) -> DataFrame:
@@ -140,16 +149,9 @@ def assign_picture_numbers(sections: DataFrame, mode: str = "carried") -> DataFr
         frames = F.when(F.col("duration_all"), 0).otherwise(F.col("duration_frames")).cast("bigint")
     else:
         raise ValueError("mode is 'carried', 'schedule' or 'disc'")
-    counted = scan(
-        sections, PROJECT, ["section_no"],
-        {"__pre": sum_before(frames), "__seen": sum_before(F.when(starts, 1).otherwise(0).cast("bigint"))},
-        keep_blocks=True,
-    )
+    counted = sections.withColumns({"__pre": _sum_earlier(frames), "__seen": _sum_earlier(F.when(starts, 1).otherwise(0).cast("bigint"))})
     begin = F.coalesce(anchor, F.when(starts & (F.col("__seen") == 0), 1).cast("bigint"))
-    placed = scan(
-        counted, PROJECT, ["section_no"],
-        {"__base": last_upto(begin - F.col("__pre"))},
-    )
+    placed = counted.withColumn("__base", F.last(begin - F.col("__pre"), ignorenulls=True).over(_sections(_FIRST, 0)))
     return placed.select(
         *sections.columns,
         F.when(F.col("__base").isNotNull(), F.col("__base") + F.col("__pre")).alias("first_picture"),
@@ -172,19 +174,14 @@ def chapter_state(sections: DataFrame) -> DataFrame:
     anchor = F.when(F.col("declares_chapter"), F.col("chapter_anchor")).cast("bigint")
     step = F.when(F.col("carries_codes"), 1).otherwise(0).cast("bigint")
     starts = F.col("declares_chapter")
-    counted = scan(
-        sections, PROJECT, ["section_no"],
-        {
-            "__pre": sum_before(step * F.col("n_frames")),
-            "__seen": sum_before(F.when(starts, 1).otherwise(0).cast("bigint")),
-        },
-        keep_blocks=True,
-    )
+    counted = sections.withColumns({
+        "__pre": _sum_earlier(step * F.col("n_frames")), "__seen": _sum_earlier(F.when(starts, 1).otherwise(0).cast("bigint")),
+    })
     begin = F.coalesce(anchor, F.when(starts & (F.col("__seen") == 0), 0).cast("bigint"))
-    placed = scan(
-        counted, PROJECT, ["section_no"],
-        {"chapter": last_upto(begin), "__at": last_upto(F.when(begin.isNotNull(), F.col("__pre")))},
-    )
+    placed = counted.withColumns({
+        "chapter": F.last(begin, ignorenulls=True).over(_sections(_FIRST, 0)),
+        "__at": F.last(F.when(begin.isNotNull(), F.col("__pre")), ignorenulls=True).over(_sections(_FIRST, 0)),
+    })
     return placed.select(
         *sections.columns,
         "chapter",
@@ -198,13 +195,10 @@ def chapter_stop_bit(offset: Column | str = "in_section") -> Column:
     return (F.col("chapter_frames") + F.col("chapter_step") * at >= STOP_BIT_FRAMES).cast("int")
 
 
-def first_anchor(sections: DataFrame) -> DataFrame:
-    """Frame offset of each project from its first explicit picture number above 1."""
+def initial_offset() -> Column:
+    """Frame offset of a project from its first explicit picture number above 1."""
     anchor = F.when(F.col("declares_pn") & (F.col("pn_anchor") > 1), F.col("pn_anchor"))
-    return sections.groupBy("project_id").agg(
-        F.coalesce(F.min_by(anchor, F.when(anchor.isNotNull(), F.col("section_no"))) - 1, F.lit(0))
-        .cast("bigint").alias("initial_offset")
-    )
+    return F.coalesce(F.first(anchor, ignorenulls=True).over(_sections(_FIRST, _LAST)) - 1, F.lit(0)).cast("bigint")
 
 
 def sequence_phase(sections: DataFrame) -> DataFrame:
@@ -214,16 +208,16 @@ def sequence_phase(sections: DataFrame) -> DataFrame:
     counter; ``sequence_phase`` follows the schedule number, else the frame counter.
     """
     carried = assign_picture_numbers(sections, "carried")
-    both = carried.withColumn(
-        "__sched", F.when(F.col("declares_pn") & (F.col("pn_anchor") > 0), F.col("pn_anchor")).cast("bigint")
-    ).join(first_anchor(sections), "project_id", "left")
+    both = carried.withColumns({
+        "__sched": F.when(F.col("declares_pn") & (F.col("pn_anchor") > 0), F.col("pn_anchor")).cast("bigint"), "initial_offset": initial_offset(),
+    })
     if "first_frame" not in both.columns:
         both = section_offsets(both)
     frames = expand_placed(both)
     period = by_standard("colour_period").cast("bigint")
     counter = F.col("frame_id") + F.col("initial_offset")
     return frames.select(
-        "project_id", "section_no", "frame_id",
+        "project_id", "section_no", "frame_id", "in_section",
         F.pmod(F.coalesce(picture_number() - 1, counter), period).cast("int").alias("phase_id"),
         F.pmod(F.coalesce(F.col("__sched") - 1 + F.col("in_section"), counter), period)
         .cast("int").alias("sequence_phase"),
@@ -233,12 +227,14 @@ def sequence_phase(sections: DataFrame) -> DataFrame:
 def section_runs(frames: DataFrame, contiguous: bool = True) -> DataFrame:
     """T5: runs of consecutive frames in one section; neighbouring lead-in (or lead-out) runs are one run.
 
-    A schedule emits the frames of a section in one stretch, so they are first reduced to one row per
-    section and only those are shuffled. With ``contiguous=False`` sections may recur, and the windows run
-    over blocks of frames.
+    ``frames`` may be placed sections (``first_frame``, ``n_frames``), which need no frames at all. A schedule emits the frames of a
+    section in one stretch, so frames are first reduced to one row per section and only those are shuffled. With ``contiguous=False``
+    sections may recur, and the windows run over blocks of frames.
     """
     keys = ["project_id", "section_no", "section_type"]
-    if contiguous:
+    if "first_frame" in frames.columns and "frame_id" not in frames.columns:
+        spans = frames.filter("n_frames > 0").select(*keys, F.col("first_frame").alias("__at"), F.col("n_frames").alias("__n"))
+    elif contiguous:
         spans = frames.groupBy(*keys).agg(F.min("frame_id").alias("__at"), F.count("*").alias("__n"))
     else:
         spans = frames.select(*keys, F.col("frame_id").alias("__at"), F.lit(1).cast("bigint").alias("__n"))

@@ -65,6 +65,7 @@ def section_offsets(spark, sf):
  f AS (SELECT *, CASE standard WHEN 'NTSC' THEN 79999 ELSE 99999 END AS mx FROM d, LATERAL (SELECT unnest(range(n_frames)) AS i) u)
 SELECT project_id, section_no,
  CAST(sum(CASE WHEN st IS NOT NULL THEN least(st + pre - st_pre + CASE WHEN carries_codes THEN i ELSE 0 END, mx) END) AS BIGINT) AS sum_carried,
+ CAST(sum(CASE WHEN st IS NOT NULL THEN (i + 1) * least(st + pre - st_pre + CASE WHEN carries_codes THEN i ELSE 0 END, mx) END) AS BIGINT) AS weighted_carried,
  CAST(max(CASE WHEN st IS NOT NULL THEN least(st + pre - st_pre + CASE WHEN carries_codes THEN i ELSE 0 END, mx) END) AS BIGINT) AS last_carried,
  CAST(sum(CASE WHEN coalesce(anc, 0) > 0 THEN least(anc + i, mx) ELSE 0 END) AS BIGINT) AS sum_schedule,
  CAST(sum(CASE WHEN sd IS NOT NULL THEN least(sd + pre_d - sd_pre + i, mx) END) AS BIGINT) AS sum_disc
@@ -85,7 +86,7 @@ def assign_picture_numbers(spark, sf):
     rows = tl.expand_placed(out.select(*KEY, "standard", "n_frames", "pass_length", "first_frame", "start_frame", *extra))
     number = {m: F.when(F.col(f"first_{m}").isNotNull(), e) for m, e in modes.items()}
     return rows.groupBy(*KEY).agg(
-        F.sum(number["carried"]).alias("sum_carried"), F.max(number["carried"]).alias("last_carried"),
+        F.sum(number["carried"]).alias("sum_carried"), F.sum((F.col("in_section") + 1) * number["carried"]).alias("weighted_carried"), F.max(number["carried"]).alias("last_carried"),
         F.sum(number["schedule"]).alias("sum_schedule"), F.sum(number["disc"]).alias("sum_disc"),
     )
 
@@ -98,15 +99,17 @@ def assign_picture_numbers(spark, sf):
  d AS (SELECT *, last_value(beg - pre IGNORE NULLS) OVER (PARTITION BY project_id ORDER BY section_no ROWS UNBOUNDED PRECEDING) AS base,
    coalesce(first_value(CASE WHEN anc > 1 THEN anc END IGNORE NULLS) OVER (PARTITION BY project_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) - 1, 0) AS off FROM c),
  f AS (SELECT *, first_frame + i AS frame_id, CASE standard WHEN 'NTSC' THEN 2 ELSE 4 END AS per, CASE standard WHEN 'NTSC' THEN 79999 ELSE 99999 END AS mx FROM d, LATERAL (SELECT unnest(range(n_frames)) AS i) u),
- g AS (SELECT project_id, section_no,
+ g AS (SELECT project_id, section_no, i,
    CASE WHEN base IS NOT NULL THEN least(base + pre + CASE WHEN carries_codes THEN i ELSE 0 END, mx) - 1 ELSE frame_id + off END % per AS phase_id,
    CASE WHEN anc > 0 THEN anc - 1 + i ELSE frame_id + off END % per AS sequence_phase FROM f)
 SELECT project_id, section_no, CAST(sum(phase_id) AS BIGINT) AS sum_phase_id, CAST(sum(sequence_phase) AS BIGINT) AS sum_sequence_phase,
- count(*) FILTER (WHERE phase_id <> sequence_phase) AS n_differ FROM g GROUP BY 1, 2""")
+ CAST(sum((i + 1) * phase_id) AS BIGINT) AS weighted_phase_id, CAST(sum((i + 1) * sequence_phase) AS BIGINT) AS weighted_sequence_phase, count(*) FILTER (WHERE phase_id <> sequence_phase) AS n_differ FROM g GROUP BY 1, 2""")
 def sequence_phase(spark, sf):
     return tl.sequence_phase(placed(spark, sf)).groupBy(*KEY).agg(
         F.sum("phase_id").cast("bigint").alias("sum_phase_id"),
         F.sum("sequence_phase").cast("bigint").alias("sum_sequence_phase"),
+        F.sum((F.col("in_section") + 1) * F.col("phase_id")).alias("weighted_phase_id"),
+        F.sum((F.col("in_section") + 1) * F.col("sequence_phase")).alias("weighted_sequence_phase"),
         F.count(F.when(F.col("phase_id") != F.col("sequence_phase"), 1)).alias("n_differ"),
     )
 
@@ -120,7 +123,7 @@ RUNS = f"""{FRAMES},
 
 
 def runs(spark, sf, sections=None):
-    return tl.section_runs(frames(spark, sf, sections))
+    return tl.section_runs(placed(spark, sf) if sections is None else sections)
 
 
 def standard_runs(spark, sf, sections=None):
