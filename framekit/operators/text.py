@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framekit.dims import vits_dim
 from framekit.functions.clocks import hmsf
+from framekit.session import cut
 
 # The tokens that overlay text may hold, and the asset roots a path may start with.
 TOKENS = ["picture_number", "biphase_hex", "phase_id", "section_name", "timecode", "frame_number"]
@@ -108,38 +111,40 @@ def companion_paths(rows: DataFrame, path: str = "resolved_path", pair: int = 0)
     )
 
 
+# File suffix of each signal type.
+SUFFIX_OF = {"composite": ".cvbs", "yc": ".cvbsy"}
+
+
+def _path_pattern(pattern: str) -> str:
+    """A path pattern as a regular expression; stars and question marks do not cross slashes."""
+    return "^" + "".join({"*": "[^/]*", "?": "[^/]"}.get(ch, re.escape(ch)) for ch in pattern) + "$"
+
+
 def derive_variants(projects: DataFrame, rules: Sequence[dict]) -> DataFrame:
     """Configurations derived by variant rules, in order; a rule also sees what earlier rules made.
 
     A rule has name, sources (path patterns), and optionally name_suffix, remove (columns to clear) and
-    signal_type. ``projects``: path, video_path, signal_type and the block columns. The rules are a short
-    list, so each adds one filter and projection to the plan.
+    signal_type. ``projects``: path, video_path, signal_type and the block columns. Where two sources give one path, the last in
+    path order wins. Each rule's rows are written before the next reads them, so a plan holds one scan per earlier rule.
     """
-    suffix_of = {"composite": ".cvbs", "yc": ".cvbsy"}
-    known, made = projects, []
+    levels = [projects]
+    types = dict(projects.dtypes)
     for rule in rules:
-        wanted = F.lit(False)
-        for pattern in rule["sources"]:
-            regex = "".join("[^/]*" if ch == "*" else "[^/]" if ch == "?" else "\\" + ch if ch in ".()[]{}+^$|\\" else ch for ch in pattern)
-            wanted = wanted | F.col("path").rlike(f"^{regex}$")
-        add = rule.get("name_suffix", "")
-        signal = rule.get("signal_type")
-        target = suffix_of[signal or "composite"]
+        wanted = reduce(Column.__or__, [F.col("path").rlike(_path_pattern(p)) for p in rule["sources"]])
+        add, signal = rule.get("name_suffix", ""), rule.get("signal_type")
         stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
         changes = {
             "path": F.concat(F.lit(rule["name"] + "/"), stem, F.lit(add + ".yaml")),
-            "video_path": F.concat(F.regexp_replace("video_path", r"\.cvbsy?$", ""), F.lit(add + target)),
-            **{c: F.lit(None).cast(dict(projects.dtypes)[c]) for c in rule.get("remove", ())},
+            "video_path": F.concat(F.regexp_replace("video_path", r"\.cvbsy?$", ""), F.lit(add + SUFFIX_OF[signal or "composite"])),
+            **{c: F.lit(None).cast(types[c]) for c in rule.get("remove", ())},
+            **({"signal_type": F.lit(signal)} if signal else {}),
         }
-        if signal:
-            changes["signal_type"] = F.lit(signal)
-        derived = known.filter(wanted).withColumns(changes).dropDuplicates(["path"])
-        made.append(derived.withColumn("variant", F.lit(rule["name"])))
-        known = known.unionByName(derived)
-    out = made[0]
-    for part in made[1:]:
-        out = out.unionByName(part)
-    return out
+        seen = reduce(DataFrame.unionByName, [level.select(*projects.columns) for level in levels])
+        derived = seen.filter(wanted).withColumn("__source", F.col("path")).withColumns(changes)
+        row = F.struct(*(c for c in projects.columns if c != "path"))
+        winner = derived.groupBy("path").agg(F.max_by(row, "__source").alias("__row")).select("path", "__row.*", F.lit(rule["name"]).alias("variant"))
+        levels.append(cut(winner.select(*projects.columns, "variant"), "variants"))
+    return reduce(DataFrame.unionByName, levels[1:])
 
 
 def catalogue_lookup(rows: DataFrame) -> DataFrame:

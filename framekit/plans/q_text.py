@@ -72,20 +72,26 @@ def resolve_paths(spark, sf):
 
 
 RULES = [
-    {"name": "clean", "sources": ["stack/p_?*.yaml"], "name_suffix": "_clean", "remove": ["noise", "dropouts", "osd"]},
-    {"name": "yc", "sources": ["stack/*.yaml", "clean/*.yaml"], "signal_type": "yc"},
+    {"name": "denoised", "sources": ["disc/p_??.yaml"], "name_suffix": "_dn", "remove": ["noise"]},
+    {"name": "split", "sources": ["disc/*.yaml", "plain/*.yaml", "denoised/*.yaml"], "signal_type": "yc", "remove": ["osd"]},
+    {"name": "archive", "sources": ["split/*_dn.yaml", "denoised/p_1?_dn.yaml"], "name_suffix": "_a", "remove": ["dropouts"]},
+    {"name": "unused", "sources": ["nowhere/*.yaml"]},
 ]
 
 
-@query("derive_variants", """WITH
- b AS (SELECT concat(CASE WHEN page_id % 2 = 0 THEN 'stack' ELSE 'plain' END, '/p_', CAST(page_id AS VARCHAR), '.yaml') AS path, concat('{output}/', CAST(page_id AS VARCHAR), '.cvbs') AS video_path, 'composite' AS signal_type, url AS noise, CAST(page_id AS VARCHAR) AS dropouts, CAST(length(html) AS BIGINT) AS osd FROM pages),
- c AS (SELECT concat('clean/', regexp_extract(path, '([^/]*)\\.yaml$', 1), '_clean.yaml') AS path, replace(video_path, '.cvbs', '_clean.cvbs') AS video_path, signal_type, CAST(NULL AS VARCHAR) AS noise, CAST(NULL AS VARCHAR) AS dropouts, CAST(NULL AS BIGINT) AS osd, 'clean' AS variant FROM b WHERE path LIKE 'stack/%'),
- s AS (SELECT path, video_path, noise, dropouts, osd FROM b WHERE path LIKE 'stack/%' UNION ALL SELECT path, video_path, noise, dropouts, osd FROM c)
-SELECT * FROM c UNION ALL SELECT concat('yc/', regexp_extract(path, '([^/]*)$', 1)), replace(video_path, '.cvbs', '.cvbsy'), 'yc', noise, dropouts, osd, 'yc' FROM s""".replace("\\\\", "\\"))
+@query("derive_variants", r"""WITH
+ b AS (SELECT concat(CASE WHEN page_id % 2 = 0 THEN 'disc/p_' ELSE 'plain/p_' END, CAST(page_id // 2 AS VARCHAR), '.yaml') AS path, concat('{output}/', CAST(page_id AS VARCHAR), '.cvbs') AS video_path, 'composite' AS signal_type, url AS noise, CAST(page_id AS VARCHAR) AS dropouts, CAST(length(html) AS BIGINT) AS osd FROM pages),
+ d AS (SELECT concat('denoised/', regexp_extract(path, '([^/]*)\.yaml$', 1), '_dn.yaml') AS path, replace(video_path, '.cvbs', '_dn.cvbs') AS video_path, signal_type, CAST(NULL AS VARCHAR) AS noise, dropouts, osd FROM b WHERE regexp_full_match(path, 'disc/p_..\.yaml')),
+ s1 AS (SELECT concat('split/', regexp_extract(path, '([^/]*)$', 1)) AS path, path AS src, replace(video_path, '.cvbs', '.cvbsy') AS video_path, noise, dropouts FROM (SELECT path, video_path, noise, dropouts FROM b UNION ALL SELECT path, video_path, noise, dropouts FROM d) t),
+ s AS (SELECT path, arg_max(video_path, src) AS video_path, 'yc' AS signal_type, CASE WHEN max(src) LIKE 'denoised/%' THEN NULL ELSE arg_max(noise, src) END AS noise, arg_max(dropouts, src) AS dropouts, CAST(NULL AS BIGINT) AS osd FROM s1 GROUP BY path),
+ a1 AS (SELECT path, video_path, signal_type, noise, osd FROM s WHERE regexp_full_match(path, 'split/.*_dn\.yaml') UNION ALL SELECT path, video_path, signal_type, noise, osd FROM d WHERE regexp_full_match(path, 'denoised/p_1._dn\.yaml')),
+ a2 AS (SELECT concat('archive/', regexp_extract(path, '([^/]*)\.yaml$', 1), '_a.yaml') AS path, path AS src, concat(regexp_replace(video_path, '\.cvbsy?$', ''), '_a.cvbs') AS video_path, signal_type, osd FROM a1),
+ a AS (SELECT path, arg_max(video_path, src) AS video_path, arg_max(signal_type, src) AS signal_type, CAST(NULL AS VARCHAR) AS noise, CAST(NULL AS VARCHAR) AS dropouts, CAST(NULL AS BIGINT) AS osd FROM a2 GROUP BY path)
+SELECT *, 'denoised' AS variant FROM d UNION ALL SELECT *, 'split' FROM s UNION ALL SELECT *, 'archive' FROM a""")
 def derive_variants(spark, sf):
     page = F.col("page_id").cast("string")
     base = view(spark, sf, "pages").select(
-        F.concat(F.when(F.col("page_id") % 2 == 0, "stack").otherwise("plain"), F.lit("/p_"), page, F.lit(".yaml")).alias("path"),
+        F.concat(F.when(F.col("page_id") % 2 == 0, "disc/p_").otherwise("plain/p_"), F.expr("page_id div 2").cast("string"), F.lit(".yaml")).alias("path"),
         F.concat(F.lit("{output}/"), page, F.lit(".cvbs")).alias("video_path"), F.lit("composite").alias("signal_type"),
         F.col("url").alias("noise"), page.alias("dropouts"), F.length("html").cast("bigint").alias("osd"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_own_folder: list[str] = []
 
 
 def build_session(app: str = "framekit", master: str | None = None, **conf: object) -> SparkSession:
@@ -38,7 +41,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-framekit-")
+        if not _own_folder:  # one for this process, gone with it
+            _own_folder.append(tempfile.mkdtemp(prefix="spark-framekit-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        base = _own_folder[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

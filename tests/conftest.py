@@ -7,12 +7,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from framekit.session import build_session
 
     session = build_session(
         "framekit-tests", "local[4]",
-        **{"spark.sql.shuffle.partitions": 4, "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": 4, "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
