@@ -14,7 +14,10 @@ rows. Other columns of the input are not read, so that their names don't matter.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -43,16 +46,23 @@ def _byte_signs() -> list[str]:
     return [signs[b] for b in range(256)]
 
 
+#: What the tokenizer's pattern finds in a word without apostrophes: letters, one digit, or a run of other signs.
+PIECES = re.compile(r"[^\W\d_]+|\d|[\W_]+")
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian 32-bit numbers, which are joined faster than lists."""
-    return np.array(ids, "<i4").tobytes()
+    found = array("i", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
 
 
 class WordEncoder:
     """Ids (see ``as_bytes``) of whole texts by a tokenizer that drops white space, hence word by word.
 
-    Text between ASCII white space is encoded once and remembered. Words of letters go straight to the model; all others, and those
-    whose lower case depends on the context, take the tokenizer's whole path.
+    Text between ASCII white space is encoded once and remembered, and so are its runs of letters, which go straight to the model. Words with
+    apostrophes, uncomposed letters, control strings or a lower case that depends on the context take the tokenizer's whole path.
     """
 
     def __init__(self, path: str):
@@ -64,36 +74,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.signs = _byte_signs()
         self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word: str) -> bytes:
-        found = self.letters.get(word)
+        """Ids of a run of letters in composed form."""
+        found = self.pieces.get(word)
         if found is None:
-            plain = word if word.isascii() else unicodedata.normalize("NFC", word)
-            lower = plain.lower()
-            if "Σ" in word or not lower.isalpha():
+            lower = word.lower()
+            if lower.isascii():
+                found = as_bytes([t.id for t in self.tokenizer.model.tokenize(lower)])
+            elif "Σ" in word or not lower.isalpha():
                 found = self._whole(word)
             else:
                 found = as_bytes([t.id for t in self.tokenizer.model.tokenize("".join(map(self.signs.__getitem__, lower.encode())))])
-            self.letters[word] = found
+            self.pieces[word] = found
+        return found
+
+    def _signs(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces[piece] = self._whole(piece)
         return found
 
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
+        if not word.isascii() and ("İ" in word or not unicodedata.is_normalized("NFC", word)):
+            return self._whole(word)  # that letter's lower case holds a sign that is no letter
         if word.isalpha():
             return self._letters(word)
-        if word[-1] in ".," and word[:-1].isalpha():
-            return self._letters(word[:-1]) + self._letters_tail(word[-1])
-        return self._whole(word)
-
-    def _letters_tail(self, mark: str) -> bytes:
-        found = self.letters.get(mark)
-        if found is None:
-            found = self.letters[mark] = self._whole(mark)
-        return found
+        if "'" in word or "<|" in word:
+            return self._whole(word)
+        return b"".join(self._letters(p) if p.isalpha() else self._signs(p) for p in PIECES.findall(word))
 
     def __call__(self, text: str) -> bytes:
         words, known = text.encode().split(), self.known
@@ -104,9 +118,9 @@ class WordEncoder:
                 if w not in known:
                     known[w] = self._word(w)
         ids = b"".join(map(known.__getitem__, words))
-        if len(known) + len(self.letters) > REMEMBERED:
+        if len(known) + len(self.pieces) > REMEMBERED:
             known.clear()
-            self.letters.clear()
+            self.pieces.clear()
         return ids
 
 
