@@ -346,10 +346,14 @@ def rule_source_profile(profiles: DataFrame) -> DataFrame:
 
 
 def parse_word(text: Column) -> Column:
-    """BIGINT of a 0x-prefixed hexadecimal or a decimal number; null when it is neither."""
-    hex_digits = F.regexp_extract(text, r"^0[xX]([0-9a-fA-F]{1,15})$", 1)
+    """BIGINT of a number by its base: 0x and hexadecimal, 0 and octal, else decimal; null when it is none of these."""
+    hexadecimal = F.regexp_extract(text, r"^0[xX]([0-9a-fA-F]{1,15})$", 1)
+    octal = F.regexp_extract(text, r"^0([0-7]{1,20})$", 1)
     decimal = F.regexp_extract(text, r"^(0|[1-9][0-9]{0,17})$", 1)
-    return F.when(hex_digits != "", F.conv(hex_digits, 16, 10).cast("bigint")).when(decimal != "", decimal.cast("bigint"))
+    return (
+        F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("bigint"))
+        .when(octal != "", F.conv(octal, 8, 10).cast("bigint")).when(decimal != "", decimal.cast("bigint"))
+    )
 
 
 def rule_hex_words(codes: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framekit.dims import by_standard
+from framekit.dims import STANDARDS, by_standard
+from framekit.sources.raw_frames import RAW_RATES, frame_samples
 
 
 def best_of_runs(runs: DataFrame, keys: Sequence[str] = ("project", "threads")) -> DataFrame:
@@ -39,10 +40,14 @@ def suite_results(results: DataFrame, suite: str = "suite") -> DataFrame:
 def size_estimate(projects: DataFrame) -> DataFrame:
     """Output bytes: two bytes per sample (twice for yc) and six per audio sample and channel pair.
 
-    ``projects``: standard, signal_type, n_frames, audio_samples, n_pairs.
+    ``projects``: standard, encoding, signal_type, n_frames, audio_samples, n_pairs. RAW encodings have frames of another size.
     """
     planes = F.when(F.col("signal_type") == "yc", 2).otherwise(1)
-    video = F.col("n_frames") * by_standard("samples_per_frame").cast("bigint") * 2 * planes
+    frame = by_standard("samples_per_frame").cast("bigint")
+    for encoding in RAW_RATES:
+        for standard in STANDARDS:
+            frame = F.when((F.col("encoding") == encoding) & (F.col("standard") == standard), frame_samples(standard, encoding)).otherwise(frame)
+    video = F.col("n_frames") * frame * 2 * planes
     audio = F.col("audio_samples") * 6 * F.col("n_pairs")
     return projects.select(
         *projects.columns, video.alias("video_bytes"), audio.cast("bigint").alias("audio_bytes"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -217,8 +217,8 @@ def _camera_gamma(x: Column) -> Column:
 def component_stats(rows: DataFrame, image: str = "image_id", stride: tuple[int, int] = (1, 1)) -> DataFrame:
     """Luma and colour-difference ranges, 8-bit round-trip error and edge ratio per image.
 
-    ``rows``: image, row ``y``, arrays ``r``, ``g``, ``b`` of linear light in [0, 1]. Neighbours come from
-    the same array, so no window is needed.
+    ``rows``: image, row ``y``, arrays ``r``, ``g``, ``b`` of linear light in [0, 1]. Each pixel is paired with its
+    neighbour inside the row's array, and only the pairs are exploded, so a row is not copied to its pixels.
     """
     step_x, step_y = (max(1, s) for s in stride)
     light = F.arrays_zip("r", "g", "b")
@@ -229,10 +229,9 @@ def component_stats(rows: DataFrame, image: str = "image_id", stride: tuple[int,
         return F.struct(r.alias("r"), g.alias("g"), b.alias("b"), luma.alias("y"), (r - luma).alias("dr"), (b - luma).alias("db"))
 
     lit_rows = rows.filter(F.col("y") % step_y == 0).select(image, F.transform(light, signal).alias("__s"))
-    pixel = lit_rows.select(image, "__s", F.explode(F.sequence(F.lit(0), F.size("__s") - 1, F.lit(step_x))).alias("__x"))
-    pairs = pixel.select(
-        image, F.col("__s")[F.col("__x")].alias("p"), F.get("__s", F.col("__x") + 1).alias("q")
-    )
+    at = F.filter(F.sequence(F.lit(0), F.size("__s"), F.lit(step_x)), lambda x: x < F.size("__s"))
+    made = lit_rows.select(image, F.transform(at, lambda x: F.struct(F.get("__s", x).alias("p"), F.get("__s", x + 1).alias("q"))).alias("__pairs"))
+    pairs = made.select(image, F.inline("__pairs"))
     y, cr, cb = F.col("p.y") * 219.0 + 16.0, F.col("p.dr") * 160.0 + 128.0, F.col("p.db") * 126.0 + 128.0
 
     def byte(x: Column) -> Column:
@@ -262,23 +261,21 @@ def component_stats(rows: DataFrame, image: str = "image_id", stride: tuple[int,
 
 
 def border_check(
-    pixels: DataFrame, width: int, left: int, right: int, threshold: float, image: str = "image_id", examples: int = 5
+    rows: DataFrame, width: int, left: int, right: int, threshold: float, image: str = "image_id", examples: int = 5
 ) -> DataFrame:
     """Border pixels above the black threshold per image and the first examples in raster order.
 
-    ``pixels``: image, x, y, r, g, b. The examples use ranked rows, which Spark limits before the shuffle.
+    ``rows``: image, row ``y``, arrays ``r``, ``g``, ``b``. Only the two ends of a row are looked at, within its arrays; a row sends its
+    counts and at most ``examples`` positions.
     """
-    from pyspark.sql import Window
-
-    border = (F.col("x") < left) | (F.col("x") >= width - right)
-    bad = (F.col("r") > threshold) | (F.col("g") > threshold) | (F.col("b") > threshold)
-    counts = pixels.filter(border).groupBy(image).agg(
-        F.count("*").alias("border_pixels"), F.count(F.when(bad, 1)).alias("bad_pixels")
-    )
+    columns = [x for x in range(width) if x < left or x >= width - right]
+    inside = F.filter(F.array(*(F.lit(x) for x in columns)).cast("array<int>"), lambda x: x < F.size("r"))
+    bad = F.filter(inside, lambda x: (F.get("r", x) > threshold) | (F.get("g", x) > threshold) | (F.get("b", x) > threshold))
+    found = rows.select(image, "y", F.size(inside).alias("__n"), bad.alias("__bad"))
+    counts = found.groupBy(image).agg(F.sum("__n").cast("bigint").alias("border_pixels"), F.sum(F.size("__bad")).cast("bigint").alias("bad_pixels"))
     order = Window.partitionBy(image).orderBy("y", "x")
-    first = pixels.filter(border & bad).select(image, "y", "x").withColumn("__rank", F.row_number().over(order)).filter(
-        F.col("__rank") <= examples
-    ).groupBy(image).agg(
+    some = found.filter(F.size("__bad") > 0).select(image, "y", F.explode(F.slice("__bad", 1, examples)).alias("x"))
+    first = some.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= examples).groupBy(image).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("__rank", "x", "y"))), lambda e: F.format_string("%d,%d", e["x"], e["y"])

@@ -95,9 +95,12 @@ def duplicate_summary(spark, sf):
     return cmp.duplicate_summary(cmp.duplicate_frames(phased(spark, sf)))
 
 
-@query("approx_distinct_frames")
+@query("approx_distinct_frames", f"WITH {FRAMES} SELECT source, count(DISTINCT (section_type, identity, phase)) AS n_distinct, TRUE AS within FROM f GROUP BY 1")
 def approx_distinct_frames(spark, sf):
-    return cmp.approx_distinct_frames(phased(spark, sf))
+    frames = phased(spark, sf)
+    exact = cmp.duplicate_summary(cmp.duplicate_frames(frames)).select("source", "n_distinct")
+    off = F.abs(F.col("n_distinct_approx") - F.col("n_distinct"))
+    return cmp.approx_distinct_frames(frames).join(exact, "source").select("source", "n_distinct", (off <= F.greatest(F.lit(1.0), 0.06 * F.col("n_distinct"))).alias("within"))
 
 
 @query("project_diff", """WITH

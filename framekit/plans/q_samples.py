@@ -154,11 +154,6 @@ def component_stats(spark, sf):
     return out.select("image_id", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("image_id", "n")])
 
 
-def pixels(spark, sf):
-    px = F.posexplode(F.arrays_zip("r", "g", "b")).alias("x", "p")
-    return images(spark, sf).select("image_id", "y", px).select("image_id", "x", "y", "p.r", "p.g", "p.b")
-
-
 BORDER = f"""{IMAGE},
  bd AS (SELECT *, lr > 0.8 OR lg > 0.8 OR lb > 0.8 AS bad FROM rgb WHERE x < 1 OR x >= 7),
  rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, bad ORDER BY y, x) AS n FROM bd),
@@ -167,7 +162,7 @@ BORDER = f"""{IMAGE},
 
 @query("border_check", f"WITH {BORDER} SELECT * FROM brd")
 def border_check(spark, sf):
-    return sm.border_check(pixels(spark, sf), 8, 1, 1, 0.8)
+    return sm.border_check(images(spark, sf), 8, 1, 1, 0.8)
 
 
 @query("check_report", f"""WITH {BORDER},
@@ -175,7 +170,7 @@ def border_check(spark, sf):
 SELECT image_id, CASE WHEN bool_or(NOT ok AND severity = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS verdict, count(*) AS n_checks, count(*) FILTER (WHERE NOT ok) AS n_not_ok,
  coalesce(string_agg(CASE WHEN NOT ok AND severity = 'FAIL' THEN name END, ',' ORDER BY name), '') AS failures, CASE WHEN bool_or(NOT ok) THEN 'FAIL' ELSE 'PASS' END AS strict_verdict FROM ch GROUP BY 1""")
 def check_report(spark, sf):
-    border = sm.border_check(pixels(spark, sf), 8, 1, 1, 0.8)
+    border = sm.border_check(images(spark, sf), 8, 1, 1, 0.8)
     light = images(spark, sf).groupBy("image_id").agg(F.max(F.array_max("r")).alias("hi"), F.min(F.array_min("r")).alias("lo"))
 
     def check(df, name, ok, severity):

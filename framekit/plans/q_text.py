@@ -27,15 +27,16 @@ def suite_results(spark, sf):
 
 SIZES = """
  n AS (SELECT project_id, sum(n_frames) AS n_frames FROM fx_placed GROUP BY 1),
- p AS (SELECT project_id, standard, CASE WHEN project_id % 3 = 0 THEN 'yc' ELSE 'composite' END AS signal_type, coalesce(n_frames, 0) AS n_frames, project_id % 4 AS n_pairs FROM fx_project LEFT JOIN n USING (project_id)),
+ p AS (SELECT project_id, standard, CASE project_id % 5 WHEN 0 THEN 28 WHEN 1 THEN 40 END AS rate, CASE WHEN project_id % 3 = 0 THEN 'yc' ELSE 'composite' END AS signal_type, coalesce(n_frames, 0) AS n_frames, project_id % 4 AS n_pairs FROM fx_project LEFT JOIN n USING (project_id)),
  a AS (SELECT *, CASE standard WHEN 'PAL' THEN n_frames * 1920 ELSE n_frames // 5 * 8008 + CASE n_frames % 5 WHEN 0 THEN 0 WHEN 1 THEN 1602 WHEN 2 THEN 3203 WHEN 3 THEN 4805 ELSE 6406 END END AS audio_samples FROM p),
- z AS (SELECT *, n_frames * CASE standard WHEN 'PAL' THEN 709379 WHEN 'NTSC' THEN 477750 ELSE 477225 END * 2 * CASE signal_type WHEN 'yc' THEN 2 ELSE 1 END AS video_bytes, audio_samples * 6 * n_pairs AS audio_bytes FROM a)"""
+ z AS (SELECT *, n_frames * CASE WHEN rate = 28 THEN CASE standard WHEN 'PAL' THEN 1120000 ELSE 934267 END WHEN rate = 40 THEN CASE standard WHEN 'PAL' THEN 1600000 ELSE 1334667 END WHEN standard = 'PAL' THEN 709379 ELSE CASE standard WHEN 'NTSC' THEN 477750 ELSE 477225 END END * 2 * CASE signal_type WHEN 'yc' THEN 2 ELSE 1 END AS video_bytes, audio_samples * 6 * n_pairs AS audio_bytes FROM a)"""
 
 
 def sized(spark, sf):
     counts = view(spark, sf, "fx_placed").groupBy("project_id").agg(F.sum("n_frames").alias("n_frames"))
     projects = view(spark, sf, "fx_project").join(counts, "project_id", "left").select(
-        "project_id", "standard", F.when(F.col("project_id") % 3 == 0, "yc").otherwise("composite").alias("signal_type"),
+        "project_id", "standard", F.expr("CASE project_id % 5 WHEN 0 THEN 'RAW_S16_28M' WHEN 1 THEN 'RAW_S16_40M' ELSE 'CVBS_U10_4FSC' END").alias("encoding"),
+        F.when(F.col("project_id") % 3 == 0, "yc").otherwise("composite").alias("signal_type"),
         F.coalesce("n_frames", F.lit(0)).cast("bigint").alias("n_frames"), (F.col("project_id") % 4).alias("n_pairs"),
     )
     return rn.size_estimate(projects.withColumn("audio_samples", clocks.audio_offset_48k(F.col("n_frames"))))

@@ -75,29 +75,29 @@ def constraint_violations(df: DataFrame, table: str) -> DataFrame:
     return rows.unionByName(twice)
 
 
-def write_sidecar(df: DataFrame, path: str, table: str, files: Sequence[int] | None = None) -> None:
+def write_sidecar(df: DataFrame, path: str, table: str, files: Sequence[int] | DataFrame | None = None) -> None:
     """Replace the rows of the files in ``df``; other files stay.
 
-    ``files`` names all files of this run, so that one without rows loses its old ones. The rebalance hint
-    keeps small files in few pieces and lets a very large one be written by many tasks.
+    ``files`` names all files of this run, so that one without rows loses its old ones: it gets one row without values, which replaces its
+    folder in the same commit and which ``read_sidecar`` leaves out. The rebalance hint keeps small files in few pieces and lets a
+    very large one be written by many tasks.
     """
     spark = df.sparkSession
-    target = f"{path}/{table}"
-    if files:
-        present = {r[0] for r in df.select(KEY).filter(F.col(KEY).isin(*files)).distinct().collect()}
-        jvm = spark._jvm
-        for gone in set(files) - present:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{target}/{KEY}={gone}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    rows = df
+    if files is not None:
+        named = files.select(KEY) if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], f"{KEY} bigint")
+        gone = named.distinct().join(df.select(KEY).distinct(), KEY, "left_anti")
+        rows = df.unionByName(gone, allowMissingColumns=True)
     (
-        df.hint("rebalance", KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(KEY).parquet(target)
+        rows.hint("rebalance", KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(KEY).parquet(f"{path}/{table}")
     )
 
 
 def read_sidecar(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A sidecar table with its fixed schema; filters on the file prune folders."""
-    return spark.read.schema(TABLES[table]["schema"]).parquet(f"{path}/{table}")
+    rows = spark.read.schema(TABLES[table]["schema"]).parquet(f"{path}/{table}")
+    return rows.filter(F.coalesce(*(F.col(c).cast("string") for c in rows.columns if c != KEY)).isNotNull())
 
 
 def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
