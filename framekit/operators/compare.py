@@ -93,27 +93,42 @@ def capture_pairs(frames: DataFrame, keys: Sequence[str], pairs: DataFrame | Non
     """Rows to compare: each capture against the lowest capture of its key, or the listed pairs.
 
     Equality is transitive, so one baseline per key decides whether the whole group is identical; the
-    work stays linear in the rows. ``pairs`` (capture_a, capture_b) names other comparisons.
+    work stays linear in the rows. ``pairs`` (capture_a, capture_b) names other comparisons. A capture that shows a key several times
+    counts once, by its latest ``frame_id`` where there is one. Digests of the arrays are compared first; only where they differ are
+    the arrays themselves brought together (``identical`` is then false), else they are empty.
     """
-    cols = [*keys, "capture_id", "samples"]
-    rows = frames.select(*cols)
+    newest = F.struct(F.col("frame_id") if "frame_id" in frames.columns else F.lit(0), F.col("__h"), F.col("__n"))
+    hashed = frames.select("*", F.xxhash64("samples").alias("__h"), F.size("samples").alias("__n"))
+    shown = hashed.groupBy(*keys, "capture_id").agg(F.max(newest).alias("__top")).select(*keys, "capture_id", "__top.__h", "__top.__n")
+
+    def side(name: str) -> DataFrame:
+        return shown.withColumnsRenamed({"capture_id": f"capture_{name}", "__h": f"__h{name}", "__n": f"__n{name}"})
+
     if pairs is None:
-        lowest = rows.groupBy(*keys).agg(F.min("capture_id").alias("capture_a"))
-        b = rows.withColumnsRenamed({"capture_id": "capture_b", "samples": "samples_b"})
-        base = rows.withColumnsRenamed({"capture_id": "capture_a", "samples": "samples_a"}).join(lowest, [*keys, "capture_a"])
-        return b.join(base, list(keys)).filter(F.col("capture_b") != F.col("capture_a"))
-    a = rows.withColumnsRenamed({"capture_id": "capture_a", "samples": "samples_a"})
-    b = rows.withColumnsRenamed({"capture_id": "capture_b", "samples": "samples_b"})
-    return a.join(pairs, "capture_a").join(b, [*keys, "capture_b"])
+        lowest = shown.groupBy(*keys).agg(F.min(F.struct(F.col("capture_id").alias("capture_a"), F.col("__h").alias("__ha"), F.col("__n").alias("__na"))).alias("__low"))
+        met = side("b").join(lowest.select(*keys, "__low.*"), list(keys)).filter(F.col("capture_b") != F.col("capture_a"))
+    else:
+        met = side("a").join(pairs, "capture_a").join(side("b"), [*keys, "capture_b"])
+    same = (F.col("__ha") == F.col("__hb")) & (F.col("__na") == F.col("__nb"))
+    cols = [*keys, "capture_a", "capture_b"]
+    unequal = met.filter(~same)
+    wanted = unequal.select(*keys, F.explode(F.array(F.struct(F.col("capture_a").alias("c"), F.col("__ha").alias("h")), F.struct(F.col("capture_b").alias("c"), F.col("__hb").alias("h")))).alias("w"))
+    wanted = wanted.select(*keys, F.col("w.c").alias("capture_id"), F.col("w.h").alias("__h")).distinct()
+    held = hashed.join(wanted, [*keys, "capture_id", "__h"], "left_semi").groupBy(*keys, "capture_id", "__h").agg(F.first("samples").alias("samples"))
+    for name in ("a", "b"):
+        arrays = held.withColumnsRenamed({"capture_id": f"capture_{name}", "__h": f"__h{name}", "samples": f"samples_{name}"})
+        unequal = unequal.join(arrays, [*keys, f"capture_{name}", f"__h{name}"])
+    none = F.array().cast(frames.schema["samples"].dataType)
+    equal = met.filter(same).select(*cols, none.alias("samples_a"), none.alias("samples_b"), F.lit(True).alias("identical"))
+    return unequal.select(*cols, "samples_a", "samples_b", F.lit(False).alias("identical")).unionByName(equal)
 
 
 def compare_captures(frames: DataFrame, keys: Sequence[str] = ("picture_number",), pairs: DataFrame | None = None) -> DataFrame:
     """M4: per compared pair: identical or not, differing samples, first difference and both values."""
     rows = capture_pairs(frames, keys, pairs).withColumn("__d", _differences("samples_a", "samples_b"))
     first = F.get("__d", F.lit(0))
-    same = (F.size("__d") == 0) & (F.size("samples_a") == F.size("samples_b"))
     return rows.select(
-        *keys, "capture_a", "capture_b", same.alias("identical"), F.size("__d").alias("n_diff"),
+        *keys, "capture_a", "capture_b", "identical", F.size("__d").alias("n_diff"),
         first.alias("first_diff"), F.get("samples_a", first).alias("value_a"), F.get("samples_b", first).alias("value_b"),
     )
 

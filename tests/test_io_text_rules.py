@@ -66,6 +66,15 @@ def test_named_pairs_cover_all_pairs(spark):
     assert (row.n_diff, row.first_diff, row.value_a, row.value_b) == (1, 1, 2, 5)
 
 
+def test_repeated_frames_count_once_and_the_latest_counts(spark):
+    rows = [(9, c, f, [1, 2, 3] if f < 3 or c == 1 else [1, 2, 4]) for c in (1, 2) for f in range(4)] + [(8, c, 0, None if c == 1 else [5]) for c in (1, 2)]
+    df = spark.createDataFrame(rows, "picture_number bigint, capture_id bigint, frame_id bigint, samples array<int>")
+    got = {r.picture_number: r for r in compare.compare_captures(df).collect()}
+    assert len(got) == 2 == compare.compare_captures(df).count()
+    assert (got[9].identical, got[9].n_diff, got[9].first_diff, got[9].value_a, got[9].value_b) == (False, 1, 2, 3, 4)
+    assert got[8].identical is False
+
+
 def test_digest_ignores_layout(spark):
     df = spark.range(1000).select("id", (F.col("id") * 3).alias("x"))
     assert compare.table_digest(df.repartition(7)).collect() == compare.table_digest(df.orderBy(F.desc("x"))).collect()

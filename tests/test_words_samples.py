@@ -87,3 +87,12 @@ def test_votes_on_wide_and_missing_words(spark):
     got = {(r.frame_id, r.word): (r.votes, r.agreement) for r in vbi.vote_frame_codes(df).collect()}
     assert (1, None) in got and got[1, None] == (2, 1.0)
     assert [w for f, w in got if f == 0] and all(w is None or w >= wide for _, w in got)
+
+
+def test_pixels_do_not_carry_their_row(spark):
+    df = spark.createDataFrame([(1, 0, [0.1, 0.5, 0.9], [0.1, 0.5, 0.9], [0.1, 0.5, 0.9])], "image_id bigint, y int, r array<double>, g array<double>, b array<double>")
+    out = sm.component_stats(df)
+    assert out.first().n == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    generates = [line for line in plan.splitlines() if "Generate" in line]
+    assert generates and all("[image_id" in line and "__s" not in line.split("],")[-2] for line in generates)
