@@ -190,6 +190,25 @@ def chapter_state(sections: DataFrame) -> DataFrame:
     )
 
 
+def fm_state(sections: DataFrame) -> DataFrame:
+    """Counters of the FM codes at the first frame of each section: ``fm_picture_first`` and ``fm_time_first`` (frames).
+
+    Each runs from the first section that declares its code (``declares_fm_picture`` with ``pn_anchor`` or 1, ``declares_fm_time``) and counts
+    programme frames of sections that carry codes.
+    """
+    frames = F.when(F.col("carries_codes") & (F.col("section_type") == "programme_area"), F.col("n_frames")).otherwise(0).cast("bigint")
+
+    def running(flag: str) -> Column:
+        since = F.sum(F.col(flag).cast("int")).over(_sections(_FIRST, 0)) > 0
+        return F.when(since, frames).otherwise(0)
+
+    start = F.first(F.when(F.col("declares_fm_picture"), F.coalesce("pn_anchor", F.lit(1))), ignorenulls=True).over(_sections(_FIRST, 0))
+    counted = sections.withColumns({"__fm_start": start, "__fm_p": running("declares_fm_picture"), "__fm_t": running("declares_fm_time")})
+    return counted.withColumns({
+        "fm_picture_first": F.col("__fm_start") + _sum_earlier(F.col("__fm_p")), "fm_time_first": _sum_earlier(F.col("__fm_t")),
+    }).drop("__fm_start", "__fm_p", "__fm_t")
+
+
 def chapter_stop_bit(offset: Column | str = "in_section") -> Column:
     at = F.col(offset) if isinstance(offset, str) else offset
     return (F.col("chapter_frames") + F.col("chapter_step") * at >= STOP_BIT_FRAMES).cast("int")

@@ -42,56 +42,72 @@ def assign_line_codes(sections: DataFrame, active_start: int = 0) -> DataFrame:
     )
 
 
-# Code types whose word changes from frame to frame.
-_MOVING = {"picture_number": 1, "chapter_number": 2, "programme_time_code": 3, "clv_picture_number": 4}
 _STOP_BIT = 0x80000
+# Fixed value: the mode digit of FM time in the programme area.
+FM_MODE_PICTURE = 0xD
+FM_TIME_RATE = 30
 
 
-def _section_words(rows: DataFrame) -> DataFrame:
-    """Parts of the words that hold for a whole section, so that the expression per frame stays small."""
-    kind = F.col("code_type")
-    moving = F.lit(0)
-    for name, number in _MOVING.items():
-        moving = F.when(kind == name, number).otherwise(moving)
-    fixed = F.when(kind == "chapter_number", words.chapter_word(F.col("chapter"), F.lit(0)))
-    for name, value in words.FIXED_WORDS.items():
-        fixed = fixed.when(kind == name, F.lit(value))
-    fixed = fixed.when(kind == "programme_status", F.col("status_word")).when(kind == "users_code", F.col("users_word"))
-    return rows.withColumns({
-        "__moving": moving, "__fixed": fixed.cast("int"), "__top": by_standard("max_picture").cast("bigint"),
-        "__minute": by_standard("frames_per_minute").cast("bigint"),
-    })
-
-
-def _frame_word() -> Column:
-    """Word of a frame from its section's parts."""
-    i, at, m = F.col("in_section"), F.col("frame_id"), F.col("__moving")
-    number = F.least(F.col("first_picture") + F.col("picture_step") * i, F.col("__top"))
+def _fm_digits(value: Column, count: int) -> list[Column]:
+    return [clocks.imod(clocks.idiv(value, 10**k), 10) for k in reversed(range(count))]
+
+
+def _frame_words() -> dict[str, Column]:
+    """Word of each code on a frame. FM words come as for field one; the other field's has one bit less."""
+    i, at = F.col("in_section"), F.col("frame_id")
+    top = by_standard("max_picture").cast("bigint")
+    number = F.least(F.col("first_picture") + F.col("picture_step") * i, top)
     stop = F.col("chapter_frames") + F.col("chapter_step") * i >= STOP_BIT_FRAMES
-    minutes = clocks.idiv(at, F.col("__minute"))
+    minutes = clocks.idiv(at, by_standard("frames_per_minute").cast("bigint"))
     hour = F.least(clocks.idiv(minutes, 60), F.lit(15).cast("bigint"))
-    word = (
-        F.when(m == 0, F.col("__fixed"))
-        .when(m == 1, F.when(F.col("first_picture").isNotNull(), words.picture_word(number)))
-        .when(m == 2, F.col("__fixed") + F.when(stop, _STOP_BIT).otherwise(0))
-        .when(m == 3, words.programme_time_word(hour, clocks.imod(minutes, 60)))
-        .otherwise(words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)))
-    )
-    return word.cast("int")
+    seconds = clocks.idiv(F.col("fm_time_first") + i, FM_TIME_RATE)
+    minute, second = clocks.imod(clocks.idiv(seconds, 60), 60), clocks.imod(seconds, 60)
+    fm_number = F.least(F.col("fm_picture_first") + i, F.lit(tl.FM_MAX).cast("bigint"))
+    fm_time = [*_fm_digits(minute, 2), *_fm_digits(second, 2), F.lit(FM_MODE_PICTURE)]
+    return {
+        **{name: F.lit(value) for name, value in words.FIXED_WORDS.items()},
+        "programme_status": F.col("status_word"), "users_code": F.col("users_word"),
+        "picture_number": F.when(F.col("first_picture").isNotNull(), words.picture_word(number)),
+        "chapter_number": words.chapter_word(F.col("chapter"), F.lit(0)) + F.when(stop, _STOP_BIT).otherwise(0),
+        "programme_time_code": words.programme_time_word(hour, clocks.imod(minutes, 60)),
+        "clv_picture_number": words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)),
+        "fm_picture_number": F.when(F.col("fm_picture_first").isNotNull(), words.fm_word(F.lit(True), _fm_digits(fm_number, 5))),
+        "fm_programme_time": words.fm_word(F.lit(True), fm_time),
+    }
+
+
+#: The field bit of an FM word.
+_FIELD_BIT = 1 << 35
 
 
 def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
     """V2: one row per frame and assigned line with the word that must be there; codes without a value send none.
 
-    ``sections`` carry their counters (``assign_picture_numbers``, ``chapter_state``), ``first_frame``,
-    ``n_frames``, ``pass_length``, ``start_frame``, ``status_word`` and ``users_word``. Lines are joined to
-    sections before the frames are made, so no frame is shuffled.
+    ``sections`` carry their counters (``assign_picture_numbers``, ``chapter_state``, ``fm_state``), ``first_frame``,
+    ``n_frames``, ``pass_length``, ``start_frame``, ``status_word`` and ``users_word``. Words are BIGINT: 24 bits, or the 40 bits of FM
+    codes; white flags have a length instead. PAL_M has no FM codes. A section's few lines ride along as an array; each frame is made once,
+    the word of each code that its section sends is worked out once, and then the lines are dealt their words.
     """
-    lines = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample")
-    rows = tl.expand_placed(_section_words(sections.join(lines, list(keys)))).withColumn("word", _frame_word())
-    return rows.filter(F.col("word").isNotNull() | (F.col("kind") != "biphase24")).select(
-        *keys, "frame_id", "line_no", "code_type", "kind", "start_sample", "word"
+    standards = sections.select(*keys, "standard")
+    sent = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample", "flag_length").join(standards, list(keys)).filter(
+        (F.col("kind") != "fm40") | (F.col("standard") == "NTSC")
     )
+    field_one = F.col("line_no") <= F.when(F.col("standard") == "PAL", 312).otherwise(262)
+    line = F.struct("line_no", "code_type", "kind", "start_sample", "flag_length", field_one.alias("field_one"))
+    lines = sent.groupBy(*keys).agg(F.collect_list(line).alias("__lines"))  # at most one row per reserved line
+    frames = tl.expand_placed(sections.join(lines, list(keys)))
+    sends = F.transform("__lines", lambda x: x["code_type"])
+    made = F.named_struct(*(
+        part for name, value in _frame_words().items() for part in (F.lit(name), F.when(F.array_contains(sends, name), value.cast("bigint")))
+    ))
+    dealt = frames.select(*keys, "frame_id", made.alias("__w"), F.explode("__lines").alias("x"))
+    word = F.lit(None).cast("bigint")
+    for name in _frame_words():
+        word = F.when(F.col("x.code_type") == name, F.col(f"__w.{name}")).otherwise(word)
+    word = F.when((F.col("x.kind") == "fm40") & ~F.col("x.field_one"), word - _FIELD_BIT).otherwise(word)
+    return dealt.select(
+        *keys, "frame_id", "x.line_no", "x.code_type", "x.kind", "x.start_sample", "x.flag_length", word.alias("word"),
+    ).filter(F.col("word").isNotNull() | (F.col("kind") == "white_flag"))
 
 
 def word_mismatches(expected: DataFrame, captured: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framekit.dims import FLAG_LENGTH_H, FLAG_START_H, FM_START_H
 from framekit.functions import words
 from framekit.operators import timeline as tl
 from framekit.operators import vbi
@@ -14,13 +15,20 @@ FLAGS = {
     "declares_pn": "picture_number", "declares_chapter": "chapter_number", "declares_status": "programme_status",
     "declares_user": "users_code", "declares_clv": "clv_code",
 }
+#: FM codes that the same flags declare.
+FM_FLAGS = {"declares_pn": "fm_picture_number", "declares_clv": "fm_programme_time", "declares_user": "fm_white_flag"}
 STATUS_WORD, USERS_WORD = 0x8DC1B5, 0x81D234
 
 # One SQL branch per line and candidate, in priority order.
 ASSIGN = """
  lines AS (SELECT section_type, disc_type, standard, l AS line_no, pos FROM (VALUES ('PAL', 313), ('NTSC', 263), ('PAL_M', 263)) s(standard, shift),
-   (VALUES (16), (17), (18)) b(pos), (VALUES ('lead_in'), ('lead_out'), ('programme_area')) t(section_type), (VALUES ('CAV'), ('CLV')) d(disc_type), LATERAL (SELECT unnest([pos, pos + shift]) AS l) u),
+   (VALUES (10), (11), (16), (17), (18)) b(pos), (VALUES ('lead_in'), ('lead_out'), ('programme_area')) t(section_type), (VALUES ('CAV'), ('CLV')) d(disc_type), LATERAL (SELECT unnest([pos, pos + shift]) AS l) u),
  picked AS (SELECT p.*, line_no, CASE
+   WHEN pos <= 11 AND p.standard = 'PAL' THEN NULL
+   WHEN pos = 11 THEN CASE WHEN declares_user AND (line_no = 11 OR p.section_type = 'lead_out') THEN 'fm_white_flag' END
+   WHEN pos = 10 AND p.section_type <> 'programme_area' THEN NULL
+   WHEN pos = 10 AND p.disc_type = 'CAV' THEN CASE WHEN declares_pn THEN 'fm_picture_number' END
+   WHEN pos = 10 THEN CASE WHEN declares_clv THEN 'fm_programme_time' END
    WHEN p.section_type <> 'programme_area' AND pos = 16 THEN CASE WHEN declares_user THEN 'users_code' END
    WHEN p.section_type <> 'programme_area' THEN p.section_type
    WHEN p.disc_type = 'CAV' AND pos = 16 THEN CASE WHEN declares_status THEN 'programme_status' END
@@ -31,18 +39,21 @@ ASSIGN = """
    ELSE CASE WHEN declares_chapter THEN 'chapter_number' END END AS code_type
   FROM fx_placed p JOIN lines l ON l.section_type = p.section_type AND l.disc_type = p.disc_type AND l.standard = p.standard WHERE carries_codes),
  assigned AS (SELECT *, CASE WHEN code_type = 'programme_status' OR (code_type = 'clv_code' AND standard <> 'PAL')
-   THEN CAST(round(0.172 * CASE standard WHEN 'PAL' THEN 1135 WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT) ELSE 0 END AS start_sample FROM picked WHERE code_type IS NOT NULL)"""
+   THEN CAST(round(0.172 * CASE standard WHEN 'PAL' THEN 1135 WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT)
+   WHEN code_type = 'fm_white_flag' THEN CAST(round(FLAG_START * CASE standard WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT)
+   WHEN code_type LIKE 'fm_%' THEN CAST(round(FM_START * CASE standard WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT) ELSE 0 END AS start_sample,
+   CASE WHEN code_type = 'fm_white_flag' THEN CAST(round(FLAG_LENGTH * CASE standard WHEN 'NTSC' THEN 910 ELSE 909 END) AS INT) END AS flag_length FROM picked WHERE code_type IS NOT NULL)""".replace("FLAG_START", str(FLAG_START_H)).replace("FM_START", str(FM_START_H)).replace("FLAG_LENGTH", str(FLAG_LENGTH_H))
 
 
 def coded_sections(placed):
-    codes = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for flag, name in FLAGS.items()]))
+    codes = F.array_compact(F.array(*[F.when(F.col(flag), F.lit(name)) for flag, name in [*FLAGS.items(), *FM_FLAGS.items()]]))
     return placed.filter("carries_codes").withColumn("code_types", codes)
 
 
-@query("assign_line_codes", f"WITH {ASSIGN} SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, start_sample FROM assigned")
+@query("assign_line_codes", f"WITH {ASSIGN} SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, start_sample, flag_length FROM assigned")
 def assign_line_codes(spark, sf):
     return vbi.assign_line_codes(coded_sections(view(spark, sf, "fx_placed"))).select(
-        "project_id", "section_no", "line_no", "code_type", "start_sample"
+        "project_id", "section_no", "line_no", "code_type", "start_sample", "flag_length"
     )
 
 
@@ -53,24 +64,40 @@ def assign_line_codes(spark, sf):
  c AS (SELECT *, coalesce(anc, CASE WHEN declares_pn AND seen = 0 THEN 1 END) AS beg, coalesce(canc, CASE WHEN declares_chapter AND cseen = 0 THEN 0 END) AS cbeg FROM b),
  d AS (SELECT project_id, section_no, pre, last_value(beg - pre IGNORE NULLS) OVER w AS base, last_value(cbeg IGNORE NULLS) OVER w AS chapter, last_value(CASE WHEN cbeg IS NOT NULL THEN pre END IGNORE NULLS) OVER w AS cpre
    FROM c WINDOW w AS (PARTITION BY project_id ORDER BY section_no ROWS UNBOUNDED PRECEDING)),
- f AS (SELECT s.project_id, s.section_no, line_no, code_type, first_frame + i AS frame_id, least(base + pre + i, CASE standard WHEN 'NTSC' THEN 79999 ELSE 99999 END) AS pn, chapter, CASE WHEN pre - cpre + i >= 400 THEN 8 ELSE 0 END AS stop
-   FROM assigned s JOIN d USING (project_id, section_no), LATERAL (SELECT unnest(range(n_frames)) AS i) u),
- w AS (SELECT *, CASE code_type WHEN 'lead_in' THEN 8978431 WHEN 'lead_out' THEN 8449774 WHEN 'clv_code' THEN 8912895 WHEN 'programme_status' THEN {STATUS_WORD} WHEN 'users_code' THEN {USERS_WORD}
+ fa AS (SELECT *, CASE WHEN declares_pn THEN coalesce(pn_anchor, 1) END AS fst, CASE WHEN carries_codes AND section_type = 'programme_area' THEN n_frames ELSE 0 END AS pf,
+   sum(CASE WHEN declares_pn THEN 1 ELSE 0 END) OVER w AS sp, sum(CASE WHEN declares_clv THEN 1 ELSE 0 END) OVER w AS stm FROM fx_placed WINDOW w AS (PARTITION BY project_id ORDER BY section_no ROWS UNBOUNDED PRECEDING)),
+ fb AS (SELECT project_id, section_no, first_value(fst IGNORE NULLS) OVER (PARTITION BY project_id ORDER BY section_no ROWS UNBOUNDED PRECEDING)
+   + coalesce(sum(CASE WHEN sp > 0 THEN pf ELSE 0 END) OVER v, 0) AS fmp, coalesce(sum(CASE WHEN stm > 0 THEN pf ELSE 0 END) OVER v, 0) AS fmt
+   FROM fa WINDOW v AS (PARTITION BY project_id ORDER BY section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT s.project_id, s.section_no, line_no, code_type, standard, flag_length, i, least(fmp + i, 79999) AS fn, (fmt + i) // 30 AS fs, first_frame + i AS frame_id, least(base + pre + i, CASE standard WHEN 'NTSC' THEN 79999 ELSE 99999 END) AS pn, chapter, CASE WHEN pre - cpre + i >= 400 THEN 8 ELSE 0 END AS stop
+   FROM (SELECT * FROM assigned WHERE standard = 'NTSC' OR code_type NOT IN ('fm_picture_number', 'fm_programme_time')) s JOIN d USING (project_id, section_no) JOIN fb USING (project_id, section_no), LATERAL (SELECT unnest(range(n_frames)) AS i) u),
+ x AS (SELECT *, CASE code_type WHEN 'fm_picture_number' THEN [fn // 10000, fn // 1000 % 10, fn // 100 % 10, fn // 10 % 10, fn % 10]
+   WHEN 'fm_programme_time' THEN [fs // 60 % 60 // 10, fs // 60 % 60 % 10, fs % 60 // 10, fs % 10, 13] END AS dg FROM f),
+ r AS (SELECT *, list_transform(dg, lambda n: n % 2 * 8 + n // 2 % 2 * 4 + n // 4 % 2 * 2 + n // 8) AS rv FROM x),
+ m AS (SELECT *, rv[5] * 65536 + rv[4] * 4096 + rv[3] * 256 + rv[2] * 16 + rv[1] AS data FROM r),
+ w AS (SELECT *, CASE code_type WHEN 'fm_white_flag' THEN NULL
+   WHEN 'fm_picture_number' THEN (((3 * 2 + CASE WHEN line_no <= 262 THEN 1 ELSE 0 END) * 128 + 114) * 1048576 + data) * 256 + (1 - bit_count(data) % 2) * 128 + 13
+   WHEN 'fm_programme_time' THEN (((3 * 2 + CASE WHEN line_no <= 262 THEN 1 ELSE 0 END) * 128 + 114) * 1048576 + data) * 256 + (1 - bit_count(data) % 2) * 128 + 13
+   WHEN 'lead_in' THEN 8978431 WHEN 'lead_out' THEN 8449774 WHEN 'clv_code' THEN 8912895 WHEN 'programme_status' THEN {STATUS_WORD} WHEN 'users_code' THEN {USERS_WORD}
    WHEN 'picture_number' THEN 15728640 + pn // 10000 * 65536 + pn // 1000 % 10 * 4096 + pn // 100 % 10 * 256 + pn // 10 % 10 * 16 + pn % 10
-   ELSE 8388608 + (stop + chapter // 16) * 65536 + chapter % 16 * 4096 + 3549 END AS word FROM f)
-SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, count(*) AS n_words, CAST(sum(word) AS BIGINT) AS sum_words, CAST(max(word) AS INT) AS last_word
-FROM w GROUP BY 1, 2, 3, 4""")
+   ELSE 8388608 + (stop + chapter // 16) * 65536 + chapter % 16 * 4096 + 3549 END AS word FROM m)
+SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, count(*) AS n_words, CAST(sum(word) AS BIGINT) AS sum_words, CAST(sum((i + 1) * word) AS BIGINT) AS weighted_words, CAST(max(word) AS BIGINT) AS last_word,
+ CAST(max(flag_length) AS INT) AS flag_length FROM w WHERE word IS NOT NULL OR code_type = 'fm_white_flag' GROUP BY 1, 2, 3, 4""")
 def expected_words(spark, sf):
     placed = view(spark, sf, "fx_placed")
     assigned = vbi.assign_line_codes(coded_sections(placed))
-    state = tl.chapter_state(tl.assign_picture_numbers(placed)).filter("carries_codes")
+    flagged = placed.withColumns({"declares_fm_picture": F.col("declares_pn"), "declares_fm_time": F.col("declares_clv")})
+    state = tl.fm_state(tl.chapter_state(tl.assign_picture_numbers(flagged))).filter("carries_codes")
     sections = state.select(
         "project_id", "section_no", "standard", "n_frames", "pass_length", "first_frame", "start_frame",
-        "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step",
+        "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step", "fm_picture_first", "fm_time_first",
         F.lit(STATUS_WORD).alias("status_word"), F.lit(USERS_WORD).alias("users_word"),
     )
-    return vbi.expected_words(sections, assigned).groupBy("project_id", "section_no", "line_no", "code_type").agg(
-        F.count("*").alias("n_words"), F.sum("word").alias("sum_words"), F.max("word").alias("last_word")
+    sent = vbi.expected_words(sections, assigned).join(sections.select("project_id", "section_no", "first_frame"), ["project_id", "section_no"])
+    place = F.col("frame_id") - F.col("first_frame") + 1
+    return sent.groupBy("project_id", "section_no", "line_no", "code_type").agg(
+        F.count("*").alias("n_words"), F.sum("word").alias("sum_words"), F.sum(place * F.col("word")).alias("weighted_words"),
+        F.max("word").alias("last_word"), F.max("flag_length").alias("flag_length"),
     )
 
 
