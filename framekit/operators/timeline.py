@@ -398,7 +398,10 @@ def frame_index_table(counts: DataFrame, totals: DataFrame, keys: list[str]) ->
     placed = scan(
         counts, keys, ["frame_id"],
         {"offset": sum_before(F.col("n").cast("bigint")), "__next": next_row(F.col("frame_id"))},
-    ).join(totals, keys, "left")
+    )
+    # only the last frame of a file meets its total; the frame's own number in the key spreads all others
+    mark = F.when(F.col("__next").isNull(), -1).otherwise(F.col("frame_id")).cast("bigint")
+    placed = placed.withColumn("__mark", mark).join(totals.withColumn("__mark", F.lit(-1).cast("bigint")), [*keys, "__mark"], "left")
     own = F.col("n").cast("bigint")
     return placed.select(
         *keys, "frame_id", "offset",
@@ -520,16 +523,23 @@ def subcode_timeline(tracks: DataFrame) -> DataFrame:
     )
 
 
-def mute_overlap(frames: DataFrame, tracks: DataFrame) -> DataFrame:
-    """44.1 kHz samples of each frame that fall in the pause before track one."""
+def with_pause(sections: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Sections with the 44.1 kHz samples of their project's pause before track one (``pause_from``, ``pause_to``; null without one)."""
     pause = tracks.filter(F.col("pause_sections") > 0).select(
         "project_id",
-        (F.col("start_section") * SUBCODE_SAMPLES).alias("__lo"),
-        ((F.col("start_section") + F.col("pause_sections")) * SUBCODE_SAMPLES).alias("__hi"),
+        (F.col("start_section") * SUBCODE_SAMPLES).alias("pause_from"),
+        ((F.col("start_section") + F.col("pause_sections")) * SUBCODE_SAMPLES).alias("pause_to"),
     )
+    return sections.join(pause, "project_id", "left")
+
+
+def mute_overlap(frames: DataFrame) -> DataFrame:
+    """44.1 kHz samples of each frame that fall in the pause before track one; 0 in projects without a pause.
+
+    ``frames`` are expanded from sections ``with_pause``, so that no frame is shuffled to meet its project's pause.
+    """
     start = clocks.audio_offset_44k(F.col("frame_id"))
     end = clocks.audio_offset_44k(F.col("frame_id") + 1)
-    overlap = F.least(end, F.col("__hi")) - F.greatest(start, F.col("__lo"))
-    return frames.join(pause, "project_id").select(
-        *frames.columns, F.greatest(overlap, F.lit(0).cast("bigint")).alias("muted_samples")
-    )
+    overlap = F.least(end, F.col("pause_to")) - F.greatest(start, F.col("pause_from"))
+    muted = F.when(F.col("pause_to").isNull(), 0).otherwise(F.greatest(overlap, F.lit(0).cast("bigint"))).cast("bigint")
+    return frames.select(*[c for c in frames.columns if c not in ("pause_from", "pause_to")], muted.alias("muted_samples"))

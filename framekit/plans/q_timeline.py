@@ -330,12 +330,13 @@ def subcode_timeline(spark, sf):
 
 @query("mute_overlap", f"""WITH {TRACKS}, {AUDIO},
  p AS (SELECT project_id, start_section * 588 AS lo, (start_section + pause_sections) * 588 AS hi FROM tracks WHERE pause_sections > 0)
-SELECT project_id, CAST(sum(greatest(0, least(o44 + n44, hi) - greatest(o44, lo))) AS BIGINT) AS muted_samples,
- count(*) FILTER (WHERE greatest(0, least(o44 + n44, hi) - greatest(o44, lo)) > 0) AS muted_frames FROM audio JOIN p USING (project_id) GROUP BY 1""")
+SELECT project_id, CAST(sum(CASE WHEN hi IS NULL THEN 0 ELSE greatest(0, least(o44 + n44, hi) - greatest(o44, lo)) END) AS BIGINT) AS muted_samples,
+ count(*) FILTER (WHERE hi IS NOT NULL AND greatest(0, least(o44 + n44, hi) - greatest(o44, lo)) > 0) AS muted_frames FROM audio LEFT JOIN p USING (project_id) GROUP BY 1""")
 def mute_overlap(spark, sf):
     sections = placed(spark, sf)
-    rows = frames(spark, sf, sections).select(*KEY, "standard", "frame_id")
-    out = tl.mute_overlap(rows, tl.track_table(standard_runs(spark, sf, sections)))
+    paused = tl.with_pause(sections.select(*FRAME_COLUMNS), tl.track_table(standard_runs(spark, sf, sections)))
+    rows = tl.expand_placed(paused).select(*KEY, "standard", "frame_id", "pause_from", "pause_to")
+    out = tl.mute_overlap(rows)
     return out.groupBy("project_id").agg(
         F.sum("muted_samples").alias("muted_samples"), F.count(F.when(F.col("muted_samples") > 0, 1)).alias("muted_frames")
     )
