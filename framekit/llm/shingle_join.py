@@ -46,7 +46,7 @@ BLOCK, LEAF, FAN = 4096, 16, 4
 #: Rows of a table of wanted documents that may be broadcast.
 WANTED_ROWS = 1_000_000
 #: Bytes of text that are hashed together, and nodes that a task remembers to emit each once; they change speed only.
-CHUNK_BYTES, REMEMBERED = 1 << 20, 1_000_000
+CHUNK_BYTES, REMEMBERED = 1 << 20, 300_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True

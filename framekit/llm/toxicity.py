@@ -43,7 +43,7 @@ STEMS = (4, 5, 6, 7)
 #: A feature is present when its word or stem occurs so many times.
 TIMES = (1, 2, 4)
 #: Words whose features a Python worker remembers, and counts that a task holds before it hands them on. They change speed only.
-REMEMBERED, HELD = 1_000_000, 400_000
+REMEMBERED, HELD = 250_000, 200_000
 _SEPARATORS = bytes.maketrans(bytes(b for b in range(128) if not chr(b).isalnum()), b" " * sum(not chr(b).isalnum() for b in range(128)))
 
 
