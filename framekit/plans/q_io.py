@@ -13,7 +13,7 @@ from framekit.streaming import streams as st
 
 
 @query("read_raw_frames", """WITH v AS (SELECT label AS capture_id, vec_id, unnest(range(64)) AS i, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 8000) AS BIGINT) AS c FROM embeddings)
-SELECT CAST(capture_id AS BIGINT) AS capture_id, count(DISTINCT vec_id) AS n_frames, CAST(sum(c) AS BIGINT) AS sum_codes, CAST(sum(c * (i + 1)) AS BIGINT) AS sum_weighted FROM v GROUP BY 1""")
+SELECT CAST(capture_id AS BIGINT) AS capture_id, vec_id AS frame_id, CAST(sum(c) AS BIGINT) AS sum_codes, CAST(sum(c * (i + 1)) AS BIGINT) AS sum_weighted FROM v GROUP BY 1, 2""")
 def read_raw_frames(spark, sf):
     frames = view(spark, sf, "embeddings").select(
         F.col("label").cast("bigint").alias("capture_id"), F.col("vec_id").alias("frame_id"),
@@ -26,8 +26,8 @@ def read_raw_frames(spark, sf):
     weighted = F.aggregate(
         F.transform("samples", lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x
     )
-    return rows.groupBy(F.regexp_extract("path", r"capture=(\d+)-", 1).cast("bigint").alias("capture_id")).agg(
-        F.count("*").alias("n_frames"), F.sum(plain).alias("sum_codes"), F.sum(weighted).alias("sum_weighted")
+    return rows.select(
+        F.regexp_extract("path", r"capture=(\d+)-", 1).cast("bigint").alias("capture_id"), "frame_id", plain.alias("sum_codes"), weighted.alias("sum_weighted"),
     )
 
 

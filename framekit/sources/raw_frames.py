@@ -7,14 +7,18 @@ file is read by many tasks; each task yields Arrow batches of a few megabytes.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
 from framekit.dims import STANDARDS
 
+FIRST = re.compile(r"first=(\d+)[^/]*$")
 SCHEMA = "path string, frame_id bigint, samples array<smallint>"
 # Sample rates of the encodings that are not at four times the subcarrier.
 RAW_RATES = {"RAW_S16_28M": 28000000.0, "RAW_S16_40M": 40000000.0}
@@ -37,21 +41,38 @@ class FrameRange(InputPartition):
     count: int
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path on the session's default file system, if it names none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return re.sub(r"^file:/+", "file:///", full)
+
+
+def first_frame(path: str) -> int:
+    """The number of a file's first frame, from its name; 0 where the name has none."""
+    found = FIRST.search(path)
+    return int(found[1]) if found else 0
+
+
 class RawFrameReader(DataSourceReader):
+    """Frames of files in byte ranges. Wanted paths and bounds of ``frame_id`` keep files and ranges from being planned."""
+
     def __init__(self, options: dict[str, str]):
         self.paths = options["path"].split(",")
         n = int(options["framesamples"]) if "framesamples" in options else frame_samples(options["standard"], options["encoding"])
         self.frame_bytes = 2 * n
         self.suffix = options.get("suffix", "")
+        self.only: set[str] | None = None
+        self.low, self.high = 0, 1 << 62
 
     def _files(self) -> Iterator[tuple[str, str, int]]:
         from pyarrow import fs
 
         for path in self.paths:
-            system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            system, root = fs.FileSystem.from_uri(path)
             info = system.get_file_info(root)
             entries = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-            scheme = path.split("://")[0] + "://" if "://" in path else ""
+            scheme = path[: len(path) - len(root)] if path.endswith(root) else path.split("://")[0] + "://"
             for entry in entries:
                 name = entry.path.rsplit("/", 1)[-1]
                 if entry.type == fs.FileType.File and not name.startswith(("_", ".")) and name.endswith(self.suffix):
@@ -61,11 +82,14 @@ class RawFrameReader(DataSourceReader):
         per_task = max(1, TASK_BYTES // self.frame_bytes)
         parts: list[InputPartition] = []
         for path, _, size in sorted(self._files()):
+            if self.only is not None and path not in self.only:
+                continue
             if size % self.frame_bytes:
                 raise ValueError(f"{path}: size {size} is not a multiple of the frame size {self.frame_bytes}")
-            frames = size // self.frame_bytes
-            for first in range(0, frames, per_task):
-                parts.append(FrameRange(path, first, min(per_task, frames - first)))
+            start = first_frame(path)
+            low, high = max(0, self.low - start), min(size // self.frame_bytes, self.high - start)
+            for first in range(low, high, per_task):
+                parts.append(FrameRange(path, first, min(per_task, high - first)))
         return parts
 
     def read(self, partition: FrameRange):
@@ -74,8 +98,8 @@ class RawFrameReader(DataSourceReader):
         from pyarrow import fs
 
         path = partition.path
-        system, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        n = self.frame_bytes // 2
+        system, root = fs.FileSystem.from_uri(path)
+        n, start = self.frame_bytes // 2, first_frame(path)
         step = max(1, BATCH_BYTES // self.frame_bytes)
         with system.open_input_file(root) as file:
             for at in range(partition.first, partition.first + partition.count, step):
@@ -88,13 +112,31 @@ class RawFrameReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([path] * k, type=pa.string()),
-                        pa.array(np.arange(at, at + k, dtype="int64")),
+                        pa.array(np.arange(start + at, start + at + k, dtype="int64")),
                         pa.ListArray.from_arrays(offsets, values),
                     ],
                     names=["path", "frame_id", "samples"],
                 )
 
 
+class FilteredRawFrameReader(RawFrameReader):
+    """The reader for sessions that push filters to Python sources."""
+
+    def pushFilters(self, filters):  # type: ignore[no-untyped-def]  # noqa: N802
+        """All filters are also left to Spark; here they only narrow what is read."""
+        for f in filters:
+            name, value = getattr(f, "attribute", (None,))[-1], getattr(f, "value", None)
+            if name == "path" and isinstance(f, (EqualTo, In)):
+                wanted = {value} if isinstance(f, EqualTo) else set(value)
+                self.only = wanted if self.only is None else self.only & wanted
+            elif name == "frame_id" and value is not None:
+                if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
+                    self.high = min(self.high, value + (not isinstance(f, LessThan)))
+            yield f
+
+
 class RawFrames(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -104,54 +146,74 @@ class RawFrames(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RawFrameReader:  # type: ignore[no-untyped-def]
-        return RawFrameReader(dict(self.options))
+        options = dict(self.options)
+        return (FilteredRawFrameReader if options.get("pushdown") == "true" else RawFrameReader)(options)
 
 
 def read_raw_frames(
     spark: SparkSession, paths: str | list[str], standard: str = "PAL", encoding: str = "CVBS_U10_4FSC",
     samples: int | None = None, suffix: str = "",
 ) -> DataFrame:
-    """Frames of raw sample files or folders; ``samples`` overrides the frame size of the standard."""
+    """Frames of raw sample files or folders; ``samples`` overrides the frame size of the standard.
+
+    A file whose name holds ``first=<n>`` starts at that frame. Filters are pushed to the files where the session allows it
+    (``spark.sql.python.filterPushdown.enabled``).
+    """
     spark.dataSource.register(RawFrames)
     reader = spark.read.format("raw_frames").option("standard", standard).option("encoding", encoding).option("suffix", suffix)
+    reader = reader.option("pushdown", str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower())
     if samples is not None:
         reader = reader.option("frameSamples", str(samples))
-    return reader.option("path", paths if isinstance(paths, str) else ",".join(paths)).load()
+    named = [paths] if isinstance(paths, str) else paths
+    return reader.option("path", ",".join(qualified(spark, p) for p in named)).load()
 
 
 def write_raw_frames(frames: DataFrame, folder: str, per_file: int = 4096) -> DataFrame:
     """Write (capture_id, frame_id, codes) as raw files of up to ``per_file`` consecutive frames each.
 
     Rows of one file meet in one task in frame order; a capture of any length becomes many files, so no
-    task holds a whole capture. Returns one row per file. A retried task rewrites the same name.
+    task holds a whole capture. A gap in the frames starts a new file, named after its first frame. A task writes under a name of its own
+    and renames the file when it is whole, so a second attempt replaces it. Returns one row per file.
     """
     from pyspark.sql import functions as F
 
+    folder = qualified(frames.sparkSession, folder)
     parts = frames.select("capture_id", "frame_id", "codes", F.floor(F.col("frame_id") / per_file).alias("part"))
 
     def write(batches):  # type: ignore[no-untyped-def]
+        import uuid
+
         import numpy as np
         import pandas as pd
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        key, out, done = None, None, 0
+        key, out, own, first, done = None, None, "", 0, 0
+        rows: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                final = f"{root}/capture={key[0]}-first={first:012d}.raw"
+                if system.get_file_info(final).type == fs.FileType.File:
+                    system.delete_file(final)
+                system.move(own, final)
+                rows.append((int(key[0]), int(first), done))
+
         for batch in batches:
-            rows = []
-            for capture, part, codes in zip(batch["capture_id"], batch["part"], batch["codes"]):
-                if (capture, part) != key:
-                    if out is not None:
-                        out.close()
-                        rows.append((int(key[0]), int(key[1]), done))
-                    key, done = (capture, part), 0
-                    out = system.open_output_stream(f"{root}/capture={capture}-part={part:08d}.raw")
+            for capture, part, frame, codes in zip(batch["capture_id"], batch["part"], batch["frame_id"], batch["codes"]):
+                if (capture, part) != key or frame != first + done:
+                    close()
+                    key, first, done = (capture, part), int(frame), 0
+                    own = f"{root}/_{uuid.uuid4().hex}.tmp"
+                    out = system.open_output_stream(own)
                 out.write(np.asarray(codes, dtype="<i2").tobytes())
                 done += 1
-            yield pd.DataFrame(rows, columns=["capture_id", "part", "n_frames"])
-        if out is not None:
-            out.close()
-            yield pd.DataFrame([(int(key[0]), int(key[1]), done)], columns=["capture_id", "part", "n_frames"])
+            yield pd.DataFrame(rows, columns=["capture_id", "first_frame", "n_frames"])
+            rows.clear()
+        close()
+        yield pd.DataFrame(rows, columns=["capture_id", "first_frame", "n_frames"])
 
     ordered = parts.repartition("capture_id", "part").sortWithinPartitions("capture_id", "part", "frame_id")
-    return ordered.mapInPandas(write, "capture_id bigint, part bigint, n_frames bigint")
+    return ordered.mapInPandas(write, "capture_id bigint, first_frame bigint, n_frames bigint")

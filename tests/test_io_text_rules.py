@@ -9,7 +9,7 @@ from framekit.sources import logs, raw_frames, sidecar
 def test_raw_files_are_split_and_checked(spark, tmp_path, monkeypatch):
     codes = np.arange(64 * 50, dtype="<i2").reshape(50, 64)
     (tmp_path / "a.raw").write_bytes(codes.tobytes())
-    reader = raw_frames.RawFrameReader({"path": str(tmp_path), "framesamples": "64"})
+    reader = raw_frames.RawFrameReader({"path": f"file://{tmp_path}", "framesamples": "64"})
     monkeypatch.setattr(raw_frames, "TASK_BYTES", 128 * 20)
     assert [(p.first, p.count) for p in reader.partitions()] == [(0, 20), (20, 20), (40, 10)]
     rows = raw_frames.read_raw_frames(spark, str(tmp_path), samples=64).orderBy("frame_id").collect()
@@ -19,6 +19,30 @@ def test_raw_files_are_split_and_checked(spark, tmp_path, monkeypatch):
         reader.partitions()
 
 
+def test_written_frames_keep_their_numbers(spark, tmp_path):
+    numbers = [0, 1, 2, 7, 8, 31, 32, 33]
+    frames = spark.createDataFrame([(5, f, [f, f + 1]) for f in numbers], "capture_id bigint, frame_id bigint, codes array<smallint>")
+    for _ in range(2):  # a second run replaces the files
+        files = raw_frames.write_raw_frames(frames, str(tmp_path), per_file=32).collect()
+    assert sorted((r.first_frame, r.n_frames) for r in files) == [(0, 3), (7, 2), (31, 1), (32, 2)]
+    got = raw_frames.read_raw_frames(spark, str(tmp_path), samples=2, suffix=".raw").orderBy("frame_id").collect()
+    assert [(r.frame_id, list(r.samples)) for r in got] == [(f, [f, f + 1]) for f in numbers]
+    assert not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]
+    from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = raw_frames.read_raw_frames(spark, str(tmp_path), samples=2, suffix=".raw").filter("frame_id > 1 and frame_id <= 7")
+        assert sorted(r.frame_id for r in some.collect()) == [2, 7]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    reader = raw_frames.FilteredRawFrameReader({"path": f"file://{tmp_path}", "framesamples": "2", "suffix": ".raw"})
+    assert len(list(reader.pushFilters([GreaterThan(("frame_id",), 1), LessThanOrEqual(("frame_id",), 7)]))) == 2
+    assert [(raw_frames.first_frame(p.path) + p.first, p.count) for p in reader.partitions()] == [(2, 1), (7, 1)]
+    path = reader.partitions()[1].path
+    list(reader.pushFilters([EqualTo(("path",), path)]))
+    assert [p.path for p in reader.partitions()] == [path]
+
+
 def test_frame_sizes():
     assert raw_frames.frame_samples("PAL", "CVBS_U10_4FSC") == 709379
     assert raw_frames.frame_samples("PAL", "RAW_S16_28M") == 1120000

@@ -15,7 +15,8 @@ QUICK = [
     "quantise_samples", "nonstandard_rollup", "resample_linear", "requantise_24_to_16", "measure_noise", "pulse_widths",
     "border_check", "diff_manifests", "table_digest", "compare_captures", "diff_regions", "project_diff", "best_of_runs",
     "resolve_tokens", "resolve_paths", "derive_variants", "rule_unique", "rule_hex_words", "rule_tokens", "rule_exclusive",
-    "constraint_violations", "parse_run_logs", "stream_sidecar_dedup", "read_raw_frames",
+    "constraint_violations", "parse_run_logs", "stream_sidecar_dedup", "read_raw_frames", "stream_continuity", "stream_dropout_rate",
+    "stream_dropout_bursts", "stream_validate", "section_runs", "sequence_phase", "expected_words", "mute_overlap",
 ]
 
 
