@@ -7,8 +7,9 @@ inside long groups), have a Spark builder as well.
 
 from __future__ import annotations
 
+import contextlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,8 +214,23 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+
+
+@contextlib.contextmanager
+def shared_view(spark: SparkSession, sf_dir: str, name: str) -> Iterator[None]:
+    """Write a view once and let all views that are built meanwhile read it."""
+    _SHARED[sf_dir, name] = cut(view(spark, sf_dir, name), name)
+    try:
+        yield
+    finally:
+        del _SHARED[sf_dir, name]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view ``name`` over the tables in ``sf_dir`` as a DataFrame."""
+    if (sf_dir, name) in _SHARED:
+        return _SHARED[sf_dir, name]
     if name in TABLES:
         return table(spark, sf_dir, name)
     if name in _BUILDERS:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framekit.operators import rules as ru
-from framekit.plans.fixtures import view
-from framekit.plans.registry import query
+from framekit.plans.fixtures import shared_view, view
+from framekit.plans.registry import ORACLES, QUERIES, query
 from framekit.session import cut
 
 
@@ -250,7 +250,10 @@ def rule_completeness(spark, sf):
     return completeness(spark, sf)
 
 
-ALL = f"{COMPAT},\n{ORDERING},\n{COMPLETE},\n dom AS ({DOMAIN}),\n found AS (SELECT * FROM compat UNION ALL SELECT * FROM ordering UNION ALL SELECT * FROM complete UNION ALL SELECT * FROM dom)"
+#: The rule families in the order of their queries; the report is over all of them.
+FAMILIES = [slug for slug in QUERIES if slug.startswith("rule_")]
+FINDING = "CAST(project_id AS BIGINT) AS project_id, CAST(section_no AS INT) AS section_no, rule, severity, detail"
+ALL = "found AS (" + " UNION ALL ".join(f"SELECT {FINDING} FROM ({ORACLES[slug]}) q" for slug in FAMILIES) + ")"
 
 
 @query("validation_report", f"""WITH {ALL},
@@ -261,8 +264,9 @@ ALL = f"{COMPAT},\n{ORDERING},\n{COMPLETE},\n dom AS ({DOMAIN}),\n found AS (SEL
 SELECT p.project_id, coalesce(a.e, 0) = 0 AS is_valid, coalesce(a.e, 0) AS n_errors, coalesce(w, 0) AS n_warnings, CAST(fs AS INT) AS first_error_section, coalesce(r, '') AS failed_rules, coalesce(fo.e, 0) AS first_only_errors
 FROM fx_config p LEFT JOIN a ON a.project_id = p.project_id LEFT JOIN fo ON fo.project_id = p.project_id""")
 def validation_report(spark, sf):
-    parts = [domain(spark, sf), compatibility(spark, sf), ordering(spark, sf), completeness(spark, sf)]
-    found = [cut(ru.all_findings(parts), "findings")]
+    with shared_view(spark, sf, "fx_line_numbered"):
+        parts = [QUERIES[slug](spark, sf).selectExpr("CAST(project_id AS BIGINT) AS project_id", "CAST(section_no AS INT) AS section_no", "rule", "severity", "detail") for slug in FAMILIES]
+        found = [cut(ru.all_findings(parts), "findings")]
     projects = view(spark, sf, "fx_config")
     full = ru.validation_report(projects, found)
     first = ru.validation_report(projects, found, first_only=True).select("project_id", F.col("n_errors").alias("first_only_errors"))
