@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from framekit.llm.common import slices
+from framekit.llm.common import long_texts, slices
 
 #: Characters of a text, bytes of one match and ids of a list that are handled without halving. They change speed only.
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 64, 65536
@@ -157,7 +157,7 @@ def _with_column(df: DataFrame, source: str, name: str, kind: T.DataType, conver
             others = [batch.column(i) for i, f in enumerate(batch.schema) if f.name.lower() != name.lower()]
             yield pa.RecordBatch.from_arrays([*others, convert(batch.column(at))], names=[*(f.name for f in kept), name])
 
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(name, kind)]))
+    return long_texts(df).mapInArrow(run, T.StructType([*kept, T.StructField(name, kind)]))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

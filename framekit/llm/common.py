@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that an Arrow function holds as Python values at once.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1024
 #: A table of at most so many narrow rows may be hinted for broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -21,6 +23,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def long_texts(df: DataFrame) -> DataFrame:
+    """``df``, from now on in Arrow batches of at most ``BATCH_ROWS`` rows.
+
+    Batches are counted in rows, and both the JVM and the Python worker hold a whole one; texts of many kilobytes need few rows to a batch. A
+    smaller setting of the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``rows`` rows, else as it is (adaptive execution then shuffles both sides).
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framekit.llm import boosting
-from framekit.llm.common import slices
+from framekit.llm.common import long_texts, slices
 
 SAMPLE, VARIANTS = 400, 4
 # Names that the web uses, fixed values.
@@ -483,4 +483,4 @@ def extract(pages: DataFrame, model: boosting.Boosted | None = None, id_col: str
             texts = [page_text(p, decode(p, s, z, own)) for p, (s, _, own), z in zip(read, parts, np.split(logits, ends), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[*(f.name for f in kept), out])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
+    return long_texts(pages).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))

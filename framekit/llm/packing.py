@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import slices, small
+from framekit.llm.common import long_texts, slices, small
 from framekit.session import cut
 
 CAPACITY = 2048
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         T.StructField("part", T.IntegerType()), T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("before", T.LongType()),
         T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
     ])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return long_texts(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

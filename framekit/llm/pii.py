@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import BROADCAST_ROWS, slices
+from framekit.llm.common import BROADCAST_ROWS, long_texts, slices
 from framekit.session import cut
 
 # Fixed forms.
@@ -144,7 +144,7 @@ def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
         *kept, T.StructField("base", T._parse_datatype_string(SPANS)),
         T.StructField("seeds", T._parse_datatype_string("array<struct<pattern:string,kind:string,seed:string>>")), T.StructField("digest", T.StringType()),
     ])
-    given = docs.select(*(f.name for f in kept), text_col, text_digest(F.col(text_col)).alias("digest"))
+    given = long_texts(docs).select(*(f.name for f in kept), text_col, text_digest(F.col(text_col)).alias("digest"))
     return given.mapInArrow(run, shape)
 
 

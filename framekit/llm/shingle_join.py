@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import small
+from framekit.llm.common import long_texts, small
 from framekit.llm.components import components
 from framekit.session import cut
 
@@ -162,7 +162,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("digest", T.LongType()),
     ])
-    return docs.select(id_col, text_col, text_digest(text_col).alias("digest")).mapInArrow(run, shape)
+    return long_texts(docs).select(id_col, text_col, text_digest(text_col).alias("digest")).mapInArrow(run, shape)
 
 
 def text_digest(text_col: str) -> Column:
@@ -191,7 +191,7 @@ def prefix_shingles(docs: DataFrame, text_col: str) -> DataFrame:
             if len(seen) > REMEMBERED:
                 seen.clear()
 
-    return docs.select(text_col).mapInArrow(run, "shingle long, node long, n long")
+    return long_texts(docs).select(text_col).mapInArrow(run, "shingle long, node long, n long")
 
 
 def candidate_edges(prefixes: DataFrame) -> DataFrame:

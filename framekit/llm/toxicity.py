@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import slices
+from framekit.llm.common import long_texts, slices
 from framekit.session import cut
 
 SAMPLE = 16_384
@@ -174,7 +174,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
         F.col("id").isNotNull() & F.coalesce(*categories).isNotNull(),
     )
     chosen = ids.withColumn("hash", F.xxhash64("id")).orderBy("hash", "id", *categories).limit(sample).drop("hash")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
+    rows = long_texts(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most ``sample`` rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -266,7 +266,7 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str =
             others = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*others, *(pa.array(found[:, c]) for c in range(len(names)))], names=[*(f.name for f in kept), *names])
 
-    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return long_texts(docs).mapInArrow(run, T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
