@@ -337,13 +337,13 @@ def links(docs: DataFrame, described: DataFrame, groups: DataFrame, id_col: str,
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, digest, component_id``."""
+    """``id, n, digest, root, component_id``; ``root`` is the class's own key, null for an empty set, which is alone."""
     described = cut(describe(docs, id_col, text_col), "described")
     groups = components(candidate_edges(prefix_shingles(docs, text_col)))
     linked = components(links(docs, described, groups, id_col, text_col))
     rooted = described.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select("id", "n", "digest", F.coalesce("least", "id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("id", "n", "digest", "root", F.coalesce("least", "id").alias("component_id"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,21 +352,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: that of smallest id, then of smallest digest of its text; of repeated rows one."""
-    classed = cut(_classed(docs, id_col, text_col), "classed")
-    heads = classed.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.min("digest").alias("head"), F.count("*").alias("rows"))
-    heads = heads.withColumnRenamed("id", "head_id")
-    judged = classed.join(heads, F.col("component_id").eqNullSafe(F.col("head_id")), "left")
-    gone = judged.filter(~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("head")))).select(
-        F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest"),
-    ).distinct()
-    gone = cut(gone, "gone")
-    kept = docs.join(small(gone, WANTED_ROWS), F.col(id_col).eqNullSafe(F.col("gone_id")) & (text_digest(text_col) == F.col("gone_digest")), "left_anti")
-    # only ids that stand in several rows can still be repeated; an empty text links with nothing, so such rows stay
-    repeated = cut(heads.filter("rows > 1").select(F.col("head_id").alias("again")), "repeated")
+    """``docs`` with one document of each class: that of smallest id (null last), then of smallest digest of its text; of repeated rows one.
+
+    Classes are told apart by what links them, never by ids, which may be null or shared by unlike texts. Every row of an empty set stays.
+    """
+    classed = cut(_classed(docs, id_col, text_col).filter("root is not null").select("root", "id", "digest"), "classed")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    heads = classed.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("rows")).filter("rows > 1")
+    heads = cut(heads.select("root", F.col("head.id").alias("head_id"), F.col("head.digest").alias("head_digest")), "heads")
+    is_head = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("digest") == F.col("head_digest"))
+    judged = classed.join(small(heads, WANTED_ROWS), "root").select("id", "digest", is_head.alias("is_head"))
+    # a text has one class, so an id with a digest names rows of one class
+    pairs = cut(judged.groupBy("id", "digest", "is_head").agg(F.count("*").alias("rows")), "pairs")
+
+    def named(rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        found = small(rows.select(F.col("id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest")), WANTED_ROWS)
+        return found, F.col(id_col).eqNullSafe(F.col(f"{name}_id")) & (text_digest(text_col) == F.col(f"{name}_digest"))
+
+    kept = docs.join(*named(pairs.filter("not is_head"), "gone"), "left_anti")
+    # only heads that stand in several rows can still be repeated
+    repeated = pairs.filter("is_head and rows > 1")
     if not repeated.limit(1).count():
         return kept
-    again = small(repeated, WANTED_ROWS)
-    alone = kept.join(again, F.col(id_col).eqNullSafe(F.col("again")), "left_anti")
-    several = kept.join(again, F.col(id_col).eqNullSafe(F.col("again")), "left_semi").dropDuplicates([id_col, text_col])
-    return alone.unionByName(several)
+    again = named(repeated, "again")
+    return kept.join(*again, "left_anti").unionByName(kept.join(*again, "left_semi").dropDuplicates([id_col, text_col]))

@@ -44,3 +44,13 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert sum(n for (d, t), n in got.items() if t and t.startswith("w0")) == 1
     assert got[2, ""] == got[3, None] == got[9, "alone in here"] == 1 and sum(got.values()) == 4
     assert shingle_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(None, one), (None, two), (None, two), (None, two + " more"), (5, one), (8, two), (8, three), (8, ""), (8, ""), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in shingle_join.one_of_each(df).collect())
+    assert got == Counter([(5, one), (8, two), (8, three), (8, ""), (8, ""), (None, None), (None, "")])
+    nameless = spark.createDataFrame([(None, one), (None, two), (None, two), (None, three)], "doc_id long, text string")
+    assert sorted(r.text for r in shingle_join.one_of_each(nameless).collect()) == [one, two, three]
