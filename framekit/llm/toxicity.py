@@ -18,7 +18,6 @@ input stay; columns of the same names as the new ones are replaced. An empty tab
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -31,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framekit.llm.common import long_texts, slices
+from framekit.llm.shingle_join import LIKENESS, shingle_sets
 from framekit.session import cut
 
 SAMPLE = 16_384
 FEATURES = 2_048
 LEAST_DOCS, LEAST_Z = 8, 4.0
+#: Hashes in the signature of a labelled text, how many of its first ones bring texts together, and how many of these near copies share.
+SIGNATURE, FIRST, SHARED = 256, 16, 4
 FOLDS = 5
 PENALTY = 1e-3
 STEPS = 300
@@ -66,9 +68,47 @@ def text_features(found: Counter[bytes]) -> list[tuple[str, int]]:
     return [(name, least) for name, n in counts.items() for least in TIMES if n >= least]
 
 
-def minimum_words(found: Counter[bytes]) -> str:
-    """The words of smallest hash under two hashes: near copies of a text mostly have the same."""
-    return " ".join(str(min((zlib.crc32(w, salt) for w in found), default=0)) for salt in (1, 7))
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The ``SIGNATURE`` smallest hashes of a text's shingles, in order; all of a set that has no more."""
+    return shingles[:SIGNATURE]
+
+
+def without_copies(digests: Sequence[int], signatures: Sequence[np.ndarray], classes: Sequence[tuple]) -> list[int]:
+    """Places of the rows that stay, in order: a row goes if an earlier one that stays, of the same class, is its copy or near copy.
+
+    Likeness is that of the hashes up to the smaller end of two signatures, so it is exact for sets that fit into theirs. Only rows are compared
+    that share up to ``SHARED`` of their first ``FIRST`` hashes, as near copies do.
+    """
+    kept: list[int] = []
+    same: set[tuple] = set()
+    holders: dict[tuple, list[int]] = {}
+    table = np.full((len(signatures), SIGNATURE), np.iinfo(np.uint64).max)
+    ends = np.full(len(signatures), np.iinfo(np.uint64).max)
+    for row, (digest, own, of) in enumerate(zip(digests, signatures, classes, strict=True)):
+        if (digest, of) in same:
+            continue
+        n = len(own)
+        if n:
+            first = own[:FIRST].tolist()
+            found, shared = np.unique([r for h in first for r in holders.get((h, of), ())], return_counts=True)
+            others = found[shared >= min(SHARED, -(-LIKENESS * n // 100))].astype(np.int64)
+            table[row, :n] = own
+            if n == SIGNATURE:
+                ends[row] = own[-1]
+            if len(others):
+                end = np.minimum(ends[others], ends[row])
+                theirs = table[others]
+                within = theirs <= end[:, None]
+                within &= theirs != np.iinfo(np.uint64).max
+                common = (np.isin(theirs, own) & within).sum(1)
+                union = within.sum(1) + np.searchsorted(own, end, "right") - common
+                if (100 * common >= LIKENESS * union).any():
+                    continue
+            for h in first:
+                holders.setdefault((h, of), []).append(row)
+        same.add((digest, of))
+        kept.append(row)
+    return kept
 
 
 @dataclass
@@ -168,7 +208,7 @@ def fit_chain(places: list[list[np.ndarray]], n_features: list[int], labels: np.
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: str, text_col: str, sample: int) -> DataFrame:
     """``id, text`` and the category columns of the labelled documents with the smallest hashes.
 
-    Of texts that agree in ``minimum_words`` one is kept, lest a much copied text makes its rare words look telling.
+    Of copies and near copies with the same labels the one of smallest id is kept, lest a much copied text makes its rare words look telling.
     """
     ids = labels.select(F.col(id_col).alias("id"), *(F.col(c).cast("double").alias(c) for c in categories)).filter(
         F.col("id").isNotNull() & F.coalesce(*categories).isNotNull(),
@@ -178,12 +218,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys = [minimum_words(words(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys)], names=[*batch.schema.names, "near"])
+            own = [signature(s).tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "signature"])
+
+    signed = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("signature", T.BinaryType())]))
+    keyed = cut(signed.withColumns({"digest": F.xxhash64("text"), "row": F.monotonically_increasing_id()}), "labelled")
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "digest"], kind="stable")
+        classes = [tuple(None if pd.isna(x) else float(x) for x in of) for of in pdf[list(categories)].itertuples(index=False)]
+        stay = without_copies(pdf["digest"].tolist(), [np.frombuffer(x, np.uint64) for x in pdf["signature"]], classes)
+        return pd.DataFrame({"row": pdf["row"].to_numpy()[stay]})
 
-    keyed = cut(rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("near", T.StringType())])), "labelled")
-    one = keyed.groupBy("near").agg(F.min("id").alias("id"))
-    return keyed.join(one, ["near", "id"], "left_semi").drop("near")
+    # the sample is bounded and its signatures are short, so one task may hold them
+    one = keyed.select("id", "digest", "row", "signature", *categories).withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(thin, "row long")
+    return keyed.join(one, "row", "left_semi").select("id", "text", *categories)
 
 
 def count_features(sample: DataFrame, categories: Sequence[str]) -> DataFrame:

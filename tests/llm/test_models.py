@@ -60,6 +60,19 @@ def test_missing_labels_and_odd_rows(spark):
     assert toxicity.judge(docs.limit(0), one).count() == 0
 
 
+def test_sample_loses_only_near_copies(spark):
+    rng = random.Random(11)
+    texts = [" ".join(["aa", "bb", *(f"w{rng.randrange(5000)}" for _ in range(60))]) for _ in range(80)]
+    rows = [(i, t, 1, int(i % 4 == 0)) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i] + " more", 1, int(i % 4 == 0)) for i in range(20)]  # near copies
+    rows += [(200 + i, texts[i], 1, int(i % 4 != 0)) for i in range(10)]  # copies with the other label
+    rows += [(300, "", 1, 0), (301, None, 1, 0), (302, "aa bb", 1, 0), (303, "aa bb cc", 1, 0), (304, "AA bb", 1, 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+    got = sorted(r.id for r in toxicity.labelled_sample(docs, labels, ("quality", "toxic"), "doc_id", "text", 1000).collect())
+    assert got == [*range(80), *range(200, 210), 300, 302, 303]
+
+
 def test_toxicity_query_keeps_all_documents(spark):
     assert QUERIES["op3_toxicity"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
