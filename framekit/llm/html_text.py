@@ -41,8 +41,12 @@ SAMPLE, VARIANTS = 400, 4
 # Names that the web uses, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SILENT = frozenset("head title script style template noscript iframe object svg math canvas select option button textarea input datalist audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("head title script style template noscript iframe object svg canvas select option button textarea input datalist audio video".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split(),
+)
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p "
     "pre section summary table ul".split(),
@@ -68,7 +72,10 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S,
 )
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Attributes are read only where one of these words stands.
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: A name word counts as each of these words that it holds, if that has so many letters.
 PART_LETTERS = 4
@@ -95,6 +102,16 @@ class Page:
     events: list[tuple[int, str | None]] = field(default_factory=list)
 
 
+def is_hidden(rest: str) -> bool:
+    """Whether the attributes of a tag hide it: by their names ``hidden`` or ``aria-hidden``, or by the value of ``style``; other values do not count."""
+    if not MAY_HIDE.search(rest):
+        return False
+    found: dict[str, str] = {}
+    for name, x, y, z in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), x or y or z)  # of a repeated attribute the first counts
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
+
+
 def read_page(source: str) -> Page:
     page, stack, at = Page(), [0], 0
 
@@ -146,7 +163,7 @@ def read_page(source: str) -> Page:
         page.parents.append(stack[-1])
         page.names.append(tuple(w.lower() for w in WORD.findall(values)))
         page.marked.append(page.marked[stack[-1]] or MARK in rest)
-        page.silent.append(page.silent[stack[-1]] or tag in SILENT or bool(rest and HIDDEN.search(rest)))
+        page.silent.append(page.silent[stack[-1]] or tag in SILENT or bool(rest and is_hidden(rest)))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)

@@ -112,6 +112,18 @@ def test_pages_of_other_layouts():
     assert html_text.article_text("", model) == "" and html_text.article_text("<<<>&", model) in ("", "<<<>&", "<<<", "<<<>&".strip())
 
 
+def test_only_attributes_that_hide_make_silent():
+    def seen(source):
+        page = html_text.read_page(source)
+        return "".join(t for node, t in page.events if t and not page.silent[node])
+
+    for shown in ('a title="A hidden gem"', 'div class="post hidden md:block"', "div data-x='display:none'", 'div title=" aria-hidden=true "', 'p aria-hidden="false"'):
+        assert seen(f"<{shown}>text</{shown.split()[0]}>") == "text", shown
+    for hides in ("div hidden", 'div hidden=""', "div HIDDEN class=x", "div hidden/", 'div style="color:red; display : none"', "p aria-hidden=true", 'p class="a" aria-hidden="true"'):
+        assert seen(f"<{hides}>text</{hides.split()[0]}>") == "", hides
+    assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "so x=1 holds"
+
+
 def test_states_never_reenter():
     page = html_text.read_page("<div><section><div><p>a</p></div></section></div>")
     scored, _, own = html_text.node_features(page)
