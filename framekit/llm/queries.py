@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framekit.llm import byte_bpe, chat_format, html_text, multi_index, order_minhash, packing, pii, shingle_join, toxicity, url_filter
+from framekit.llm import (
+    best_fit, byte_bpe, chat_format, hard_negatives, html_text, multi_index, order_minhash, packing, pii, shingle_join, spelling, toxicity, url_filter,
+)
 from framekit.llm.common import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +169,43 @@ def order_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The queries of op11 ask for every fiftieth vector; the labels of every seventh are moved by one of ten.
+ANCHOR_EVERY, MOVED_EVERY, N_LABELS = 50, 7, 10
+
+
+@query("op11_hard_negatives", f"""
+WITH vectors AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % {MOVED_EVERY} = 0 THEN (label + 1) % {N_LABELS} ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, CAST(list_dot_product(a.vec, c.vec) AS BIGINT) AS score
+  FROM vectors a JOIN vectors c ON a.vec_id <> c.vec_id WHERE a.vec_id % {ANCHOR_EVERY} = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.anchor_id AS anchor_id, positive_id, s.vec_id AS negative_id, positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 3""")
+def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % MOVED_EVERY == 0, (F.col("label") + 1) % N_LABELS).otherwise(F.col("label"))
+    rows = hard_negatives.whole_numbers(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % ANCHOR_EVERY == 0)
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), lossy_every=spelling.LOSSY))
+
+
+@query("op13_best_fit_packing")
+def best_fit_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
