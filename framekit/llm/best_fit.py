@@ -21,7 +21,8 @@ rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
+import json
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,62 +34,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framekit.llm.common import long_texts, slices, small
-from framekit.llm.packing import as_bytes
+from framekit.llm.packing import _byte_signs as byte_signs
 from framekit.session import cut
 
 CAPACITY, END_ID = 2048, 0
-#: Units of text that a Python worker remembers; beyond it the memory starts anew. It changes speed only.
-REMEMBERED = 300_000
+#: Fixed value: how byte-level tokenizers split a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of more signs are left to the library whose time grows slowest with their length. It changes speed only.
+LONG_RUN = 5_000
 #: Tasks of the first pass whose counts (one row of ``capacity`` numbers each) may be broadcast.
 BROADCAST_PARTS = 1_000
-_PER_PROCESS: dict[str, UnitEncoder] = {}
-#: A run of other signs with the blanks before it, or blanks at the text's end.
-UNITS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+_PER_PROCESS: dict[tuple[str, str], TextEncoder] = {}
 Pattern = tuple[tuple[int, int], ...]
 
 
-class UnitEncoder:
-    """Ids (see ``as_bytes``) of whole texts by a byte-level tokenizer that splits before white space.
+class TextEncoder:
+    """Ids of whole texts by a tokenizer file.
 
-    Each match of such a tokenizer's pattern has white space only at its start, and looks ahead into white space only. So a text may be cut
-    where white space follows another sign; the units between are encoded once and remembered. A unit that ends in white space of another
-    kind than those cut at would not be safe; a text that has one is encoded whole.
+    A plain byte-level file (no normaliser, the usual split pattern, merges in the order of their ids) is read as ranks, which gives the same ids in less time;
+    other files, and texts with a very long run of signs or of white space, go through the file's own library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __call__(self, text: str) -> bytes:
-        units, known = UNITS.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, units))
-        except KeyError:
-            pass
-        for unit in units:
-            if unit not in known:
-                if unit[-1].isspace() and unit[-1] not in " \n\t\r":
-                    return self._whole(text)
-                known[unit] = self._whole(unit)
-        ids = b"".join(map(known.__getitem__, units))
-        if len(known) > REMEMBERED:
-            known.clear()
-        return ids
-
-
-def unit_encoder(path: str) -> Callable[[str], bytes]:
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        self.ranks = self._ranks(told, pattern)
+
+    def _ranks(self, told: dict, pattern: str):
+        """The same encoder from ranks, None where the file is of another kind."""
+        split, model = told["pre_tokenizer"] or {}, told["model"]
+        plain = told["normalizer"] is None and told["post_processor"] is None and model["type"] == "BPE" and (
+            split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        ) and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in told["added_tokens"]):
+            return None
+        merges = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merges != sorted(merges) or len(merges) + 256 != len(model["vocab"].keys() - self.special.keys()):
+            return None
+        import tiktoken
+
+        byte_of = {sign: b for b, sign in enumerate(byte_signs())}
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token not in self.special}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def __call__(self, text: str) -> list[int]:
+        if self.ranks is None or len(text) > LONG_RUN and self._has_long_run(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode(text, allowed_special="all")
+
+    @staticmethod
+    def _has_long_run(text: str) -> bool:
+        sizes = list(map(len, text.split()))
+        return max(sizes, default=0) > LONG_RUN or len(text) - sum(sizes) - len(sizes) > LONG_RUN
+
+
+def text_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
     """The encoder of this Python process."""
-    if path not in _PER_PROCESS:
-        _PER_PROCESS[path] = UnitEncoder(path)
-    return _PER_PROCESS[path]
+    if (path, pattern) not in _PER_PROCESS:
+        _PER_PROCESS[path, pattern] = TextEncoder(path, pattern)
+    return _PER_PROCESS[path, pattern]
 
 
 class Counts:
@@ -234,7 +245,7 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in stretches.items()}
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, pattern: str, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
     """First pass: ``part, <id column>, rest, nth, full_before, ids``.
 
     ``rest`` is the length of the item that is no full piece (0 if there is none), ``nth`` counts earlier ones of that length in the same
@@ -244,11 +255,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, to_ids, end = TaskContext.get().partitionId(), unit_encoder(tokenizer), as_bytes([end_id])
+        part, to_ids = TaskContext.get().partitionId(), text_encoder(tokenizer, pattern)
         met, full = [0] * capacity, 0
         for batch in slices(batches):
-            ids = [to_ids(text or "") + end for text in batch.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ids = [array("i", [*to_ids(text or ""), end_id]) for text in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             rests, nth = (sizes % capacity).tolist(), []
             for rest in rests:
                 nth.append(met[rest])
@@ -256,7 +267,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
             fulls = sizes // capacity
             before = full + np.cumsum(fulls) - fulls
             full += int(fulls.sum())
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4").astype(np.int32, copy=False))
+            flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(rests, pa.int32()), pa.array(nth, pa.int64()), pa.array(before),
@@ -271,9 +282,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
     return long_texts(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, pattern: str = PATTERN,
+) -> DataFrame:
     """Pieces of all documents; see the module's text."""
-    encoded = cut(encode(docs, tokenizer, id_col, text_col, capacity, end_id), "encoded")
+    encoded = cut(encode(docs, tokenizer, pattern, id_col, text_col, capacity, end_id), "encoded")
     counts = cut(encoded.groupBy("part", "rest").count(), "lengths")
     totals = counts.filter("rest > 0").groupBy("rest").agg(F.sum("count").alias("n")).collect()  # fewer rows than capacity
     stretches = plan({r["rest"]: r["n"] for r in totals}, capacity)

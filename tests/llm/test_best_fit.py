@@ -119,11 +119,14 @@ def test_empty_table(spark):
     assert best_fit.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
-def test_units_are_encoded_as_in_the_whole_text():
-    encoder, tokenizer, rng = best_fit.UnitEncoder(PATH), Tokenizer.from_file(PATH), random.Random(6)
+def test_ranks_give_the_ids_of_the_file():
+    encoder, tokenizer, rng = best_fit.TextEncoder(PATH, best_fit.PATTERN), Tokenizer.from_file(PATH), random.Random(6)
     alphabet = ["a", "b", "the", " ", "  ", "\n", "'s", "é", "1", "!", "中", " ", "　", "\x1f", "ing", "\r\n", "<|endoftext|>", "\t", "\x0b"]
     for text in [t or "" for t in ODD] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]:
-        assert np.frombuffer(encoder(text), "<i4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert encoder(text) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.ranks is not None
+    other = best_fit.TextEncoder(public_tokenizers.path("word_bpe_49k.json"), best_fit.PATTERN)
+    assert other.ranks is None and other("One word") == other.tokenizer.encode("One word", add_special_tokens=False).ids
 
 
 def test_query_packs_all_documents(spark):
