@@ -1,7 +1,9 @@
 """Order MinHash fingerprints, whose likeness follows edit distance: they notice moved passages, which plain sets do not.
 
-The letters of a text are units of up to three signs without white space, each with the white space behind it; a k-mer is ``K`` units in a
-row (fewer at the end). The k-mers are numbered by occurrence, so that a repeated passage counts as often as it stands, and each pair (k-mer,
+The letters of a text are its units, each with the white space behind it: a word of at most ``WORD`` signs is one unit, and of a longer run
+without white space each sign is one (but for the run's last ``WORD`` signs, which are one together). So an edit moves no unit beyond its own word, and in
+texts without white space a k-mer starts at every sign. A k-mer is ``K`` units in a row (fewer at the end); each unit is hashed once, and a
+k-mer's hash is made of its units'. The k-mers are numbered by occurrence, so that a repeated passage counts as often as it stands, and each pair (k-mer,
 occurrence) is hashed. The hash's upper bits deal the pairs into ``2 ** BIN_BITS`` sketches; each sketch takes the ``TUPLE`` smallest, puts
 their k-mers back into the order of the text, and hashes that tuple. The fingerprint is the list of sketches with their tuple hashes; the
 likeness of two fingerprints is the share of equal sketches among those that either has.
@@ -22,7 +24,8 @@ from framekit.llm.common import small
 K = 4
 TUPLE = 2
 BIN_BITS = 6
-UNIT = r"\S{1,3}\s*"
+WORD = 12
+UNIT = rf"\S{{1,{WORD}}}+(?!\S)\s*+|\S\s*+"
 #: Ids to a block when documents are put in order; a halo row of each block goes to the one before.
 ORDER_BITS = 9
 #: Blocks whose order one task may find; more are ordered in blocks again.
@@ -48,9 +51,11 @@ def _bin(x: Column) -> Column:
 
 def with_sketches(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """``df`` with an array column ``out``: for each sketch that has any k-mer, its number and its tuple hash as hexadecimal text."""
-    hashes, bits, ranked, picked = (f"__{out}_{x}" for x in ("hashes", "bits", "ranked", "picked"))
-    pattern = rf"(?s)(?=((?:{UNIT}){{1,{K}}})){UNIT}"
-    step = df.withColumn(hashes, F.transform(F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(pattern), 1), lambda x: F.xxhash64(x)))
+    units, hashes, bits, ranked, picked = (f"__{out}_{x}" for x in ("units", "hashes", "bits", "ranked", "picked"))
+    found = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(UNIT), 0)
+    step = df.withColumn(units, F.transform(found, lambda x: F.xxhash64(x)))
+    # a hash leaves out nulls, so that the last k-mers are shorter
+    step = step.withColumn(hashes, F.transform(units, lambda x, i: F.xxhash64(x, *(F.get(F.col(units), i + j) for j in range(1, K)))))
     step = step.withColumn(bits, F.length(F.bin(F.size(hashes))).cast("int"))
     b = F.col(bits)
     # k-mers sorted by hash, each with its place in the low bits
@@ -85,7 +90,7 @@ def with_sketches(df: DataFrame, text_col: str, out: str) -> DataFrame:
         text = F.concat(F.lpad(F.hex(_bin(y)), 2, "0"), F.lpad(F.hex(tuple_hash), 16, "0"))
         return F.when((j < 1) | (_bin(F.get(chosen, j - 1)) != _bin(y)), text)
 
-    return step.withColumn(out, F.array_compact(F.transform(chosen, entry))).drop(hashes, bits, ranked, picked)
+    return step.withColumn(out, F.array_compact(F.transform(chosen, entry))).drop(units, hashes, bits, ranked, picked)
 
 
 def likeness(a: Column, b: Column) -> Column:
