@@ -41,6 +41,11 @@ SAMPLE, VARIANTS = 400, 4
 # Names that the web uses, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
+#: What a head may hold; any other tag, or text, ends a head that was not closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Where a slash before the end closes a tag of any name.
+FOREIGN = frozenset(("svg", "math"))
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+$")
 SILENT = frozenset("head title script style template noscript iframe object svg canvas select option button textarea input datalist audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
@@ -112,6 +117,11 @@ def is_hidden(rest: str) -> bool:
     return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(NO_DISPLAY.search(found.get("style", "")))
 
 
+def closes_itself(rest: str) -> bool:
+    """Whether a tag ends with a slash that is not part of an unquoted value."""
+    return rest.endswith("/") and not UNQUOTED_END.search(rest)
+
+
 def read_page(source: str) -> Page:
     page, stack, at = Page(), [0], 0
 
@@ -134,6 +144,8 @@ def read_page(source: str) -> Page:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
+            if page.tags[stack[-1]] == "head" and not text.isspace():
+                close_to(len(stack) - 1)
             page.events.append((stack[-1], text))
         if not m:
             break
@@ -148,6 +160,10 @@ def read_page(source: str) -> Page:
                     close_to(depth)
                     break
             continue
+        if tag == "body":
+            close_open(("head",), frozenset())
+        elif tag not in IN_HEAD and page.tags[stack[-1]] == "head":
+            close_to(len(stack) - 1)
         if tag in CLOSES_P:
             close_open(("p",), SCOPES)
         if tag in SIBLINGS_CLOSE:
@@ -167,7 +183,7 @@ def read_page(source: str) -> Page:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif tag not in VOID:
+        elif tag not in VOID and not (rest and closes_itself(rest) and (tag in FOREIGN or any(page.tags[x] in FOREIGN for x in stack))):
             stack.append(node)
     close_to(1)
     return page

@@ -124,6 +124,22 @@ def test_only_attributes_that_hide_make_silent():
     assert seen("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == "so x=1 holds"
 
 
+def test_heads_end_without_their_tag_and_svg_closes_itself():
+    for source, wanted in (
+        ("<html><head><title>t</title><body><article><p>one</p></article>", {"one"}),
+        ("<head><title>t</title><meta charset=x><article><p>one</p></article>", {"one"}),
+        ("<head><title>t</title>one", {"one"}),
+        ("<head><title>t</title><script>x</script></head><p>one</p>", {"one"}),
+        ("<article><svg/>in<p>later</p></article>", {"in", "later"}),
+        ('<article><svg viewBox="0 0 1 1" />in<p>later</p></article>', {"in", "later"}),
+        ("<article><svg><path d='x'/><g/></svg>in</article>", {"in"}),
+        ("<article><svg><text>no</text></svg>in<math><mspace/><mi>x</mi></math></article>", {"in", "x"}),
+        ("<article><div/>in</article>", {"in"}),
+    ):
+        page = html_text.read_page(source)
+        assert {t.strip() for node, t in page.events if t and t.strip() and not page.silent[node]} == wanted, source
+
+
 def test_states_never_reenter():
     page = html_text.read_page("<div><section><div><p>a</p></div></section></div>")
     scored, _, own = html_text.node_features(page)
