@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from framekit.llm.common import long_texts, slices
 
 #: Characters of a text, bytes of one match and ids of a list that are handled without halving. They change speed only.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 8192, 64, 65536
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 256, 64, 65536
 #: First size of a window around a seam, on each side: characters in a text, tokens in one match.
 WINDOW_CHARS, WINDOW_TOKENS = 64, 2
 _PER_PROCESS: dict[tuple[str, str], ByteBpe] = {}
