@@ -35,7 +35,8 @@ from framekit.session import cut
 
 SAMPLE = 16_384
 FEATURES = 2_048
-LEAST_DOCS, LEAST_Z = 8, 4.0
+#: Least number of labelled texts with a feature: a tenth of the positive ones, within these bounds.
+LEAST_DOCS, LEAST_Z = (5, 8), 4.0
 #: Hashes in the signature of a labelled text, how many of its first ones bring texts together, and how many of these near copies share.
 SIGNATURE, FIRST, SHARED = 256, 16, 4
 FOLDS = 5
@@ -273,10 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     features: list[dict[tuple[str, int], int]] = []
     for i, c in enumerate(categories):
         n_pos, n_neg = sizes[f"{c}_1"], sizes[f"{c}_0"]
+        least_docs = min(max(n_pos // 10, LEAST_DOCS[0]), LEAST_DOCS[1])
         share = (F.col("pos") + F.col("neg")) / (n_pos + n_neg or 1)
         spread = F.sqrt(share * (1 - share) * (1 / max(n_pos, 1) + 1 / max(n_neg, 1)) + 1e-12)
         z = F.abs(F.col("pos") / max(n_pos, 1) - F.col("neg") / max(n_neg, 1)) / spread
-        best = counts.filter((F.col("category") == i) & (F.col("pos") + F.col("neg") >= LEAST_DOCS)).withColumn("z", z)
+        best = counts.filter((F.col("category") == i) & (F.col("pos") + F.col("neg") >= least_docs)).withColumn("z", z)
         kept = best.filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature", "least").limit(FEATURES).select("feature", "least").collect()
         features.append({(r.feature, r.least): at for at, r in enumerate(kept)})
     blank = Chain(categories, features, [])
