@@ -43,8 +43,6 @@ LIKENESS = 75
 LONGER = 15
 #: Nodes that a task compares with each other at most, and documents in a leaf and children of a node of the tree.
 BLOCK, LEAF, FAN = 4096, 16, 4
-#: Rows of a table of wanted documents that may be broadcast.
-WANTED_ROWS = 1_000_000
 #: Bytes of text that are hashed together, and nodes that a task remembers to emit each once; they change speed only.
 CHUNK_BYTES, REMEMBERED = 1 << 20, 300_000
 
@@ -165,7 +163,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return long_texts(docs).select(id_col, text_col, text_digest(text_col).alias("digest")).mapInArrow(run, shape)
 
 
-def text_digest(text_col: str) -> Column:
+def text_digest(text_col: str | Column) -> Column:
     return F.xxhash64(F.coalesce(text_col, F.lit("")))
 
 
@@ -309,7 +307,7 @@ def links(docs: DataFrame, described: DataFrame, groups: DataFrame, id_col: str,
     chosen = described.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     wanted = cut(groups.join(sizes, "root").join(chosen, "node").select("id", "node", "root", "blocks"), "wanted")
-    ids = small(wanted.select(F.col("id").alias("wanted_id")).distinct(), WANTED_ROWS)
+    ids = small(wanted.select(F.col("id").alias("wanted_id")).distinct())
     texts = docs.select(F.col(id_col).alias("id"), text_col).join(ids, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi").select(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +318,7 @@ def links(docs: DataFrame, described: DataFrame, groups: DataFrame, id_col: str,
             )
 
     found = texts.mapInArrow(run, "node long, shingles binary")
-    held = found.join(small(wanted.select("node", "root", "blocks"), WANTED_ROWS), "node")
+    held = found.join(small(wanted.select("node", "root", "blocks")), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     paired = held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = paired.select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "shingles")
@@ -361,18 +359,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = classed.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("rows")).filter("rows > 1")
     heads = cut(heads.select("root", F.col("head.id").alias("head_id"), F.col("head.digest").alias("head_digest")), "heads")
     is_head = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("digest") == F.col("head_digest"))
-    judged = classed.join(small(heads, WANTED_ROWS), "root").select("id", "digest", is_head.alias("is_head"))
+    judged = classed.join(small(heads), "root").select("id", "digest", is_head.alias("is_head"))
     # a text has one class, so an id with a digest names rows of one class
     pairs = cut(judged.groupBy("id", "digest", "is_head").agg(F.count("*").alias("rows")), "pairs")
 
-    def named(rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
-        found = small(rows.select(F.col("id").alias(f"{name}_id"), F.col("digest").alias(f"{name}_digest")), WANTED_ROWS)
-        return found, F.col(id_col).eqNullSafe(F.col(f"{name}_id")) & (text_digest(text_col) == F.col(f"{name}_digest"))
+    def joined(given: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        found = small(rows.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")))
+        return given.join(found, given[id_col].eqNullSafe(found["__id"]) & (text_digest(given[text_col]) == found["__digest"]), how)
 
-    kept = docs.join(*named(pairs.filter("not is_head"), "gone"), "left_anti")
+    kept = joined(docs, pairs.filter("not is_head"), "left_anti")
     # only heads that stand in several rows can still be repeated
     repeated = pairs.filter("is_head and rows > 1")
     if not repeated.limit(1).count():
         return kept
-    again = named(repeated, "again")
-    return kept.join(*again, "left_anti").unionByName(kept.join(*again, "left_semi").dropDuplicates([id_col, text_col]))
+    return joined(kept, repeated, "left_anti").unionByName(joined(kept, repeated, "left_semi").dropDuplicates([id_col, text_col]))
