@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framekit.llm.common import BROADCAST_ROWS, long_texts, slices
+from framekit.llm.common import BROADCAST_ROWS, long_texts, slices, unused
 from framekit.session import cut
 
 # Fixed forms.
@@ -259,28 +259,29 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         (F.col("pattern_score") >= ACCEPTED) & (F.col("score") >= ACCEPTED),
     ).select("pattern", "candidate", "kind")
     added = met.filter(F.col("candidate").isNotNull()).join(accepted, ["pattern", "candidate"]).groupBy("id", "digest").agg(
-        F.collect_set(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("added"),
+        F.collect_set(F.struct(F.col("kind"), F.col("start"), F.col("end"))).alias("__added"),
     )
     order = {kind: i for i, kind in enumerate(KINDS)}
     number = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
     joined = based.drop("seeds").join(added, based[id_col].eqNullSafe(added["id"]) & (based["digest"] == added["digest"]), "left").select(
-        *(based[c] for c in based.columns if c != "seeds"), "added",
+        *(based[c] for c in based.columns if c != "seeds"), added["__added"],
     )
     numbered = F.transform(
-        F.array_union("base", F.coalesce("added", F.array().cast(SPANS))),
+        F.array_union("base", F.coalesce("__added", F.array().cast(SPANS))),
         lambda s: F.struct(number[s["kind"]].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
     spans = F.transform(F.sort_array(numbered), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.withColumn("spans", spans).drop("added")
+    return joined.withColumn("spans", spans).drop("__added")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span in the text replaced by ``<KIND>``; of overlapping spans the first, then the longest, counts."""
-    spans = find(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), "spans").filter(
-        F.size("spans") > 0,
+    own = unused(docs, "spans")
+    spans = find(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col("spans").alias(own)).filter(
+        F.size(own) > 0,
     ).dropDuplicates(["__id", "__digest"])
     spans = cut(spans, "spans")
-    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    size = spans.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(own)), F.lit(0)).alias("spans")).first()
     if size["rows"] <= BROADCAST_ROWS and size["spans"] <= 4 * BROADCAST_ROWS:
         spans = F.broadcast(spans)
     names, at = docs.columns, docs.columns.index(text_col)
@@ -288,7 +289,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for text, found in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 parts, done = [], 0
                 for s in sorted(found or (), key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= done:
@@ -298,5 +299,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    with_spans = docs.join(spans, docs[id_col].eqNullSafe(F.col("__id")) & (text_digest(docs[text_col]) == F.col("__digest")), "left")
-    return with_spans.select(*(docs[c] for c in docs.columns), "spans").mapInArrow(run, docs.schema)
+    with_spans = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]) & (text_digest(docs[text_col]) == spans["__digest"]), "left")
+    return with_spans.select(*(docs[c] for c in docs.columns), spans[own]).mapInArrow(run, docs.schema)

@@ -82,7 +82,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         F.concat("rule_host", "rule_path").alias("text"),
     )
     best = fitting.groupBy(F.col("host").alias("__host"), F.col("path").alias("__path")).agg(F.max(rule).alias("__best"))
-    judged = parsed.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    judged = parsed.join(best, (parsed["host"] == best["__host"]) & (parsed["path"] == best["__path"]), "left")
+    found = best["__best"]
     return judged.select(
-        *given.columns, "host", "path", F.col("__best.text").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"),
+        *(parsed[c] for c in parsed.columns), found["text"].alias("rule"), F.coalesce(found["action"], F.lit(default)).alias("verdict"),
     )
