@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framekit.functions.clocks import idiv
 
@@ -31,6 +32,28 @@ def read_artefacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     )
 
 
+def fold_digests(chunks: DataFrame, fan: int = 1024, levels: int = 3) -> DataFrame:
+    """M1: one tree digest per path from the digests of its chunks (``path, chunk, n_bytes, digest``): ``path, n_bytes, n_chunks, digest``.
+
+    Up to ``fan`` digests in order are hashed together (``1:`` in front tells nodes from chunks, see ``digest_files``), ``levels`` times, then
+    what is left of a path once more. So no row is larger than ``fan`` digests, and chunks of 8 MB reach 8 PB before the last step grows.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk", "digest"))), lambda x: x["digest"])
+    whole = F.sha2(F.concat(F.lit("1:"), F.array_join(ordered, "")), 256).alias("digest")
+    sums = [F.sum("n_bytes").alias("n_bytes"), F.sum("n_chunks").alias("n_chunks"), whole]
+    rows = chunks.select("path", "chunk", F.col("n_bytes").cast("bigint").alias("n_bytes"), F.lit(1).cast("bigint").alias("n_chunks"), "digest")
+    for _ in range(levels):
+        rows = rows.groupBy("path", idiv(F.col("chunk"), fan).alias("up")).agg(*sums).withColumnRenamed("up", "chunk")
+    return rows.groupBy("path").agg(*sums)
+
+
+def manifest_of_files(spark: SparkSession, paths: str | Sequence[str], suffix: str = "", chunk_bytes: int = 8 << 20) -> DataFrame:
+    """M1: tree digests of files of any size below the given paths: ``path, n_bytes, n_chunks, digest``; no task holds more than a chunk."""
+    from framekit.sources.file_chunks import digest_chunks
+
+    return fold_digests(digest_chunks(spark, paths, suffix, chunk_bytes))
+
+
 def diff_manifests(base: DataFrame, current: DataFrame, keys: Sequence[str] = ("suite", "path")) -> DataFrame:
     """M2: changed, added and removed paths."""
     a, b = base.withColumnRenamed("digest", "base_digest"), current.withColumnRenamed("digest", "current_digest")
@@ -54,21 +77,29 @@ def suite_verdicts(base: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def _told(field: T.StructField) -> Column:
+    """A value as text that tells nulls within arrays, maps and structs from the text "null"."""
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.to_json(F.col(field.name), {"ignoreNullFields": "false"})
+    return F.hex(field.name) if isinstance(field.dataType, T.BinaryType) else F.col(field.name).cast("string")
+
+
 def table_digest(df: DataFrame, by: Sequence[str] = (), method: str = "xxhash64") -> DataFrame:
-    """M3: order-free digest of a table's rows: their number and sums and xors of row hashes.
+    """M3: order-free digest of a table's rows: their number and sums and xors of row hashes. A null counts by the column that it is in.
 
     ``sha2`` hashes a text of the row in which each value follows its length (null has none), so that no two rows share a text and other
     engines can repeat it; the digest's 256 bits are summed and xored as ``WORDS`` numbers of 32 bits. ``xxhash64`` is faster and has 64 bits.
     """
     cols = [c for c in df.columns if c not in by]
     if method == "xxhash64":
-        hashed = df.select(*by, F.xxhash64(*cols).alias("__h")).groupBy(*by)
+        plain = [F.col(c) if isinstance(df.schema[c].dataType, T.AtomicType) else _told(df.schema[c]) for c in cols]
+        hashed = df.select(*by, F.xxhash64(*plain, *(F.col(c).isNull() for c in cols)).alias("__h")).groupBy(*by)
         return hashed.agg(
             F.count("*").alias("n_rows"), F.sum(F.col("__h").cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor("__h").alias("hash_xor"),
         )
     if method != "sha2":
         raise ValueError("method is 'xxhash64' or 'sha2'")
-    values = [F.col(c).cast("string") for c in cols]
+    values = [_told(df.schema[c]) for c in cols]
     text = F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-;")) for v in values))
     hashed = df.select(*by, F.sha2(text, 256).alias("__h"))
     words = [F.conv(F.substring("__h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(WORDS)]
@@ -81,10 +112,16 @@ def table_digest(df: DataFrame, by: Sequence[str] = (), method: str = "xxhash64"
     )
 
 
+def content_digest(samples: str = "samples") -> Column:
+    """SHA-256 of an array's values in order, nulls and their places included; that of a null array differs from all others."""
+    values = F.array_join(F.transform(samples, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    return F.sha2(F.coalesce(F.concat(F.size(samples).cast("string"), F.lit(":"), values), F.lit("none")), 256)
+
+
 def _differences(a: str, b: str) -> Column:
-    shared = F.least(F.size(a), F.size(b))
+    shared = F.coalesce(F.least(F.size(a), F.size(b)), F.lit(0))
     at = F.sequence(F.lit(0), shared - 1)
-    return F.when(shared == 0, F.array().cast("array<int>")).otherwise(
+    return F.when(shared <= 0, F.array().cast("array<int>")).otherwise(
         F.filter(at, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
     )
 
@@ -93,12 +130,12 @@ def capture_pairs(frames: DataFrame, keys: Sequence[str], pairs: DataFrame | Non
     """Rows to compare: each capture against the lowest capture of its key, or the listed pairs.
 
     Equality is transitive, so one baseline per key decides whether the whole group is identical; the
-    work stays linear in the rows. ``pairs`` (capture_a, capture_b) names other comparisons. A capture that shows a key several times
-    counts once, by its latest ``frame_id`` where there is one. Digests of the arrays are compared first; only where they differ are
+    work stays linear in the rows. ``pairs`` (capture_a, capture_b, and keys if it has them) names other comparisons. A capture that shows a key several times
+    counts once, by its latest ``frame_id`` where there is one. Digests (SHA-256, null samples included) of the arrays are compared first; only where they differ are
     the arrays themselves brought together (``identical`` is then false), else they are empty.
     """
     newest = F.struct(F.col("frame_id") if "frame_id" in frames.columns else F.lit(0), F.col("__h"), F.col("__n"))
-    hashed = frames.select("*", F.xxhash64("samples").alias("__h"), F.size("samples").alias("__n"))
+    hashed = frames.select("*", content_digest().alias("__h"), F.size("samples").alias("__n"))
     shown = hashed.groupBy(*keys, "capture_id").agg(F.max(newest).alias("__top")).select(*keys, "capture_id", "__top.__h", "__top.__n")
 
     def side(name: str) -> DataFrame:
@@ -108,7 +145,8 @@ def capture_pairs(frames: DataFrame, keys: Sequence[str], pairs: DataFrame | Non
         lowest = shown.groupBy(*keys).agg(F.min(F.struct(F.col("capture_id").alias("capture_a"), F.col("__h").alias("__ha"), F.col("__n").alias("__na"))).alias("__low"))
         met = side("b").join(lowest.select(*keys, "__low.*"), list(keys)).filter(F.col("capture_b") != F.col("capture_a"))
     else:
-        met = side("a").join(pairs, "capture_a").join(side("b"), [*keys, "capture_b"])
+        listed = [*(k for k in keys if k in pairs.columns), "capture_a"]
+        met = side("a").join(pairs, listed).join(side("b"), [*keys, "capture_b"])
     same = (F.col("__ha") == F.col("__hb")) & (F.col("__na") == F.col("__nb"))
     cols = [*keys, "capture_a", "capture_b"]
     unequal = met.filter(~same)
@@ -133,6 +171,42 @@ def compare_captures(frames: DataFrame, keys: Sequence[str] = ("picture_number",
     )
 
 
+def capture_classes(frames: DataFrame, keys: Sequence[str] = ("picture_number",)) -> DataFrame:
+    """M4: captures of a key by equal content: ``<keys>, capture_id, class_capture, n_captures``, one row per capture.
+
+    A class is named by its lowest capture and has ``n_captures``; any two captures are identical exactly if they have one class, so the
+    verdict of every pair follows without making the pairs. A capture that shows a key several times counts by its latest ``frame_id``.
+    """
+    newest = F.struct(F.col("frame_id") if "frame_id" in frames.columns else F.lit(0), F.col("__h"))
+    shown = frames.withColumn("__h", content_digest()).groupBy(*keys, "capture_id").agg(F.max(newest)["__h"].alias("__h"))
+    classes = shown.groupBy(*keys, "__h").agg(F.min("capture_id").alias("class_capture"), F.count("*").alias("n_captures"))
+    return shown.join(classes, [*keys, "__h"]).select(*keys, "capture_id", "class_capture", "n_captures")
+
+
+def class_differences(frames: DataFrame, keys: Sequence[str] = ("picture_number",)) -> DataFrame:
+    """M4: one row per class of ``capture_classes``, held against the key's largest class (ties: the lowest): ``<keys>, class_capture, n_captures,
+    reference_capture, n_diff, first_diff, value, reference_value``. Only representatives are compared, so the work is linear in the classes."""
+    classes = capture_classes(frames, keys).filter("capture_id = class_capture").drop("capture_id")
+    largest = F.max_by("class_capture", F.struct("n_captures", -F.col("class_capture")))
+    chosen = classes.groupBy(*keys).agg(largest.alias("reference_capture"))
+    held = classes.join(chosen, list(keys))
+    pairs = held.filter("class_capture <> reference_capture").select(*keys, F.col("reference_capture").alias("capture_a"), F.col("class_capture").alias("capture_b"))
+    compared = compare_captures(frames, keys, pairs).select(
+        *keys, F.col("capture_b").alias("class_capture"), "n_diff", "first_diff", F.col("value_b").alias("value"), F.col("value_a").alias("reference_value"),
+    )
+    return held.join(compared, [*keys, "class_capture"], "left").select(
+        *keys, "class_capture", "n_captures", "reference_capture", F.coalesce("n_diff", F.lit(0)).alias("n_diff"), "first_diff", "value", "reference_value",
+    )
+
+
+def pair_verdicts(classes: DataFrame, keys: Sequence[str] = ("picture_number",)) -> DataFrame:
+    """M4: of all pairs of captures of a key, how many are identical: ``<keys>, n_captures, n_classes, n_pairs, n_identical``."""
+    one = classes.filter("capture_id = class_capture").groupBy(*keys).agg(
+        F.sum("n_captures").alias("n_captures"), F.count("*").alias("n_classes"), F.sum(F.expr("n_captures * (n_captures - 1) div 2")).alias("n_identical"),
+    )
+    return one.select(*keys, "n_captures", "n_classes", F.expr("n_captures * (n_captures - 1) div 2").alias("n_pairs"), "n_identical")
+
+
 def group_verdicts(compared: DataFrame, keys: Sequence[str] = ("picture_number",)) -> DataFrame:
     """M4: whether all captures of a key hold the same samples."""
     return compared.groupBy(*keys).agg(
@@ -189,6 +263,17 @@ def duplicate_summary(uses: DataFrame, by: Sequence[str] = ("source",)) -> DataF
     )
 
 
+def distinct_sketches(frames: DataFrame, by: Sequence[str] = ("source",), phase: str = "sequence_phase", size: int = 14) -> DataFrame:
+    """M9: one stored sketch of distinct clean frames per group (``<by>, sketch``), so that a new capture costs only its own rows."""
+    key = F.to_json(F.struct(F.col("section_type"), frame_identity().alias("identity"), F.col(phase).alias("phase")))
+    return frames.groupBy(*by).agg(F.hll_sketch_agg(key, size).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """M9: distinct clean frames of coarser groups from stored sketches."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct_approx"))
+
+
 def approx_distinct_frames(frames: DataFrame, by: Sequence[str] = ("source",), rsd: float = 0.02, phase: str = "sequence_phase") -> DataFrame:
     """M9: distinct clean frames by a sketch: one small buffer per group instead of one row per key."""
     key = F.struct(F.col("section_type"), frame_identity(), F.col(phase))

@@ -231,7 +231,8 @@ def component_stats(rows: DataFrame, image: str = "image_id", stride: tuple[int,
     lit_rows = rows.filter(F.col("y") % step_y == 0).select(image, F.transform(light, signal).alias("__s"))
     at = F.filter(F.sequence(F.lit(0), F.size("__s"), F.lit(step_x)), lambda x: x < F.size("__s"))
     made = lit_rows.select(image, F.transform(at, lambda x: F.struct(F.get("__s", x).alias("p"), F.get("__s", x + 1).alias("q"))).alias("__pairs"))
-    pairs = made.select(image, F.inline("__pairs"))
+    # outer, as the plain form makes the optimiser work the whole row out a second time to see whether it is empty
+    pairs = made.select(image, F.inline_outer("__pairs")).filter("p is not null")
     y, cr, cb = F.col("p.y") * 219.0 + 16.0, F.col("p.dr") * 160.0 + 128.0, F.col("p.db") * 126.0 + 128.0
 
     def byte(x: Column) -> Column:

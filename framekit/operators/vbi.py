@@ -14,6 +14,9 @@ from framekit.operators import timeline as tl
 
 FRAME = ["capture_id", "frame_id"]
 
+#: Missing numbers that one row stands for while pads are made.
+PAD_STRETCH = 10_000
+
 
 def assign_line_codes(sections: DataFrame, active_start: int = 0) -> DataFrame:
     """V1: code sent on each reserved line of a section: the first candidate that the section declares.
@@ -164,17 +167,41 @@ def step_class(step: Column) -> list[Column]:
 def frame_map(frames: DataFrame, key: str = "capture_id") -> DataFrame:
     """V6: one frame per picture number (the latest pass), and a pad row (frame null) per missing number.
 
-    Picture numbers end at 99,999, so the list of numbers of a capture is bounded.
+    Frames without a number are one row per capture with a null number. Missing numbers come from ``number_gaps``, in stretches of at most
+    ``PAD_STRETCH``, so that no row holds a long list; with numbers that are not bounded, ask for the gaps alone.
     """
-    kept = frames.groupBy(key, "picture_number").agg(F.max("frame_id").alias("frame_id"), F.count("*").alias("passes"))
-    span = frames.groupBy(key).agg(F.min("picture_number").alias("__lo"), F.max("picture_number").alias("__hi"))
-    numbers = span.select(key, F.explode(F.sequence("__lo", "__hi")).alias("picture_number"))
-    return numbers.join(kept, [key, "picture_number"], "left").select(
-        key, "picture_number", "frame_id", F.coalesce("passes", F.lit(0)).cast("bigint").alias("passes"),
-        F.col("frame_id").isNull().alias("is_pad"),
+    kept = _passes(frames, key)
+    gaps = _gaps(kept, key)
+    starts = F.sequence(F.col("first_number"), F.col("last_number"), F.lit(PAD_STRETCH).cast("bigint"))
+    stretches = gaps.select(key, "last_number", F.explode(starts).alias("__from"))
+    pads = stretches.select(key, F.explode(F.sequence("__from", F.least(F.col("__from") + PAD_STRETCH - 1, "last_number"))).alias("picture_number"))
+    shown = kept.select(key, "picture_number", "frame_id", "passes", F.lit(False).alias("is_pad"))
+    kind = dict(kept.dtypes)
+    return shown.unionByName(pads.select(
+        key, F.col("picture_number").cast(kind["picture_number"]).alias("picture_number"), F.lit(None).cast(kind["frame_id"]).alias("frame_id"),
+        F.lit(0).cast("bigint").alias("passes"), F.lit(True).alias("is_pad"),
+    ))
+
+
+def _passes(frames: DataFrame, key: str) -> DataFrame:
+    return frames.groupBy(key, "picture_number").agg(F.max("frame_id").alias("frame_id"), F.count("*").alias("passes"))
+
+
+def _gaps(kept: DataFrame, key: str) -> DataFrame:
+    near = scan(
+        kept.filter("picture_number is not null").select(key, F.col("picture_number").cast("bigint").alias("picture_number")), [key], ["picture_number"],
+        {"previous": last_before(F.col("picture_number"))},
+    )
+    return near.filter("picture_number > previous + 1").select(
+        key, (F.col("previous") + 1).alias("first_number"), (F.col("picture_number") - 1).alias("last_number"),
     )
 
 
+def number_gaps(frames: DataFrame, key: str = "capture_id") -> DataFrame:
+    """V6: missing picture numbers as ranges, however long: ``<key>, first_number, last_number, n_missing``."""
+    return _gaps(_passes(frames, key), key).withColumn("n_missing", F.col("last_number") - F.col("first_number") + 1)
+
+
 def verify_checksums(rows: DataFrame, kind: str) -> DataFrame:
     """V7: add ``check_ok``: Hamming nibble of status words, parity of FM words, or CRC of Q payloads.
 

@@ -64,6 +64,52 @@ def group_verdicts(spark, sf):
     return cmp.group_verdicts(cmp.compare_captures(view(spark, sf, "fx_aligned")))
 
 
+def with_null_samples(spark, sf):
+    """Aligned captures in which some samples are null: one place in capture 2, another in capture 3."""
+    return view(spark, sf, "fx_aligned").withColumn("samples", F.transform(
+        "samples", lambda x, i: F.when(~((F.col("picture_number") % 4 == 0) & F.col("capture_id").isin(2, 3) & (i == F.col("capture_id") + 40)), x),
+    ))
+
+
+NULL_SAMPLES = """ n AS (SELECT capture_id, picture_number, [CASE WHEN picture_number % 4 = 0 AND capture_id IN (2, 3) AND i = capture_id + 40 THEN NULL ELSE samples[i + 1] END for i in range(len(samples))] AS samples FROM fx_aligned),
+ ap AS (SELECT a.picture_number, a.capture_id AS a, b.capture_id AS b, a.samples IS NOT DISTINCT FROM b.samples AS same FROM n a JOIN n b ON a.picture_number = b.picture_number)"""
+
+
+@query("capture_classes", f"WITH {NULL_SAMPLES} SELECT picture_number, a AS capture_id, min(b) AS class_capture, count(*) AS n_captures FROM ap WHERE same GROUP BY 1, 2")
+def capture_classes(spark, sf):
+    return cmp.capture_classes(with_null_samples(spark, sf))
+
+
+@query("pair_verdicts", f"""WITH {NULL_SAMPLES}, c AS (SELECT picture_number, a, min(b) AS c FROM ap WHERE same GROUP BY 1, 2)
+SELECT picture_number, count(DISTINCT a) AS n_captures, (SELECT count(DISTINCT c) FROM c WHERE c.picture_number = ap.picture_number) AS n_classes, count(*) FILTER (WHERE a < b) AS n_pairs, count(*) FILTER (WHERE a < b AND same) AS n_identical FROM ap GROUP BY 1""")
+def pair_verdicts(spark, sf):
+    counted = cmp.pair_verdicts(cmp.capture_classes(with_null_samples(spark, sf)))
+    return counted.select("picture_number", *(F.col(c).cast("bigint").alias(c) for c in ("n_captures", "n_classes", "n_pairs", "n_identical")))
+
+
+@query("class_differences", f"""WITH {NULL_SAMPLES},
+ c AS (SELECT picture_number, a AS capture_id, min(b) AS class_capture, count(*) AS n_captures FROM ap WHERE same GROUP BY 1, 2),
+ k AS (SELECT picture_number, class_capture, n_captures, first_value(class_capture) OVER (PARTITION BY picture_number ORDER BY n_captures DESC, class_capture) AS reference_capture FROM c WHERE capture_id = class_capture),
+ e AS (SELECT capture_id, picture_number, unnest(range(len(samples))) AS i, unnest(samples) AS v FROM n),
+ d AS (SELECT k.picture_number, class_capture, x.i, x.v, y.v AS r FROM k JOIN e x ON x.picture_number = k.picture_number AND x.capture_id = class_capture
+  JOIN e y ON y.picture_number = k.picture_number AND y.capture_id = reference_capture AND x.i = y.i WHERE x.v IS DISTINCT FROM y.v),
+ f AS (SELECT picture_number, class_capture, CAST(count(*) AS INT) AS n_diff, CAST(min(i) AS INT) AS first_diff, first(v ORDER BY i) AS value, first(r ORDER BY i) AS reference_value FROM d GROUP BY 1, 2)
+SELECT picture_number, class_capture, n_captures, reference_capture, coalesce(n_diff, 0) AS n_diff, first_diff, value, reference_value FROM k LEFT JOIN f USING (picture_number, class_capture)""")
+def class_differences(spark, sf):
+    return cmp.class_differences(with_null_samples(spark, sf))
+
+
+@query("tree_digest", """WITH
+ l1 AS (SELECT source AS path, doc_id // 16 AS c, sum(length(text)) AS n, count(*) AS k, sha256('1:' || string_agg(sha256(text), '' ORDER BY doc_id)) AS d FROM documents GROUP BY 1, 2),
+ l2 AS (SELECT path, c // 16 AS c, sum(n) AS n, sum(k) AS k, sha256('1:' || string_agg(d, '' ORDER BY c)) AS d FROM l1 GROUP BY 1, c // 16)
+SELECT path, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(k) AS BIGINT) AS n_chunks, sha256('1:' || string_agg(d, '' ORDER BY c)) AS digest FROM l2 GROUP BY 1""")
+def tree_digest(spark, sf):
+    chunks = view(spark, sf, "documents").select(
+        F.col("source").alias("path"), F.col("doc_id").alias("chunk"), F.length("text").alias("n_bytes"), F.sha2("text", 256).alias("digest"),
+    )
+    return cmp.fold_digests(chunks, fan=16, levels=2)
+
+
 @query("diff_regions", f"""WITH {PAIRS}
 SELECT picture_number, capture_a, capture_b, CAST(count(*) FILTER (WHERE va <> vb) AS INT) AS n_diff, CAST(count(*) FILTER (WHERE va <> vb AND i // 8 < 5) AS INT) AS vbi_diffs, CAST(count(*) FILTER (WHERE va <> vb AND i // 8 >= 5) AS INT) AS active_diffs,
  CAST(min(CASE WHEN va <> vb THEN i END) // 8 AS BIGINT) AS first_line, CAST(min(CASE WHEN va <> vb AND i // 8 >= 5 THEN i END) AS INT) AS first_active_diff, CAST(min(CASE WHEN va <> vb AND i // 8 >= 5 THEN i END) // 8 AS BIGINT) AS first_active_line FROM pr GROUP BY 1, 2, 3""")
@@ -103,6 +149,15 @@ def approx_distinct_frames(spark, sf):
     return cmp.approx_distinct_frames(frames).join(exact, "source").select("source", "n_distinct", (off <= F.greatest(F.lit(1.0), 0.06 * F.col("n_distinct"))).alias("within"))
 
 
+@query("merged_sketches", f"WITH {FRAMES} SELECT source, count(DISTINCT (section_type, identity, phase)) AS n_distinct, TRUE AS within FROM f GROUP BY 1")
+def merged_sketches(spark, sf):
+    frames = phased(spark, sf)
+    exact = cmp.duplicate_summary(cmp.duplicate_frames(frames)).select("source", "n_distinct")
+    stored = cmp.distinct_sketches(frames.withColumn("part", F.col("project_id") % 7), ["source", "part"])
+    off = F.abs(F.col("n_distinct_approx") - F.col("n_distinct"))
+    return cmp.merge_sketches(stored).join(exact, "source").select("source", "n_distinct", (off <= F.greatest(F.lit(1.0), 0.06 * F.col("n_distinct"))).alias("within"))
+
+
 @query("project_diff", """WITH
  b AS (SELECT project_id + CASE WHEN project_id % 97 = 0 THEN 100000000 ELSE 0 END AS project_id, CASE WHEN project_id % 5 = 0 THEN 'PAL' ELSE standard END AS standard, CASE WHEN project_id % 11 = 0 THEN 'CAV' ELSE disc_type END AS disc_type FROM fx_project),
  l AS (SELECT project_id, 'standard' AS field, standard AS v FROM fx_project UNION ALL SELECT project_id, 'disc_type', disc_type FROM fx_project),

@@ -109,16 +109,35 @@ def started(capture: str = "capture_id"):
     return F.timestamp_seconds(F.col(capture) * 3600)
 
 
-@query("stream_continuity", """WITH f AS (SELECT * FROM fx_capture_frame WHERE event_id % 97 <> 5), l AS (SELECT n.*, p.picture_number AS previous FROM f n LEFT JOIN f p ON p.capture_id = n.capture_id AND p.frame_id = n.frame_id - 1)
+CONTINUITY = """WITH f AS (SELECT * EXCLUDE (frame_id), frame_id + CASE WHEN frame_id >= 20 THEN 3 ELSE 0 END AS frame_id FROM fx_capture_frame), l AS (SELECT n.*, p.picture_number AS previous FROM f n LEFT JOIN f p ON p.capture_id = n.capture_id AND p.frame_id = n.frame_id - 1)
 SELECT capture_id, frame_id, picture_number, previous, CASE WHEN frame_id = 0 THEN 'start' WHEN previous IS NULL THEN 'lost_predecessor' WHEN picture_number = previous + 1 THEN 'contiguous' WHEN picture_number = previous THEN 'repeat'
- WHEN picture_number < previous THEN 'backward_skip' ELSE 'forward_gap' END AS step_class, CAST(CASE WHEN picture_number > previous + 1 THEN picture_number - previous - 1 ELSE 0 END AS BIGINT) AS missing FROM l""")
+ WHEN picture_number < previous THEN 'backward_skip' ELSE 'forward_gap' END AS step_class, CAST(CASE WHEN picture_number > previous + 1 THEN picture_number - previous - 1 ELSE 0 END AS BIGINT) AS missing FROM l"""
+
+
+@query("stream_continuity", CONTINUITY)
 def stream_continuity(spark, sf):
-    rows = view(spark, sf, "fx_capture_frame").filter("event_id % 97 <> 5").select("capture_id", started().alias("started"), "frame_id", "picture_number")
-    frames = st.replay(spark, st.closed(rows), "frames")
+    frames = st.replay(spark, st.closed(gapped_frames(spark, sf)), "frames")
     out = st.run_to_table(st.stream_continuity(frames, 25.0, "60 seconds"), "continuity")
     return st.without_closing(out).drop("batch_id")
 
 
+def gapped_frames(spark, sf):
+    """All frames; from the twentieth on they are numbered three higher, so that one predecessor per capture is lost."""
+    shifted = F.col("frame_id") + F.when(F.col("frame_id") >= 20, 3).otherwise(0)
+    return view(spark, sf, "fx_capture_frame").select("capture_id", started().alias("started"), shifted.alias("frame_id"), "picture_number")
+
+
+@query("stream_continuity_stateful", CONTINUITY)
+def stream_continuity_stateful(spark, sf):
+    """Rows come in four batches in no order, so the delay covers the whole table's time."""
+    rows = gapped_frames(spark, sf)
+    part = F.pmod(F.xxhash64("capture_id", "frame_id"), F.lit(4))
+    end = st.closed(rows, after="INTERVAL 9000 DAYS").filter(F.col("capture_id") == st.NO_CAPTURE)
+    frames = st.replay_batches(spark, [*(rows.filter(part == i) for i in range(4)), end], "frames")
+    out = st.run_to_table(st.stream_continuity_stateful(frames, 25.0, "3000 days"), "continuity")
+    return st.without_closing(out).drop("batch_id")
+
+
 def stream_runs(spark, sf):
     rows = view(spark, sf, "fx_run").select("capture_id", started().alias("started"), (F.col("run_id") % 1000).alias("frame_id"), "sample_count")
     return st.replay(spark, st.closed(rows), "runs")

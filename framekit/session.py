@@ -48,6 +48,23 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _place(spark: SparkSession, path: str):  # type: ignore[no-untyped-def]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, on whatever file system."""
+    system, hadoop = _place(spark, path)
+    return system.exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    system, hadoop = _place(spark, path)
+    system.delete(hadoop, True)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: a short lineage that survives lost executors."""
     spark = df.sparkSession

@@ -2,22 +2,25 @@
 
 Stream operators take and return streaming DataFrames. Event time is the capture's start (the column
 ``started``) plus the end of the frame, so that a capture that begins later in the day is later on the
-stream's one clock, not back at zero. Rows that come after the watermark are counted (``late_rows``) and
+stream's one clock, not back at zero. Rows that come after the watermark are counted (``LateRows``) and
 ``run_to_table`` refuses a result without them. Keys include the frame or the window, so a capture that sends
 most of the rows is spread over tasks and state stores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framekit.operators.vbi import step_class
-from framekit.session import cut, scratch_dir
+from framekit.session import cut, exists, remove, scratch_dir
 from framekit.sources import sidecar
 
 EVENT = "event_time"
@@ -41,18 +44,41 @@ def with_event_time(frames: DataFrame, fps: float | Column, delay: str) -> DataF
     return frames.withColumn(EVENT, event_time(F.col(STARTED), F.col("frame_id"), fps)).drop(STARTED).withWatermark(EVENT, delay)
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark and are in no result."""
-    return sum(int(op.numRowsDroppedByWatermark) for step in query.recentProgress for op in step.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts the rows of one query that came after the watermark and are in no result, over all its batches."""
 
+    def __init__(self) -> None:
+        self.of: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
 
-def closed(rows: DataFrame, key: str = "capture_id") -> DataFrame:
+    def onQueryStarted(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        run = str(event.progress.runId)
+        self.of[run] = self.of.get(run, 0) + sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:  # type: ignore[no-untyped-def]  # noqa: N802
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def count(self, query: StreamingQuery, wait: float = 60.0) -> int:
+        """The count of a query that has ended; events come in order, so all its batches are in when its end is."""
+        run = str(query.runId)
+        if not self.ended.setdefault(run, threading.Event()).wait(wait):
+            raise TimeoutError(f"the end of query {run} was not reported")
+        return self.of.get(run, 0)
+
+
+def closed(rows: DataFrame, key: str = "capture_id", after: str = CLOSING) -> DataFrame:
     """A bounded table with one more row, long after all others, which closes all windows and joins before it.
 
     It stays open itself, or gives a result of key ``NO_CAPTURE``, to be dropped at the end (``without_closing``).
     """
     last = rows.agg(F.max(STARTED).alias(STARTED), F.max("frame_id").alias("frame_id")).filter(F.col(STARTED).isNotNull())
-    end = last.select(F.lit(NO_CAPTURE).cast(rows.schema[key].dataType).alias(key), (F.col(STARTED) + F.expr(CLOSING)).alias(STARTED), "frame_id")
+    end = last.select(F.lit(NO_CAPTURE).cast(rows.schema[key].dataType).alias(key), (F.col(STARTED) + F.expr(after)).alias(STARTED), "frame_id")
     return rows.unionByName(end, allowMissingColumns=True)
 
 
@@ -84,6 +110,71 @@ def stream_continuity(frames: DataFrame, fps: float, late: str = "10 seconds", k
     return joined.select(key, "frame_id", "picture_number", "previous", kind.alias("step_class"), missing)
 
 
+def _before(state: GroupState) -> tuple[dict[int, int | None], set[int]]:
+    if not state.exists:
+        return {}, set()
+    frames, numbers, told = state.get
+    return dict(zip(frames, numbers, strict=True)), set(told)
+
+
+def stream_continuity_stateful(
+    frames: DataFrame, fps: float, late: str = "10 seconds", key: str = "capture_id", block: int = 1024,
+) -> DataFrame:
+    """ST1: steps of picture numbers by keyed state, for streams in which a capture's rows come in any order.
+
+    State is held per (capture, ``block`` frames): the frames met with their numbers, and which of them were told, so it has at most ``block`` + 1
+    entries, and a capture of any length is spread over tasks. The last frame of a block is also sent to the next one. A frame is told as soon
+    as it and the one before it are there; one that comes again after that is a ``replay`` (its number and the first one's as ``previous``). When the watermark
+    passes the block's last event, the timer tells frames whose predecessor never came (``lost_predecessor``) and drops the state.
+    ``late`` must cover how far rows of a block may be apart.
+    """
+    timed = with_event_time(frames.select(key, STARTED, "frame_id", "picture_number"), fps, late)
+    own = F.floor(F.col("frame_id") / block)
+    places = F.when((F.col("frame_id") + 1) % block == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = timed.select(key, EVENT, "frame_id", "picture_number", F.explode(places).alias("block"))
+    kind = dict(frames.dtypes)
+    out = f"{key} {kind[key]}, frame_id bigint, picture_number bigint, previous bigint, told string"
+
+    def step(at: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        capture, number = at
+        met, told = _before(state)
+        first = number * block
+        rows: list[tuple] = []
+        if state.hasTimedOut:
+            rows = [(f, met[f], None, "lost_predecessor") for f in sorted(met) if f >= first and f not in told]
+            state.remove()
+        else:
+            latest = 0
+            for batch in batches:
+                latest = max(latest, int(batch[EVENT].max().timestamp() * 1000))
+                for frame, picture in zip(batch["frame_id"].tolist(), batch["picture_number"].tolist(), strict=True):
+                    picture = None if picture is None or picture != picture else int(picture)
+                    if frame in met:
+                        if frame >= first:
+                            rows.append((frame, picture, met[frame], "replay"))
+                    else:
+                        met[frame] = picture
+            for frame in sorted(met):
+                if frame >= first and frame not in told and (frame == 0 or frame - 1 in met):
+                    told.add(frame)
+                    rows.append((frame, met[frame], met.get(frame - 1), "start" if frame == 0 else "met"))
+            order = sorted(met)
+            state.update((order, [met[f] for f in order], sorted(told)))
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1))
+        result = pd.DataFrame(rows, columns=["frame_id", "picture_number", "previous", "told"])
+        result.insert(0, key, capture)
+        yield result.astype({"frame_id": "int64", "picture_number": "Int64", "previous": "Int64"})
+
+    found = dealt.groupBy(key, "block").applyInPandasWithState(
+        step, out, "frames array<bigint>, numbers array<bigint>, told array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    step_kind, missing = step_class(F.col("picture_number") - F.col("previous"))
+    named = F.when(F.col("told") != "met", F.col("told")).when(F.col("previous").isNull(), "lost_predecessor").otherwise(step_kind)
+    return found.select(
+        key, "frame_id", "picture_number", "previous", named.alias("step_class"), F.when(F.col("told") == "met", missing).otherwise(0).cast("bigint").alias("missing"),
+    )
+
+
 def stream_dropout_rate(
     runs: DataFrame, fps: float, window: str, slide: str | None = None, late: str = "10 seconds", key: str = "capture_id"
 ) -> DataFrame:
@@ -117,12 +208,21 @@ def ingest_sidecar(runs: DataFrame, folder: str, checkpoint: str) -> StreamingQu
     key = ["cvbs_file_id", "frame_id", "sample_start"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        rows = cut(batch, "batch")
-        files = rows.select("cvbs_file_id").distinct()
-        stored = sidecar.read_sidecar(spark, folder, "dropout_run").join(files, "cvbs_file_id", "left_semi") if batch_id else rows.limit(0)
-        value = F.struct("severity", "sample_count")
-        merged = rows.select(*key, "sample_count", "severity").unionByName(stored.select(*key, "sample_count", "severity")).groupBy(*key).agg(F.max(value).alias("v"))
-        sidecar.write_sidecar(cut(merged.select(*key, "v.sample_count", "v.severity"), "merged"), folder, "dropout_run")
+        base = scratch_dir(spark, "ingest")
+        try:
+            batch.write.parquet(f"{base}/batch")
+            rows = spark.read.schema(batch.schema).parquet(f"{base}/batch")
+            files = rows.select("cvbs_file_id").distinct()
+            # also before the first batch of a new checkpoint rows may be there
+            there = exists(spark, f"{folder}/dropout_run")
+            stored = sidecar.read_sidecar(spark, folder, "dropout_run").join(files, "cvbs_file_id", "left_semi") if there else rows.limit(0)
+            value = F.struct("severity", "sample_count")
+            both = rows.select(*key, "sample_count", "severity").unionByName(stored.select(*key, "sample_count", "severity"))
+            merged = both.groupBy(*key).agg(F.max(value).alias("v")).select(*key, "v.sample_count", "v.severity")
+            merged.write.parquet(f"{base}/merged")
+            sidecar.write_sidecar(spark.read.schema(merged.schema).parquet(f"{base}/merged"), folder, "dropout_run")
+        finally:
+            remove(spark, base)
 
     return runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
@@ -167,12 +267,18 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(f"{base}/table")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(save).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    if late := late_rows(query):
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+            .foreachBatch(save).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        late = listener.count(query)
+    finally:
+        spark.streams.removeListener(listener)
+    if late:
         raise ValueError(f"{late} rows came after the watermark; allow more delay")
     return spark.read.schema(f"{_ddl(stream)}, batch_id bigint").parquet(f"{base}/table")
 
@@ -187,3 +293,12 @@ def replay(spark: SparkSession, table: DataFrame, label: str, files_per_batch: i
     table.write.parquet(path)
     reader = spark.readStream.schema(table.schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+
+
+def replay_batches(spark: SparkSession, batches: list[DataFrame], label: str, files: int = 4) -> DataFrame:
+    """A stream that brings the given tables one after the other, each in ``files`` files (the last, which may be short, in as many as it has)."""
+    path = scratch_dir(spark, label)
+    for rows in batches[:-1]:
+        rows.repartition(files).write.mode("append").parquet(path)
+    batches[-1].write.mode("append").parquet(path)
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -46,6 +46,50 @@ def test_rows_behind_the_watermark_are_an_error(spark, tmp_path):
         st.run_to_table(st.stream_dropout_rate(frames, 25.0, "10 seconds"), "late")
 
 
+def test_late_rows_of_all_batches_are_counted(spark, tmp_path):
+    """A late row in the first of more batches than a query keeps progress of."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        day = datetime(2024, 5, 1)
+        groups = [[(1, day, 15000, 1, 1)], [(1, day, 16000, 1, 1)], [(2, day, 0, 1, 1)], *([(1, day, 16001 + i, 1, 1)] for i in range(6))]
+        with pytest.raises(ValueError, match="1 rows came after"):
+            st.run_to_table(st.stream_dropout_rate(batches(spark, tmp_path, groups), 25.0, "10 seconds"), "late")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_state_tells_steps_of_shuffled_batches_gaps_and_replays(spark, tmp_path):
+    import random
+
+    day = datetime(2024, 5, 1)
+    rows = [(c, day, f, f + 1 + f // 9, 1) for c in (1, 2) for f in range(200) if f not in (77, 78, 128)]
+    random.Random(3).shuffle(rows)
+    groups = [rows[i::4] for i in range(4)]
+    groups[3] = [*groups[3], next(r for r in groups[0] if r[2] == max(x[2] for x in groups[0]))]
+    groups.append([(st.NO_CAPTURE, day + timedelta(days=9), 0, 0, 0)])
+    got = st.run_to_table(st.stream_continuity_stateful(batches(spark, tmp_path, groups), 25.0, "1 day", block=16), "state").filter("capture_id >= 0").collect()
+    numbers = {(c, f): p for c, _, f, p, _ in rows}
+    want = []
+    for (c, f), p in numbers.items():
+        before = numbers.get((c, f - 1))
+        step = None if before is None else p - before
+        kind = "start" if f == 0 else "lost_predecessor" if before is None else "contiguous" if step == 1 else "forward_gap"
+        want.append((c, f, p, before, kind, max(0, (step or 1) - 1)))
+    replays = [r for r in got if r.step_class == "replay"]
+    assert sorted((r.capture_id, r.frame_id, r.picture_number, r.previous or -1, r.step_class, r.missing) for r in got if r.step_class != "replay") == sorted(
+        (c, f, p, b or -1, k, m) for c, f, p, b, k, m in want)
+    assert len(replays) == 1 and replays[0].picture_number == replays[0].previous
+
+
+def test_a_new_checkpoint_keeps_stored_rows(spark, tmp_path):
+    schema = "cvbs_file_id bigint, frame_id bigint, sample_start bigint, sample_count bigint, severity int"
+    for i, rows in enumerate(([(1, 0, 5, 9, 25), (1, 1, 5, 9, 25)], [(1, 2, 5, 9, 25)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in{i}")
+        st.ingest_sidecar(stream, f"{tmp_path}/out", f"{tmp_path}/check{i}").awaitTermination()
+    assert sorted(r.frame_id for r in sidecar.read_sidecar(spark, f"{tmp_path}/out", "dropout_run").collect()) == [0, 1, 2]
+
+
 def test_ingestion_merges_copies_however_far_apart(spark, tmp_path):
     schema = "cvbs_file_id bigint, frame_id bigint, sample_start bigint, sample_count bigint, severity int"
     rows = [(1, 0, 5, 9, 25), (1, 1, 5, 9, 25), (2, 0, 5, 9, 75)]
