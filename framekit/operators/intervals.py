@@ -202,40 +202,43 @@ def scratch_lifespan(events: DataFrame, frame_samples: int | Column) -> DataFram
 def score_detections(truth: DataFrame, found: DataFrame, by: str = "capture_id") -> DataFrame:
     """Matched, missed and false runs, and sample-level precision, recall and IoU, per capture.
 
-    Each run meets merged islands of the other side, so overlaps stay linear in the runs.
+    One sweep per frame over the starts and ends of both sides: running sums tell which sides cover each stretch, and how many samples the
+    other side has covered so far; a run is hit if that grows between its two ends. No run meets another one, so overlaps of any depth
+    cost nothing more; the runs are shuffled once, by frame.
     """
     keys = [by, "frame_id"]
 
-    def hits(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        met = _meet(a.select(*keys, "run_id", "sample_start", "sample_count"), b, keys, "left")
-        return met.groupBy(*keys, "run_id").agg(F.max(F.col("b_lo").isNotNull().cast("int")).alias("__hit")).groupBy(by).agg(
-            F.sum("__hit").alias(f"{name}_hit"), F.count("*").alias(f"{name}_runs")
+    def ends(runs: DataFrame, is_truth: bool) -> DataFrame:
+        at = F.array(
+            F.struct(F.col("sample_start").cast("bigint").alias("pos"), F.lit(1).alias("step")),
+            F.struct(_end().cast("bigint").alias("pos"), F.lit(-1).alias("step")),
         )
-
-    def islands(runs: DataFrame) -> DataFrame:
-        return merge_intervals(runs, keys)
-
-    def samples(runs: DataFrame, name: str) -> DataFrame:
-        return islands(runs).groupBy(by).agg(F.sum("sample_count").alias(name))
-
-    both = _meet(islands(truth), found, keys, "inner").groupBy(by).agg(
-        F.sum(F.least(_end(), F.col("b_hi")) - F.greatest(F.col("sample_start"), F.col("b_lo"))).alias("both")
+        return runs.select(*keys, F.lit(is_truth).alias("is_truth"), "run_id", F.inline(at))
+
+    def covered(side: Column) -> Column:
+        return F.when(F.sum(F.when(side, F.col("step")).otherwise(0)).over(order) > 0, F.col("len")).otherwise(0)
+
+    order = Window.partitionBy(*keys).orderBy("pos")
+    is_truth = F.col("is_truth")
+    swept = ends(truth, True).unionByName(ends(found, False)).withColumn("len", F.coalesce(F.lead("pos").over(order) - F.col("pos"), F.lit(0)))
+    swept = swept.withColumns({"t": covered(is_truth), "f": covered(~is_truth)})
+    before = order.rangeBetween(Window.unboundedPreceding, -1)
+    other = F.coalesce(F.when(is_truth, F.sum("f").over(before)).otherwise(F.sum("t").over(before)), F.lit(0))
+    both = F.when((F.col("t") > 0) & (F.col("f") > 0), F.col("len")).otherwise(0)
+    runs = swept.select(*keys, "is_truth", "run_id", "t", "f", both.alias("both"), other.alias("other")).groupBy(*keys, "is_truth", "run_id").agg(
+        (F.max("other") > F.min("other")).alias("hit"), *(F.sum(c).alias(c) for c in ("t", "f", "both")),
     )
-    out = hits(truth, found, "truth")
-    for part in (hits(found, truth, "found"), samples(truth, "truth_n"), samples(found, "found_n"), both):
-        out = out.join(part, by, "full")
 
-    def n(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0))
+    def ratio(a: str, b: Column) -> Column:
+        return F.round(F.when(b > 0, F.col(a).cast("double") / b), 6)
 
-    def ratio(a: Column, b: Column) -> Column:
-        return F.round(F.when(b > 0, a.cast("double") / b), 6)
-
-    return out.select(
-        by, n("truth_hit").alias("matched"), (n("truth_runs") - n("truth_hit")).alias("missed"),
-        (n("found_runs") - n("found_hit")).alias("false_runs"),
-        ratio(n("both"), n("found_n")).alias("precision"), ratio(n("both"), n("truth_n")).alias("recall"),
-        ratio(n("both"), n("truth_n") + n("found_n") - n("both")).alias("iou"),
+    summed = runs.groupBy(by).agg(
+        *(F.sum(c).alias(c) for c in ("t", "f", "both")), F.count_if(is_truth & F.col("hit")).alias("matched"),
+        F.count_if(is_truth & ~F.col("hit")).alias("missed"), F.count_if(~is_truth & ~F.col("hit")).alias("false_runs"),
+    )
+    return summed.select(
+        by, "matched", "missed", "false_runs", ratio("both", F.col("f")).alias("precision"), ratio("both", F.col("t")).alias("recall"),
+        ratio("both", F.col("t") + F.col("f") - F.col("both")).alias("iou"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framekit.operators import rules as ru
+from framekit.operators import timeline as tl
 from framekit.plans.fixtures import view
 from framekit.plans.registry import query
 from framekit.session import scratch_dir
@@ -52,6 +53,48 @@ def sidecar_tables(spark, sf):
     )
 
 
+@query("sidecar_files", """WITH
+ p AS (SELECT project_id % 200 AS f, min(project_id) AS id FROM fx_config GROUP BY 1),
+ n AS (SELECT project_id % 200 AS f, sum(n_frames) AS n, bool_or(dropout_scale >= 18 AND project_id % 3 = 0) AS odd FROM fx_placed GROUP BY 1),
+ t AS (SELECT project_id % 200 AS f, project_id * 10 + section_no AS s, start_frame AS pair, CASE WHEN pn_anchor IS NULL THEN '' ELSE name END AS label FROM fx_section WHERE start_frame < 4),
+ e AS (SELECT capture_id % 40 AS f, capture_id // 40 * 1000000 + frame_id AS fr, event_id % 300 AS n FROM fx_capture_frame)
+SELECT 'cvbs_file' AS table_name, CAST(p.f AS BIGINT) AS cvbs_file_id, concat_ws('|', standard, encoding, signal_state, signal_type, CAST(coalesce(n.n, 0) AS BIGINT),
+  CASE WHEN standard = 'NTSC' AND black_setup_ire = 0 THEN '240' ELSE '-' END, coalesce(odd, FALSE)) AS told FROM p JOIN fx_config c ON c.project_id = p.id LEFT JOIN n ON n.f = p.f
+UNION ALL SELECT 'audio_channel_pair', CAST(f AS BIGINT), concat_ws('|', pair, coalesce(arg_min(label, s) FILTER (WHERE label <> ''), '-')) FROM t GROUP BY f, pair
+UNION ALL SELECT 'efm_frame', CAST(f AS BIGINT), concat_ws('|', fr, CAST(coalesce(sum(n) OVER (PARTITION BY f ORDER BY fr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT), n) FROM e""")
+def sidecar_files(spark, sf):
+    """The three tables beside ``dropout_run``, built, written by file and read back."""
+    file = (F.col("project_id") % 200).alias("cvbs_file_id")
+    names = ["standard", "encoding", "signal_state", "signal_type", "black_setup_ire"]
+    first = F.min_by(F.struct(*names), "project_id").alias("c")
+    projects = view(spark, sf, "fx_config").groupBy(file).agg(first).select("cvbs_file_id", "c.*")
+    placed = view(spark, sf, "fx_placed").groupBy(file).agg(
+        F.sum("n_frames").alias("n_frames"), F.bool_or((F.col("dropout_scale") >= 18) & (F.col("project_id") % 3 == 0)).alias("has_nonstandard"),
+    )
+    tracks = view(spark, sf, "fx_section").filter("start_frame < 4").select(
+        file, (F.col("project_id") * 10 + F.col("section_no")).alias("section_no"), F.col("start_frame").alias("channel_pair"),
+        F.when(F.col("pn_anchor").isNull(), "").otherwise(F.col("name")).alias("label"),
+    )
+    counts = view(spark, sf, "fx_capture_frame").select(
+        (F.col("capture_id") % 40).alias("cvbs_file_id"), (F.expr("capture_id div 40") * 1000000 + F.col("frame_id")).alias("frame_id"), (F.col("event_id") % 300).alias("n"),
+    )
+    totals = counts.groupBy("cvbs_file_id").agg(F.sum("n").alias("total"))
+    index = tl.frame_index_table(counts, totals, ["cvbs_file_id"]).select(
+        "cvbs_file_id", "frame_id", F.col("offset").cast("bigint").alias("t_value_offset"), F.col("count").cast("bigint").alias("t_value_count"),
+    )
+    base = scratch_dir(spark, "sidecar")
+    told = {
+        "cvbs_file": ["preset", "sample_encoding_preset", "signal_state_preset", "signal_type", "number_of_sequential_frames", "black_level", "has_nonstandard_values"],
+        "audio_channel_pair": ["channel_pair", "description"], "efm_frame": ["frame_id", "t_value_offset", "t_value_count"],
+    }
+    parts = []
+    for (name, columns), rows in zip(told.items(), (sidecar.cvbs_file_rows(projects, placed, placed), sidecar.audio_pair_rows(tracks), index), strict=True):
+        sidecar.write_sidecar(rows, base, name)
+        shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+        parts.append(sidecar.read_sidecar(spark, base, name).select(F.lit(name).alias("table_name"), F.col("cvbs_file_id").cast("bigint").alias("cvbs_file_id"), F.concat_ws("|", *shown).alias("told")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("constraint_violations", """WITH
  d AS (SELECT capture_id AS f, frame_id - CASE WHEN run_id % 50 = 0 THEN 40 ELSE 0 END AS frame_id, sample_start % 3000 AS s, sample_count - CASE WHEN run_id % 30 = 0 THEN 5 + run_id % 396 ELSE 0 END AS n, CASE WHEN run_id % 20 = 0 THEN NULL WHEN run_id % 70 = 1 THEN 120 ELSE 75 END AS sev FROM fx_run),
  c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'SECAM' ELSE 'PAL' END AS preset, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'x' END AS decoder, o_orderkey % 5 AS n FROM orders),

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framekit.dims import by_standard
 from framekit.operators.rules import DOMAINS
 
 KEY = "cvbs_file_id"
@@ -100,6 +101,36 @@ def read_sidecar(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.filter(F.coalesce(*(F.col(c).cast("string") for c in rows.columns if c != KEY)).isNotNull())
 
 
+def cvbs_file_rows(projects: DataFrame, frames: DataFrame, flags: DataFrame, decoder: str = "framekit") -> DataFrame:
+    """The ``cvbs_file`` row of each file.
+
+    ``projects`` has the configuration (``standard, encoding, signal_state, signal_type, black_setup_ire``, null where it was not given),
+    ``frames`` the number of frames (``n_frames``), ``flags`` whether samples left the profile (``has_nonstandard``); all by ``cvbs_file_id``. The black
+    level is recorded only where an NTSC project asks for black at blanking, as that level's code. Made files are one unbroken sequence.
+    """
+    at_blanking = (F.col("standard") == "NTSC") & (F.abs(F.col("black_setup_ire")) < 1e-9)
+    joined = projects.join(frames.select(KEY, "n_frames"), KEY, "left").join(flags.select(KEY, "has_nonstandard"), KEY, "left")
+    none = F.lit(None).cast("string")
+    return joined.select(
+        F.col(KEY).cast("bigint").alias(KEY), F.col("standard").alias("preset"), F.col("encoding").alias("sample_encoding_preset"),
+        F.col("signal_state").alias("signal_state_preset"), F.lit(True).alias("sequence_continuous"), "signal_type", F.lit(decoder).alias("decoder"),
+        none.alias("git_branch"), none.alias("git_commit"), F.coalesce("n_frames", F.lit(0)).cast("bigint").alias("number_of_sequential_frames"),
+        F.when(at_blanking, by_standard("blank_code", F.lit("NTSC"))).cast("int").alias("black_level"),
+        F.coalesce("has_nonstandard", F.lit(False)).alias("has_nonstandard_values"), none.alias("capture_notes"),
+    )
+
+
+def audio_pair_rows(tracks: DataFrame) -> DataFrame:
+    """``audio_channel_pair`` rows: the pairs that any section declares, with the first label in section order that is not empty.
+
+    ``tracks`` has ``cvbs_file_id, section_no, channel_pair, label``.
+    """
+    labelled = F.when(F.coalesce(F.col("label"), F.lit("")) != "", F.struct("section_no", "label"))
+    return tracks.filter("channel_pair is not null").groupBy(F.col(KEY).cast("bigint").alias(KEY), F.col("channel_pair").cast("int").alias("channel_pair")).agg(
+        F.min(labelled)["label"].alias("description"),
+    )
+
+
 def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Constraint counts over several sidecar tables."""
     parts = [
