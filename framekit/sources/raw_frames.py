@@ -128,6 +128,8 @@ class RawFrameReader(DataSourceReader):
             if size % self.frame_bytes:
                 raise ValueError(f"{path}: size {size} is not a multiple of the frame size {self.frame_bytes}")
             start, gaps = first_frame(path), bool(entry and entry["gaps"])
+            if gaps and (entry["last_frame"] < self.low or entry["first_frame"] >= self.high):
+                continue
             low, high = (0, size // self.frame_bytes) if gaps else (max(0, self.low - start), min(size // self.frame_bytes, self.high - start))
             ranges += [(path, first, min(per_task, high - first), gaps) for first in range(low, high, per_task)]
         return self.tasks(ranges)
@@ -228,7 +230,7 @@ class RawFrameWriter(DataSourceArrowWriter):
                 with system.open_output_stream(f"{own}.numbers") as beside:
                     beside.write(frames.tobytes())
             name = f"capture={key[0]}-first={key[1]:012d}.raw"
-            done.append((own, {"file": name, "capture_id": key[0], "first_frame": int(frames[0]), "n_frames": len(frames), "gaps": gaps}))
+            done.append((own, {"file": name, "capture_id": key[0], "first_frame": int(frames[0]), "last_frame": int(frames[-1]), "n_frames": len(frames), "gaps": gaps}))
 
         try:
             for batch in iterator:

@@ -11,7 +11,8 @@ def test_raw_files_are_split_and_checked(spark, tmp_path, monkeypatch):
     (tmp_path / "a.raw").write_bytes(codes.tobytes())
     reader = raw_frames.RawFrameReader({"path": f"file://{tmp_path}", "framesamples": "64"})
     monkeypatch.setattr(raw_frames, "TASK_BYTES", 128 * 20)
-    assert [(p.first, p.count) for p in reader.partitions()] == [(0, 20), (20, 20), (40, 10)]
+    monkeypatch.setattr(raw_frames, "OPEN_BYTES", 0)
+    assert [[r[1:3] for r in p.ranges] for p in reader.partitions()] == [[(0, 20)], [(20, 20)], [(40, 10)]]
     rows = raw_frames.read_raw_frames(spark, str(tmp_path), samples=64).orderBy("frame_id").collect()
     assert len(rows) == 50 and rows[49].samples == codes[49].tolist()
     (tmp_path / "b.raw").write_bytes(b"\0" * 100)
@@ -24,7 +25,7 @@ def test_written_frames_keep_their_numbers(spark, tmp_path):
     frames = spark.createDataFrame([(5, f, [f, f + 1]) for f in numbers], "capture_id bigint, frame_id bigint, codes array<smallint>")
     for _ in range(2):  # a second run replaces the files
         files = raw_frames.write_raw_frames(frames, str(tmp_path), per_file=32).collect()
-    assert sorted((r.first_frame, r.n_frames) for r in files) == [(0, 3), (7, 2), (31, 1), (32, 2)]
+    assert sorted((r.first_frame, r.n_frames, r.gaps) for r in files) == [(0, 6, True), (32, 2, False)]
     got = raw_frames.read_raw_frames(spark, str(tmp_path), samples=2, suffix=".raw").orderBy("frame_id").collect()
     assert [(r.frame_id, list(r.samples)) for r in got] == [(f, [f, f + 1]) for f in numbers]
     assert not [p for p in tmp_path.iterdir() if p.name.endswith(".tmp")]
@@ -37,10 +38,14 @@ def test_written_frames_keep_their_numbers(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     reader = raw_frames.FilteredRawFrameReader({"path": f"file://{tmp_path}", "framesamples": "2", "suffix": ".raw"})
     assert len(list(reader.pushFilters([GreaterThan(("frame_id",), 1), LessThanOrEqual(("frame_id",), 7)]))) == 2
-    assert [(raw_frames.first_frame(p.path) + p.first, p.count) for p in reader.partitions()] == [(2, 1), (7, 1)]
-    path = reader.partitions()[1].path
+    assert [r[1:] for p in reader.partitions() for r in p.ranges] == [(0, 6, True)]  # one with gaps is read whole or not at all
+    reader = raw_frames.FilteredRawFrameReader({"path": f"file://{tmp_path}", "framesamples": "2", "suffix": ".raw"})
+    list(reader.pushFilters([GreaterThan(("frame_id",), 32)]))
+    assert [r[1:] for p in reader.partitions() for r in p.ranges] == [(1, 1, False)]
+    reader = raw_frames.FilteredRawFrameReader({"path": f"file://{tmp_path}", "framesamples": "2", "suffix": ".raw"})
+    path = reader.partitions()[0].ranges[0][0]
     list(reader.pushFilters([EqualTo(("path",), path)]))
-    assert [p.path for p in reader.partitions()] == [path]
+    assert [r[0] for p in reader.partitions() for r in p.ranges] == [path]
 
 
 def test_frame_sizes():
