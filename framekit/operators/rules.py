@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framekit.dims import (
-    MAX_CHAPTER, STANDARDS, by_standard, disc_test_line_dim, reserved_line_dim, vits_dim,
+    DISC_TEST_LINES, MAX_CHAPTER, RESERVED_RANGES, STANDARDS, VITS_LINES, by_standard,
 )
 from framekit.operators.intervals import dropout_params
 from framekit.operators.text import ROOTS, unknown_tokens
 
 ERROR, WARNING = "error", "warning"
 SCHEMA = ["project_id", "section_no", "rule", "severity", "detail"]
+#: A rule on one row: its name, severity, condition and detail.
+Check = tuple[str, str, Column, Column]
 
 # The allowed values of each enumerated field.
 DOMAINS: dict[str, list[str]] = {
@@ -54,6 +56,7 @@ CODE_SECTIONS = {
     else ["lead_in", "programme_area", "lead_out"] if code == "fm_white_flag" else ["programme_area"]
     for code in ALL_CODES
 }
+# Shortest lead-in and lead-out, noise range and largest picture numbers.
 LEAD_IN_FRAMES, LEAD_OUT_FRAMES = 938, 1250
 NOISE_DB = (20.0, 61.0)
 MAX_PICTURE = {"PAL": 99999, "NTSC": 79999, "PAL_M": 79999}
@@ -64,7 +67,7 @@ def _ids(df: DataFrame) -> list[Column]:
     return [F.col("project_id"), section.cast("int").alias("section_no")]
 
 
-def findings(df: DataFrame, checks: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+def findings(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Rows for each (rule, severity, condition, detail) whose condition holds; null conditions do not."""
     made = [
         F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"), detail.cast("string").alias("detail")))
@@ -79,24 +82,23 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p.select(*SCHEMA) for p in parts])
 
 
+def domain_checks(columns: Sequence[str]) -> list[Check]:
+    """Domain rules of the enumerated columns among ``columns``."""
+    return [
+        (f"domain.{c}", ERROR, F.col(c).isNotNull() & ~F.col(c).isin(*DOMAINS[c]), F.col(c)) for c in columns if c in DOMAINS
+    ]
+
+
 def rule_domain(*tables: DataFrame) -> DataFrame:
     """Q1: values outside their set, for every enumerated column that the tables have; null is unset."""
-    parts = []
-    for df in tables:
-        checks = [
-            (f"domain.{c}", ERROR, F.col(c).isNotNull() & ~F.col(c).isin(*DOMAINS[c]), F.col(c))
-            for c in df.columns if c in DOMAINS
-        ]
-        if checks:
-            parts.append(findings(df, checks))
-    return _union(parts)
+    return _union([findings(df, domain_checks(df.columns)) for df in tables if domain_checks(df.columns)])
 
 
 def _outside(col: str, low: float, high: float) -> Column:
     return ~F.col(col).between(low, high)
 
 
-def range_checks(columns: Sequence[str]) -> list[tuple[str, str, Column, Column]]:
+def range_checks(columns: Sequence[str]) -> list[Check]:
     """Range rules whose columns are present."""
     c = F.col
     known_lines = by_standard("lines")
@@ -153,52 +155,54 @@ def rule_unique(target_lines: DataFrame, project_lines: DataFrame | None = None,
     return _union(parts)
 
 
+def reserved_checks() -> list[Check]:
+    """Rules on test signal lines (standard, disc_type, placement, vits_type, line_no); the fixed tables are part of the conditions."""
+    std, line = F.col("standard"), F.col("line_no")
+    no = F.lit(False)
+    held = reduce(Column.__or__, [(std == s) & line.between(*r) for s, ranges in RESERVED_RANGES.items() for r in ranges])
+    open_line = reduce(Column.__or__, [(std == s) & line.isin(*lines) for s, lines in DISC_TEST_LINES.items()])
+    own = F.when(std == "PAL_M", "NTSC").otherwise(std)
+    usual = F.when(no, 0)
+    for name, signals in VITS_LINES.items():
+        for kind, usual_line in signals.items():
+            usual = usual.when((own == name) & (F.col("vits_type") == kind), usual_line)
+    return [
+        ("reserved.disc_range", ERROR, F.col("disc_type").isin("CAV", "CLV") & held, line),
+        ("reserved.disc_placement", ERROR, (F.col("placement") == "laserdisc") & ~F.coalesce(open_line, no), line),
+        ("reserved.standard_placement", ERROR, (F.col("placement") == "standard") & (usual > 0) & (line != usual), line),
+    ]
+
+
 def rule_reserved_lines(lines: DataFrame) -> DataFrame:
     """Q4: test signal lines in reserved ranges of discs, or against the placement policy.
 
     ``lines``: project_id, standard, disc_type, placement, vits_type, line_no.
     """
-    spark = lines.sparkSession
-    ranges = F.broadcast(reserved_line_dim(spark).withColumnRenamed("standard", "r_std"))
-    clash = lines.filter(F.col("disc_type").isin("CAV", "CLV")).join(
-        ranges, (F.col("standard") == F.col("r_std")) & F.col("line_no").between(F.col("line_lo"), F.col("line_hi")), "left_semi"
-    )
-    off_disc = lines.filter("placement = 'laserdisc'").join(
-        F.broadcast(disc_test_line_dim(spark)), ["standard", "line_no"], "left_anti"
-    )
-    wanted = F.broadcast(vits_dim(spark).withColumnRenamed("standard", "__std"))
-    own = F.when(F.col("standard") == "PAL_M", "NTSC").otherwise(F.col("standard"))
-    off_standard = lines.filter("placement = 'standard'").withColumn("__std", own).join(wanted, ["__std", "vits_type"]).filter(
-        (F.col("recommended_line") > 0) & (F.col("line_no") != F.col("recommended_line"))
-    )
-    rules = (("reserved.disc_range", clash), ("reserved.disc_placement", off_disc), ("reserved.standard_placement", off_standard))
-    return _union([findings(df, [(rule, ERROR, F.lit(True), F.col("line_no"))]) for rule, df in rules])
+    return findings(lines, reserved_checks()).select(*SCHEMA)
 
 
-def compatibility_dim(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Allowed (code, disc), (code, section) and (code, standard) pairs."""
-    disc = [(c, "CAV") for c in CAV_CODES] + [(c, "CLV") for c in CLV_CODES]
-    section = [(c, s) for c, kinds in CODE_SECTIONS.items() for s in kinds]
-    standard = [(c, s) for c in ALL_CODES for s in STANDARDS if s != "PAL" or c not in SYSTEM_M_CODES]
-    return (
-        spark.createDataFrame(disc, ["code_type", "disc_type"]),
-        spark.createDataFrame(section, ["code_type", "section_type"]),
-        spark.createDataFrame(standard, ["code_type", "standard"]),
-    )
+def compatibility_checks() -> list[Check]:
+    """Rules on codes (code_type, section_type, disc_type, standard) of projects with a disc type."""
+    on_disc = F.col("disc_type").isin("CAV", "CLV")
+    allowed = {
+        "disc_type": {c: [d for d, codes in (("CAV", CAV_CODES), ("CLV", CLV_CODES)) if c in codes] for c in ALL_CODES},
+        "section_type": CODE_SECTIONS,
+        "standard": {c: [s for s in STANDARDS if s != "PAL" or c not in SYSTEM_M_CODES] for c in ALL_CODES},
+    }
+    checks = []
+    for other, sets in allowed.items():
+        kinds = F.create_map(*[x for code, names in sets.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
+        fits = F.coalesce(F.array_contains(kinds[F.col("code_type")], F.col(other)), F.lit(False))
+        checks.append((f"compatibility.{other}", ERROR, on_disc & ~fits, F.concat_ws("/", "code_type", other)))
+    return checks
 
 
 def rule_compatibility(codes: DataFrame) -> DataFrame:
-    """Q5: codes that the disc type, section type or standard does not allow. Projects without disc type pass.
+    """Q5: codes that the disc type, section type or standard does not allow, unknown ones included. Projects without disc type pass.
 
     ``codes``: project_id, section_no, code_type, section_type, disc_type, standard.
     """
-    on_disc = codes.filter(F.col("disc_type").isin("CAV", "CLV"))
-    parts = []
-    for dim, other in zip(compatibility_dim(codes.sparkSession), ("disc_type", "section_type", "standard")):
-        bad = on_disc.join(F.broadcast(dim), ["code_type", other], "left_anti")
-        detail = F.concat_ws("/", "code_type", other)
-        parts.append(findings(bad, [(f"compatibility.{other}", ERROR, F.lit(True), detail)]))
-    return _union(parts)
+    return findings(codes, compatibility_checks()).select(*SCHEMA)
 
 
 def rule_references(
@@ -233,45 +237,69 @@ def rule_references(
     ])
 
 
-def rule_ordering(sections: DataFrame) -> DataFrame:
-    """Q7: one lead-in and one lead-out at most, nothing before or after them, programme between.
-
-    ``sections``: project_id, section_no, section_type.
-    """
-    kind = F.col("section_type")
-    bounds = sections.groupBy("project_id").agg(
+def bound_facts(kind: Column) -> list[Column]:
+    """Aggregates of a project's sections that the ordering rules need."""
+    return [
         F.count(F.when(kind == "lead_in", 1)).alias("n_in"), F.count(F.when(kind == "lead_out", 1)).alias("n_out"),
         F.min(F.when(kind == "lead_in", F.col("section_no"))).alias("first_in"),
         F.max(F.when(kind == "lead_out", F.col("section_no"))).alias("last_out"),
-    ).filter("n_in > 0 OR n_out > 0")
-    many = findings(bounds, [
+    ]
+
+
+def bound_checks() -> list[Check]:
+    """Ordering rules on a project's facts."""
+    return [
         ("ordering.one_lead_in", ERROR, F.col("n_in") > 1, F.col("n_in")),
         ("ordering.one_lead_out", ERROR, F.col("n_out") > 1, F.col("n_out")),
-    ])
-    placed = sections.join(bounds, "project_id")
+    ]
+
+
+def ordering_checks(kind: Column | None = None) -> list[Check]:
+    """Ordering rules on a section that carries its project's facts."""
+    kind = F.col("section_type") if kind is None else kind
     at = F.col("section_no")
+    bounded = (F.col("n_in") > 0) | (F.col("n_out") > 0)
     inside = (at > F.coalesce("first_in", F.lit(-1))) & (at < F.coalesce("last_out", F.lit(1 << 30)))
     known = F.coalesce(kind.isin(*DOMAINS["section_type"]), F.lit(False))
-    rows = findings(placed, [
+    return [
         ("ordering.before_lead_in", ERROR, at < F.col("first_in"), kind),
         ("ordering.after_lead_out", ERROR, at > F.col("last_out"), kind),
-        ("ordering.between", ERROR, inside & ~known, kind),
-    ])
-    return _union([many, rows])
+        ("ordering.between", ERROR, bounded & inside & ~known, kind),
+    ]
+
+
+def rule_ordering(sections: DataFrame) -> DataFrame:
+    """Q7: one lead-in and one lead-out at most, nothing before or after them, programme between.
+
+    ``sections``: project_id, section_no, section_type.
+    """
+    kind = F.col("section_type")
+    bounds = sections.groupBy("project_id").agg(*bound_facts(kind)).filter("n_in > 0 OR n_out > 0")
+    return _union([findings(bounds, bound_checks()), findings(sections.join(bounds, "project_id"), ordering_checks())])
 
 
 def rule_exclusive(injections: DataFrame) -> DataFrame:
     """Q8: injections that must not meet. ``injections``: project_id, section_no, type, n_lines."""
+    return _union([findings(injections, exclusive_checks()), exclusive_pairs(injections)])
+
+
+def exclusive_checks() -> list[Check]:
+    """Rules on one injection (type, n_lines)."""
     kind = F.lower("type")
-    rows = findings(injections, [
+    return [
         ("exclusive.section_vits", ERROR, kind == "vits", F.col("type")),
         ("exclusive.disc_lines", ERROR, (kind == "laserdisc") & (F.col("n_lines") > 0), F.col("n_lines")),
         ("exclusive.missing_lines", ERROR, (kind == "vitc") & (F.coalesce("n_lines", F.lit(0)) == 0), F.col("type")),
-    ])
+    ]
+
+
+def exclusive_pairs(injections: DataFrame) -> DataFrame:
+    """Sections with both kinds of injected code lines."""
+    kind = F.lower("type")
     both = injections.groupBy("project_id", "section_no").agg(
         F.max(kind == "laserdisc").alias("__disc"), F.max(kind == "vitc").alias("__vitc")
     )
-    return _union([rows, findings(both, [("exclusive.vitc_disc", ERROR, F.col("__disc") & F.col("__vitc"), F.lit("vitc"))])])
+    return findings(both, [("exclusive.vitc_disc", ERROR, F.col("__disc") & F.col("__vitc"), F.lit("vitc"))])
 
 
 def rule_durations(sections: DataFrame, ramps: DataFrame | None = None, tracks: DataFrame | None = None) -> DataFrame:
@@ -281,40 +309,60 @@ def rule_durations(sections: DataFrame, ramps: DataFrame | None = None, tracks:
     scratch_scale. ``ramps`` adds ramp_period_s and standard; ``tracks`` are programme sections of projects
     with disc audio (standard, duration_frames, duration_all).
     """
-    fixed = ~F.col("duration_all")
-    n = F.col("duration_frames")
+    parts = [findings(with_lifespan(sections), duration_checks())]
+    if ramps is not None:
+        parts.append(findings(ramps, ramp_checks()))
+    if tracks is not None:
+        first = tracks.groupBy("project_id").agg(F.min("section_no").alias("first_programme"))
+        parts.append(findings(tracks.join(first, "project_id"), track_checks()))
+    return _union(parts)
+
+
+def with_lifespan(sections: DataFrame) -> DataFrame:
+    """Sections with the frames that a scratch of their scale lasts, ``__life``."""
+    return dropout_params(sections, "scratch_scale").withColumnRenamed("scratch_frames", "__life")
+
+
+def duration_checks() -> list[Check]:
+    """Rules on the length of one section (of :func:`with_lifespan`)."""
+    fixed, n = ~F.col("duration_all"), F.col("duration_frames")
     cav = (F.col("disc_type") == "CAV") & F.col("carries_codes") & fixed
-    lifespan = dropout_params(sections, "scratch_scale").withColumnRenamed("scratch_frames", "__life")
-    rows = findings(lifespan, [
+    return [
         ("duration.lead_in", WARNING, cav & (F.col("section_type") == "lead_in") & (n < LEAD_IN_FRAMES), n),
         ("duration.lead_out", WARNING, cav & (F.col("section_type") == "lead_out") & (n < LEAD_OUT_FRAMES), n),
         ("duration.positive", ERROR, fixed & (n <= 0), n),
         ("duration.repeat", ERROR, F.col("duration_repeat") < 1, F.col("duration_repeat")),
         ("duration.repeat_ignored", WARNING, fixed & (F.col("duration_repeat") > 1), F.col("duration_repeat")),
         ("duration.scratch", WARNING, fixed & F.col("scratch_scale").between(1, 20) & (F.col("__life") > n), F.col("__life")),
-    ])
-    parts = [rows]
-    seconds = n / by_standard("frame_rate")
-    if ramps is not None:
-        parts.append(findings(ramps, [
-            ("duration.ramp", ERROR, fixed & (F.col("ramp_period_s") > 0) & (F.col("ramp_period_s") > seconds), F.col("ramp_period_s"))
-        ]))
-    if tracks is not None:
-        first = tracks.groupBy("project_id").agg(F.min("section_no").alias("__first"))
-        least = F.when(F.col("section_no") == F.col("__first"), 6.0).otherwise(4.0)
-        parts.append(findings(tracks.join(first, "project_id"), [
-            ("duration.track", WARNING, fixed & (n > 0) & (seconds < least), n)
-        ]))
-    return _union(parts)
+    ]
 
 
-def rule_source_profile(profiles: DataFrame) -> DataFrame:
+def ramp_checks() -> list[Check]:
+    """A ramp's period against its section's length."""
+    period, seconds = F.col("ramp_period_s"), F.col("duration_frames") / by_standard("frame_rate")
+    return [("duration.ramp", ERROR, ~F.col("duration_all") & (period > 0) & (period > seconds), period)]
+
+
+def track_checks(of: Column | None = None) -> list[Check]:
+    """A track's length, given its project's ``first_programme`` section; ``of`` narrows the sections that are tracks."""
+    n = F.col("duration_frames")
+    least = F.when(F.col("section_no") == F.col("first_programme"), 6.0).otherwise(4.0)
+    short = ~F.col("duration_all") & (n > 0) & (n / by_standard("frame_rate") < least)
+    return [("duration.track", WARNING, short if of is None else of & short, n)]
+
+
+def rule_source_profile(*profiles: DataFrame) -> DataFrame:
     """Q10: source properties against the section's standard and file family; null or zero is unknown and passes.
 
     ``profiles``: project_id, section_no, source, standard, and any of container, codec, pixel_format, bit_depth,
     width, height, frame_rate, sample_aspect, field_order, color_space, color_primaries, color_transfer,
     color_range, crop.
     """
+    return _union([findings(df, profile_checks(df.columns)) for df in profiles])
+
+
+def profile_checks(columns: Sequence[str]) -> list[Check]:
+    """Source rules whose columns are present. The names, rasters, rates and tolerances are fixed values."""
     c, std = F.col, F.col("standard")
     exr, mkv = F.lower("source").endswith(".exr"), F.lower("source").endswith(".mkv")
     pal = std == "PAL"
@@ -339,10 +387,10 @@ def rule_source_profile(profiles: DataFrame) -> DataFrame:
         ("sample_aspect", ["sample_aspect"], mkv & (c("sample_aspect") > 0) & (F.abs(c("sample_aspect") - aspect) > 2.0e-3)),
         ("crop", ["crop"], mkv & (c("crop") != 0)),
     ]
-    return findings(profiles, [
+    return [
         (f"profile.{name}", ERROR, cond, F.concat_ws(" ", *[c(x).cast("string") for x in (need or ["source"])]))
-        for name, need, cond in rules if all(x in profiles.columns for x in need)
-    ])
+        for name, need, cond in rules if all(x in columns for x in need)
+    ]
 
 
 def parse_word(text: Column) -> Column:
@@ -361,9 +409,12 @@ def rule_hex_words(codes: DataFrame) -> DataFrame:
 
     ``codes``: project_id, section_no, code_type, word_text (null is unset).
     """
-    typed = codes.filter(F.col("code_type").isin("users_code", "programme_status") & F.col("word_text").isNotNull()).withColumn(
-        "__w", parse_word(F.col("word_text"))
-    )
+    return findings(codes.withColumn("__w", parse_word(F.col("word_text"))), hex_checks())
+
+
+def hex_checks() -> list[Check]:
+    """Rules on the parsed word ``__w`` of a code (code_type, word_text)."""
+    typed = F.col("code_type").isin("users_code", "programme_status") & F.col("word_text").isNotNull()
     w, user = F.col("__w"), F.col("code_type") == "users_code"
     small = w <= 0xFFFFFF
     checks = [
@@ -372,7 +423,7 @@ def rule_hex_words(codes: DataFrame) -> DataFrame:
         ("hex.d", user & small & (F.shiftright(w, 12).bitwiseAND(15) != 13)),
         ("hex.key", ~user & small & (w.bitwiseAND(0x800000) == 0)),
     ]
-    return findings(typed, [(rule, ERROR, cond, F.col("word_text")) for rule, cond in checks])
+    return [(rule, ERROR, typed & cond, F.col("word_text")) for rule, cond in checks]
 
 
 def rule_tokens(overlays: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
@@ -405,24 +456,34 @@ def rule_completeness(projects: DataFrame, sections: DataFrame, vits: DataFrame
 
     ``projects``: project_id, video_path, signal_type; ``sections``: project_id, section_no, source.
     """
-    def empty(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit("")) == ""
-
     parts = [
-        findings(projects, [
-            ("complete.video_path", ERROR, empty("video_path"), F.lit("video_path")),
-            ("complete.yc_suffix", ERROR, (F.col("signal_type") == "yc") & ~empty("video_path") & ~F.col("video_path").endswith(".cvbsy"), F.col("video_path")),
-        ]),
+        findings(projects, project_completeness_checks()),
         findings(projects.join(sections.select("project_id"), "project_id", "left_anti"), [
             ("complete.sections", ERROR, F.lit(True), F.lit("sections"))
         ]),
-        findings(sections, [("complete.source", ERROR, empty("source"), F.lit("source"))]),
+        findings(sections, [empty_check("source")]),
     ]
     if vits is not None:
-        parts.append(findings(vits, [("complete.vits_type", ERROR, empty("vits_type"), F.lit("vits_type"))]))
+        parts.append(findings(vits, [empty_check("vits_type")]))
     return _union(parts)
 
 
+def _empty(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
+
+
+def empty_check(c: str) -> Check:
+    """The column ``c`` must be given."""
+    return (f"complete.{c}", ERROR, _empty(c), F.lit(c))
+
+
+def project_completeness_checks() -> list[Check]:
+    """Rules on a project (video_path, signal_type)."""
+    path = F.col("video_path")
+    no_suffix = (F.col("signal_type") == "yc") & ~_empty("video_path") & ~path.endswith(".cvbsy")
+    return [empty_check("video_path"), ("complete.yc_suffix", ERROR, no_suffix, path)]
+
+
 def all_findings(found: Sequence[DataFrame]) -> DataFrame:
     """Findings of several rules as one table."""
     return _union(found)

@@ -131,6 +131,35 @@ SELECT s.*, p.standard, p.disc_type, CAST(duration_frames + 15 AS DOUBLE) AS noi
 FROM {fx_section} s LEFT JOIN {fx_project} p ON s.project_id = p.project_id""",
     "fx_code_config": """
 SELECT c.*, p.standard, p.disc_type FROM {fx_section_code} c LEFT JOIN {fx_project} p ON c.project_id = p.project_id""",
+    "fx_setting": """
+SELECT project_id, section_no, standard,
+ CASE c WHEN 0 THEN 'leadin' ELSE 'programme_area' END AS section_type, CASE c WHEN 1 THEN 'vits' ELSE 'vitc' END AS injection_type,
+ CASE c WHEN 2 THEN 'sideways' ELSE 'up' END AS ramp_mode, CASE c WHEN 3 THEN 'red' ELSE 'white' END AS fg,
+ CASE c WHEN 4 THEN 'red' ELSE 'transparent' END AS bg, CASE c WHEN 5 THEN 'chapter' ELSE 'users_code' END AS code_type,
+ CAST(CASE c WHEN 6 THEN 21 ELSE 1 END AS INT) AS scratch_scale, CAST(CASE c WHEN 7 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS amplitude,
+ CAST(CASE c WHEN 8 THEN -1 ELSE 100 END AS DOUBLE) AS ramp_start_hz, CAST(CASE c WHEN 9 THEN 22001 ELSE 100 END AS DOUBLE) AS ramp_end_hz,
+ CAST(CASE c WHEN 10 THEN -0.5 ELSE 0.5 END AS DOUBLE) AS ramp_period_s,
+ CAST(CASE c WHEN 11 THEN 80000 WHEN 12 THEN -1 WHEN 13 THEN 100000 ELSE 1 END AS INT) AS picture_start,
+ CAST(CASE c WHEN 14 THEN 80000 ELSE 0 END AS INT) AS fm_start,
+ CASE WHEN c = 20 THEN 'a.avi' WHEN exr THEN 'a.EXR' ELSE 'a.mkv' END AS source,
+ CASE WHEN c = 21 THEN 'mov' WHEN exr THEN 'exr' ELSE 'matroska,webm' END AS container,
+ CASE WHEN c = 22 THEN 'rgb24' WHEN exr THEN 'rgbf' ELSE 'yuv422p10le' END AS pixel_format,
+ CAST(CASE WHEN c = 23 THEN 8 WHEN exr THEN 32 ELSE 10 END AS INT) AS bit_depth,
+ CASE c WHEN 24 THEN 'bt709' ELSE 'smpte170m' END AS color_space,
+ CASE WHEN c = 25 THEN 'tt' WHEN standard = 'PAL' THEN 'tb' ELSE 'bt' END AS field_order,
+ CASE WHEN c = 26 THEN 'bt2020' WHEN standard = 'NTSC' THEN 'smpte170m' ELSE 'bt470bg' END AS color_primaries,
+ CASE c WHEN 27 THEN 'linear' ELSE 'bt709' END AS color_transfer, CASE c WHEN 28 THEN 'pc' ELSE 'tv' END AS color_range,
+ CAST(CASE c WHEN 29 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS sample_aspect, CAST(CASE c WHEN 30 THEN 2 ELSE 0 END AS INT) AS crop
+FROM (SELECT l_orderkey AS project_id, CAST(l_linenumber AS INT) AS section_no, (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 60 AS c,
+ l_partkey % 2 = 0 AS exr, CASE l_suppkey % 3 WHEN 0 THEN 'PAL' WHEN 1 THEN 'NTSC' ELSE 'PAL_M' END AS standard FROM {lineitem}) t""",
+    "fx_code_case": """
+SELECT l_orderkey AS project_id, CAST(l_linenumber AS INT) AS section_no,
+ CASE l_partkey % 14 WHEN 0 THEN 'lead_in' WHEN 1 THEN 'lead_out' WHEN 2 THEN 'picture_number' WHEN 3 THEN 'picture_stop' WHEN 4 THEN 'chapter_number'
+ WHEN 5 THEN 'programme_status' WHEN 6 THEN 'users_code' WHEN 7 THEN 'fm_picture_number' WHEN 8 THEN 'fm_white_flag' WHEN 9 THEN 'programme_time_code'
+ WHEN 10 THEN 'clv_code' WHEN 11 THEN 'clv_picture_number' WHEN 12 THEN 'fm_programme_time' ELSE 'unheard_of' END AS code_type,
+ CASE l_suppkey % 3 WHEN 0 THEN 'lead_in' WHEN 1 THEN 'programme_area' ELSE 'lead_out' END AS section_type,
+ CASE l_linenumber % 3 WHEN 0 THEN 'CAV' WHEN 1 THEN 'CLV' END AS disc_type, CASE l_orderkey % 3 WHEN 0 THEN 'PAL' WHEN 1 THEN 'NTSC' ELSE 'PAL_M' END AS standard
+FROM {lineitem}""",
     "fx_vits": """
 SELECT l_orderkey AS project_id, CAST(1 + l_partkey % 640 AS INT) AS line_no, CASE l_suppkey % 5 WHEN 0 THEN 'virs' WHEN 1 THEN 'vits17' WHEN 2 THEN 'fcc-composite' WHEN 3 THEN 'uk-national' ELSE '' END AS vits_type FROM {lineitem}""",
     "fx_artefact_base": """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framekit.operators import report
 from framekit.operators import rules as ru
 from framekit.plans.fixtures import shared_view, view
 from framekit.plans.registry import ORACLES, QUERIES, query
@@ -30,13 +31,19 @@ DOMAIN = union(
     rows("fx_config", "domain.signal_type", "signal_type = 'rgb'", "signal_type", section=NONE),
     rows("fx_config", "domain.disc_type", "disc_type = 'DVD'", "disc_type", section=NONE),
     rows("fx_section_config", "domain.waveform", "waveform = 'noise'", "waveform"),
+    rows("fx_setting", "domain.section_type", "section_type = 'leadin'", "section_type"),
+    rows("fx_setting", "domain.injection_type", "injection_type = 'vits'", "injection_type"),
+    rows("fx_setting", "domain.ramp_mode", "ramp_mode NOT IN ('up','down','bounce')", "ramp_mode"),
+    rows("fx_setting", "domain.fg", "fg NOT IN ('white','light_grey','dark_grey','black')", "fg"),
+    rows("fx_setting", "domain.bg", "bg NOT IN ('transparent','white','light_grey','dark_grey','black')", "bg"),
+    rows("fx_setting", "domain.code_type", f"code_type NOT IN {CODES}", "code_type"),
 )
 CONFIG = ["project_id", "standard", "encoding", "signal_state", "signal_type", "disc_type"]
 SECTION = ["project_id", "section_no", "section_type", "waveform"]
 
 
 def domain(spark, sf):
-    return ru.rule_domain(view(spark, sf, "fx_config").select(*CONFIG), view(spark, sf, "fx_section_config").select(*SECTION))
+    return ru.rule_domain(view(spark, sf, "fx_config").select(*CONFIG), view(spark, sf, "fx_section_config").select(*SECTION), view(spark, sf, "fx_setting"))
 
 
 @query("rule_domain", DOMAIN)
@@ -58,6 +65,13 @@ RANGE = union(
     rows("fx_section_config", "range.pair", "pair > 7", "pair"),
     rows("fx_section_config", "range.chapter", "chapter_anchor > 79", "chapter_anchor"),
     rows("fx_target_line t JOIN fx_project USING (project_id)", "range.line", "line_no > CASE standard WHEN 'PAL' THEN 625 ELSE 525 END", "line_no"),
+    rows("fx_setting", "range.scratch_scale", "scratch_scale < 0 OR scratch_scale > 20", "scratch_scale"),
+    rows("fx_setting", "range.amplitude", "amplitude < 0 OR amplitude > 1", "amplitude"),
+    rows("fx_setting", "range.ramp_start", "ramp_start_hz < 0 OR ramp_start_hz > 22000", "ramp_start_hz"),
+    rows("fx_setting", "range.ramp_end", "ramp_end_hz < 0 OR ramp_end_hz > 22000", "ramp_end_hz"),
+    rows("fx_setting", "range.ramp_period", "ramp_period_s < 0", "ramp_period_s"),
+    rows("fx_setting", "range.picture_number", "picture_start < 0 OR picture_start > CASE standard WHEN 'PAL' THEN 99999 ELSE 79999 END", "picture_start"),
+    rows("fx_setting", "range.fm_picture_number", "fm_start < 0 OR fm_start > 79999", "fm_start"),
     rows("fx_config", "range.efm_pair", "efm_pair > 7", "efm_pair", section=NONE),
     rows("fx_config", "range.black_setup", "standard IN ('NTSC','PAL_M') AND black_setup_ire = 5.0", "black_setup_ire", section=NONE),
 )
@@ -71,7 +85,7 @@ def rule_range(spark, sf):
     )
     lines = view(spark, sf, "fx_target_line").join(view(spark, sf, "fx_project").select("project_id", "standard"), "project_id")
     projects = view(spark, sf, "fx_config").select("project_id", "standard", "efm_pair", "black_setup_ire")
-    return ru.rule_range(sections, lines, projects)
+    return ru.rule_range(sections, lines, projects, view(spark, sf, "fx_setting"))
 
 
 @query("rule_unique", """
@@ -96,18 +110,26 @@ def rule_reserved_lines(spark, sf):
     return ru.rule_reserved_lines(view(spark, sf, "fx_vits").join(config, "project_id"))
 
 
-COMPAT = """ x AS (SELECT * FROM fx_code_config WHERE disc_type IN ('CAV', 'CLV')),
- compat AS (SELECT project_id, section_no, 'compatibility.disc_type' AS rule, 'error' AS severity, concat(code_type, '/', disc_type) AS detail FROM x WHERE (disc_type = 'CAV' AND code_type = 'clv_code') OR (disc_type = 'CLV' AND code_type = 'picture_number')
- UNION ALL SELECT project_id, section_no, 'compatibility.section_type', 'error', concat(code_type, '/', section_type) FROM x WHERE CASE WHEN code_type = 'users_code' THEN section_type = 'programme_area' ELSE section_type <> 'programme_area' END)"""
+COMPAT = """ x AS (SELECT project_id, section_no, code_type, section_type, disc_type, standard FROM fx_code_config WHERE disc_type IN ('CAV', 'CLV')
+  UNION ALL SELECT project_id, section_no, code_type, section_type, disc_type, standard FROM fx_code_case WHERE disc_type IN ('CAV', 'CLV')),
+ compat AS (SELECT project_id, section_no, 'compatibility.disc_type' AS rule, 'error' AS severity, concat(code_type, '/', disc_type) AS detail FROM x
+   WHERE code_type = 'unheard_of' OR (disc_type = 'CAV' AND code_type IN ('programme_time_code', 'clv_code', 'clv_picture_number', 'fm_programme_time'))
+   OR (disc_type = 'CLV' AND code_type IN ('picture_number', 'picture_stop', 'fm_picture_number'))
+ UNION ALL SELECT project_id, section_no, 'compatibility.section_type', 'error', concat(code_type, '/', section_type) FROM x
+   WHERE CASE code_type WHEN 'users_code' THEN section_type = 'programme_area' WHEN 'lead_in' THEN section_type <> 'lead_in' WHEN 'lead_out' THEN section_type <> 'lead_out'
+   WHEN 'fm_white_flag' THEN FALSE WHEN 'unheard_of' THEN TRUE ELSE section_type <> 'programme_area' END
+ UNION ALL SELECT project_id, section_no, 'compatibility.standard', 'error', concat(code_type, '/', standard) FROM x
+   WHERE code_type = 'unheard_of' OR (standard = 'PAL' AND code_type IN ('fm_picture_number', 'fm_programme_time', 'fm_white_flag')))"""
+CODE = ["project_id", "section_no", "code_type", "section_type", "disc_type", "standard"]
 
 
-def compatibility(spark, sf):
-    return ru.rule_compatibility(view(spark, sf, "fx_code_config"))
+def codes(spark, sf):
+    return view(spark, sf, "fx_code_config").select(*CODE).unionByName(view(spark, sf, "fx_code_case").select(*CODE))
 
 
 @query("rule_compatibility", f"WITH {COMPAT} SELECT * FROM compat")
 def rule_compatibility(spark, sf):
-    return compatibility(spark, sf)
+    return ru.rule_compatibility(codes(spark, sf))
 
 
 @query("rule_references", """
@@ -144,18 +166,30 @@ def rule_ordering(spark, sf):
     return ordering(spark, sf)
 
 
+def injected(spark, sf):
+    """Injections with their kind, lines, code and word."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    kind = F.when(part % 9 == 0, "VITC").when(part % 9 == 1, "vits").otherwise("laserdisc")
+    text = (
+        F.when(part % 4 == 0, F.format_string("0x%X", 8388608 + (part % 16) * 65536 + (supp % 16) * 4096))
+        .when(part % 4 == 1, (part * 40000).cast("string"))
+        .when(part % 4 == 2, F.concat(F.lit("0x8"), "l_returnflag", F.lit("D"), (part % 1000).cast("string")))
+        .otherwise(F.concat(F.lit("zz"), part.cast("string")))
+    )
+    return view(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("section_no"), kind.alias("type"),
+        (supp % 3).cast("int").alias("n_lines"), F.when(supp % 2 == 0, "users_code").otherwise("programme_status").alias("code_type"),
+        text.alias("word_text"),
+    )
+
+
 @query("rule_exclusive", """WITH i AS (SELECT l_orderkey AS project_id, l_linenumber AS section_no, CASE l_partkey % 9 WHEN 0 THEN 'VITC' WHEN 1 THEN 'vits' ELSE 'laserdisc' END AS type, CAST(l_suppkey % 3 AS INT) AS n_lines FROM lineitem)
 SELECT project_id, section_no, 'exclusive.section_vits' AS rule, 'error' AS severity, type AS detail FROM i WHERE type = 'vits'
 UNION ALL SELECT project_id, section_no, 'exclusive.disc_lines', 'error', CAST(n_lines AS VARCHAR) FROM i WHERE type = 'laserdisc' AND n_lines > 0
 UNION ALL SELECT project_id, section_no, 'exclusive.missing_lines', 'error', type FROM i WHERE type = 'VITC' AND n_lines = 0
 UNION ALL SELECT project_id, section_no, 'exclusive.vitc_disc', 'error', 'vitc' FROM i GROUP BY 1, 2 HAVING bool_or(type = 'VITC') AND bool_or(type = 'laserdisc')""")
 def rule_exclusive(spark, sf):
-    part = F.col("l_partkey") % 9
-    kind = F.when(part == 0, "VITC").when(part == 1, "vits").otherwise("laserdisc")
-    return ru.rule_exclusive(view(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("section_no"), kind.alias("type"),
-        (F.col("l_suppkey") % 3).cast("int").alias("n_lines"),
-    ))
+    return ru.rule_exclusive(injected(spark, sf).drop("code_type", "word_text"))
 
 
 DURATIONS = """ s AS (SELECT *, greatest(1, CAST(round(2.0 * pow(250.0, (scratch_scale - 1) / 19.0)) AS INT)) AS life, CASE standard WHEN 'PAL' THEN 25.0::DOUBLE ELSE 30000.0::DOUBLE / 1001 END AS rate, duration_frames - 3 AS n FROM fx_section_config),
@@ -181,15 +215,32 @@ def rule_durations(spark, sf):
     return out.withColumn("detail", F.when(F.col("rule") == "duration.ramp", rounded).otherwise(F.col("detail")))
 
 
+MKV = "source LIKE '%.mkv'"
+PROFILES = union(
+    rows("fx_setting", "profile.family", "source LIKE '%.avi'", "source"),
+    rows("fx_setting", "profile.container", "container = 'mov' AND source NOT LIKE '%.avi'", "container"),
+    rows("fx_setting", "profile.pixel_format", "pixel_format = 'rgb24'", "pixel_format"),
+    rows("fx_setting", "profile.bit_depth", "bit_depth = 8", "bit_depth"),
+    rows("fx_setting", "profile.color_space", f"{MKV} AND color_space <> 'smpte170m'", "color_space"),
+    rows("fx_setting", "profile.field_order", f"{MKV} AND field_order <> CASE standard WHEN 'PAL' THEN 'tb' ELSE 'bt' END", "field_order"),
+    rows("fx_setting", "profile.color_primaries", f"{MKV} AND color_primaries = 'bt2020'", "color_primaries"),
+    rows("fx_setting", "profile.color_transfer", f"{MKV} AND color_transfer <> 'bt709'", "color_transfer"),
+    rows("fx_setting", "profile.color_range", f"{MKV} AND color_range <> 'tv'", "color_range"),
+    rows("fx_setting", "profile.sample_aspect", f"{MKV} AND sample_aspect > 0", "sample_aspect"),
+    rows("fx_setting", "profile.crop", f"{MKV} AND crop <> 0", "crop"),
+)
+
+
 @query("rule_source_profile", """WITH
  x AS (SELECT s.project_id, s.section_no, s.source, container, codec, width, height, frame_rate, standard FROM fx_section s JOIN fx_source USING (source) JOIN fx_project p ON p.project_id = s.project_id)
 SELECT project_id, section_no, 'profile.raster' AS rule, 'error' AS severity, concat(width, ' ', height) AS detail FROM x WHERE NOT (width = 720 AND height = CASE standard WHEN 'PAL' THEN 576 ELSE 486 END)
 UNION ALL SELECT project_id, section_no, 'profile.frame_rate', 'error', CAST(frame_rate AS VARCHAR) FROM x WHERE abs(frame_rate - CASE standard WHEN 'PAL' THEN 25.0 ELSE 30000.0 / 1001.0 END) > 0.001
-UNION ALL SELECT project_id, section_no, 'profile.codec', 'error', codec FROM x WHERE source LIKE '%.mkv' AND codec <> 'ffv1'""")
+UNION ALL SELECT project_id, section_no, 'profile.codec', 'error', codec FROM x WHERE source LIKE '%.mkv' AND codec <> 'ffv1'
+UNION ALL """ + PROFILES)
 def rule_source_profile(spark, sf):
     s = view(spark, sf, "fx_section").select("project_id", "section_no", "source")
     joined = s.join(view(spark, sf, "fx_source"), "source").join(view(spark, sf, "fx_project").select("project_id", "standard"), "project_id")
-    return ru.rule_source_profile(joined.drop("frame_count"))
+    return ru.rule_source_profile(joined.drop("frame_count"), view(spark, sf, "fx_setting"))
 
 
 @query("rule_hex_words", r"""WITH
@@ -202,17 +253,7 @@ UNION ALL SELECT project_id, section_no, 'hex.x1', 'error', t FROM w WHERE code_
 UNION ALL SELECT project_id, section_no, 'hex.d', 'error', t FROM w WHERE code_type = 'users_code' AND v <= 16777215 AND (v >> 12 & 15) <> 13
 UNION ALL SELECT project_id, section_no, 'hex.key', 'error', t FROM w WHERE code_type = 'programme_status' AND v <= 16777215 AND v < 8388608""")
 def rule_hex_words(spark, sf):
-    part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    text = (
-        F.when(part % 4 == 0, F.format_string("0x%X", 8388608 + (part % 16) * 65536 + (supp % 16) * 4096))
-        .when(part % 4 == 1, (part * 40000).cast("string"))
-        .when(part % 4 == 2, F.concat(F.lit("0x8"), "l_returnflag", F.lit("D"), (part % 1000).cast("string")))
-        .otherwise(F.concat(F.lit("zz"), part.cast("string")))
-    )
-    return ru.rule_hex_words(view(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("section_no"),
-        F.when(supp % 2 == 0, "users_code").otherwise("programme_status").alias("code_type"), text.alias("word_text"),
-    ))
+    return ru.rule_hex_words(injected(spark, sf).drop("type", "n_lines"))
 
 
 @query("rule_tokens", r"""WITH
@@ -265,9 +306,28 @@ SELECT p.project_id, coalesce(a.e, 0) = 0 AS is_valid, coalesce(a.e, 0) AS n_err
 FROM fx_config p LEFT JOIN a ON a.project_id = p.project_id LEFT JOIN fo ON fo.project_id = p.project_id""")
 def validation_report(spark, sf):
     with shared_view(spark, sf, "fx_line_numbered"):
-        parts = [QUERIES[slug](spark, sf).selectExpr("CAST(project_id AS BIGINT) AS project_id", "CAST(section_no AS INT) AS section_no", "rule", "severity", "detail") for slug in FAMILIES]
-        found = [cut(ru.all_findings(parts), "findings")]
+        found = [cut(compiled_findings(spark, sf), "findings")]
     projects = view(spark, sf, "fx_config")
     full = ru.validation_report(projects, found)
     first = ru.validation_report(projects, found, first_only=True).select("project_id", F.col("n_errors").alias("first_only_errors"))
     return full.join(first, "project_id")
+
+
+def compiled_findings(spark, sf):
+    """The findings of all families, each table's rules in one pass."""
+    kind = F.when((F.col("start_frame") == 4) & (F.col("section_type") == "programme_area"), None).otherwise(F.col("section_type"))
+    sections = view(spark, sf, "fx_section_config").withColumns({
+        "duration_frames": F.col("duration_frames") - 3, "chapter": F.col("chapter_anchor"), "ordered_as": kind,
+    }).join(view(spark, sf, "fx_source").drop("frame_count"), "source", "left")
+    configured = report.configuration_findings(view(spark, sf, "fx_config"), sections, view(spark, sf, "fx_vits"), "ordered_as")
+    settings, targets, made = view(spark, sf, "fx_setting"), view(spark, sf, "fx_target_line"), injected(spark, sf)
+    lines = targets.join(view(spark, sf, "fx_project").select("project_id", "standard"), "project_id")
+    parts = [
+        configured,
+        ru.findings(settings, [c for checks in (ru.domain_checks, ru.range_checks, ru.profile_checks) for c in checks(settings.columns)]),
+        ru.findings(lines, ru.range_checks(lines.columns)), ru.rule_compatibility(codes(spark, sf)),
+        ru.findings(made.withColumn("__w", ru.parse_word(F.col("word_text"))), [*ru.exclusive_checks(), *ru.hex_checks()]),
+        ru.exclusive_pairs(made), *(QUERIES[slug](spark, sf) for slug in ("rule_unique", "rule_tokens", "rule_unknown_keys")),
+    ]
+    whole = [p.withColumns({"project_id": F.col("project_id").cast("bigint"), "section_no": F.col("section_no").cast("int")}) for p in parts]
+    return ru.all_findings(whole)
