@@ -98,16 +98,23 @@ def resolve_paths(rows: DataFrame, roots: dict[str, str], path: str = "path", pr
     return rows.withColumn("resolved_path", F.when(raw == "", raw).when(has_root, under).otherwise(plain))
 
 
-def companion_paths(rows: DataFrame, path: str = "resolved_path", pair: int = 0) -> DataFrame:
-    """Metadata, chroma, audio and dropout sidecar paths of a sample file."""
+def companion_paths(rows: DataFrame, path: str = "resolved_path", pair: int = 0, metadata: str | None = None) -> DataFrame:
+    """Metadata, chroma, audio and dropout sidecar paths of a sample file.
+
+    ``metadata`` names a column of given metadata paths; null or empty ones are derived from the sample file. Dropouts lie beside the
+    metadata, whatever it is called. A null path has no companions but those of given metadata.
+    """
     raw = F.col(path)
     bare = F.regexp_replace(raw, r"\.cvbsy?$", "")
     stem = F.when(bare != raw, bare).otherwise(F.regexp_replace(raw, r"\.[^./\\]*$", ""))
+    meta = F.concat(stem, F.lit(".meta"))
+    if metadata is not None:
+        meta = F.when(F.col(metadata) != "", F.col(metadata)).otherwise(meta)
     return rows.select(
-        *rows.columns, F.concat(stem, F.lit(".meta")).alias("meta_path"),
+        *rows.columns, meta.alias("meta_path"),
         F.when(raw.endswith(".cvbsy"), F.regexp_replace(raw, r"\.cvbsy$", ".cvbsc")).alias("chroma_path"),
         F.concat(bare, F.lit(f"_audio_{pair}.wav")).alias("audio_path"),
-        F.concat(stem, F.lit(".dropouts.meta")).alias("dropouts_path"),
+        F.concat(F.regexp_replace(meta, r"\.meta$", ""), F.lit(".dropouts.meta")).alias("dropouts_path"),
     )
 
 

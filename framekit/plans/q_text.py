@@ -72,6 +72,18 @@ def resolve_paths(spark, sf):
     return tx.companion_paths(rows, pair=2).drop("path", "project_dir")
 
 
+@query("companion_paths", """WITH
+ g AS (SELECT page_id, path, CASE page_id % 4 WHEN 0 THEN concat('/meta/', page_id, '.meta') WHEN 1 THEN concat('/meta/', page_id, '.db') WHEN 2 THEN '' END AS given FROM fx_path),
+ m AS (SELECT *, CASE WHEN given <> '' THEN given ELSE concat(regexp_replace(path, '[.][a-z]+$', ''), '.meta') END AS meta_path FROM g)
+SELECT page_id, given, meta_path, CASE WHEN meta_path LIKE '%.meta' THEN concat(left(meta_path, length(meta_path) - 5), '.dropouts.meta') ELSE concat(meta_path, '.dropouts.meta') END AS dropouts_path FROM m""")
+def companion_paths(spark, sf):
+    name = F.col("page_id").cast("string")
+    part = F.col("page_id") % 4
+    given = F.when(part == 0, F.concat(F.lit("/meta/"), name, F.lit(".meta"))).when(part == 1, F.concat(F.lit("/meta/"), name, F.lit(".db")))
+    rows = view(spark, sf, "fx_path").withColumn("given", given.when(part == 2, ""))
+    return tx.companion_paths(rows, "path", metadata="given").select("page_id", "given", "meta_path", "dropouts_path")
+
+
 RULES = [
     {"name": "denoised", "sources": ["disc/p_??.yaml"], "name_suffix": "_dn", "remove": ["noise"]},
     {"name": "split", "sources": ["disc/*.yaml", "plain/*.yaml", "denoised/*.yaml"], "signal_type": "yc", "remove": ["osd"]},

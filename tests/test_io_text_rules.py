@@ -144,3 +144,15 @@ def test_report_stops_at_the_first_failing_section(spark):
     assert (full[1].n_errors, full[1].is_valid, full[2].is_valid, full[3].is_valid) == (2, False, True, True)
     first = {r.project_id: r for r in rules.validation_report(projects, [found], first_only=True).collect()}
     assert (first[1].n_errors, first[1].n_warnings, first[1].failed_rules) == (1, 1, "r")
+
+
+def test_given_metadata_moves_the_dropouts(spark):
+    df = spark.createDataFrame(
+        [("a/b.cvbs", None), ("a/b.cvbsy", ""), ("a/b.cvbs", "m/x.meta"), ("a/b.raw", "m/x.db"), ("", "x.meta"), (None, "x.meta"), (None, None)],
+        "p string, given string",
+    )
+    got = [(r.meta_path, r.dropouts_path) for r in text.companion_paths(df, "p", metadata="given").collect()]
+    assert got == [
+        ("a/b.meta", "a/b.dropouts.meta"), ("a/b.meta", "a/b.dropouts.meta"), ("m/x.meta", "m/x.dropouts.meta"),
+        ("m/x.db", "m/x.db.dropouts.meta"), ("x.meta", "x.dropouts.meta"), ("x.meta", "x.dropouts.meta"), (None, None),
+    ]
