@@ -6,7 +6,9 @@ bootstrap that looks for identifiers of other forms (written-out addresses, tick
 1. The words before a seed make a lexical pattern: the two words before it and, if the last one ends like a label (``:``, ``=``, ``#``), that
    word alone. Patterns with at least ``LEAST_SEEDS`` different seeds are kept.
 2. A second pass over all texts finds each place where such a pattern stands, what follows it there, and how often the pattern stands before
-   ordinary words. What looks like an identifier and overlaps no base span is a candidate.
+   ordinary words. What looks like an identifier and overlaps no base span is a candidate: an address in words (``jane at mail dot com``, up to
+   eight dots on each side), groups of digits and capitals on one line (``(826) 555-4081``, up to ``LONGEST`` letters and digits), or one word.
+   The longest that is free counts.
 3. Patterns and what they met (seeds and candidates) are a bipartite graph. In each of ``ROUNDS`` rounds a pattern's score is the mean score
    of what it met (ordinary words count 0, seeds 1), and a candidate's score is one minus the product of ``1 - score`` over its patterns.
 4. Candidates whose score reaches ``ACCEPTED`` beside a pattern that reaches it too are added as spans of the kind of that pattern's seeds.
@@ -47,6 +49,17 @@ ACCEPTED = 0.6
 #: What may be an identifier: a word of these signs with a digit or an at sign, at least so long without the marks around it.
 IDENTIFIER = re.compile(r"(?=[^@0-9]*[@0-9])[A-Za-z0-9@._%+:/()#-]{5,}")
 MARKS = ".,;:!?)('\"<>"
+#: An address written out: bare ``at`` and ``dot`` between blanks, or in brackets. It stays on one line.
+_AT, _DOT = (rf"(?:[^\S\n]*[(\[{{]{word}[)\]}}][^\S\n]*|[^\S\n]+{word}[^\S\n]+)" for word in ("at", "dot"))
+WRITTEN = re.compile(
+    rf"[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9._%+-]++){{0,8}}{_AT}[A-Za-z0-9-]++(?:(?:{_DOT}|\.)[A-Za-z0-9-]++){{1,8}}", re.IGNORECASE,
+)
+SPELT = re.compile(r"(?:^|[(\[{])(?:at|dot)(?:$|[)\]}])", re.IGNORECASE)
+#: One group of an identifier in groups: digits with capitals and separators, or a short code in capitals before digits.
+PART = re.compile(r"[A-Z0-9()+./#-]*[0-9][A-Z0-9()+./#-]*|[A-Z]{1,4}")
+#: Letters and digits that groups hold together at most, as the longest bank account numbers do, and digits at least.
+LONGEST, LEAST_DIGITS = 34, 4
+STOPS = ".,;:!?'\">"
 LABEL_ENDS = (":", "=", "#")
 #: Counts that a task holds before it hands them on; it changes speed only.
 HELD = 200_000
@@ -152,6 +165,63 @@ def text_digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def may_begin(words: list[str], at: int) -> bool:
+    """Whether an identifier may begin at a word; it says no only where ``forms`` finds none."""
+    if IDENTIFIER.fullmatch(words[at].strip(MARKS)):
+        return True
+    after = words[at + 1] if at + 1 < len(words) else ""
+    if SPELT.search(words[at]) or SPELT.search(after):
+        return True
+    return len(words[at]) <= 2 * LONGEST and PART.fullmatch(words[at]) is not None and after[:1] in "0123456789()+./#-ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def forms(text: str, where: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """Spans from a word on that look like an identifier: an address in words, groups from the longest on, the word itself."""
+    start, end = where[at]
+    word = text[start:end]
+    core = word.strip(MARKS)
+    inner = start + word.index(core)
+    written = WRITTEN.match(text, inner)
+    if written:
+        yield written.span()
+    yield from reversed(groups(text, where, at))
+    if IDENTIFIER.fullmatch(core):
+        yield inner, inner + len(core)
+
+
+def groups(text: str, where: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """Spans of two or more groups from a word on, shortest first; a mark after a group or the line's end ends them."""
+    out: list[tuple[int, int]] = []
+    signs = digits = 0
+    for i in range(at, len(where)):
+        start, end = where[i]
+        if end - start > 2 * LONGEST or (i > at and "\n" in text[where[i - 1][1] : start]):
+            break
+        part = text[start:end].rstrip(STOPS)
+        signs += sum(c.isalnum() for c in part)
+        if not PART.fullmatch(part) or signs > LONGEST:
+            break
+        own = sum(c in "0123456789" for c in part)
+        if i > at and own and len(part) == 1:
+            break
+        digits += own
+        if i > at and own and digits >= LEAST_DIGITS:
+            out.append(_balanced(text, where[at][0], start + len(part)))
+        if len(part) < end - start:
+            break
+    return out
+
+
+def _balanced(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without a closing bracket at its end, or an opening one at its start, that has no partner inside."""
+    opened, closed = text.count("(", start, end), text.count(")", start, end)
+    while closed > opened and text[end - 1] == ")":
+        end, closed = end - 1, closed - 1
+    while opened > closed and text[start] == "(":
+        start, opened = start + 1, opened - 1
+    return start, end
+
+
 def places(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] | None) -> DataFrame:
     """Where patterns stand: ``pattern, id, digest, candidate, start, end, n``.
 
@@ -187,17 +257,17 @@ def places(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] |
                 if not found:
                     continue
                 words, taken = text.split(), None
-                ahead = {at for at, _ in found if at < len(words) and IDENTIFIER.fullmatch(words[at].strip(MARKS))}
+                ahead = {at for at, _ in found if at < len(words) and may_begin(words, at)}
                 if ahead:
                     where = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
                     taken = base_spans(text)
                     aligned = len(where) == len(words)
                 for at, pattern in found:
                     if at in ahead and aligned:
-                        core = words[at].strip(MARKS)
-                        start = where[at][0] + words[at].index(core)
-                        if not any(a < start + len(core) and start < b for _, a, b in taken):
-                            rows.append((pattern, doc, digest, core, start, start + len(core), 1))
+                        free = (s for s in forms(text, where, at) if not any(a < s[1] and s[0] < b for _, a, b in taken))
+                        start, end = next(free, (0, 0))
+                        if end:
+                            rows.append((pattern, doc, digest, text[start:end], start, end, 1))
                             continue
                     held[pattern] += 1
             if len(held) > HELD:

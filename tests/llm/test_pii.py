@@ -58,6 +58,47 @@ def test_bootstrap_finds_identifiers_in_learned_contexts(spark):
     assert all(not got[i].spans for i in range(30, len(texts)))
 
 
+def longest(text, at):
+    """The longest form from the word ``at`` on, if ``may_begin`` lets it through."""
+    where = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    found = [text[a:b] for a, b in pii.forms(text, where, at)]
+    assert not found or pii.may_begin(text.split(), at), text
+    return found[0] if found else None
+
+
+def test_forms_in_groups_and_in_words():
+    for text, want in {
+        "(826) 555-4081, 12 people": "(826) 555-4081", "DE89 3704 0044 0532 0130 00 is": "DE89 3704 0044 0532 0130 00", "12345 678 items": "12345 678",
+        "AB 12 34 56 USA": "AB 12 34 56", "12345 3 days": "12345", "12345\n678": "12345", "12345. 678": "12345", "826 555 4081)": "826 555 4081",
+        "jane at mail dot com now": "jane at mail dot com", "jane dot doe (at) mail.example [dot] com.": "jane dot doe (at) mail.example [dot] com",
+        "jane(at)mail.com": "jane(at)mail.com", "a1b2c3(at)host": "a1b2c3(at)host", "us at home": None, "jane at\nmail dot com": None, "12 34": "12 34", "12 3": None, "IBM 36": None,
+        "GB and 12345": None, "9" * 40 + " 12": "9" * 40, "12 " + "9" * 40: None, "()": None, "(12 (34": "12 (34",
+    }.items():
+        assert longest(text, 0) == want, text
+
+
+def test_forms_are_let_through_and_take_linear_time():
+    rng = random.Random(5)
+    pieces = ["(826)", "555-4081", "DE89", "3704", "at", "dot", "(at)", "jane", "mail.com", "12,", "A", "x(dot)y", "+1", "\n", "7", ")", "\"9", "GB", "a@b"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))
+        for at in range(len(text.split())):
+            longest(text, at)
+    for text in ("1 " * 200_000, "a dot " * 100_000, "12 " * 150_000, "a at " * 100_000, "a" + " " * 400_000 + "at b"):
+        where = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        for at in range(0, len(where), 50):
+            list(pii.forms(text, where, at))
+
+
+def test_identifiers_in_groups_and_in_words_are_redacted(spark):
+    texts = [f"call the phone: +1 (555) 010-{1000 + i} now" for i in range(12)] + [f"please write to user{i}@mail.example.com today" for i in range(12)]
+    texts += ["call the phone: (826) 555-4081 now", "the phone: DE89 3704 0044 0532, and so on", "please write to jane at mail dot com today"]
+    # a number among the groups stays a base span, and the groups before it are taken alone
+    texts += ["the phone: AB12 345 +1 555 010 9999 now", "the phone: rings", "12345 678 elsewhere"]
+    got = [r.text for r in pii.redact(rows(spark, texts)).orderBy("doc_id").collect()]
+    assert got[24:] == ["call the phone: <PHONE> now", "the phone: <PHONE>, and so on", "please write to <EMAIL> today", "the phone: <PHONE> <PHONE> now", "the phone: rings", "12345 678 elsewhere"]
+
+
 def test_joined_patterns_give_the_same(spark, monkeypatch):
     texts = [f"mail me: u{i}@a.example.com now" for i in range(5)] + ["mail me: joe#4711 now", "me: joe#4711"]
     few = sorted((r.doc_id, str(r.spans)) for r in pii.find(rows(spark, texts)).collect())
