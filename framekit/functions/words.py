@@ -120,12 +120,11 @@ def hamming_ok(word: Column) -> Column:
 
 def fm_word(field_one: Column, digits: Sequence[Column]) -> Column:
     """40-bit FM word as BIGINT, first sent bit highest; ``digits`` are X1..X5."""
-    def reverse(n: Column) -> Column:
-        return nibble(n, 0, 1) * 8 + nibble(n, 1, 1) * 4 + nibble(n, 2, 1) * 2 + nibble(n, 3, 1)
-
+    # each digit's bits are sent last first; a table names the digit once, so that the expression stays small
+    turned = F.array(*(F.lit(int(f"{n:04b}"[::-1], 2)) for n in range(16)))
     data = F.lit(0).cast("bigint")
     for x in reversed(list(digits)):
-        data = data * 16 + reverse(x.cast("bigint"))
+        data = data * 16 + F.get(turned, x.cast("int"))
     parity = F.lit(1) - F.bit_count(data).bitwiseAND(1)
     # Clock bits 0011, recognition bits 1110010 before and 0001101 after the data.
     head = (F.lit(0b0011) * 2 + field_one.cast("int")) * 128 + 0b1110010

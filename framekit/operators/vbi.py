@@ -55,26 +55,37 @@ def _fm_digits(value: Column, count: int) -> list[Column]:
     return [clocks.imod(clocks.idiv(value, 10**k), 10) for k in reversed(range(count))]
 
 
-def _frame_words() -> dict[str, Column]:
-    """Word of each code on a frame. FM words come as for field one; the other field's has one bit less."""
+def _section_word() -> Column:
+    """Word of a code that is the same on all frames of its section."""
+    word = F.when(F.col("code_type") == "programme_status", F.col("status_word")).when(F.col("code_type") == "users_code", F.col("users_word"))
+    for name, value in words.FIXED_WORDS.items():
+        word = word.when(F.col("code_type") == name, F.lit(value))
+    return word.cast("bigint")
+
+
+def _frame_counters() -> dict[str, Column]:
+    """Counters of a frame that its words are made of. They are columns of their own, as an expression repeats what it uses more than once."""
     i, at = F.col("in_section"), F.col("frame_id")
-    top = by_standard("max_picture").cast("bigint")
-    number = F.least(F.col("first_picture") + F.col("picture_step") * i, top)
-    stop = F.col("chapter_frames") + F.col("chapter_step") * i >= STOP_BIT_FRAMES
-    minutes = clocks.idiv(at, by_standard("frames_per_minute").cast("bigint"))
+    return {
+        "__number": F.least(F.col("first_picture") + F.col("picture_step") * i, by_standard("max_picture").cast("bigint")),
+        "__minutes": clocks.idiv(at, by_standard("frames_per_minute").cast("bigint")),
+        "__fm_number": F.least(F.col("fm_picture_first") + i, F.lit(tl.FM_MAX).cast("bigint")),
+        "__fm_seconds": clocks.idiv(F.col("fm_time_first") + i, FM_TIME_RATE),
+    }
+
+
+def _frame_words() -> dict[str, Column]:
+    """Word of each code that changes from frame to frame. FM words come as for field one; the other field's has one bit less."""
+    at, minutes, seconds = F.col("frame_id"), F.col("__minutes"), F.col("__fm_seconds")
+    stop = F.col("chapter_frames") + F.col("chapter_step") * F.col("in_section") >= STOP_BIT_FRAMES
     hour = F.least(clocks.idiv(minutes, 60), F.lit(15).cast("bigint"))
-    seconds = clocks.idiv(F.col("fm_time_first") + i, FM_TIME_RATE)
-    minute, second = clocks.imod(clocks.idiv(seconds, 60), 60), clocks.imod(seconds, 60)
-    fm_number = F.least(F.col("fm_picture_first") + i, F.lit(tl.FM_MAX).cast("bigint"))
-    fm_time = [*_fm_digits(minute, 2), *_fm_digits(second, 2), F.lit(FM_MODE_PICTURE)]
+    fm_time = [*_fm_digits(clocks.imod(clocks.idiv(seconds, 60), 60), 2), *_fm_digits(clocks.imod(seconds, 60), 2), F.lit(FM_MODE_PICTURE)]
     return {
-        **{name: F.lit(value) for name, value in words.FIXED_WORDS.items()},
-        "programme_status": F.col("status_word"), "users_code": F.col("users_word"),
-        "picture_number": F.when(F.col("first_picture").isNotNull(), words.picture_word(number)),
+        "picture_number": F.when(F.col("first_picture").isNotNull(), words.picture_word(F.col("__number"))),
         "chapter_number": words.chapter_word(F.col("chapter"), F.lit(0)) + F.when(stop, _STOP_BIT).otherwise(0),
         "programme_time_code": words.programme_time_word(hour, clocks.imod(minutes, 60)),
         "clv_picture_number": words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)),
-        "fm_picture_number": F.when(F.col("fm_picture_first").isNotNull(), words.fm_word(F.lit(True), _fm_digits(fm_number, 5))),
+        "fm_picture_number": F.when(F.col("fm_picture_first").isNotNull(), words.fm_word(F.lit(True), _fm_digits(F.col("__fm_number"), 5))),
         "fm_programme_time": words.fm_word(F.lit(True), fm_time),
     }
 
@@ -88,28 +99,30 @@ def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[s
 
     ``sections`` carry their counters (``assign_picture_numbers``, ``chapter_state``, ``fm_state``), ``first_frame``,
     ``n_frames``, ``pass_length``, ``start_frame``, ``status_word`` and ``users_word``. Words are BIGINT: 24 bits, or the 40 bits of FM
-    codes; white flags have a length instead. PAL_M has no FM codes. A section's few lines ride along as an array; each frame is made once,
-    the word of each code that its section sends is worked out once, and then the lines are dealt their words.
+    codes; white flags have a length instead. PAL_M has no FM codes. A section's few lines ride along as an array with the words that are
+    the same on all its frames. Each frame is made once, the changing codes that its section sends are worked out once, and lines take them
+    from their place.
     """
-    standards = sections.select(*keys, "standard")
-    sent = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample", "flag_length").join(standards, list(keys)).filter(
+    changing = _frame_words()
+    known = sections.select(*keys, "standard", "status_word", "users_word")
+    sent = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample", "flag_length").join(known, list(keys)).filter(
         (F.col("kind") != "fm40") | (F.col("standard") == "NTSC")
     )
+    place = F.lit(None).cast("int")
+    for number, name in enumerate(changing):
+        place = F.when(F.col("code_type") == name, number).otherwise(place)
     field_one = F.col("line_no") <= F.when(F.col("standard") == "PAL", 312).otherwise(262)
-    line = F.struct("line_no", "code_type", "kind", "start_sample", "flag_length", field_one.alias("field_one"))
-    lines = sent.groupBy(*keys).agg(F.collect_list(line).alias("__lines"))  # at most one row per reserved line
-    frames = tl.expand_placed(sections.join(lines, list(keys)))
-    sends = F.transform("__lines", lambda x: x["code_type"])
-    made = F.named_struct(*(
-        part for name, value in _frame_words().items() for part in (F.lit(name), F.when(F.array_contains(sends, name), value.cast("bigint")))
-    ))
-    dealt = frames.select(*keys, "frame_id", made.alias("__w"), F.explode("__lines").alias("x"))
-    word = F.lit(None).cast("bigint")
-    for name in _frame_words():
-        word = F.when(F.col("x.code_type") == name, F.col(f"__w.{name}")).otherwise(word)
-    word = F.when((F.col("x.kind") == "fm40") & ~F.col("x.field_one"), word - _FIELD_BIT).otherwise(word)
+    less = F.when((F.col("kind") == "fm40") & ~field_one, F.lit(_FIELD_BIT)).otherwise(F.lit(0)).cast("bigint")
+    line = F.struct("line_no", "code_type", "kind", "start_sample", "flag_length", _section_word().alias("same"), place.alias("place"), less.alias("less"))
+    lines = sent.groupBy(*keys).agg(  # at most one row per reserved line
+        F.collect_list(line).alias("__lines"), *(F.bool_or(F.col("code_type") == name).alias(f"__{name}") for name in changing),
+    )
+    frames = tl.expand_placed(sections.join(lines, list(keys))).withColumns(_frame_counters())
+    made = F.array(*(F.when(F.col(f"__{name}"), value.cast("bigint")) for name, value in changing.items()))
+    dealt = frames.select(*keys, "frame_id", "in_section", made.alias("__w"), F.explode("__lines").alias("x"))
     return dealt.select(
-        *keys, "frame_id", "x.line_no", "x.code_type", "x.kind", "x.start_sample", "x.flag_length", word.alias("word"),
+        *keys, "frame_id", "in_section", "x.line_no", "x.code_type", "x.kind", "x.start_sample", "x.flag_length",
+        F.coalesce(F.col("x.same"), F.get("__w", F.col("x.place")) - F.col("x.less")).alias("word"),
     ).filter(F.col("word").isNotNull() | (F.col("kind") == "white_flag"))
 
 

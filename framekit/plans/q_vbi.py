@@ -93,9 +93,8 @@ def expected_words(spark, sf):
         "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step", "fm_picture_first", "fm_time_first",
         F.lit(STATUS_WORD).alias("status_word"), F.lit(USERS_WORD).alias("users_word"),
     )
-    sent = vbi.expected_words(sections, assigned).join(sections.select("project_id", "section_no", "first_frame"), ["project_id", "section_no"])
-    place = F.col("frame_id") - F.col("first_frame") + 1
-    return sent.groupBy("project_id", "section_no", "line_no", "code_type").agg(
+    place = F.col("in_section") + 1
+    return vbi.expected_words(sections, assigned).groupBy("project_id", "section_no", "line_no", "code_type").agg(
         F.count("*").alias("n_words"), F.sum("word").alias("sum_words"), F.sum(place * F.col("word")).alias("weighted_words"),
         F.max("word").alias("last_word"), F.max("flag_length").alias("flag_length"),
     )

@@ -20,6 +20,8 @@ def build_session(app: str = "framekit", master: str | None = None, **conf: obje
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # the JVM never compiles longer methods; Spark then makes several short ones of a stage instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)
