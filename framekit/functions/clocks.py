@@ -48,6 +48,11 @@ def msf(sections: Column) -> Column:
     )
 
 
+def msf_order(sections: Column) -> Column:
+    """The sections that ``msf`` shows, which order as its texts; a maximum of numbers needs no sort. Shown texts are ``msf`` of them."""
+    return F.least(idiv(sections, 4500), F.lit(99).cast("bigint")) * 4500 + imod(sections, 4500)
+
+
 def sections_of_msf(text: Column) -> Column:
     part = F.split(text, ":")
     return (part[0].cast("bigint") * 4500 + part[1].cast("bigint") * 75 + part[2].cast("bigint")).cast("bigint")

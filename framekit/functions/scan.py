@@ -87,6 +87,28 @@ def _prepare(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Se
     return df.select("*", *safe, nulls.alias("__keynull"), *blocks)
 
 
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Running]) -> DataFrame:
+    """The values of ``scan`` for groups that are short lists, such as a project's sections: windows over whole groups.
+
+    Rows that are partitioned by ``keys`` already are not shuffled again, and stay partitioned so.
+    """
+    at = Window.partitionBy(*keys).orderBy(*order)
+    made: dict[str, Column] = {}
+    for name, run in values.items():
+        frame = at.rowsBetween(*(_UPTO if run.upto else _BEFORE))
+        if run.kind == "sum":
+            made[name] = F.coalesce(F.sum(run.value).over(frame), F.lit(0))
+        elif run.kind == "max":
+            made[name] = F.max(run.value).over(frame)
+        elif run.kind == "last":
+            made[name] = F.last(run.value, ignorenulls=True).over(frame)
+        elif run.kind == "next":
+            made[name] = F.lead(run.value).over(at)
+        else:
+            raise ValueError(f"unknown running value {run.kind}")
+    return df.withColumns(made)
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],

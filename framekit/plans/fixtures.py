@@ -2,7 +2,7 @@
 
 Each view is one SQL text that both engines parse; ``{name}`` stands for a table or another view.
 Views whose text differs between engines, or whose Spark form needs the blocked scan (row numbers
-inside long groups), have a Spark builder as well.
+inside long groups) or a stated partitioning, have a Spark builder as well.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import contextlib
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framekit.functions.scan import row_no, scan
@@ -203,12 +203,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines are a short list: they are brought together once, and all that follows by project needs no other shuffle of them.
+
+    The number of partitions is stated, so that adaptive execution does not join them before sections multiply into frames.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    numbered = scan(
-        table(spark, sf_dir, "lineitem"), ["l_orderkey"], order, {"section_no": row_no()},
-        block=[F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)],
-    )
-    return numbered.withColumn("section_no", F.col("section_no").cast("int"))
+    at = Window.partitionBy("l_orderkey").orderBy(*order)
+    return table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey").withColumn("section_no", F.row_number().over(at))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +219,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = view(spark, sf_dir, "fx_section")
-    placed = section_offsets(resolve_lengths(sections, view(spark, sf_dir, "fx_source")))
-    return cut(placed.join(view(spark, sf_dir, "fx_project"), "project_id", "left"), "placed")
+    placed = section_offsets(resolve_lengths(sections, F.broadcast(view(spark, sf_dir, "fx_source"))))  # at most 50 sources
+    return placed.join(view(spark, sf_dir, "fx_project"), "project_id", "left")
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from framekit.functions.scan import (
-    int_block, last_before, last_upto, max_before, next_row, row_no, scan, sum_before, sum_upto,
+    int_block, last_before, last_upto, max_before, next_row, ordered, row_no, scan, sum_before, sum_upto,
 )
 
 
@@ -62,3 +62,14 @@ def test_second_scan_keeps_the_partitioning(spark):
         seen[r.k] = r.s + r.at
         last[r.k] = r.s if r.s % 5 == 0 else last.get(r.k)
         assert r.t == last[r.k]
+
+
+def test_short_groups_give_the_values_of_a_scan(spark):
+    rng = random.Random(5)
+    rows = [(k, i, None if rng.random() < 0.3 else rng.randint(0, 9)) for k in "abc" for i in rng.sample(range(90), 20)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v bigint")
+    values = {
+        "sb": sum_before(F.coalesce("v", F.lit(0))), "su": sum_upto(F.coalesce("v", F.lit(0))), "mx": max_before(F.col("v")),
+        "lu": last_upto(F.col("v")), "pv": last_before(F.col("at")), "nx": next_row(F.col("at")), "rn": row_no(),
+    }
+    assert sorted(ordered(df, ["k"], ["at"], values).collect(), key=str) == sorted(scan(df, ["k"], ["at"], values).collect(), key=str)

@@ -106,3 +106,45 @@ def test_codes_array_becomes_flags(spark):
     )
     row = tl.flatten_codes(df).first()
     assert row.carries_codes and row.declares_pn and row.pn_anchor == 7 and not row.declares_chapter
+
+
+def test_chunks_apart_give_the_same_frames(spark):
+    one, two = (tl.expand_placed(placed(spark), apart=a).select("section_no", "in_section", "frame_id", "source_frame_index").collect() for a in (False, True))
+    assert sorted(one) == sorted(two)
+
+
+def test_totals_of_placed_sections_equal_those_of_frames(spark):
+    count = F.col("frame_id") * 3 + 1
+    keys = ["project_id", "section_no", "frame_id"]
+    want = tl.run_totals(tl.expand_placed(placed(spark)).select(*keys, count.alias("n")), "n")
+    got = tl.placed_run_totals(placed(spark), count).select(*keys, F.col("count").alias("n"), "run_total", "is_run_start")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_first_frames_of_placed_sections_and_of_empty_ones(spark):
+    rows = placed(spark).withColumn("n_frames", F.when(F.col("section_no") == 3, 0).when(F.col("section_no") != 4, F.col("n_frames")))
+    got = {r.section_no: r.first_frame_id for r in tl.first_frame_of_section(rows).collect()}
+    want = {r.section_no: r.first_frame_id for r in tl.first_frame_of_section(rows, tl.expand_placed(rows)).collect()}
+    assert got == want and got[3] == got[4] == -1
+
+
+def test_the_greatest_time_is_that_of_the_greatest_number(spark):
+    at = spark.createDataFrame([(s,) for s in (0, 74, 4499, 4500, 449999, 450000, 451234, 899999)], "s bigint")
+    row = at.agg(F.max(clocks.msf(F.col("s"))).alias("text"), clocks.msf(F.max(clocks.msf_order(F.col("s")))).alias("number")).first()
+    assert row.text == row.number == "99:59:74"
+    low = at.filter("s in (74, 4499, 450000)").agg(F.max(clocks.msf(F.col("s"))).alias("text"), clocks.msf(F.max(clocks.msf_order(F.col("s")))).alias("number")).first()
+    assert low.text == low.number
+
+
+def test_queries_shuffle_the_sections_once_and_no_frames(spark):
+    from framekit.plans import catalog
+
+    for slug in (
+        "subcode_timeline", "run_totals", "programme_only_counter", "first_frame_of_section", "assign_picture_numbers", "track_table",
+        "sequence_phase", "assign_line_codes", "next_section", "chapter_state", "mute_overlap", "track_table_errors",
+    ):
+        plan = catalog.QUERIES[slug](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("section_no" in line.split(", ENSURE")[0].split("REPARTITION")[0] for line in moved), slug
+        assert "SortAggregate" not in plan, slug
+        assert sum("REPARTITION_BY_NUM" in line for line in moved) <= (2 if slug in ("mute_overlap", "track_table_errors") else 1), slug
