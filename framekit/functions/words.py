@@ -118,6 +118,19 @@ def hamming_ok(word: Column) -> Column:
     return hamming_check(nibble(word, 4)) == nibble(word, 0)
 
 
+def fm_bits(digits: Column) -> Column:
+    """40-bit FM word of field one as BIGINT, first sent bit highest; ``digits`` holds X1..X5 as nibbles, X1 highest."""
+    # each digit's bits are sent last first
+    turned = F.array(*(F.lit(int(f"{n:04b}"[::-1], 2)) for n in range(16)))
+    data = F.lit(0).cast("bigint")
+    for i in range(5):
+        data = data.bitwiseOR(F.shiftleft(F.get(turned, nibble(digits, 4 * i).cast("int")).cast("bigint"), 16 - 4 * i))
+    parity = F.lit(1) - F.bit_count(digits).bitwiseAND(1)
+    # Clock bits 0011, field one, recognition bits 1110010 before and 0001101 after the data.
+    head = (0b00111 << 7 | 0b1110010) << 28
+    return F.lit(head) + F.shiftleft(data, 8) + parity * 128 + 0b0001101
+
+
 def fm_word(field_one: Column, digits: Sequence[Column]) -> Column:
     """40-bit FM word as BIGINT, first sent bit highest; ``digits`` are X1..X5."""
     # each digit's bits are sent last first; a table names the digit once, so that the expression stays small

@@ -33,7 +33,7 @@ def assign_line_codes(sections: DataFrame, active_start: int = 0) -> DataFrame:
     chosen = sections.join(F.broadcast(rules), ["standard", "section_type", "disc_type"]).withColumn(
         "__pick", F.filter("__cand", lambda c: c["always"] | F.array_contains("code_types", c["code_type"]))
     ).filter(F.size("__pick") > 0)
-    pick = F.col("__pick")[0]
+    pick = F.get("__pick", F.lit(0))
     kind = F.when(pick["code_type"] == "fm_white_flag", "white_flag").when(
         pick["code_type"].startswith("fm_"), "fm40"
     ).otherwise("biphase24")
@@ -51,10 +51,6 @@ FM_MODE_PICTURE = 0xD
 FM_TIME_RATE = 30
 
 
-def _fm_digits(value: Column, count: int) -> list[Column]:
-    return [clocks.imod(clocks.idiv(value, 10**k), 10) for k in reversed(range(count))]
-
-
 def _section_word() -> Column:
     """Word of a code that is the same on all frames of its section."""
     word = F.when(F.col("code_type") == "programme_status", F.col("status_word")).when(F.col("code_type") == "users_code", F.col("users_word"))
@@ -63,67 +59,83 @@ def _section_word() -> Column:
     return word.cast("bigint")
 
 
-def _frame_counters() -> dict[str, Column]:
-    """Counters of a frame that its words are made of. They are columns of their own, as an expression repeats what it uses more than once."""
+#: Codes whose word changes from frame to frame, with the counter of the section without which they send none.
+_CHANGING = {
+    "picture_number": "first_picture", "chapter_number": "chapter", "programme_time_code": "first_frame", "clv_picture_number": "first_frame",
+    "fm_picture_number": "fm_picture_first", "fm_programme_time": "fm_time_first",
+}
+_PLACE = {name: i for i, name in enumerate(_CHANGING)}
+
+
+def _by_code(**values: Column) -> Column:
+    """The value of the row's changing code (``__place``); null for others."""
+    out = F.lit(None).cast("bigint")
+    for name, value in values.items():
+        out = F.when(F.col("__place") == _PLACE[name], value).otherwise(out)
+    return out
+
+
+def _decimal_shown() -> Column:
+    """The decimal number whose digits a frame's word shows. FM time is MMSS and a place for its mode; the others' digits are those of their counter."""
     i, at = F.col("in_section"), F.col("frame_id")
-    return {
-        "__number": F.least(F.col("first_picture") + F.col("picture_step") * i, by_standard("max_picture").cast("bigint")),
-        "__minutes": clocks.idiv(at, by_standard("frames_per_minute").cast("bigint")),
-        "__fm_number": F.least(F.col("fm_picture_first") + i, F.lit(tl.FM_MAX).cast("bigint")),
-        "__fm_seconds": clocks.idiv(F.col("fm_time_first") + i, FM_TIME_RATE),
-    }
+    seconds = clocks.imod(clocks.idiv(F.col("fm_time_first") + i, FM_TIME_RATE), 3600)
+    return _by_code(
+        picture_number=F.least(F.col("first_picture") + F.col("picture_step") * i, F.col("__max_picture")),
+        programme_time_code=clocks.imod(clocks.idiv(at, F.col("__per_minute")), 60), clv_picture_number=clocks.clv_frame(at),
+        fm_picture_number=F.least(F.col("fm_picture_first") + i, F.lit(tl.FM_MAX).cast("bigint")),
+        fm_programme_time=seconds * 10 + clocks.idiv(seconds, 60) * 400,
+    )
 
 
-def _frame_words() -> dict[str, Column]:
-    """Word of each code that changes from frame to frame. FM words come as for field one; the other field's has one bit less."""
-    at, minutes, seconds = F.col("frame_id"), F.col("__minutes"), F.col("__fm_seconds")
+def _frame_word(digits: Column) -> Column:
+    """The word of a frame from its ``digits`` as nibbles, in field one: an FM word of the other field has one bit less."""
+    at = F.col("frame_id")
     stop = F.col("chapter_frames") + F.col("chapter_step") * F.col("in_section") >= STOP_BIT_FRAMES
-    hour = F.least(clocks.idiv(minutes, 60), F.lit(15).cast("bigint"))
-    fm_time = [*_fm_digits(clocks.imod(clocks.idiv(seconds, 60), 60), 2), *_fm_digits(clocks.imod(seconds, 60), 2), F.lit(FM_MODE_PICTURE)]
-    return {
-        "picture_number": F.when(F.col("first_picture").isNotNull(), words.picture_word(F.col("__number"))),
-        "chapter_number": words.chapter_word(F.col("chapter"), F.lit(0)) + F.when(stop, _STOP_BIT).otherwise(0),
-        "programme_time_code": words.programme_time_word(hour, clocks.imod(minutes, 60)),
-        "clv_picture_number": words.clv_picture_word(clocks.clv_second(at), clocks.clv_frame(at)),
-        "fm_picture_number": F.when(F.col("fm_picture_first").isNotNull(), words.fm_word(F.lit(True), _fm_digits(F.col("__fm_number"), 5))),
-        "fm_programme_time": words.fm_word(F.lit(True), fm_time),
-    }
+    hour = F.least(clocks.idiv(at, F.col("__per_minute") * 60), F.lit(15).cast("bigint"))
+    fm = F.col("__place") >= _PLACE["fm_picture_number"]
+    return F.when(fm, words.fm_bits(digits)).otherwise(_by_code(
+        picture_number=digits + 0xF00000,
+        chapter_number=F.col("__chapter_word") + F.when(stop, _STOP_BIT).otherwise(0),
+        programme_time_code=digits + 0xF0DD00 + hour * 0x10000,
+        clv_picture_number=words.clv_picture_word(clocks.clv_second(at), F.lit(0)) + digits,
+    ))
 
 
 #: The field bit of an FM word.
 _FIELD_BIT = 1 << 35
 
 
-def expected_words(sections: DataFrame, assignments: DataFrame, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
+def expected_words(sections: DataFrame, assignments: DataFrame | None = None, keys: Sequence[str] = ("project_id", "section_no")) -> DataFrame:
     """V2: one row per frame and assigned line with the word that must be there; codes without a value send none.
 
     ``sections`` carry their counters (``assign_picture_numbers``, ``chapter_state``, ``fm_state``), ``first_frame``,
     ``n_frames``, ``pass_length``, ``start_frame``, ``status_word`` and ``users_word``. Words are BIGINT: 24 bits, or the 40 bits of FM
-    codes; white flags have a length instead. PAL_M has no FM codes. A section's few lines ride along as an array with the words that are
-    the same on all its frames. Each frame is made once, the changing codes that its section sends are worked out once, and lines take them
-    from their place.
+    codes; white flags have a length instead. PAL_M has no FM codes. Without ``assignments`` the lines are assigned here (sections then have what
+    ``assign_line_codes`` needs). Lines take their section's counters along and are expanded where they are, so neither
+    lines nor frames are shuffled to meet each other, and a row works out its own code only.
     """
-    changing = _frame_words()
-    known = sections.select(*keys, "standard", "status_word", "users_word")
-    sent = assignments.select(*keys, "line_no", "code_type", "kind", "start_sample", "flag_length").join(known, list(keys)).filter(
-        (F.col("kind") != "fm40") | (F.col("standard") == "NTSC")
-    )
-    place = F.lit(None).cast("int")
-    for number, name in enumerate(changing):
-        place = F.when(F.col("code_type") == name, number).otherwise(place)
+    shown = ["line_no", "code_type", "kind", "start_sample", "flag_length"]
+    if assignments is None:
+        lines = assign_line_codes(sections)
+    else:
+        lines = sections.drop("code_types").join(assignments.select(*keys, *shown), list(keys))
+    sent = lines.filter((F.col("kind") != "fm40") | (F.col("standard") == "NTSC"))
     field_one = F.col("line_no") <= F.when(F.col("standard") == "PAL", 312).otherwise(262)
     less = F.when((F.col("kind") == "fm40") & ~field_one, F.lit(_FIELD_BIT)).otherwise(F.lit(0)).cast("bigint")
-    line = F.struct("line_no", "code_type", "kind", "start_sample", "flag_length", _section_word().alias("same"), place.alias("place"), less.alias("less"))
-    lines = sent.groupBy(*keys).agg(  # at most one row per reserved line
-        F.collect_list(line).alias("__lines"), *(F.bool_or(F.col("code_type") == name).alias(f"__{name}") for name in changing),
-    )
-    frames = tl.expand_placed(sections.join(lines, list(keys))).withColumns(_frame_counters())
-    made = F.array(*(F.when(F.col(f"__{name}"), value.cast("bigint")) for name, value in changing.items()))
-    dealt = frames.select(*keys, "frame_id", "in_section", made.alias("__w"), F.explode("__lines").alias("x"))
-    return dealt.select(
-        *keys, "frame_id", "in_section", "x.line_no", "x.code_type", "x.kind", "x.start_sample", "x.flag_length",
-        F.coalesce(F.col("x.same"), F.get("__w", F.col("x.place")) - F.col("x.less")).alias("word"),
-    ).filter(F.col("word").isNotNull() | (F.col("kind") == "white_flag"))
+    place, value = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for name, counter in _CHANGING.items():
+        place = F.when(F.col("code_type") == name, _PLACE[name]).otherwise(place)
+        value = F.when(F.col("code_type") == name, F.col(counter)).otherwise(value)
+    # what a section's frames share is worked out before they are made
+    named = sent.withColumns({
+        "__same": _section_word(), "__place": place, "__less": less, "__max_picture": by_standard("max_picture").cast("bigint"),
+        "__per_minute": by_standard("frames_per_minute").cast("bigint"), "__chapter_word": words.chapter_word(F.col("chapter"), F.lit(0)),
+    }).filter(F.col("__same").isNotNull() | value.isNotNull() | (F.col("kind") == "white_flag"))
+    mode = F.when(F.col("__place") == _PLACE["fm_programme_time"], FM_MODE_PICTURE).otherwise(0)
+    # columns of their own, as an expression repeats what it uses more than once
+    frames = tl.expand_placed(named).withColumn("__shown", _decimal_shown()).withColumn("__digits", words.bcd(F.col("__shown"), 5) + mode)
+    word = F.when(F.col("__place").isNull(), F.col("__same")).otherwise(_frame_word(F.col("__digits")) - F.col("__less"))
+    return frames.select(*keys, "frame_id", "in_section", *shown, word.alias("word"))
 
 
 def word_mismatches(expected: DataFrame, captured: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -84,17 +84,15 @@ def assign_line_codes(spark, sf):
 SELECT project_id, section_no, CAST(line_no AS INT) AS line_no, code_type, count(*) AS n_words, CAST(sum(word) AS BIGINT) AS sum_words, CAST(sum((i + 1) * word) AS BIGINT) AS weighted_words, CAST(max(word) AS BIGINT) AS last_word,
  CAST(max(flag_length) AS INT) AS flag_length FROM w WHERE word IS NOT NULL OR code_type = 'fm_white_flag' GROUP BY 1, 2, 3, 4""")
 def expected_words(spark, sf):
-    placed = view(spark, sf, "fx_placed")
-    assigned = vbi.assign_line_codes(coded_sections(placed))
-    flagged = placed.withColumns({"declares_fm_picture": F.col("declares_pn"), "declares_fm_time": F.col("declares_clv")})
-    state = tl.fm_state(tl.chapter_state(tl.assign_picture_numbers(flagged))).filter("carries_codes")
-    sections = state.select(
-        "project_id", "section_no", "standard", "n_frames", "pass_length", "first_frame", "start_frame",
+    flagged = view(spark, sf, "fx_placed").withColumns({"declares_fm_picture": F.col("declares_pn"), "declares_fm_time": F.col("declares_clv")})
+    state = tl.fm_state(tl.chapter_state(tl.assign_picture_numbers(flagged)))
+    sections = coded_sections(state).select(
+        "project_id", "section_no", "standard", "section_type", "disc_type", "code_types", "n_frames", "pass_length", "first_frame", "start_frame",
         "first_picture", "picture_step", "chapter", "chapter_frames", "chapter_step", "fm_picture_first", "fm_time_first",
         F.lit(STATUS_WORD).alias("status_word"), F.lit(USERS_WORD).alias("users_word"),
     )
     place = F.col("in_section") + 1
-    return vbi.expected_words(sections, assigned).groupBy("project_id", "section_no", "line_no", "code_type").agg(
+    return vbi.expected_words(sections).groupBy("project_id", "section_no", "line_no", "code_type").agg(
         F.count("*").alias("n_words"), F.sum("word").alias("sum_words"), F.sum(place * F.col("word")).alias("weighted_words"),
         F.max("word").alias("last_word"), F.max("flag_length").alias("flag_length"),
     )

@@ -96,3 +96,36 @@ def test_pixels_do_not_carry_their_row(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     generates = [line for line in plan.splitlines() if "Generate" in line]
     assert generates and all("[image_id" in line and "__s" not in line.split("],")[-2] for line in generates)
+
+
+def test_words_of_lines_need_no_shuffle_and_compile(spark):
+    """Given assignments bring the same words; methods over 8,000 bytes are never compiled by the JVM."""
+    import re
+
+    from framekit.operators import vbi
+    from framekit.plans import catalog
+    from pyspark.sql import functions as F
+
+    sections = spark.sql("""SELECT 1L project_id, n section_no, s standard, t section_type, d disc_type, 40L n_frames, 40L pass_length, n * 40L first_frame, 0 start_frame,
+     7990L + n first_picture, 1L picture_step, 20L chapter, 380L chapter_frames, 1L chapter_step, 79970L fm_picture_first, 107970L fm_time_first, 1 status_word, 2 users_word,
+     array('picture_number', 'chapter_number', 'users_code', 'clv_code', 'programme_time_code', 'clv_picture_number', 'fm_picture_number', 'fm_programme_time', 'fm_white_flag') code_types
+     FROM (SELECT explode(array('PAL', 'NTSC', 'PAL_M')) s, 1 n) CROSS JOIN (SELECT explode(array('lead_in', 'programme_area')) t) CROSS JOIN (SELECT explode(array('CAV', 'CLV')) d)""").withColumn(
+        "section_no", F.monotonically_increasing_id().cast("int"))
+    sections = spark.createDataFrame(sections.collect(), sections.schema)
+    one = vbi.expected_words(sections).collect()
+    two = vbi.expected_words(sections, vbi.assign_line_codes(sections)).collect()
+    assert sorted(one, key=str) == sorted(two, key=str) and len(one) > 1000
+    fm = next(r for r in one if r.code_type == "fm_programme_time" and r.in_section == 0 and r.line_no == 10)
+    digits = [F.lit(d) for d in (5, 9, 5, 9, 13)]  # 107970 // 30 = 3599 s: 59:59
+    from framekit.functions import words
+
+    assert fm.word == spark.range(1).select(words.fm_word(F.lit(True), digits)).first()[0]
+    plan = catalog.QUERIES["expected_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*section_no", plan.executedPlan().toString())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        query = catalog.QUERIES["expected_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        text = query.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) <= 8000
