@@ -82,6 +82,13 @@ def closed(rows: DataFrame, key: str = "capture_id", after: str = CLOSING) -> Da
     return rows.unionByName(end, allowMissingColumns=True)
 
 
+def span_of(rows: DataFrame, fps: float | Column) -> str:
+    """The time from the first to the last event of a bounded table (``started``, ``frame_id``) as an interval: rows that come in any order are at most so late."""
+    at = F.unix_micros(event_time(F.col(STARTED), F.col("frame_id"), fps))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    return f"{0 if first is None else (last - first) // 1_000_000 + 1} seconds"
+
+
 def without_closing(result: DataFrame, key: str = "capture_id") -> DataFrame:
     return result.filter(F.col(key) != NO_CAPTURE)
 

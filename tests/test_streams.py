@@ -102,3 +102,19 @@ def test_ingestion_merges_copies_however_far_apart(spark, tmp_path):
     st.ingest_sidecar(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = sorted((r.cvbs_file_id, r.frame_id, r.severity) for r in sidecar.read_sidecar(spark, f"{tmp_path}/out", "dropout_run").collect())
     assert got == [(1, 0, 75), (1, 1, 25), (2, 0, 75), (3, 0, 25)]
+
+
+def test_state_keeps_captures_however_far_apart(spark, tmp_path):
+    """Captures start an hour apart by their number: 90,000 of them span ten years, and each batch holds rows of all of them."""
+    import duckdb
+
+    from framekit.plans import catalog
+    from framekit.plans.fixtures import table
+
+    users = F.element_at(F.array(*(F.lit(n).cast("bigint") for n in (0, 7, 45000, 90000))), (F.col("event_id") % 4 + 1).cast("int"))
+    table(spark, "/root/testdata/sf0.001", "events").limit(200).withColumn("user_id", users).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["stream_continuity_stateful"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["stream_continuity_stateful"]).fetchall()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want)) and len(got) == 200
