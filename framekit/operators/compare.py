@@ -264,8 +264,13 @@ def duplicate_summary(uses: DataFrame, by: Sequence[str] = ("source",)) -> DataF
 
 def distinct_sketches(frames: DataFrame, by: Sequence[str] = ("source",), phase: str = "sequence_phase", size: int = 14) -> DataFrame:
     """M9: one stored sketch of distinct clean frames per group (``<by>, sketch``), so that a new capture costs only its own rows."""
-    key = F.to_json(F.struct(F.col("section_type"), frame_identity().alias("identity"), F.col(phase).alias("phase")))
-    return frames.groupBy(*by).agg(F.hll_sketch_agg(key, size).alias("sketch"))
+    clean = _clean_frames(frames, by, phase)
+    return clean.groupBy(*by).agg(F.hll_sketch_agg(F.to_json(F.struct("section_type", "identity", "phase")), size).alias("sketch"))
+
+
+def _clean_frames(frames: DataFrame, by: Sequence[str], phase: str) -> DataFrame:
+    """Distinct clean frames per group: a sketch counts a frame once anyway, and repeats are left out before keys are made as texts."""
+    return frames.select(*by, "section_type", frame_identity().alias("identity"), F.col(phase).alias("phase")).distinct()
 
 
 def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
@@ -275,8 +280,8 @@ def merge_sketches(sketches: DataFrame, by: Sequence[str] = ("source",)) -> Data
 
 def approx_distinct_frames(frames: DataFrame, by: Sequence[str] = ("source",), rsd: float = 0.02, phase: str = "sequence_phase") -> DataFrame:
     """M9: distinct clean frames by a sketch: one small buffer per group instead of one row per key."""
-    key = F.struct(F.col("section_type"), frame_identity(), F.col(phase))
-    return frames.groupBy(*by).agg(F.approx_count_distinct(key, rsd).alias("n_distinct_approx"))
+    key = F.struct("section_type", "identity", "phase")
+    return _clean_frames(frames, by, phase).groupBy(*by).agg(F.approx_count_distinct(key, rsd).alias("n_distinct_approx"))
 
 
 def project_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:

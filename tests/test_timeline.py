@@ -148,3 +148,14 @@ def test_queries_shuffle_the_sections_once_and_no_frames(spark):
         assert not any("section_no" in line.split(", ENSURE")[0].split("REPARTITION")[0] for line in moved), slug
         assert "SortAggregate" not in plan, slug
         assert sum("REPARTITION_BY_NUM" in line for line in moved) <= (2 if slug in ("mute_overlap", "track_table_errors") else 1), slug
+
+
+def test_sketches_see_each_clean_frame_once(spark):
+    from framekit.operators import compare as cmp
+
+    frames = spark.range(3000).select(F.lit("a.mkv").alias("source"), F.lit("programme_area").alias("section_type"), (F.col("id") % 100).alias("source_frame_index"), (F.col("id") % 4).cast("bigint").alias("sequence_phase"))
+    for made in (cmp.distinct_sketches(frames), cmp.approx_distinct_frames(frames)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 2  # distinct frames, then their sketch
+    assert cmp.merge_sketches(cmp.distinct_sketches(frames)).first().n_distinct_approx in (99, 100, 101)
+    assert cmp.approx_distinct_frames(frames).first().n_distinct_approx in range(97, 104)
