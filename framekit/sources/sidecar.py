@@ -1,4 +1,4 @@
-"""Sidecar tables as Parquet by file, and their constraints."""
+"""Sidecar tables as Parquet by stretches of files, and their constraints."""
 
 from __future__ import annotations
 
@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from framekit.dims import by_standard
 from framekit.operators.rules import DOMAINS
+from framekit.session import exists, remove, scratch_dir
 
 KEY = "cvbs_file_id"
+#: A folder of a table holds a stretch of file numbers, so that there are few folders however many files there are.
+GROUP = "file_group"
+FILES_PER_FOLDER = {"cvbs_file": 65536, "audio_channel_pair": 8192, "dropout_run": 1024, "efm_frame": 16}
 # Columns and primary keys of the four sidecar tables.
 TABLES: dict[str, dict[str, str]] = {
     "cvbs_file": {
@@ -76,29 +80,67 @@ def constraint_violations(df: DataFrame, table: str) -> DataFrame:
     return rows.unionByName(twice)
 
 
+def _group(table: str) -> Column:
+    return F.expr(f"CAST({KEY} AS BIGINT) div {FILES_PER_FOLDER[table]}").alias(GROUP)
+
+
+def _stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Rows with their folder, without the rows that only mark a file as empty."""
+    rows = spark.read.schema(f"{TABLES[table]['schema']}, {GROUP} bigint").parquet(f"{path}/{table}")
+    return rows.filter(F.coalesce(*(F.col(c).cast("string") for c in rows.columns if c not in (KEY, GROUP))).isNotNull())
+
+
+def _in_folders(stored: DataFrame, files: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """The stored rows in the folders of ``files``, and the distinct files; folders out of their range are not opened."""
+    named = files.select(F.col(KEY).cast("bigint").alias(KEY)).distinct().select(F.col(KEY).alias("__file"), _group(table).alias("__folder"))
+    low, high = named.agg(F.min("__folder"), F.max("__folder")).first()
+    near = stored.filter(F.col(GROUP).between(low, high) | F.col(GROUP).isNull())
+    return near.join(named.select("__folder").distinct(), F.col(GROUP).eqNullSafe(F.col("__folder")), "left_semi"), named
+
+
 def write_sidecar(df: DataFrame, path: str, table: str, files: Sequence[int] | DataFrame | None = None) -> None:
     """Replace the rows of the files in ``df``; other files stay.
 
     ``files`` names all files of this run, so that one without rows loses its old ones: it gets one row without values, which replaces its
-    folder in the same commit and which ``read_sidecar`` leaves out. The rebalance hint keeps small files in few pieces and lets a
-    very large one be written by many tasks.
+    old rows in the same commit and which ``read_sidecar`` leaves out. Files share folders (``FILES_PER_FOLDER``): a folder that is touched is
+    written anew with the rows of its other files, so runs that write at the same time must not share one. The rebalance hint keeps
+    small folders in few pieces and lets a very large one be written by many tasks.
     """
     spark = df.sparkSession
-    rows = df
-    if files is not None:
-        named = files.select(KEY) if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], f"{KEY} bigint")
-        gone = named.distinct().join(df.select(KEY).distinct(), KEY, "left_anti")
-        rows = df.unionByName(gone, allowMissingColumns=True)
-    (
-        rows.hint("rebalance", KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(KEY).parquet(f"{path}/{table}")
-    )
+    types = dict(part.split(" ") for part in TABLES[table]["schema"].split(", "))
+    rows = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    base = scratch_dir(spark, "replace")
+    try:
+        there = exists(spark, f"{path}/{table}")
+        if there or files is not None:  # read more than once below, and maybe made from the table itself
+            rows.write.parquet(base)
+            rows = spark.read.schema(TABLES[table]["schema"]).parquet(base)
+        if files is not None:
+            named = files.select(KEY) if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], f"{KEY} bigint")
+            gone = named.distinct().join(rows.select(KEY).distinct(), KEY, "left_anti")
+            rows = rows.unionByName(gone, allowMissingColumns=True)
+        if there:
+            near, named = _in_folders(_stored(spark, path, table), rows, table)
+            others = near.join(named, F.col(KEY).eqNullSafe(F.col("__file")), "left_anti")
+            rows = rows.unionByName(others.drop(GROUP))
+        (
+            rows.withColumn(GROUP, _group(table)).hint("rebalance", GROUP).sortWithinPartitions(GROUP, KEY)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(GROUP).parquet(f"{path}/{table}")
+        )
+    finally:
+        remove(spark, base)
 
 
-def read_sidecar(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A sidecar table with its fixed schema; filters on the file prune folders."""
-    rows = spark.read.schema(TABLES[table]["schema"]).parquet(f"{path}/{table}")
-    return rows.filter(F.coalesce(*(F.col(c).cast("string") for c in rows.columns if c != KEY)).isNotNull())
+def read_sidecar(spark: SparkSession, path: str, table: str, files: DataFrame | None = None) -> DataFrame:
+    """A sidecar table with its fixed schema, or its rows of ``files`` only, from their folders.
+
+    Rows lie in the order of their files, so that a filter on the file skips what holds others.
+    """
+    rows = _stored(spark, path, table)
+    if files is not None:
+        near, named = _in_folders(rows, files, table)
+        rows = near.join(named, F.col(KEY).eqNullSafe(F.col("__file")), "left_semi")
+    return rows.drop(GROUP)
 
 
 def cvbs_file_rows(projects: DataFrame, frames: DataFrame, flags: DataFrame, decoder: str = "framekit") -> DataFrame:

@@ -208,26 +208,24 @@ def stream_sidecar_dedup(runs: DataFrame, fps: float, late: str = "10 seconds")
 def ingest_sidecar(runs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """ST3: merge each batch into the sidecar table of ``folder``, one row per primary key, whatever the time between two copies.
 
-    A batch rewrites the folders of the files that it touches, so a replayed batch or a second copy changes nothing, rows are never late,
-    and ``read_sidecar`` prunes by file. Of rows with equal keys the severest stays, then the longest.
+    A batch replaces the rows of the files that it touches, so a replayed batch or a second copy changes nothing, and rows are never late.
+    Of rows with equal keys the severest stays, then the longest.
     """
     spark = runs.sparkSession
     key = ["cvbs_file_id", "frame_id", "sample_start"]
+    columns = [*key, "sample_count", "severity"]
 
     def save(batch: DataFrame, batch_id: int) -> None:
         base = scratch_dir(spark, "ingest")
+        rows = batch.select(*columns)
         try:
-            batch.write.parquet(f"{base}/batch")
-            rows = spark.read.schema(batch.schema).parquet(f"{base}/batch")
-            files = rows.select("cvbs_file_id").distinct()
             # also before the first batch of a new checkpoint rows may be there
-            there = exists(spark, f"{folder}/dropout_run")
-            stored = sidecar.read_sidecar(spark, folder, "dropout_run").join(files, "cvbs_file_id", "left_semi") if there else rows.limit(0)
-            value = F.struct("severity", "sample_count")
-            both = rows.select(*key, "sample_count", "severity").unionByName(stored.select(*key, "sample_count", "severity"))
-            merged = both.groupBy(*key).agg(F.max(value).alias("v")).select(*key, "v.sample_count", "v.severity")
-            merged.write.parquet(f"{base}/merged")
-            sidecar.write_sidecar(spark.read.schema(merged.schema).parquet(f"{base}/merged"), folder, "dropout_run")
+            if exists(spark, f"{folder}/dropout_run"):
+                rows.write.parquet(base)  # read for its files and for its rows
+                rows = spark.read.schema(rows.schema).parquet(base)
+                rows = rows.unionByName(sidecar.read_sidecar(spark, folder, "dropout_run", rows).select(*columns))
+            merged = rows.groupBy(*key).agg(F.max(F.struct("severity", "sample_count")).alias("v")).select(*key, "v.sample_count", "v.severity")
+            sidecar.write_sidecar(merged, folder, "dropout_run")
         finally:
             remove(spark, base)
 

@@ -118,3 +118,19 @@ def test_state_keeps_captures_however_far_apart(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.sql(catalog.ORACLES["stream_continuity_stateful"]).fetchall()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want)) and len(got) == 200
+
+
+def test_ingestion_of_many_files_makes_few_folders(spark, tmp_path):
+    """One folder per file took most of the time: 3,000 files lie in three folders, and a later batch leaves the other files of its folder alone."""
+    schema = "cvbs_file_id bigint, frame_id bigint, sample_start bigint, sample_count bigint, severity int"
+    first = spark.range(3000).selectExpr("id cvbs_file_id", "0L frame_id", "5L sample_start", "9L sample_count", "25 severity")
+    second = spark.createDataFrame([(7, 0, 5, 9, 75), (7, 1, 5, 9, 25), (None, 0, 5, 9, 25)], schema)
+    for i, rows in enumerate((first, second, second)):
+        rows.write.parquet(f"{tmp_path}/in{i}")
+        st.ingest_sidecar(spark.readStream.schema(schema).parquet(f"{tmp_path}/in{i}"), f"{tmp_path}/out", f"{tmp_path}/check{i}").awaitTermination()
+    assert len([p for p in (tmp_path / "out" / "dropout_run").iterdir() if p.is_dir()]) == 4
+    got = sidecar.read_sidecar(spark, f"{tmp_path}/out", "dropout_run")
+    assert got.count() == 3002 and got.select("cvbs_file_id").distinct().count() == 3001
+    some = sorted((r.frame_id, r.severity) for r in got.filter("cvbs_file_id = 7").collect())
+    assert some == [(0, 75), (1, 25)] and got.filter("cvbs_file_id is null").count() == 1
+    assert sidecar.read_sidecar(spark, f"{tmp_path}/out", "dropout_run", second).count() == 3
