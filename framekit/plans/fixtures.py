@@ -206,9 +206,18 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     The number of partitions is stated, so that adaptive execution does not join them before sections multiply into frames.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return numbered(table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey"))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    at = Window.partitionBy("l_orderkey").orderBy(*order)
-    return table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey").withColumn("section_no", F.row_number().over(at))
+    return lines.withColumn("section_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
+
+
+def sections_of(lines: DataFrame) -> DataFrame:
+    """``fx_section`` of some lines; without ``section_no`` it is null, and they need no order."""
+    rows = lines if "section_no" in lines.columns else lines.withColumn("section_no", F.lit(None).cast("int"))
+    return lines.sparkSession.sql(SQL["fx_section"], fx_line_numbered=rows)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
