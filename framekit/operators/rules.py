@@ -181,8 +181,9 @@ def rule_reserved_lines(lines: DataFrame) -> DataFrame:
     return findings(lines, reserved_checks()).select(*SCHEMA)
 
 
-def compatibility_checks() -> list[Check]:
-    """Rules on codes (code_type, section_type, disc_type, standard) of projects with a disc type."""
+def compatibility_checks(code: Column | None = None) -> list[Check]:
+    """Rules on codes (code_type or the stated ``code``, section_type, disc_type, standard) of projects with a disc type."""
+    code = F.col("code_type") if code is None else code
     on_disc = F.col("disc_type").isin("CAV", "CLV")
     allowed = {
         "disc_type": {c: [d for d, codes in (("CAV", CAV_CODES), ("CLV", CLV_CODES)) if c in codes] for c in ALL_CODES},
@@ -192,8 +193,8 @@ def compatibility_checks() -> list[Check]:
     checks = []
     for other, sets in allowed.items():
         kinds = F.create_map(*[x for code, names in sets.items() for x in (F.lit(code), F.array(*map(F.lit, names)))])
-        fits = F.coalesce(F.array_contains(kinds[F.col("code_type")], F.col(other)), F.lit(False))
-        checks.append((f"compatibility.{other}", ERROR, on_disc & ~fits, F.concat_ws("/", "code_type", other)))
+        fits = F.coalesce(F.array_contains(kinds[code], F.col(other)), F.lit(False))
+        checks.append((f"compatibility.{other}", ERROR, on_disc & ~fits, F.concat_ws("/", code, other)))
     return checks
 
 
@@ -237,13 +238,13 @@ def rule_references(
     ])
 
 
-def bound_facts(kind: Column) -> list[Column]:
-    """Aggregates of a project's sections that the ordering rules need."""
-    return [
-        F.count(F.when(kind == "lead_in", 1)).alias("n_in"), F.count(F.when(kind == "lead_out", 1)).alias("n_out"),
-        F.min(F.when(kind == "lead_in", F.col("section_no"))).alias("first_in"),
-        F.max(F.when(kind == "lead_out", F.col("section_no"))).alias("last_out"),
-    ]
+def bound_facts(kind: Column) -> dict[str, Column]:
+    """Aggregates of a project's sections that the ordering rules need, by name."""
+    return {
+        "n_in": F.count(F.when(kind == "lead_in", 1)), "n_out": F.count(F.when(kind == "lead_out", 1)),
+        "first_in": F.min(F.when(kind == "lead_in", F.col("section_no"))),
+        "last_out": F.max(F.when(kind == "lead_out", F.col("section_no"))),
+    }
 
 
 def bound_checks() -> list[Check]:
@@ -274,7 +275,7 @@ def rule_ordering(sections: DataFrame) -> DataFrame:
     ``sections``: project_id, section_no, section_type.
     """
     kind = F.col("section_type")
-    bounds = sections.groupBy("project_id").agg(*bound_facts(kind)).filter("n_in > 0 OR n_out > 0")
+    bounds = sections.groupBy("project_id").agg(*[v.alias(k) for k, v in bound_facts(kind).items()]).filter("n_in > 0 OR n_out > 0")
     return _union([findings(bounds, bound_checks()), findings(sections.join(bounds, "project_id"), ordering_checks())])
 
 

@@ -8,7 +8,7 @@ inside long groups) or a stated partitioning, have a Spark builder as well.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -214,6 +214,12 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
 
 
+def beside(name: str, keep: Sequence[str], **rows: DataFrame) -> DataFrame:
+    """The view ``name`` over ``rows`` of the tables or views that its text reads, with their columns ``keep`` brought along."""
+    text = re.sub(r"\bSELECT\b", f"SELECT {', '.join(keep)},", SQL[name])
+    return next(iter(rows.values())).sparkSession.sql(text, **rows)
+
+
 def sections_of(lines: DataFrame) -> DataFrame:
     """``fx_section`` of some lines; without ``section_no`` it is null, and they need no order."""
     rows = lines if "section_no" in lines.columns else lines.withColumn("section_no", F.lit(None).cast("int"))
